@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import mixing, packing, wavelet
+from geoloom.llm import langid, mixing, packing, pii, quality, wavelet
 from geoloom.llm.common import table
 
 TOKENIZER_FOLDER = "public_tokenizers"
@@ -58,3 +58,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_token_files": op2_token_files, "op6_packing": op6_packing}
 SQL = {"op1_mixing": OP1_SQL}
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op3_quality": op3_quality, "op7_pii": op7_pii, "op9_language": op9_language}
