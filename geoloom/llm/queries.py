@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import langid, mixing, neardup, packing, pii, quality, vectors, wavelet
+from geoloom.llm import langid, mixing, neardup, packing, pii, quality, suffixdedup, vectors, wavelet
 from geoloom.llm.common import table
 
 TOKENIZER_FOLDER = "public_tokenizers"
@@ -117,3 +117,10 @@ FROM embeddings m JOIN c ON c.node = m.vec_id LEFT JOIN n ON n.a = m.vec_id
 
 QUERIES |= {"op4_top_k": op4_top_k, "op5_near_vectors": op5_near_vectors, "op8_near_texts": op8_near_texts}
 SQL |= {"op4_top_k": OP4_SQL, "op5_near_vectors": OP5_SQL}
+
+
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeated_strings(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_repeated_strings"] = op10_repeated_strings
