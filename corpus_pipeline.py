@@ -5,12 +5,34 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geoloom.llm import mixing, packing
-from geoloom.llm.common import scratch_dir
+from geoloom.llm import mixing, neardup, packing, pii, quality
+from geoloom.llm.common import materialise, scratch_dir, table
 from geoloom.llm.queries import tokenizer_path
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents the classifier scores below 0.7."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id in each group of near copies (five words, 0.8).
+
+    Documents without an id can't be told apart and stay.
+    """
+    found = neardup.near_duplicates(docs, words=5, percent=80)
+    return docs.join(materialise(found.filter("not kept and doc_id is not null").select("doc_id"), "dropped"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts by the name of its kind."""
+    found = pii.detect(docs, carry=tuple(docs.columns), redact=True)
+    own = {"text": F.col("redacted"), "n_chars": F.coalesce(F.length("redacted").cast("long"), F.col("row.n_chars"))}
+    return found.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources meet their target weights."""
     return mixing.mix(docs)
@@ -21,7 +43,13 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("mixing", mix_stage), ("packing", pack_stage)]
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("pii", pii_stage),
+    ("mixing", mix_stage),
+    ("packing", pack_stage),
+]
 ORACLE_SQL = None
 
 

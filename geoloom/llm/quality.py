@@ -18,6 +18,7 @@ FEATURES = (
     "log_chars", "word_length", "upper_share", "digit_share", "mark_share", "symbol_share", "space_share",
     "other_share", "distinct_words", "distinct_lines", "log_line", "adjacent_repeats",
 )
+_NAMES = [f"f{k}" for k in range(len(FEATURES))]
 _CLASSES: list[np.ndarray] = []
 
 
@@ -173,6 +174,40 @@ def fit(x: np.ndarray, y: np.ndarray, *, bins: int = 32, coarse: int = 12, round
     return model
 
 
+def _arrays(batch: pa.RecordBatch, start: int) -> np.ndarray:
+    cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[start:]]
+    return np.stack(cols, 1) if batch.num_rows else np.zeros((0, len(cols)))
+
+
+def _feature_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, f0, f1, ...), written: texts become numbers before anything is joined."""
+    id_type = dict(docs.dtypes)[id_col]
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = features(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(some, batch.column(0).type)] + [pa.array(c) for c in x.T], ["id", *_NAMES])
+
+    picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string"))
+    return materialise(picked.mapInArrow(extract, f"id {id_type}, " + ", ".join(f"{c} double" for c in _NAMES)), "features")
+
+
+def _fold(fold: int):
+    return F.crc32(F.col("id").cast("string").cast("binary")) % fold
+
+
+def train(rows: DataFrame, labels: DataFrame, *, id_col: str, label_col: str, fold: int, held_out: int, sample_rows: int) -> Gam:
+    """Fits the model on the driver from at most ``sample_rows`` labelled rows, drawn by hash."""
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y")).filter("y is not null")
+    known = materialise(rows.filter(_fold(fold) != held_out).join(known, "id"), "labelled")
+    n, chance = known.count(), hash_unit(F.col("id"), seed="quality-sample")
+    if n > sample_rows:
+        known = known.filter(chance < sample_rows * 1.1 / n)
+    learn = known.orderBy(chance, "id").limit(sample_rows).toPandas()
+    return fit(learn[_NAMES].to_numpy(float).reshape(-1, len(_NAMES)), (learn["y"].to_numpy(float) > 0.5).astype(float))
+
+
 def score(
     docs: DataFrame,
     labels: DataFrame,
@@ -197,34 +232,44 @@ def score(
     table with repeated ids counts each row; empty documents give no rows; other columns are
     ignored.
     """
-    id_type = dict(docs.dtypes)[id_col]
-    names = [f"f{k}" for k in range(len(FEATURES))]
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = features(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(some, batch.column(0).type)] + [pa.array(c) for c in x.T], ["id", *names])
-
-    picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string"))
-    rows = materialise(picked.mapInArrow(extract, f"id {id_type}, " + ", ".join(f"{c} double" for c in names)), "features")
-    rest = F.crc32(F.col("id").cast("string").cast("binary")) % fold
-    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y")).filter("y is not null")
-    known = rows.filter(rest != held_out).join(known, "id")
-    known = materialise(known, "labelled")
-    n = known.count()
-    chance = hash_unit(F.col("id"), seed="quality-sample")
-    if n > sample_rows:
-        known = known.filter(chance < sample_rows * 1.1 / n)
-    learn = known.orderBy(chance, "id").limit(sample_rows).toPandas()
-    model = fit(learn[names].to_numpy(float).reshape(-1, len(names)), (learn["y"].to_numpy(float) > 0.5).astype(float))
+    rows = _feature_rows(docs, id_col, text_col)
+    model = train(rows, labels, id_col=id_col, label_col=label_col, fold=fold, held_out=held_out, sample_rows=sample_rows)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1) if batch.num_rows else np.zeros((0, len(names)))
-            s = model.score(x)
+            s = model.score(_arrays(batch, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["id", "score", "predicted"])
 
-    return rows.mapInArrow(apply, f"id {id_type}, score double, predicted int").select(
-        F.col("id").alias(id_col), F.coalesce(rest == held_out, F.lit(False)).alias("held_out"), "score", "predicted"
+    return rows.mapInArrow(apply, f"id {dict(rows.dtypes)['id']}, score double, predicted int").select(
+        F.col("id").alias(id_col), F.coalesce(_fold(fold) == held_out, F.lit(False)).alias("held_out"), "score", "predicted"
     )
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    fold: int = 4,
+    held_out: int = 2,
+    threshold: float = 0.7,
+    sample_rows: int = 20_000,
+) -> DataFrame:
+    """The documents that score ``threshold`` or more, with all their columns, each judged by
+    itself as it is read: nothing is joined or shuffled. Edge cases are those of ``score``; where nothing is labelled, all stay."""
+    rows = _feature_rows(docs, id_col, text_col)
+    model = train(rows, labels, id_col=id_col, label_col=label_col, fold=fold, held_out=held_out, sample_rows=sample_rows)
+    if not any(t.any() for t in model.tables) and model.bias == 0:
+        return docs
+    at = docs.columns.index(text_col)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, good = batch.column(at).to_pylist(), []
+            for _, part in slices(texts, texts):
+                good.append(model.score(features(part)) >= threshold)
+            yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
+
+    return docs.mapInArrow(sift, docs.schema)
