@@ -1 +1 @@
-
+"""Column functions: grids, geometry, road attributes and small scalar rules."""

@@ -1 +1 @@
-
+"""Operators over region, feature and joint tables."""

@@ -1 +1 @@
-
+"""Registered queries over the driver's tables, with their SQL."""

@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from geoloom.plans import learning, relational, spatial  # noqa: F401  (they register their queries)
+from geoloom.plans.inputs import QUERIES, SQL
 
 FLAGSHIP = "tile_category_counts"
-QUERIES: dict = {}
-SQL: dict = {}
 
-
-def _flagship(spark: SparkSession, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_mktsegment").count()
-
-
-QUERIES[FLAGSHIP] = _flagship
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
