@@ -26,9 +26,14 @@ def _shown(value: Column, number: str) -> Column:
     return F.coalesce(value.cast(number).cast("string"), F.lit("None"))
 
 
+def _capped(value: Column, most: float) -> Column:
+    """At most ``most``; null stays null, which F.least alone would not keep."""
+    return F.when(value.isNotNull(), F.least(value, F.lit(most)))
+
+
 def lanes(value: Column) -> Column:
     """Whole lanes, at most 15."""
-    return _shown(F.least(_text(value).try_cast("double").cast("long"), F.lit(MAX_LANES)), "int")
+    return _shown(_capped(_text(value).try_cast("double").cast("long"), MAX_LANES), "int")
 
 
 def maxspeed(value: Column, zones: Mapping[str, float] | None = None) -> Column:
@@ -59,7 +64,7 @@ def width(value: Column) -> Column:
     metres = (
         F.when(text.contains("'"), number * INCH_TO_M).when(text.contains("ft"), number * FOOT_TO_M).otherwise(number)
     )
-    return _shown(F.least(F.bround(metres * 2.0) / 2.0, F.lit(MAX_WIDTH)), "double")
+    return _shown(_capped(F.bround(metres * 2.0) / 2.0, MAX_WIDTH), "double")
 
 
 NORMALISERS = {"lanes": lanes, "maxspeed": maxspeed, "width": width}
