@@ -420,3 +420,34 @@ def h17_sincos_position(spark, sf_dir):
 def e6_first_per_key(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     return regionalizers.first_per_key(t, ["l_orderkey"], [F.col("l_linenumber")])
+
+
+@query("b4_non_empty_geometries", f"WITH {PTS} SELECT feature_id FROM pts WHERE feature_id % 4 <> 0")
+def b4_non_empty_geometries(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("lon", F.when(F.col("feature_id") % 4 != 0, F.col("lon")))
+    return p.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("feature_id")
+
+
+@query("b14_without_geometry", f"WITH {TAGS} SELECT feature_id, brand, size, dear FROM tags")
+def b14_without_geometry(spark, sf_dir):
+    from geoloom.schema import drop_geometry, with_bounds
+
+    return drop_geometry(with_bounds(tagged(spark, sf_dir))).drop("lon", "lat")
+
+
+@query("c12_feature_vectors", """SELECT l_suppkey AS region_id, round(avg(p_retailprice), 6) AS price, round(avg(p_size), 6) AS size FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey""")
+def c12_feature_vectors(spark, sf_dir):
+    joint = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("region_id"), F.col("l_partkey").alias("feature_id"))
+    v = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature_id"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
+    return embedders.mean_vectors(joint, v, ["price", "size"]).select("region_id", F.round("price", 6).alias("price"), F.round("size", 6).alias("size"))
+
+
+@query("f1_sorted_lists", "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY l_orderkey")
+def f1_sorted_lists(spark, sf_dir):
+    pairs = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(pairs, lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
+
+
+@query("h14_json_parse", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def h14_json_parse(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))

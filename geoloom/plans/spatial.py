@@ -344,3 +344,44 @@ def j3_s2_point_cells(spark, sf_dir):
 def hex_axial_counts(spark, sf_dir):
     p = points(spark, sf_dir).select(grid.hex_cell(F.col("lon") * 0.63, F.col("lat"), 0.01).alias("h"))
     return p.groupBy("h.q", "h.r").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("c4_edges_in_area", f"WITH {BOXES} SELECT feature_id FROM boxes WHERE maxx >= CAST(16.9 AS DOUBLE) AND minx <= CAST(17.1 AS DOUBLE) AND maxy >= CAST(51.05 AS DOUBLE) AND miny <= CAST(51.1 AS DOUBLE)")
+def c4_edges_in_area(spark, sf_dir):
+    area = spark.createDataFrame([(16.9, 51.05, 17.1, 51.1)], "minx double, miny double, maxx double, maxy double")
+    return spatial_join.semi_join(box_features(spark, sf_dir), area, cell=0.05, id_col="feature_id").select("feature_id")
+
+
+def _double_boxes(spark, sf_dir):
+    """Each supplier's box and a copy ten degrees east, as one WKB multipolygon."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("binary")
+    def make(a, b, c, d):
+        import pandas as pd
+
+        from geoloom.functions import geometry as G
+
+        return pd.Series([G.to_wkb(G.merged([G.box(x, y, z, w), G.box(x + 10, y, z + 10, w)])) for x, y, z, w in zip(a, b, c, d, strict=True)], dtype=object)
+
+    return box_features(spark, sf_dir).select("feature_id", make("minx", "miny", "maxx", "maxy").alias("geometry"))
+
+
+@query("j6_exploded_multipolygons", f"WITH {BOXES} SELECT feature_id, round((maxx - minx) * (maxy - miny), 9) AS area FROM boxes UNION ALL SELECT feature_id, round((maxx - minx) * (maxy - miny), 9) FROM boxes")
+def j6_exploded_multipolygons(spark, sf_dir):
+    from geoloom.functions.geometry import st_area
+
+    return regionalizers.explode_parts(_double_boxes(spark, sf_dir)).select("feature_id", F.round(st_area(F.col("geometry")), 9).alias("area"))
+
+
+@query("k4_merged_polygons", f"WITH {BOXES} SELECT feature_id, round(2 * (maxx - minx) * (maxy - miny), 9) AS area FROM boxes")
+def k4_merged_polygons(spark, sf_dir):
+    from geoloom.functions.geometry import st_area, st_without_holes
+
+    return _double_boxes(spark, sf_dir).select("feature_id", F.round(st_area(st_without_holes(F.col("geometry"))), 9).alias("area"))
+
+
+@query("d4_neighbour_sums", f"WITH {_TC} SELECT e.region_id, CAST(sum(k.n) AS BIGINT) AS n FROM e JOIN c k ON k.region_id = e.neighbour_id WHERE e.distance = 1 GROUP BY e.region_id")
+def d4_neighbour_sums(spark, sf_dir):
+    c = _tile_counts(spark, sf_dir).select(F.col("region_id").alias("neighbour_id"), "n")
+    return _edges(spark, sf_dir, 1).filter("distance = 1").join(c, "neighbour_id").groupBy("region_id").agg(F.sum("n").alias("n"))
