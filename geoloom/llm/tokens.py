@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
 
 _TWO_SPACES = re.compile(r"\s\s")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Marks that may follow a word; with a letter before them there is always a cut.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Longer chunks are encoded but not kept.
 CACHED_CHARS = 48
-#: The cache starts anew beyond so many chunks (some 40 MB).
-CACHED_CHUNKS = 200_000
+#: Chunks per generation of the cache; two generations are held (some 100 MB).
+CACHED_CHUNKS = 250_000
+#: These letters are one pre-token together in every mode, whatever Unicode version is in use.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+
+
+class _Cache:
+    """Ids by chunk in two generations, so that frequent chunks outlive rare ones."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """What must be encoded; what the old generation holds moves to the young one."""
+        if len(self.young) > CACHED_CHUNKS:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for x in wanted.difference(young):
+            ids = old.get(x)
+            if ids is None:
+                out.append(x)
+            else:
+                young[x] = ids
+        return out
 
 
 class ChunkEncoder:
@@ -20,60 +46,120 @@ class ChunkEncoder:
     A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the ids of the
     chunks joined are the ids of the text; chunks recur, so a bounded cache saves most of the
     work. ``mode``: "spaced" for byte-level BPE whose pre-tokens carry their leading space,
-    "dropped" for BPE that drops white space, "whole" to cut nothing. Strings of special
+    "dropped" for BPE that drops case and white space, "whole" to cut nothing. Strings of special
     tokens within a text are ordinary text.
     """
 
     def __init__(self, path: str, mode: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if mode not in ("spaced", "dropped", "whole"):
             raise ValueError(f"unknown mode {mode}")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.mode = mode
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.first: dict[str, bytes] = {"": b""}
-        self.rest: dict[str, bytes] = {}
-        self.newline = self._encode(["\n"])[0] if mode == "spaced" else b""
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
+        self.first, self.rest = _Cache(), _Cache()
+        self.newline = self._batch(["\n"])[0] if mode == "spaced" else b""
+        #: The same model behind plain white space, for words that need no more.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=mode == "spaced", use_regex=False)]
+        )
+        #: Ids that end a word ("dropped") or begin one ("spaced").
+        self.edge = np.zeros(size, bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.edge[k] = token.endswith("</w>") if mode == "dropped" else token.startswith("Ġ")
+
+    def _batch(self, chunks: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in done]
 
-    def _learn(self, cache: dict[str, bytes], wanted: set[str], prefix: str) -> dict[str, bytes]:
-        """Adds what is missing; returns a table that holds every wanted chunk."""
-        if len(cache) > CACHED_CHUNKS:
-            cache.clear()
-            if not prefix:
-                cache[""] = b""
-        missing = [x for x in wanted if x not in cache]
-        extra = {}
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for x, ids in zip(part, self._encode([prefix + x for x in part]), strict=True):
-                (cache if len(x) <= CACHED_CHARS else extra)[x] = ids
-        return cache | extra if extra else cache
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters alone, each after a space: encoded in one go, cut at word edges."""
+        text = " ".join(words)
+        if self.mode == "dropped":
+            text = text.lower()
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        edges = np.nonzero(self.edge[ids])[0]
+        if len(edges) != len(words):
+            return self._batch([" " + x for x in words])
+        cuts = edges + 1 if self.mode == "dropped" else np.append(edges[1:], len(ids))
+        raw, at, out = ids.tobytes(), 0, []
+        for end in (cuts * self.dtype.itemsize).tolist():
+            out.append(raw[at:end])
+            at = end
+        return out
+
+    def _encode(self, known: dict[str, bytes], chunks: list[str], prefix: str) -> dict[str, bytes]:
+        """Ids of the chunks and of their cores; letters and the marks after them are encoded apart."""
+        cut, tails, need = [], {}, set()
+        for x in chunks:
+            core = x.rstrip(_MARKS)
+            if core != x:
+                if core and core[-1].isalpha():
+                    tail = x[len(core) :]
+                    cut.append((x, core, tail))
+                    tails[tail] = b""
+                else:
+                    core = x
+            if core not in known:
+                need.add(core)
+        words = list(filter(_LATIN.fullmatch, need)) if self.mode == "dropped" or prefix else []
+        others = list(need.difference(words))
+        ids: dict[str, bytes] = {}
+        for i in range(0, len(words), 8192):
+            part = words[i : i + 8192]
+            ids.update(zip(part, self._words(part), strict=True))
+        for i in range(0, len(others), 4096):
+            part = others[i : i + 4096]
+            ids.update(zip(part, self._batch([prefix + x for x in part]), strict=True))
+        tails = dict(zip(tails, self._batch(list(tails)), strict=True))
+        for x, core, tail in cut:
+            ids[x] = (ids.get(core) or known[core]) + tails[tail]
+        return ids
+
+    def _table(self, cache: _Cache, wanted: set[str], prefix: str) -> dict[str, bytes]:
+        """A table that holds every wanted chunk."""
+        missing = cache.missing(wanted)
+        if not missing:
+            return cache.young
+        fresh = self._encode(cache.young, missing, prefix)
+        extra = {x: fresh.pop(x) for x in [x for x in fresh if len(x) > CACHED_CHARS]}
+        cache.young.update(fresh)
+        return cache.young | extra if extra else cache.young
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; null counts as empty."""
+        """Ids of each text; null counts as empty.
+
+        The cycle collector stays off meanwhile: there are no cycles, and it would walk all lists of chunks again and again.
+        """
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._all(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _all(self, texts: list[str | None]) -> list[np.ndarray]:
         texts = ["" if x is None else x for x in texts]
         if self.mode == "whole":
-            return [np.frombuffer(x, self.dtype) for x in self._encode(texts)]
+            return [np.frombuffer(x, self.dtype) for x in self._batch(texts)]
         if self.mode == "dropped":
-            cut = [x.replace("\n", " ").split(" ") for x in texts]
-            table = self._learn(self.first, set().union(*cut), "")
+            # Lower case of ASCII alone is safe before the tokenizer's own; bytes.lower() does just that.
+            cut = [x.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\n", " ").split(" ") for x in texts]
+            table = self._table(self.first, set().union(*cut), "")
             return [np.frombuffer(b"".join(map(table.__getitem__, x)), self.dtype) for x in cut]
         lines = []
         for x in texts:
             if _TWO_SPACES.search(x):
-                parts = _SAFE_SPACE.split(x)
-                lines.append([parts])
+                lines.append([_SAFE_SPACE.split(x)])
             else:
                 lines.append([y.split(" ") for y in x.split("\n")])
-        heads = self._learn(self.first, {y[0] for x in lines for y in x}, "")
-        tails = self._learn(self.rest, set().union(*[y[1:] for x in lines for y in x]), " ")
-        head, tail = heads.__getitem__, tails.__getitem__
+        head = self._table(self.first, {y[0] for x in lines for y in x}, "").__getitem__
+        tail = self._table(self.rest, set().union(*[y[1:] for x in lines for y in x]), " ").__getitem__
         return [
             np.frombuffer(self.newline.join([head(y[0]) + b"".join(map(tail, y[1:])) for y in x]), self.dtype)
             for x in lines
