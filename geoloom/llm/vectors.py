@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -249,7 +248,7 @@ class MTree:
     without computing a distance.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, page: int = 96, fanout: int = 12, seed: int = 5):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, page: int = 512, fanout: int = 8, seed: int = 5):
         self.ids, self.x = ids, x.astype(np.float64)
         norm = (self.x * self.x).sum(1)
         self.top = float(norm.max()) if len(x) else 0.0
@@ -283,46 +282,65 @@ class MTree:
         self.pages.append((kept, self._far(kept, parent) if parent is not None else np.zeros(len(kept)), np.array(radii), children))
         return len(self.pages) - 1
 
-    def search(self, q: np.ndarray, own_id, k: int) -> list[tuple[int, int]]:
-        """Best first: the k largest (score, id), without own_id; ties to smaller ids."""
+    def search(self, q: np.ndarray, own_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Best first for many queries in step: per query the k largest scores and their ids, without
+        its own id, ties to smaller ids; -inf where there are fewer.
+
+        In each round every query takes the page of its least bound; queries that take the same
+        page are worked on together. A query is done when its next bound lies beyond its k-th distance.
+        """
+        q, n = q.astype(np.float64), len(q)
+        best_s = np.full((n, k), -np.inf)
+        best_i = np.zeros((n, k), self.ids.dtype)
         if self.root < 0:
-            return []
-        q = q.astype(np.float64)
-        fixed = float(q @ q) + self.top
-        slack = 1e-6 * (1 + fixed) ** 0.5
-        best_s, best_i, limit = np.zeros(0), self.ids[:0], np.inf
-        heap = [(0.0, 0, self.root, None)]
-        pushed = 0
-        while heap:
-            bound, _, page, d_parent = heapq.heappop(heap)
-            if bound > limit + slack:
-                break
-            rows, up, radii, children = self.pages[page]
-            pick = np.arange(len(rows))
-            if d_parent is not None and limit < np.inf:
-                pick = np.nonzero(np.abs(d_parent - up) - (0 if radii is None else radii) <= limit + slack)[0]
-                if not len(pick):
-                    continue
-            s = self.x[rows[pick]] @ q
-            far = np.sqrt(np.maximum(fixed - 2 * s, 0))
-            if children is not None:
-                for at, d in zip(pick.tolist(), far.tolist(), strict=True):
-                    low = max(d - radii[at], 0.0)
-                    if low <= limit + slack:
-                        pushed += 1
-                        heapq.heappush(heap, (low, pushed, children[at], d))
-                continue
-            ids = self.ids[rows[pick]]
-            ok = ids != own_id
-            if len(best_s) >= k:
-                ok &= s >= best_s[-1]
-            if ok.any():
-                all_s, all_i = np.concatenate([best_s, s[ok]]), np.concatenate([best_i, ids[ok]])
-                order = np.lexsort((all_i, -all_s))[:k]
-                best_s, best_i = all_s[order], all_i[order]
-                if len(best_s) == k:
-                    limit = float(np.sqrt(max(fixed - 2 * best_s[-1], 0)))
-        return list(zip(best_s.astype(np.int64).tolist(), best_i.tolist(), strict=True))
+            return best_s, best_i
+        fixed = (q * q).sum(1) + self.top
+        slack = 1e-6 * np.sqrt(1 + fixed)
+        limit = np.full(n, np.inf)
+        bound = np.full((n, len(self.pages)), np.inf)
+        bound[:, self.root] = 0
+        to_parent = np.full((n, len(self.pages)), np.nan)
+        active = np.arange(n)
+        while len(active):
+            page = bound[active].argmin(1)
+            least = bound[active, page]
+            go = np.isfinite(least) & (least <= limit[active] + slack[active])
+            active, page = active[go], page[go]
+            bound[active, page] = np.inf
+            order = np.argsort(page, kind="stable")
+            cuts = np.flatnonzero(np.diff(page[order])) + 1
+            for part in np.split(order, cuts):
+                if len(part):
+                    self._visit(int(page[part[0]]), active[part], q, own_ids, fixed, slack, limit, bound, to_parent, best_s, best_i)
+        return best_s, best_i
+
+    def _visit(self, page, who, q, own_ids, fixed, slack, limit, bound, to_parent, best_s, best_i):
+        rows, up, radii, children = self.pages[page]
+        d = to_parent[who, page]
+        reach = np.abs(d[:, None] - up) - (0 if radii is None else radii)
+        some = ~(reach > (limit[who] + slack[who])[:, None]).all(0)  # NaN at the root skips nothing
+        if not some.any():
+            return
+        pick = np.flatnonzero(some)
+        s = q[who] @ self.x[rows[pick]].T
+        if children is not None:
+            far = np.sqrt(np.maximum(fixed[who, None] - 2 * s, 0))
+            kids = np.array(children)[pick]
+            bound[who[:, None], kids] = np.maximum(far - radii[pick], 0)
+            to_parent[who[:, None], kids] = far
+            return
+        ids = self.ids[rows[pick]]
+        s[own_ids[who][:, None] == ids] = -np.inf
+        hit = np.flatnonzero(((s >= best_s[who, -1:]) & np.isfinite(s)).any(1))
+        if not len(hit):
+            return
+        w, k = who[hit], best_s.shape[1]
+        all_s = np.concatenate([best_s[w], s[hit]], 1)
+        all_i = np.concatenate([best_i[w], np.broadcast_to(ids, (len(hit), len(ids)))], 1)
+        order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
+        best_s[w], best_i[w] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
+        last = best_s[w, -1]
+        limit[w] = np.where(np.isfinite(last), np.sqrt(np.maximum(fixed[w] - 2 * np.where(np.isfinite(last), last, 0), 0)), np.inf)
 
 
 def top_inner_products(
@@ -389,7 +407,7 @@ def top_inner_products(
     asked = ints.filter(F.col("id") % every == 0).select(F.lit(0).alias("g"), "id", "v")
     blocks = asked.mapInArrow(gather("g", query_rows), f"g int, ids array<{id_type}>, x binary")
     blocks = blocks.select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    met = blocks.join(shards, "tree").select("q_ids", "q_x", "ids", "x")
+    met = blocks.repartition(trees, "tree").join(shards.repartition(trees, "tree"), "tree").select("q_ids", "q_x", "ids", "x")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tree = None, None
@@ -399,11 +417,12 @@ def top_inner_products(
                 if last is None or not raw.equals(last):
                     ids = batch.column(2)[r].values.to_numpy(zero_copy_only=False)
                     last, tree = raw, MTree(ids, np.frombuffer(raw, np.int64).reshape(len(ids), width))
-                queries = batch.column(0)[r].as_py()
-                q = np.frombuffer(batch.column(1)[r].as_buffer(), np.int64).reshape(len(queries), width)
-                out = [(i, v, s) for i, row in zip(queries, q, strict=True) for s, v in tree.search(row, i, k)]
-                cols = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type.value_type), pa.array(cols[1], batch.column(0).type.value_type), pa.array(cols[2], pa.int64())], ["query_id", "vec_id", "score"])
+                own = batch.column(0)[r].values.to_numpy(zero_copy_only=False)
+                q = np.frombuffer(batch.column(1)[r].as_buffer(), np.int64).reshape(len(own), width)
+                scores, found = tree.search(q, own, k)
+                at, real = np.repeat(own, k), np.isfinite(scores.ravel())
+                kind = batch.column(0).type.value_type
+                yield pa.RecordBatch.from_arrays([pa.array(at[real], kind), pa.array(found.ravel()[real], kind), pa.array(scores.ravel()[real].astype(np.int64))], ["query_id", "vec_id", "score"])
 
     with batch_rows(spark, 4):
         best = materialise(met.mapInArrow(search, f"query_id {id_type}, vec_id {id_type}, score long"), "best")
