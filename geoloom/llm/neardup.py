@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import WORD_PATTERN, materialise
+from geoloom.llm.common import WORD_PATTERN, batch_rows, materialise
 from geoloom.llm.graph import components
 from geoloom.llm.tokens import slices
 
@@ -35,7 +35,7 @@ class Shingler:
     def _hashes(self, words: list[str]) -> np.ndarray:
         from xxhash import xxh3_64_intdigest
 
-        if len(self.cache) > 400_000:
+        if len(self.cache) > 150_000:
             self.cache.clear()
         cache = self.cache
         for w in set(words).difference(cache):
@@ -146,34 +146,79 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {id_type}, items binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
-
-    The smaller side of hub pairs moves: ``a`` may be a hub, and the join on it is one adaptive
-    execution can split.
-    """
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with ``linked``, whether their full sets have 100 * intersection >= percent
+    * union, and ``far``, their exact Jaccard distance. ``a`` may be a hub, and the join on it is
+    one adaptive execution can split."""
     id_type = dict(pairs.dtypes)["a"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, left = [], None, None
+            linked, far, last, left = [], [], None, None
             for i in range(batch.num_rows):
                 a = batch.column(2)[i].as_buffer()
                 if last is None or not a.equals(last):
                     last, left = a, np.frombuffer(a, np.uint64)
                 right = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
-                lo, hi = sorted((len(left), len(right)))
-                if 100 * lo < percent * hi:
-                    continue
-                both = len(left) + len(right) - len(np.unique(np.concatenate([left, right])))
-                if 100 * both >= percent * (len(left) + len(right) - both):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                union = len(np.unique(np.concatenate([left, right])))
+                both = len(left) + len(right) - union
+                linked.append(100 * both >= percent * union)
+                far.append(1 - both / union)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], ["a", "b", "linked", "far"])
 
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b").join(
         sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a"
     )
-    return joined.select("a", "b", "ia", "ib").mapInArrow(run, f"a {id_type}, b {id_type}")
+    return joined.select("a", "b", "ia", "ib").mapInArrow(run, f"a {id_type}, b {id_type}, linked boolean, far double")
+
+
+def star_links(star: DataFrame, sets: DataFrame, percent: int, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Compares members with the firsts of their buckets as far as their components may still differ.
+
+    Each round takes, per member, its smallest first that is untried and in another component;
+    so a large group of like texts costs a few comparisons a member instead of one a band. The
+    last round takes all that are left. Returns the comparisons and the components so far.
+    """
+    tried = materialise(compared(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent), "compared")
+    for turn in range(rounds):
+        found = components(tried.filter("linked"))
+        label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))  # noqa: E731, B023
+        apart = star.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
+        apart = apart.filter(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
+        open_pairs = materialise(apart, "open-pairs")
+        counts = open_pairs.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("b").alias("b")).first()
+        if not counts["n"]:
+            break
+        every = turn == rounds - 1 or counts["n"] <= 3 * counts["b"]
+        chosen = open_pairs if every else open_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        tried = materialise(tried.union(compared(chosen, sets, percent)), "compared")
+        if every:
+            found = components(tried.filter("linked"))
+            break
+    return tried, found
+
+
+def rare_prefixes(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, prefix): the rarest items of each set, for an exact filter among the given sets.
+
+    In any one order of all items, two sets with Jaccard similarity t or more share an item among
+    their first n - ceil(t * n) + 1. With rare items first, a text whose own changes fill its
+    prefix can link with nothing here and has no row.
+    """
+    id_type = dict(ids.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [np.frombuffer(batch.column(1)[i].as_buffer(), np.int64) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], ["id", "items"])
+
+    lists = ids.join(sets, "id").select("id", "items").mapInArrow(run, f"id {id_type}, items array<long>")
+    flat = materialise(lists.select("id", F.size("items").alias("n"), F.explode("items").alias("item")), "items")
+    common = flat.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = flat.join(common, "item").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "item"))).alias("s"))
+    length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    left = (length - (F.col("n") - F.size("s"))).cast("int")  # items of one text alone come first and match nothing
+    return own.filter(left > 0).select("id", F.transform(F.slice("s", 1, left), lambda x: x["item"]).alias("prefix"))
 
 
 def near_duplicates(
@@ -190,10 +235,11 @@ def near_duplicates(
 
     Returns the id, n_shingles, component_id (smallest id reachable) and kept (id = component_id).
     Texts with the same set are one class, represented by its smallest id. Representatives are
-    sketched and banded; in each bucket every member is paired with the bucket's first, and pairs
-    are verified on full sets. Members of a bucket outside its largest component are then paired
-    with all members of other components there, so no two of a bucket that might join two
-    components go uncompared; a group of like texts costs a star a bucket, not all its pairs. With
+    sketched and banded; members of a bucket are compared on full sets with the bucket's first, as
+    long as they may be in different components. Members outside a bucket's largest
+    component then meet all members of other components there, but for pairs that the triangle
+    inequality or the prefix filter rules out, so no two of a bucket that might join two components go uncompared;
+    a group of like texts costs a star, not all its pairs. With
     40 bands of 6 coordinates a pair at 0.8 shares no bucket with probability 5e-6, at 0.85
     with 1e-9; a pair at 0.1 shares one with 4e-5.
 
@@ -204,43 +250,54 @@ def near_duplicates(
     """
     if coordinates % rows:
         raise ValueError("coordinates must be a multiple of rows")
+    with batch_rows(docs.sparkSession, 1000):
+        return _groups(docs, id_col, text_col, words, percent, coordinates, rows)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, coordinates: int, rows: int) -> DataFrame:
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     marks = materialise(signatures(base, words, coordinates, rows), "signatures")
     usable = marks.filter("n > 0 and id is not null")
     classes = usable.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
     heads = usable.join(classes.withColumnRenamed("rep", "id"), ["set_a", "set_b", "id"], "left_semi")
-    buckets = heads.select("id", "n", F.explode("bands").alias("key"))
+    buckets = heads.select("id", "n", F.posexplode("bands").alias("band", "key"))
     first = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    shared = materialise(buckets.join(first, "key").select("key", "id", "n", "first"), "buckets")
-    star = (
-        shared.filter("id <> first.id")
-        .filter(F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * percent)
-        .select(F.col("first.id").alias("a"), F.col("id").alias("b"))
-        .distinct()
-    )
+    shared = materialise(buckets.join(first, "key").select("key", "band", "id", "n", "first"), "buckets")
+    sized = F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * percent
+    star = shared.filter("id <> first.id").filter(sized).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
     star = materialise(star, "pairs")
     involved = materialise(shared.select("id").distinct(), "involved")
     sets = materialise(shingle_sets(base.join(involved, "id", "left_semi"), words), "sets")
-    links = materialise(verified(star, sets, percent), "links")
-    found = components(links)
+    tried, found = star_links(star, sets, percent)
 
+    # Buckets whose members are still apart: there, members outside the largest component meet
+    # all of other components, each pair in its first shared band alone. Distances to the
+    # bucket's first rule out pairs by the triangle inequality, which Jaccard distance obeys, and
+    # rare prefixes rule out texts that differ too much from all others here.
     group = F.coalesce("component", "id")
-    placed = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", group.alias("component"), "first")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    rest = materialise(placed.join(open_keys, "key", "left_semi"), "open")
+    placed = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", "n", group.alias("component"), F.col("first.id").alias("first"))
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi and size > 2").select("key")
+    near = tried.select(F.col("a").alias("first"), F.col("b").alias("id"), "far")
+    rest = placed.join(open_keys, "key", "left_semi").join(near, ["first", "id"], "left").join(heads.select("id", "bands"), "id")
+    rest = materialise(rest.filter("id <> first"), "open")
+    rare = materialise(rare_prefixes(rest.select("id").distinct(), sets, percent), "prefixes")
+    rest = rest.join(rare, "id")
     parts = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = parts.groupBy("key").agg(F.max(F.struct("size", "component")).alias("most")).select("key", F.col("most.component").alias("largest"))
     few = rest.join(largest, "key").filter("component <> largest").alias("l")
-    more = (
-        few.join(rest.alias("r"), F.col("l.key") == F.col("r.key"))
-        .filter("l.component <> r.component and l.id <> l.first.id and r.id <> r.first.id")
-        .filter(F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent)
-        .select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
-        .distinct()
+    shares = F.transform(F.arrays_zip(F.col("l.bands").alias("p"), F.col("r.bands").alias("q")), lambda x: x["p"] == x["q"])
+    may_link = (
+        (F.col("l.key") == F.col("r.key"))
+        & (F.col("l.component") != F.col("r.component"))
+        & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent)
+        & F.arrays_overlap("l.prefix", "r.prefix")
+        & F.coalesce(F.abs(F.col("l.far") - F.col("r.far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+        & (F.array_position(shares, F.lit(True)) == F.col("l.band") + 1)
     )
-    extra = materialise(verified(materialise(more, "more-pairs"), sets, percent), "more-links")
+    more = few.join(rest.alias("r"), may_link).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+    extra = materialise(compared(materialise(more, "more-pairs"), sets, percent).filter("linked"), "more-links")
     if extra.limit(1).count():
-        found = components(links.union(extra))
+        found = components(tried.filter("linked").select("a", "b").union(extra.select("a", "b")))
 
     # A class takes its representative's component; the representative of a class is its smallest id.
     reach = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("reach"))
