@@ -162,11 +162,13 @@ def unpack_run(raw: bytes) -> Run:
 
 
 def _shared_bytes(x: np.ndarray) -> np.ndarray:
-    """Leading zero bytes of 64-bit words."""
-    out = np.zeros(len(x), np.int16)
-    for k in range(1, 9):
-        out += x < _U(1 << (64 - 8 * k)) if k < 8 else x == 0
-    return out
+    """Leading zero bytes of 64-bit words that aren't 0, by halving."""
+    small = x < _U(1 << 32)
+    out = small * np.int16(4)
+    x = np.where(small, x, x >> _U(32))
+    small = x < _U(1 << 16)
+    out += small * np.int16(2)
+    return out + (np.where(small, x, x >> _U(16)) < _U(1 << 8))
 
 
 def merge_runs(runs: list[Run]) -> tuple[np.ndarray, np.ndarray]:
@@ -542,13 +544,15 @@ def repeated_strings(
             pick = _repeat_ranges(lo, hi - lo)  # rows that share an id all get its masks
             row = order[pick]
             pos, mask = np.repeat(pos, hi - lo), np.repeat(mask, hi - lo)
+            begins = []
             for bit in range(reach + 1):
                 on = np.flatnonzero(mask >> bit & 1)
                 at = pos[on] - bit
                 fit = (at >= 0) & (at + least <= n[row[on]])
-                at = starts[row[on]][fit] + at[fit]
-                change += np.bincount(at, minlength=len(change)).astype(np.int32)
-                change -= np.bincount(at + least, minlength=len(change)).astype(np.int32)
+                begins.append(starts[row[on]][fit] + at[fit])
+            at = np.concatenate(begins)
+            change += np.bincount(at, minlength=len(change)).astype(np.int32)
+            change -= np.bincount(at + least, minlength=len(change)).astype(np.int32)
         gone = np.cumsum(change)[: len(buf)] > 0
         kept = buf.take(np.flatnonzero(~gone)).tobytes()
         before = np.concatenate([[0], np.cumsum(gone)])
