@@ -339,7 +339,7 @@ def test_tagger_finds_spans_it_has_not_seen(tagger):
 
 def test_model_adds_variants_and_keeps_base(tagger):
     model, _ = tagger
-    texts = ["hello there call (644) 555-7859 now dear", "mail abc@def.com today", "plain words without any", ""]
+    texts = ["bed cab (644) 555-7859 fed hag", "dab abc@def.com bag", "plain words without any", ""]
     found = pii.find_spans(texts, model)
     assert all(set(b) <= set(s) for b, s in found) and found[2] == ([], []) == found[3]
     assert any(len(s) > len(b) for b, s in found)
