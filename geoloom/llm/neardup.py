@@ -198,27 +198,90 @@ def star_links(star: DataFrame, sets: DataFrame, percent: int, rounds: int = 4)
     return tried, found
 
 
-def rare_prefixes(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(id, prefix): the rarest items of each set, for an exact filter among the given sets.
+#: Documents of one block, and members from which a component has blocks of its own.
+BLOCK, LARGE = 256, 128
 
-    In any one order of all items, two sets with Jaccard similarity t or more share an item among
-    their first n - ceil(t * n) + 1. With rare items first, a text whose own changes fill its
-    prefix can link with nothing here and has no row.
+
+def _linked_within(left: list, right: list | None, percent: int) -> tuple[list, list]:
+    """Ids and, for each, the least id it is tied to through links between two blocks (or within one).
+
+    Blocks are lists of (id, component, items); pairs of one component need no comparing. Counting
+    shared items is one product of 0/1 matrices over the items that both blocks hold.
+    """
+    both = left if right is None else left + right
+    ids, comps = [r["id"] for r in both], np.unique([r["component"] for r in both], return_inverse=True)[1]
+    sets = [np.frombuffer(r["items"], np.uint64) for r in both]
+    n = np.array([len(x) for x in sets], np.int64)
+    k = 0 if right is None else len(left)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    cut = int(n[:k].sum())
+    if right is None:
+        items, times = np.unique(flat, return_counts=True)
+        items = items[times > 1]
+    else:
+        items = np.intersect1d(flat[:cut], flat[cut:])
+    hits = []
+    for at in range(0, len(items), 20_000):
+        part = items[at : at + 20_000]
+        pos = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+        ok = part[pos] == flat
+        grid = np.zeros((len(sets), len(part)), np.float32)
+        grid[row[ok], pos[ok]] = 1
+        hits.append(grid[: k or None] @ grid[k:].T)
+    shared = np.rint(sum(hits)).astype(np.int64) if hits else np.zeros((k or len(sets), len(sets) - k), np.int64)
+    a, b = (n[: k or None, None], n[None, k:])
+    tie = (100 * shared >= percent * (a + b - shared)) & (comps[: k or None, None] != comps[None, k:])
+    x, y = np.nonzero(tie)
+    y = y + k
+    order = np.array(sorted(range(len(ids)), key=ids.__getitem__))
+    rank = np.argsort(order)
+    label = rank.copy()
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, new[x])
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != rank).tolist()
+    return [ids[i] for i in moved], [ids[order[label[i]]] for i in moved]
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Ties (a, b) between members (id, component, family) of one family and different components.
+
+    Families are dealt into blocks by a hash of the id, large components into blocks of their own;
+    every two blocks of a family meet in one row, unless both belong to the same large component.
+    So a family of any size is compared in full without a row per pair and without gathering it.
     """
-    id_type = dict(ids.dtypes)["id"]
+    id_type = dict(members.dtypes)["id"]
+    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("own"))
+    part = F.when(F.col("own") >= LARGE, F.col("component"))
+    sizes = materialise(sizes.select("family", "component", "own", part.alias("part")), "sizes")
+    dealt = sizes.groupBy("family", "part").agg(F.ceil(F.sum("own") / F.lit(float(BLOCK))).alias("blocks"))
+    same = lambda l, r: (F.col(f"{l}.family") == F.col(f"{r}.family")) & F.col(f"{l}.part").eqNullSafe(F.col(f"{r}.part"))
+    plan = sizes.alias("s").join(dealt.alias("d"), same("s", "d")).select("s.family", "s.component", "s.part", "d.blocks")
+    placed = members.join(plan, ["family", "component"]).join(sets, "id")
+    block = F.concat_ws("|", F.coalesce(F.col("part").cast("string"), F.lit("-")), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("string"))
+    docs = F.collect_list(F.struct("id", "component", "items")).alias("docs")
+    blocks = materialise(placed.withColumn("block", block).groupBy("family", "part", "block").agg(docs), "blocks")
+    names = blocks.select("family", "part", "block")
+    meets = (F.col("l.family") == F.col("r.family")) & (F.col("l.block") <= F.col("r.block"))
+    pairs = names.alias("l").join(names.alias("r"), meets).filter("l.part is null or r.part is null or l.part <> r.part").select("l.family", F.col("l.block").alias("i"), F.col("r.block").alias("j"))
+    side = lambda k: blocks.select("family", F.col("block").alias(k), F.col("docs").alias(f"d{k}"))
+    met = pairs.join(side("i"), ["family", "i"]).join(side("j"), ["family", "j"]).select("i", "j", "di", "dj")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [np.frombuffer(batch.column(1)[i].as_buffer(), np.int64) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], ["id", "items"])
+            for k in range(batch.num_rows):
+                left = batch.column(2)[k].as_py()
+                right = None if batch.column(0)[k].as_py() == batch.column(1)[k].as_py() else batch.column(3)[k].as_py()
+                a, b = _linked_within(left, right, percent)
+                kind = batch.column(2).type.value_type[0].type
+                yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
-    lists = ids.join(sets, "id").select("id", "items").mapInArrow(run, f"id {id_type}, items array<long>")
-    flat = materialise(lists.select("id", F.size("items").alias("n"), F.explode("items").alias("item")), "items")
-    common = flat.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    own = flat.join(common, "item").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "item"))).alias("s"))
-    length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    left = (length - (F.col("n") - F.size("s"))).cast("int")  # items of one text alone come first and match nothing
-    return own.filter(left > 0).select("id", F.transform(F.slice("s", 1, left), lambda x: x["item"]).alias("prefix"))
+    with batch_rows(members.sparkSession, 4):
+        return materialise(met.mapInArrow(run, f"a {id_type}, b {id_type}"), "block-links")
 
 
 def near_duplicates(
@@ -260,9 +323,9 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     usable = marks.filter("n > 0 and id is not null")
     classes = usable.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
     heads = usable.join(classes.withColumnRenamed("rep", "id"), ["set_a", "set_b", "id"], "left_semi")
-    buckets = heads.select("id", "n", F.posexplode("bands").alias("band", "key"))
+    buckets = heads.select("id", "n", F.explode("bands").alias("key"))
     first = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    shared = materialise(buckets.join(first, "key").select("key", "band", "id", "n", "first"), "buckets")
+    shared = materialise(buckets.join(first, "key").select("key", "id", "n", "first"), "buckets")
     sized = F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * percent
     star = shared.filter("id <> first.id").filter(sized).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
     star = materialise(star, "pairs")
@@ -270,32 +333,15 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     sets = materialise(shingle_sets(base.join(involved, "id", "left_semi"), words), "sets")
     tried, found = star_links(star, sets, percent)
 
-    # Buckets whose members are still apart: there, members outside the largest component meet
-    # all of other components, each pair in its first shared band alone. Distances to the
-    # bucket's first rule out pairs by the triangle inequality, which Jaccard distance obeys, and
-    # rare prefixes rule out texts that differ too much from all others here.
+    # Buckets whose members are still apart: documents tied by such buckets are a family, and all
+    # its members of different components are compared.
     group = F.coalesce("component", "id")
-    placed = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", "n", group.alias("component"), F.col("first.id").alias("first"))
+    placed = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", group.alias("component"), F.col("first.id").alias("first"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi and size > 2").select("key")
-    near = tried.select(F.col("a").alias("first"), F.col("b").alias("id"), "far")
-    rest = placed.join(open_keys, "key", "left_semi").join(near, ["first", "id"], "left").join(heads.select("id", "bands"), "id")
-    rest = materialise(rest.filter("id <> first"), "open")
-    rare = materialise(rare_prefixes(rest.select("id").distinct(), sets, percent), "prefixes")
-    rest = rest.join(rare, "id")
-    parts = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = parts.groupBy("key").agg(F.max(F.struct("size", "component")).alias("most")).select("key", F.col("most.component").alias("largest"))
-    few = rest.join(largest, "key").filter("component <> largest").alias("l")
-    shares = F.transform(F.arrays_zip(F.col("l.bands").alias("p"), F.col("r.bands").alias("q")), lambda x: x["p"] == x["q"])
-    may_link = (
-        (F.col("l.key") == F.col("r.key"))
-        & (F.col("l.component") != F.col("r.component"))
-        & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent)
-        & F.arrays_overlap("l.prefix", "r.prefix")
-        & F.coalesce(F.abs(F.col("l.far") - F.col("r.far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-        & (F.array_position(shares, F.lit(True)) == F.col("l.band") + 1)
-    )
-    more = few.join(rest.alias("r"), may_link).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    extra = materialise(compared(materialise(more, "more-pairs"), sets, percent).filter("linked"), "more-links")
+    rest = materialise(placed.join(open_keys, "key", "left_semi").select("id", "component", "first").distinct(), "open")
+    family = components(rest.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    members = materialise(rest.select("id", "component").distinct().join(family.select(F.col("node").alias("id"), F.col("component").alias("family")), "id"), "members")
+    extra = block_links(members, sets, percent)
     if extra.limit(1).count():
         found = components(tried.filter("linked").select("a", "b").union(extra.select("a", "b")))
 
