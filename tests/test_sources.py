@@ -34,7 +34,7 @@ def test_csv_becomes_parquet_once(spark, tmp_path):
 def test_plt_logs(spark, tmp_path):
     folder = tmp_path / "000" / "Trajectory"
     folder.mkdir(parents=True)
-    head = "Geolife trajectory\nWGS 84\nAltitude is in Feet\nReserved 3\n0,2,255,My Track,0,0,2,8421376\n0\n"
+    head = "Trajectory log\nWGS 84\nAltitude is in Feet\nReserved 3\n0,2,255,My Track,0,0,2,8421376\n0\n"
     (folder / "t1.plt").write_text(head + "39.9,116.3,0,492,39744.1,2008-10-23,02:53:04\n39.8,116.2,0,490,39744.2,2008-10-23,02:53:10\n")
     got = files.read_plt(spark, str(tmp_path)).orderBy("ts").collect()
     assert [(r["user_id"], r["trip_id"], r["lon"], r["altitude"]) for r in got] == [("000", "000_t1", 116.3, 492.0), ("000", "000_t1", 116.2, 490.0)]
