@@ -191,7 +191,8 @@ def _roads(spark, sf_dir):
     )
 
 
-@query("h5_lanes", f"WITH {_ROAD} SELECT edge_id, coalesce(CAST(least(CAST(trunc(TRY_CAST(nullif(lanes, '') AS DOUBLE)) AS INTEGER), 15) AS VARCHAR), 'None') AS lanes FROM road")
+@query("h5_lanes", f"""WITH {_ROAD}, v AS (SELECT edge_id, CAST(trunc(TRY_CAST(nullif(lanes, '') AS DOUBLE)) AS INTEGER) AS x FROM road)
+SELECT edge_id, CASE WHEN x IS NULL THEN 'None' ELSE CAST(least(x, 15) AS VARCHAR) END AS lanes FROM v""")
 def h5_lanes(spark, sf_dir):
     return _roads(spark, sf_dir).select("edge_id", road.lanes(F.col("lanes")).alias("lanes"))
 
@@ -206,7 +207,7 @@ def h6_maxspeed(spark, sf_dir):
 
 @query("h7_width", f"""WITH {_ROAD}, v AS (SELECT edge_id, TRY_CAST(trim(replace(replace(replace(width, 'm', ''), '''', ''), 'ft', '')) AS DOUBLE)
 * CASE WHEN contains(width, '''') THEN CAST(0.0254 AS DOUBLE) WHEN contains(width, 'ft') THEN CAST(0.3048 AS DOUBLE) ELSE 1 END AS x FROM road)
-SELECT edge_id, coalesce(CAST(least(round_even(x * 2, 0) / 2, 30) AS VARCHAR), 'None') AS width FROM v""")
+SELECT edge_id, CASE WHEN x IS NULL THEN 'None' ELSE CAST(least(round_even(x * 2, 0) / 2, 30) AS VARCHAR) END AS width FROM v""")
 def h7_width(spark, sf_dir):
     return _roads(spark, sf_dir).select("edge_id", road.width(F.col("width")).alias("width"))
 
