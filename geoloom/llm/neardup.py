@@ -172,7 +172,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "ia", "ib").mapInArrow(run, f"a {id_type}, b {id_type}, linked boolean, far double")
 
 
-def star_links(star: DataFrame, sets: DataFrame, percent: int, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def star_links(star: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """Compares members with the firsts of their buckets as far as their components may still differ.
 
     Each round takes, per member, its smallest first that is untried and in another component;
@@ -198,8 +198,8 @@ def star_links(star: DataFrame, sets: DataFrame, percent: int, rounds: int = 4)
     return tried, found
 
 
-#: Documents of one block, and members from which a component has blocks of its own.
-BLOCK, LARGE = 256, 128
+#: Items (shingles) of one block's sets, which bounds its memory, and those from which a component has blocks of its own.
+BLOCK, LARGE = 65_536, 32_768
 
 
 def _linked_within(left: list, right: list | None, percent: int) -> tuple[list, list]:
@@ -248,20 +248,20 @@ def _linked_within(left: list, right: list | None, percent: int) -> tuple[list,
 
 
 def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Ties (a, b) between members (id, component, family) of one family and different components.
+    """Ties (a, b) between members (id, component, family, n items) of one family and different components.
 
-    Families are dealt into blocks by a hash of the id, large components into blocks of their own;
+    Families are dealt into blocks of like total size by a hash of the id, large components into blocks of their own;
     every two blocks of a family meet in one row, unless both belong to the same large component.
     So a family of any size is compared in full without a row per pair and without gathering it.
     """
     id_type = dict(members.dtypes)["id"]
-    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("own"))
+    sizes = members.groupBy("family", "component").agg(F.sum("n").alias("own"))
     part = F.when(F.col("own") >= LARGE, F.col("component"))
     sizes = materialise(sizes.select("family", "component", "own", part.alias("part")), "sizes")
     dealt = sizes.groupBy("family", "part").agg(F.ceil(F.sum("own") / F.lit(float(BLOCK))).alias("blocks"))
     same = lambda l, r: (F.col(f"{l}.family") == F.col(f"{r}.family")) & F.col(f"{l}.part").eqNullSafe(F.col(f"{r}.part"))
     plan = sizes.alias("s").join(dealt.alias("d"), same("s", "d")).select("s.family", "s.component", "s.part", "d.blocks")
-    placed = members.join(plan, ["family", "component"]).join(sets, "id")
+    placed = members.select("id", "component", "family").join(plan, ["family", "component"]).join(sets, "id")
     block = F.concat_ws("|", F.coalesce(F.col("part").cast("string"), F.lit("-")), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("string"))
     docs = F.collect_list(F.struct("id", "component", "items")).alias("docs")
     blocks = materialise(placed.withColumn("block", block).groupBy("family", "part", "block").agg(docs), "blocks")
@@ -280,7 +280,7 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 kind = batch.column(2).type.value_type[0].type
                 yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
-    with batch_rows(members.sparkSession, 4):
+    with batch_rows(members.sparkSession, 2):
         return materialise(met.mapInArrow(run, f"a {id_type}, b {id_type}"), "block-links")
 
 
@@ -313,7 +313,7 @@ def near_duplicates(
     """
     if coordinates % rows:
         raise ValueError("coordinates must be a multiple of rows")
-    with batch_rows(docs.sparkSession, 1000):
+    with batch_rows(docs.sparkSession, 200):
         return _groups(docs, id_col, text_col, words, percent, coordinates, rows)
 
 
@@ -336,11 +336,11 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     # Buckets whose members are still apart: documents tied by such buckets are a family, and all
     # its members of different components are compared.
     group = F.coalesce("component", "id")
-    placed = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", group.alias("component"), F.col("first.id").alias("first"))
+    placed = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", group.alias("component"), F.col("first.id").alias("first"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi and size > 2").select("key")
-    rest = materialise(placed.join(open_keys, "key", "left_semi").select("id", "component", "first").distinct(), "open")
+    rest = materialise(placed.join(open_keys, "key", "left_semi").select("id", "n", "component", "first").distinct(), "open")
     family = components(rest.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    members = materialise(rest.select("id", "component").distinct().join(family.select(F.col("node").alias("id"), F.col("component").alias("family")), "id"), "members")
+    members = materialise(rest.select("id", "n", "component").distinct().join(family.select(F.col("node").alias("id"), F.col("component").alias("family")), "id"), "members")
     extra = block_links(members, sets, percent)
     if extra.limit(1).count():
         found = components(tried.filter("linked").select("a", "b").union(extra.select("a", "b")))

@@ -62,8 +62,8 @@ def test_near_duplicates_equal_brute_force(spark, rng, words):
 
 
 def test_near_duplicates_in_tiny_blocks(spark, rng, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 7)
-    monkeypatch.setattr(neardup, "LARGE", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 400)
+    monkeypatch.setattr(neardup, "LARGE", 150)
     rows = list(enumerate(families(rng)))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
     assert got == brute_groups(rows, 2)
