@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import hash_unit
+from geoloom.llm.common import batch_rows, hash_unit
 from geoloom.llm.tokens import slices
 
 #: Symbols of a text that are parsed in one go; longer texts are the sum of their segments.
@@ -74,9 +74,13 @@ class SuffixAutomaton:
 
 
 class CrossParser:
-    """Parses texts against one automaton per language, all lanes in step."""
+    """Parses texts against one automaton per language, all lanes in step.
 
-    def __init__(self, samples: dict[str, str]):
+    With ``literals`` a phrase may also be a letter of the alphabet that the sample lacks, and
+    is paid for as such: however short a sample, no phrase is cheaper than a letter.
+    """
+
+    def __init__(self, samples: dict[str, str], literals: bool = False):
         self.languages = sorted(samples)
         seen = sorted({c for x in samples.values() for c in x.lower() if c.isalpha() and ord(c) < 0x10000})
         index = {c: k + 2 for k, c in enumerate(seen)}
@@ -94,7 +98,7 @@ class CrossParser:
             moves.append(part.ravel())
             self.base.append(at)
             at += part.size
-            self.weight.append(np.log2(max(len(symbols), 2)))
+            self.weight.append(np.log2(max(len(symbols), 2) + (self.alphabet if literals else 0)))
         self.moves = np.concatenate(moves) if moves else np.zeros(0, np.int32)
         self.base = np.array(self.base, np.int64)[:, None]
 
@@ -143,31 +147,64 @@ class CrossParser:
         return names, np.clip(score, 0, 1)
 
 
+def fill_samples(rows: Iterator[tuple[str, str]], sample_chars: int) -> Iterator[tuple[str, str]]:
+    """Per language of (language, text) rows in a row, the texts that fill ``sample_chars`` in their order.
+
+    A text that no longer fits is passed over for later ones; where these leave room, the starts
+    of the passed ones fill it.
+    """
+    lang, used, held, spare = None, 0, 0, []
+
+    def rest():
+        room = sample_chars - used
+        for text in spare:
+            if room > 1:
+                yield lang, text[: room - 1]
+                room -= len(text) + 1
+
+    for own, text in rows:
+        if own != lang:
+            yield from rest()
+            lang, used, held, spare = own, 0, 0, []
+        if used + len(text) + 1 <= sample_chars:
+            used += len(text) + 1
+            yield lang, text
+        elif held < sample_chars:
+            held += len(text) + 1
+            spare.append(text)
+    yield from rest()
+
+
 def language_samples(docs: DataFrame, *, fold: int, held_out: int, sample_docs: int, sample_chars: int) -> dict[str, str]:
-    """Whole texts per language, drawn by hash over all rows, up to ``sample_chars`` characters in all.
+    """Texts with letters per language, drawn by hash over all rows, up to ``sample_chars`` characters in all.
 
-    Counting first turns the draw into a filter, so at most some ``sample_docs`` texts per
-    language are ever ranked together. Where even the first text is longer, its start serves.
+    Counting first turns the draw into a filter: some ``sample_docs`` texts per language, or as
+    many more as hold twice the bound where texts are short. Texts count from their first letter.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & (F.crc32(F.col("id").cast("string").cast("binary")) % fold != held_out))
-    counts = rows.filter(F.col("text").isNotNull()).groupBy("lang").count().collect()
+    rows = docs.filter(F.col("lang").isNotNull() & (F.crc32(F.col("id").cast("string").cast("binary")) % fold != held_out) & F.col("text").rlike(r"\p{L}"))
+    chars = F.sum(F.least(F.length("text"), F.lit(sample_chars)) + 1)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), chars.alias("chars")).collect()
     if not counts:
         return {}
-    chance = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, sample_docs / r["count"]))])
-    drawn = hash_unit(F.col("id"), seed="language-sample")
-    order = Window.partitionBy("lang").orderBy("u", "text")
+    chance = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, max(sample_docs / r["n"], 2 * sample_chars / r["chars"])))])
     picked = (
-        rows.filter(F.col("text").isNotNull())
-        .withColumn("u", drawn)
+        rows.withColumn("u", hash_unit(F.col("id"), seed="language-sample"))
         .filter(F.col("u") < F.element_at(chance, F.col("lang")))
-        .withColumn("chars", F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("rn", F.row_number().over(order))
-        .filter((F.col("chars") <= sample_chars) | (F.col("rn") == 1))
-        .select("lang", "rn", F.substring("text", 1, sample_chars).alias("text"))
+        .select("lang", "u", F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, sample_chars).alias("text"))
+        .repartition("lang")
+        .sortWithinPartitions("lang", "u", "text")
+        .select("lang", "text")
     )
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for k, (lang, text) in enumerate(fill_samples(each, sample_chars)):
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([k], pa.int64()), pa.array([text])], ["lang", "k", "text"])
+
     out: dict[str, list] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["rn"])):
-        out.setdefault(r["lang"], []).append(r["text"])
+    with batch_rows(docs.sparkSession, 256):
+        for r in sorted(picked.mapInArrow(fill, "lang string, k long, text string").collect(), key=lambda r: (r["lang"], r["k"])):
+            out.setdefault(r["lang"], []).append(r["text"])
     return {k: " ".join(v) for k, v in out.items()}
 
 
@@ -187,8 +224,9 @@ def identify(
     Each language's automaton holds at most ``sample_chars`` characters of labelled rows whose
     crc32(id as text) mod ``fold`` is not ``held_out``; it is built in the workers from the
     sample. The longest-match parse of a text is a walk through one table, so many segments of
-    ``SEGMENT`` symbols walk at once. Phrases are normalised by the log of the sample's length,
-    as in the cross-entropy estimate; the score is 1 - cost of the best / cost of the next.
+    ``SEGMENT`` symbols walk at once. Phrases are normalised by the log of the sample's length and
+    the alphabet's, as in the cross-entropy estimate, so that a sample of a few symbols is not
+    cheap to fail with; the score is 1 - cost of the best / cost of the next.
 
     Edge cases: null text, or text without letters, is "und" with score 0; ties go to the
     smaller language name; a null id is never learned from nor held out; with no labelled rows
@@ -203,7 +241,7 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = None
         for batch in batches:
-            parser = parser or CrossParser(samples)
+            parser = parser or CrossParser(samples, literals=True)
             for some, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 names, score = parser.predict(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(some, batch.column(0).type), pa.array(names), pa.array(score)], ["id", "lang_pred", "score"])

@@ -239,6 +239,38 @@ def test_language_edges(spark):
     assert langid.identify(clashing(spark, EDGE).limit(0)).count() == 0
 
 
+def drawn_first(n):
+    """Ids that are learned from, in the order in which language samples are drawn."""
+    ids = [k for k in range(n) if zlib.crc32(str(k).encode()) % 5]
+    return sorted(ids, key=lambda k: hashlib.md5(f"{k}:language-sample".encode()).hexdigest()[:13])
+
+
+@pytest.mark.parametrize("first", [["w" * 30_000], ["", "w" * 30_000], ["12 34", "w" * 30_000, "v" * 23_000]])
+def test_language_sample_goes_on_after_texts_that_do_not_fit(spark, first):
+    ids = drawn_first(600)
+    texts = dict(zip(ids, [*first, *[f"word {k} " + "abc " * 25 for k in range(600)]], strict=False))
+    df = spark.createDataFrame([(k, x, "en") for k, x in texts.items()], "id long, text string, lang string").repartition(3)
+    got = langid.language_samples(df, fold=5, held_out=0, sample_docs=96, sample_chars=24_000)["en"]
+    assert 23_900 < len(got) <= 24_000 and "word 3 " in got
+
+
+def test_language_sample_takes_the_start_of_long_texts_and_enough_short_ones(spark):
+    a, b, *_ = drawn_first(600)
+    rows = [(a, "- " * 20_000 + "x" * 20_000, "xx"), (b, "y" * 20_000, "xx"), *[(k, "ab", "yy") for k in range(20_000)], (a, "7", "zz")]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    got = langid.language_samples(df, fold=5, held_out=0, sample_docs=96, sample_chars=24_000)
+    assert set(got) == {"xx", "yy"} and got["xx"] == "x" * 20_000 + " " + "y" * 3998 and len(got["yy"]) == 23_999
+
+
+def test_language_of_one_word_does_not_take_other_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    k = next(k for k in range(10**9, 10**9 + 99) if zlib.crc32(str(k).encode()) % 5)
+    more = spark.createDataFrame([(k, "zqx", "xx")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs.unionByName(more)).collect()}
+    alone = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
+    assert got.pop(k) == "xx" and got == alone
+
+
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
