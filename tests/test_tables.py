@@ -212,6 +212,30 @@ def test_metrics(spark):
     assert d.select(evaluate.sequence_haversine(F.col("a"), F.col("b")).alias("d")).first()["d"] == pytest.approx(111_195 / 2, rel=1e-4)
 
 
+def test_dtw_query_equals_brute_force_on_all_points(spark, sf_dir):
+    from geoloom.plans.inputs import track_points
+    from geoloom.plans.learning import n10_dtw_distance
+
+    def metres(a, b):
+        (x, y), (u, v) = (tuple(map(math.radians, c)) for c in (a, b))
+        h = math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2
+        return 2 * 6371008.8 * math.asin(math.sqrt(min(1, h)))
+
+    def dtw(a, b):
+        best = {(-1, -1): 0.0}
+        for i, p in enumerate(a):
+            for j, q in enumerate(b):
+                best[i, j] = metres(p, q) + min(best.get(k, math.inf) for k in ((i - 1, j), (i, j - 1), (i - 1, j - 1)))
+        return best[len(a) - 1, len(b) - 1]
+
+    trips = {}
+    for r in sorted(track_points(spark, sf_dir).collect(), key=lambda r: (r["ts"], r["lon"], r["lat"])):
+        trips.setdefault(r["trip_id"], []).append((r["lon"], r["lat"]))
+    want = {k: dtw(v, [(x, y + 0.001) for x, y in v]) for k, v in trips.items() if len(v) > 1}
+    got = {r["trip_id"]: r["dtw"] for r in n10_dtw_distance(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-3) for k in want)
+
+
 def test_labels_scale_by_the_training_range(spark):
     t = spark.createDataFrame([(0.0,), (10.0,)], "v double")
     v = spark.createDataFrame([(-5.0,), (5.0,), (20.0,)], "v double")
