@@ -46,8 +46,8 @@ class ChunkEncoder:
     A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the ids of the
     chunks joined are the ids of the text; chunks recur, so a bounded cache saves most of the
     work. ``mode``: "spaced" for byte-level BPE whose pre-tokens carry their leading space,
-    "dropped" for BPE that drops case and white space, "whole" to cut nothing. Strings of special
-    tokens within a text are ordinary text.
+    "dropped" for BPE that drops case and white space, "whole" to cut nothing. Added tokens within
+    a text are matched as the tokenizer does; what lies between them is cut.
     """
 
     def __init__(self, path: str, mode: str):
@@ -56,8 +56,18 @@ class ChunkEncoder:
         if mode not in ("spaced", "dropped", "whole"):
             raise ValueError(f"unknown mode {mode}")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(x.normalized or x.lstrip or x.rstrip or x.single_word for x in added.values()):
+            mode = "whole"  # these tokens take more than their own characters to match
         self.mode = mode
+        self.added = {x.content: k for k, x in added.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.at_added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
+        #: The same without added tokens, which a chunk could only hold by its change of case.
+        self.plain = Tokenizer(self.tokenizer.model)
+        for part in ("normalizer", "pre_tokenizer"):
+            if getattr(self.tokenizer, part) is not None:
+                setattr(self.plain, part, getattr(self.tokenizer, part))
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
         self.first, self.rest = _Cache(), _Cache()
@@ -76,7 +86,7 @@ class ChunkEncoder:
             self.edge[k] = token.endswith("</w>") if mode == "dropped" else token.startswith("Ġ")
 
     def _batch(self, chunks: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        done = self.plain.encode_batch_fast(chunks, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in done]
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -156,7 +166,23 @@ class ChunkEncoder:
     def _all(self, texts: list[str | None]) -> list[np.ndarray]:
         texts = ["" if x is None else x for x in texts]
         if self.mode == "whole":
-            return [np.frombuffer(x, self.dtype) for x in self._batch(texts)]
+            return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        holds = [any(map(x.__contains__, self.added)) for x in texts]
+        if not any(holds):
+            return self._between(texts)
+        # Odd parts are the added tokens themselves.
+        parts = [self.at_added.split(x) if held else [x] for x, held in zip(texts, holds, strict=True)]
+        ids = iter(self._between([y for x in parts for y in x[::2]]))
+        out = []
+        for x in parts:
+            own = [next(ids)]
+            for token in x[1::2]:
+                own += [np.array([self.added[token]], self.dtype), next(ids)]
+            out.append(np.concatenate(own) if len(own) > 1 else own[0])
+        return out
+
+    def _between(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without added tokens, through the caches."""
         if self.mode == "dropped":
             # Lower case of ASCII alone is safe before the tokenizer's own; bytes.lower() does just that.
             cut = [x.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\n", " ").split(" ") for x in texts]

@@ -37,6 +37,34 @@ def test_chunked_ids_are_the_tokenizers_ids(rng, name, mode):
     assert coder.encode([None])[0].tolist() == []
 
 
+@pytest.mark.parametrize(("name", "mode"), [(WORD, "dropped"), (BYTE, "spaced"), (BYTE, "whole")])
+def test_ids_are_those_of_the_tokenizer_as_loaded(rng, name, mode):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path(name))
+    ends = {x.content for x in fresh.get_added_tokens_decoder().values()}
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "<|", " ", "\n", "  ", "word", " see", "Ünit", "x.", "'s", "12", "\x85"]
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "<|endoftext|><|startoftext|>", "a<|endoftext|>b <|endoftext|>\n"]
+    texts += ["".join(rng.choices(marks, k=rng.randint(1, 9))) for _ in range(3000)]
+    want = [x.ids for x in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert any(fresh.token_to_id(t) in x for t in ends for x in want)
+    coder = tokens.ChunkEncoder(tokenizer_path(name), mode)
+    for _ in range(2):  # cold and warm
+        assert [x.tolist() for x in coder.encode(texts)] == want
+
+
+@pytest.mark.parametrize("odd", ["normalized", "lstrip", "rstrip", "single_word"])
+def test_added_tokens_that_match_by_context(tmp_path, odd):
+    from tokenizers import AddedToken, Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path(BYTE))
+    fresh.add_tokens([AddedToken("stop", **({"normalized": False} | {odd: True}))])
+    fresh.save(str(tmp_path / "t.json"))
+    texts = ["a stop b", "stopper stop", "non stop  x", "<|endoftext|>stop"]
+    got = tokens.ChunkEncoder(str(tmp_path / "t.json"), "spaced").encode(texts)
+    assert [x.tolist() for x in got] == [x.ids for x in fresh.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_cache_turns_over(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_CHUNKS", 3)
     coder = tokens.ChunkEncoder(tokenizer_path(WORD), "dropped")
