@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import itertools
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import grid, s2
-from geoloom.functions.scalars import haversine_m
+from geoloom.functions.scalars import EARTH_RADIUS_M, haversine_m
 from geoloom.functions.geometry import st_intersects, st_parts
 from geoloom.schema import BOX, GEOMETRY, need, with_bounds
 
@@ -117,28 +120,38 @@ def voronoi_assign(points: DataFrame, seeds: DataFrame, *, seed_id: str = "regio
 MAX_SEEDS = 512
 
 
+def _cube(lon: Column, lat: Column, side: float) -> list[Column]:
+    """Cell of a place's point on the unit sphere in a grid of cubes; no place is at an edge of the map there."""
+    a, b = F.radians(lon), F.radians(lat)
+    return [F.coalesce(F.floor(v / F.lit(side)), F.lit(0)) for v in (F.cos(a) * F.cos(b), F.sin(a) * F.cos(b), F.sin(b))]
+
+
 def voronoi_assign_grid(points: DataFrame, seeds: DataFrame, *, seed_id: str, cell: float, rounds: int = 12) -> DataFrame:
-    """The same by a grid of ``cell`` degrees: rings of cells are searched ever farther out until
-    no unseen cell can hold a nearer seed. Points leave as soon as they are settled."""
-    size = F.lit(float(cell))
-    own = [F.floor(F.col("lon") / size).alias("cx"), F.floor(F.col("lat") / size).alias("cy")]
-    left = points.select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("row"), "lon", "lat", F.monotonically_increasing_id().alias("pid"), *own)
-    boxed = seeds.select(F.col(seed_id).alias("sid"), F.col("lon").alias("slon"), F.col("lat").alias("slat"), F.floor(F.col("lon") / size).alias("sx"), F.floor(F.col("lat") / size).alias("sy"))
-    done, k = None, 1
+    """The same by a grid of cubes around the unit sphere, of ``cell`` degrees at first: the 27 cubes
+    around a point are searched, and a point leaves once no seed beyond them can be nearer. Cubes double in
+    each round; those of the last round hold the whole sphere."""
+    left = points.select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("row"), "lon", "lat", F.monotonically_increasing_id().alias("pid")).checkpoint()
+    steps = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(s, "xyz", strict=True)]) for s in itertools.product((-1, 0, 1), repeat=3)])
+    done = None
     for turn in range(rounds):
-        reach = left.withColumn("c", F.explode(grid.disk(F.col("cx"), F.col("cy"), k)))
-        near = reach.join(boxed, (F.col("c.x") == F.col("sx")) & (F.col("c.y") == F.col("sy")), "left")
+        side = math.radians(cell) * 2**turn
+        last = side >= 2 or turn == rounds - 1
+        side = 2.0 if last else side
+        sx, sy, sz = _cube(F.col("lon"), F.col("lat"), side)
+        boxed = seeds.select(F.col(seed_id).alias("sid"), F.col("lon").alias("slon"), F.col("lat").alias("slat"), sx.alias("sx"), sy.alias("sy"), sz.alias("sz"))
+        reach = left.select("pid", "lon", "lat", sx.alias("cx"), sy.alias("cy"), sz.alias("cz"), F.explode(steps).alias("s"))
+        reach = reach.select("pid", "lon", "lat", *[(F.col(f"c{c}") + F.col(f"s.{c}")).alias(f"s{c}") for c in "xyz"])
         d = F.round(haversine_m(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat")), 6)
-        best = near.groupBy("pid").agg(F.min(F.when(F.col("sid").isNotNull(), F.struct(d.alias("d"), F.col("sid").alias("id")))).alias("near"))
-        joined = left.join(best, "pid")
-        sure = (F.lit(float(cell) * k * 111_194.0) * F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + k * float(cell))))) > F.col("near.d")
-        settled = F.col("near").isNotNull() & (sure if turn < rounds - 1 else F.lit(True))
-        part = joined.filter(F.coalesce(settled, F.lit(False))).select("row.*", F.col("near.id").alias(seed_id), F.col("near.d").alias("distance_m"))
+        best = reach.join(boxed, ["sx", "sy", "sz"]).groupBy("pid").agg(F.min(F.struct(d.alias("d"), F.col("sid").alias("id"))).alias("near"))
+        joined = left.join(best, "pid", "left")
+        # An unseen seed is at least a side away as the crow flies; the metre is for rounding.
+        sure = F.lit(True) if last else F.col("near.d") < 2 * EARTH_RADIUS_M * math.asin(side / 2) - 1.0
+        settled = F.coalesce(sure, F.lit(False))
+        part = joined.filter(settled).select("row.*", F.col("near.id").alias(seed_id), F.col("near.d").alias("distance_m"))
         done = part if done is None else done.unionByName(part)
-        left = joined.filter(~F.coalesce(settled, F.lit(False))).drop("near").checkpoint()
-        if left.limit(1).count() == 0:
+        left = joined.filter(~settled).drop("near").checkpoint()
+        if last or left.limit(1).count() == 0:
             break
-        k *= 2
     return done
 
 

@@ -186,6 +186,20 @@ def test_voronoi(spark):
         R.check_seeds(s.union(s), "region_id")
 
 
+def test_voronoi_grid_equals_the_exact_path_across_the_antimeridian_and_at_the_poles(spark):
+    rng = np.random.default_rng(5)
+    seeds = [(-179.9, 10.0), (178.0, 10.0), (0.0, 89.0), (120.0, 85.0), (180.0, -30.0), (-175.0, -89.5), *rng.uniform([100, -60], [180, 60], (20, 2)).tolist()]
+    places = [(179.9, 10.0), (180.0, 10.0), (-180.0, 10.0), (-179.9, -30.5), (-100.0, 89.5), (60.0, -89.9), (-60.0, 0.0), (None, 1.0)]
+    places += rng.uniform([-180, -90], [180, 90], (40, 2)).tolist() + rng.uniform([178, -60], [180, 60], (20, 2)).tolist()
+    s = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(seeds)], "region_id int, lon double, lat double")
+    p = spark.createDataFrame([(k, *x) for k, x in enumerate(places)], "k int, lon double, lat double")
+    want = {r["k"]: (r["region_id"], r["distance_m"]) for r in R.voronoi_assign(p, s).collect()}
+    assert want[0][0] == 0 and len(want) == len(places)
+    for cell, rounds in ((1.0, 12), (8.0, 12), (1.0, 2)):
+        got = R.voronoi_assign_grid(p, s, seed_id="region_id", cell=cell, rounds=rounds).collect()
+        assert len(got) == len(places) and {r["k"]: (r["region_id"], r["distance_m"]) for r in got} == want
+
+
 def test_geometry_kernel():
     hole = G.polygon([(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (3, 1), (3, 3), (1, 3)])
     assert G.area(hole) == 12 and G.area(G.without_holes(hole)) == 16
