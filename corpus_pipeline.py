@@ -39,8 +39,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenises and packs what is left into sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    """Tokenises and packs what is left into sequences of 2048 tokens, ids included."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [

@@ -464,6 +464,20 @@ def test_pipeline(spark, sf_dir):
     assert P.run(spark, sf_dir).count() == n[-1]
 
 
+def test_pipeline_packs_the_ids(spark):
+    import corpus_pipeline as P
+    from tokenizers import Tokenizer
+
+    texts = {1: "some text <|endoftext|> here", 2: "word " * 3000, 3: None}
+    df = spark.createDataFrame([(k, x, "en", "a", 1) for k, x in texts.items()], DOCS)
+    pieces = P.pack_stage(spark, df, "").collect()
+    coder = Tokenizer.from_file(tokenizer_path(BYTE))
+    for k, x in texts.items():
+        own = sorted((r["start"], r["ids"], r["ids_crc32"]) for r in pieces if r["doc_id"] == k)
+        assert [i for _, ids, _ in own for i in ids] == [*coder.encode(x or "", add_special_tokens=False).ids, 1]
+        assert all(crc(ids) == c for _, ids, c in own)
+
+
 def test_query_names():
     import corpus_pipeline
 
