@@ -18,12 +18,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id in each group of near copies (five words, 0.8).
+    """Keeps one row of each group of near copies (five words, 0.8): that of the smallest id.
 
-    Documents without an id can't be told apart and stay.
+    Rows are told apart by a key of their own, so copies that repeat an id or have none go too;
+    a row without id stays only where no row of its group has one.
     """
-    found = neardup.near_duplicates(docs, words=5, percent=80)
-    return docs.join(materialise(found.filter("not kept and doc_id is not null").select("doc_id"), "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    rows = materialise(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    found = materialise(neardup.near_duplicates(rows, id_col="_key", words=5, percent=80).select("_key", "component_id"), "groups")
+    placed = found.join(rows.select("_key", "doc_id"), "_key")
+    kept = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("kept"), F.count(F.lit(1)).alias("size"))
+    dropped = found.join(kept.filter("size > 1"), "component_id").filter("_key <> kept._key").select("_key")
+    return rows.join(materialise(dropped, "dropped"), "_key", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -464,6 +464,18 @@ def test_pipeline(spark, sf_dir):
     assert P.run(spark, sf_dir).count() == n[-1]
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as P
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(5, a), (5, a), (3, a + " end"), (None, a), (7, b), (7, c), (9, c), (None, d), (None, d), (8, ""), (8, None)]
+    df = spark.createDataFrame([(k, x, "en", "s", 1) for k, x in rows], DOCS).repartition(3)
+    got = P.near_duplicate_stage(spark, df, "")
+    assert got.columns == df.columns
+    want = [(3, a + " end"), (7, b), (7, c), (None, d), (8, ""), (8, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_pipeline_packs_the_ids(spark):
     import corpus_pipeline as P
     from tokenizers import Tokenizer
