@@ -18,8 +18,12 @@ from geoloom.operators.embedders import mean_vectors, neighbour_pairs
 MAX_ROWS = 50_000
 
 
+def chosen(df: DataFrame, key: str, max_rows: int = MAX_ROWS) -> DataFrame:
+    return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(max_rows)
+
+
 def sample(df: DataFrame, key: str, max_rows: int = MAX_ROWS) -> pd.DataFrame:
-    return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(max_rows).toPandas()
+    return chosen(df, key, max_rows).toPandas()
 
 
 def _weights(params: dict[str, Tensor]) -> dict[str, np.ndarray]:
@@ -164,6 +168,13 @@ class Hex2Vec(Model):
             raise ValueError("negatives must lie beyond distance 1 or more")
         super().__init__(sizes=list(sizes), batch=batch, epochs=epochs, rate=rate, negative_distance=negative_distance, seed=seed)
 
+    def _too_near(self, regions: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+        """All edges between the regions that exclude each other as negatives."""
+        out = edges.filter((F.col("distance") <= self.config["negative_distance"]) & (F.col("distance") > 0)).select("region_id", "neighbour_id")
+        for end in ("region_id", "neighbour_id"):
+            out = out.join(regions.select(F.col(key).alias(end)), end, "left_semi")
+        return out.select("region_id", "neighbour_id")
+
     def fit(self, counts: DataFrame, edges: DataFrame, key: str = "region_id") -> Hex2Vec:
         c, rng = self.config, np.random.default_rng(self.config["seed"])
         self.columns = [x for x in counts.columns if x != key]
@@ -171,8 +182,8 @@ class Hex2Vec(Model):
         x, at = rows[self.columns].fillna(0).to_numpy(float), {r: k for k, r in enumerate(rows[key])}
         pairs = neighbour_pairs(edges).orderBy(F.md5(F.concat_ws("|", "anchor", "positive"))).limit(4 * MAX_ROWS).toPandas()
         near = {}
-        for r in edges.filter((F.col("distance") <= c["negative_distance"]) & (F.col("distance") > 0)).select("region_id", "neighbour_id").limit(40 * MAX_ROWS).toLocalIterator():
-            near.setdefault(at.get(r[0]), set()).add(at.get(r[1]))
+        for r in self._too_near(chosen(counts.select(key), key), edges, key).toLocalIterator():
+            near.setdefault(at[r[0]], set()).add(at[r[1]])
         pairs = np.array([(at[a], at[b]) for a, b in zip(pairs["anchor"], pairs["positive"], strict=True) if a in at and b in at], int).reshape(-1, 2)
         n = len(c["sizes"])
         self.params = _dense_params(rng, [len(self.columns), *c["sizes"]], "e")
@@ -357,9 +368,10 @@ class S2Vec(Model):
         self.columns = list(columns)
         images = patches.select("img_id").distinct().orderBy(F.md5("img_id")).limit(max(1, MAX_ROWS // c["grid"] ** 2))
         rows = patches.join(images, "img_id", "left_semi").orderBy("img_id", "place").toPandas()
-        values = rows[self.columns].fillna(0).to_numpy(float)
-        std = values.std(0)
-        c["mean"], c["scale"] = values.mean(0).tolist(), np.where(std < 1e-8, 0, 1 / np.maximum(std, 1e-8)).tolist()
+        values = [F.coalesce(F.nanvl(F.col(f"`{x}`").cast("double"), F.lit(0.0)), F.lit(0.0)) for x in self.columns]
+        facts = patches.agg(*[F.avg(v) for v in values], *[F.stddev_pop(v) for v in values]).first()
+        mean, std = np.nan_to_num(np.array(facts, float)).reshape(2, -1)
+        c["mean"], c["scale"] = mean.tolist(), np.where(std < 1e-8, 0, 1 / np.maximum(std, 1e-8)).tolist()
         _, x = self._images(rows)
         d, e, f, t = c["dim"], c["decoder_dim"], len(self.columns), c["grid"] ** 2
         p = {"in": xavier(rng, f, d), "inb": Tensor(np.zeros(d)), "mid": xavier(rng, d, e), "token": Tensor(np.zeros(e)), "out": xavier(rng, e, f), "outb": Tensor(np.zeros(f))}

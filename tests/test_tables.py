@@ -305,3 +305,19 @@ def test_negative_samples_keep_their_distance(spark):
     got = E.negative_samples(regions, edges, pairs).collect()
     assert len(got) == pairs.count()
     assert all(abs(int(r["anchor"][1:]) - int(r["negative"][1:])) > 2 for r in got)
+
+
+def test_fits_take_moments_of_all_rows_and_all_exclusions(spark, monkeypatch):
+    from geoloom.operators import neural as M
+
+    monkeypatch.setattr(M, "MAX_ROWS", 16)
+    rows = [(f"i{k // 16}", f"p{k}", k % 16, float(k * k % 101) if k % 7 else None, 1.0) for k in range(160)]
+    patches = spark.createDataFrame(rows, "img_id string, patch_id string, place int, a double, b double")
+    s = M.S2Vec(grid=4, dim=8, heads=2, layers=1, decoder_layers=1, epochs=1).fit(patches, ["a", "b"])
+    a = [r[3] or 0.0 for r in rows]
+    mean = sum(a) / 160
+    assert s.config["mean"] == pytest.approx([mean, 1.0]) and s.config["scale"] == pytest.approx([(sum((x - mean) ** 2 for x in a) / 160) ** -0.5, 0])
+    monkeypatch.setattr(M, "MAX_ROWS", 1)
+    edges = spark.createDataFrame([(a, b, abs(a - b)) for a in range(60) for b in range(60) if 0 < abs(a - b) < 4], "region_id int, neighbour_id int, distance int")
+    got = {tuple(r) for r in M.Hex2Vec(sizes=(2,))._too_near(spark.range(50).select(F.col("id").cast("int").alias("k")), edges, "k").collect()}
+    assert got == {(a, b) for a in range(50) for b in range(50) if 0 < abs(a - b) < 3}
