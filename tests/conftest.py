@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
 
 
@@ -31,7 +31,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"
-
-
-def rows(df, *columns):
-    return sorted(tuple(r[c] for c in columns) for r in df.collect())

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from geoloom import optional, schema

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
