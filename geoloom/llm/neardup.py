@@ -148,58 +148,61 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with ``linked``, whether their full sets have 100 * intersection >= percent
-    * union, and ``far``, their exact Jaccard distance. ``a`` may be a hub, and the join on it is
-    one adaptive execution can split."""
+    * union. ``a`` may be a hub, and the join on it is one adaptive execution can split."""
     id_type = dict(pairs.dtypes)["a"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, far, last, left = [], [], None, None
+            linked, last, left = [], None, None
             for i in range(batch.num_rows):
                 a = batch.column(2)[i].as_buffer()
                 if last is None or not a.equals(last):
                     last, left = a, np.frombuffer(a, np.uint64)
                 right = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
                 union = len(np.unique(np.concatenate([left, right])))
-                both = len(left) + len(right) - union
-                linked.append(100 * both >= percent * union)
-                far.append(1 - both / union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], ["a", "b", "linked", "far"])
+                linked.append(100 * (len(left) + len(right) - union) >= percent * union)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b").join(
         sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a"
     )
-    return joined.select("a", "b", "ia", "ib").mapInArrow(run, f"a {id_type}, b {id_type}, linked boolean, far double")
+    return joined.select("a", "b", "ia", "ib").mapInArrow(run, f"a {id_type}, b {id_type}, linked boolean")
 
 
-def star_links(star: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def star_links(star: DataFrame, sets: DataFrame, percent: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """Compares members with the firsts of their buckets as far as their components may still differ.
 
-    Each round takes, per member, its smallest first that is untried and in another component;
-    so a large group of like texts costs a few comparisons a member instead of one a band. The
-    last round takes all that are left. Returns the comparisons and the components so far.
+    ``star`` holds (a, b, votes, small): the buckets that the first a and the member b share, and whether
+    one of them holds those two alone. Each round takes one first per member, the one of most
+    votes that is untried and in another component, so a group of like texts costs a comparison a
+    member and round, however large. Pairs of small buckets, a bounded number a member, are
+    compared at the end; what larger buckets leave open is for ``block_links``. Returns the
+    comparisons and the components so far.
     """
-    tried = materialise(compared(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent), "compared")
+    best = F.min(F.struct((-F.col("votes")).alias("rank"), "a")).alias("best")
+    pick = lambda pairs: pairs.groupBy("b").agg(best).select("best.a", "b")
+    tried = materialise(compared(pick(star), sets, percent), "compared")
     for turn in range(rounds):
         found = components(tried.filter("linked"))
         label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))  # noqa: E731, B023
         apart = star.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
-        apart = apart.filter(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
+        apart = apart.filter(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b", "votes", "small")
         open_pairs = materialise(apart, "open-pairs")
-        counts = open_pairs.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("b").alias("b")).first()
-        if not counts["n"]:
+        if not open_pairs.limit(1).count():
             break
-        every = turn == rounds - 1 or counts["n"] <= 3 * counts["b"]
-        chosen = open_pairs if every else open_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        tried = materialise(tried.union(compared(chosen, sets, percent)), "compared")
-        if every:
+        last = turn == rounds - 1
+        chosen = open_pairs.filter("small").select("a", "b") if last else pick(open_pairs)
+        more = materialise(compared(chosen, sets, percent), "compared")
+        tried = tried.union(more)
+        if last and more.filter("linked").limit(1).count():
             found = components(tried.filter("linked"))
-            break
     return tried, found
 
 
 #: Items (shingles) of one block's sets, which bounds its memory, and those from which a component has blocks of its own.
 BLOCK, LARGE = 65_536, 32_768
+#: Columns of one 0/1 matrix, which bounds it to some 10 MB.
+COLUMNS = 4_000
 
 
 def _linked_within(left: list, right: list | None, percent: int) -> tuple[list, list]:
@@ -221,8 +224,8 @@ def _linked_within(left: list, right: list | None, percent: int) -> tuple[list,
     else:
         items = np.intersect1d(flat[:cut], flat[cut:])
     hits = []
-    for at in range(0, len(items), 20_000):
-        part = items[at : at + 20_000]
+    for at in range(0, len(items), COLUMNS):
+        part = items[at : at + COLUMNS]
         pos = np.minimum(np.searchsorted(part, flat), len(part) - 1)
         ok = part[pos] == flat
         grid = np.zeros((len(sets), len(part)), np.float32)
@@ -248,28 +251,33 @@ def _linked_within(left: list, right: list | None, percent: int) -> tuple[list,
 
 
 def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Ties (a, b) between members (id, component, family, n items) of one family and different components.
+    """Ties (a, b) between members (key, id, component, n items) of one bucket and different components.
 
-    Families are dealt into blocks of like total size by a hash of the id, large components into blocks of their own;
-    every two blocks of a family meet in one row, unless both belong to the same large component.
-    So a family of any size is compared in full without a row per pair and without gathering it.
+    A bucket's members are dealt into blocks of like total size by a hash of the id, large components into
+    blocks of their own; every two blocks of a bucket meet in one row, unless both belong to the
+    same large component. So a bucket of any size is compared in full without a row per pair and
+    without gathering it. Buckets of the same members are compared once.
     """
     id_type = dict(members.dtypes)["id"]
-    sizes = members.groupBy("family", "component").agg(F.sum("n").alias("own"))
+    print_ = F.bit_xor(F.xxhash64("id")), F.sum(F.xxhash64(F.xxhash64("id")) % F.lit(2**40)), F.count(F.lit(1))
+    same_members = members.groupBy("key").agg(*[c.alias(f"p{i}") for i, c in enumerate(print_)])
+    once = same_members.groupBy("p0", "p1", "p2").agg(F.min("key").alias("key")).select("key")
+    members = materialise(members.join(once, "key", "left_semi"), "members")
+    sizes = members.groupBy("key", "component").agg(F.sum("n").alias("own"))
     part = F.when(F.col("own") >= LARGE, F.col("component"))
-    sizes = materialise(sizes.select("family", "component", "own", part.alias("part")), "sizes")
-    dealt = sizes.groupBy("family", "part").agg(F.ceil(F.sum("own") / F.lit(float(BLOCK))).alias("blocks"))
-    same = lambda l, r: (F.col(f"{l}.family") == F.col(f"{r}.family")) & F.col(f"{l}.part").eqNullSafe(F.col(f"{r}.part"))
-    plan = sizes.alias("s").join(dealt.alias("d"), same("s", "d")).select("s.family", "s.component", "s.part", "d.blocks")
-    placed = members.select("id", "component", "family").join(plan, ["family", "component"]).join(sets, "id")
+    sizes = materialise(sizes.select("key", "component", "own", part.alias("part")), "sizes")
+    dealt = sizes.groupBy("key", "part").agg(F.ceil(F.sum("own") / F.lit(float(BLOCK))).alias("blocks"))
+    same = lambda l, r: (F.col(f"{l}.key") == F.col(f"{r}.key")) & F.col(f"{l}.part").eqNullSafe(F.col(f"{r}.part"))
+    plan = materialise(sizes.alias("s").join(dealt.alias("d"), same("s", "d")).select("s.key", "s.component", "s.part", "d.blocks"), "plan")
+    placed = members.select("id", "component", "key").join(plan, ["key", "component"]).join(sets, "id")
     block = F.concat_ws("|", F.coalesce(F.col("part").cast("string"), F.lit("-")), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("string"))
     docs = F.collect_list(F.struct("id", "component", "items")).alias("docs")
-    blocks = materialise(placed.withColumn("block", block).groupBy("family", "part", "block").agg(docs), "blocks")
-    names = blocks.select("family", "part", "block")
-    meets = (F.col("l.family") == F.col("r.family")) & (F.col("l.block") <= F.col("r.block"))
-    pairs = names.alias("l").join(names.alias("r"), meets).filter("l.part is null or r.part is null or l.part <> r.part").select("l.family", F.col("l.block").alias("i"), F.col("r.block").alias("j"))
-    side = lambda k: blocks.select("family", F.col("block").alias(k), F.col("docs").alias(f"d{k}"))
-    met = pairs.join(side("i"), ["family", "i"]).join(side("j"), ["family", "j"]).select("i", "j", "di", "dj")
+    blocks = materialise(placed.withColumn("block", block).groupBy("key", "part", "block").agg(docs), "blocks")
+    names = blocks.select("key", "part", "block")
+    meets = (F.col("l.key") == F.col("r.key")) & (F.col("l.block") <= F.col("r.block"))
+    pairs = names.alias("l").join(names.alias("r"), meets).filter("l.part is null or r.part is null or l.part <> r.part").select("l.key", F.col("l.block").alias("i"), F.col("r.block").alias("j"))
+    side = lambda k: blocks.select("key", F.col("block").alias(k), F.col("docs").alias(f"d{k}"))
+    met = pairs.join(side("i"), ["key", "i"]).join(side("j"), ["key", "j"]).select("i", "j", "di", "dj")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,11 +306,10 @@ def near_duplicates(
 
     Returns the id, n_shingles, component_id (smallest id reachable) and kept (id = component_id).
     Texts with the same set are one class, represented by its smallest id. Representatives are
-    sketched and banded; members of a bucket are compared on full sets with the bucket's first, as
-    long as they may be in different components. Members outside a bucket's largest
-    component then meet all members of other components there, but for pairs that the triangle
-    inequality or the prefix filter rules out, so no two of a bucket that might join two components go uncompared;
-    a group of like texts costs a star, not all its pairs. With
+    sketched and banded. Members of a bucket are compared on full sets with the bucket's first, one first a
+    round, as long as they may be in different components; members of a bucket that are still
+    apart then meet block by block, so no two of a bucket that might join two components go
+    uncompared, while a group of like texts costs a few stars and not all its pairs. With
     40 bands of 6 coordinates a pair at 0.8 shares no bucket with probability 5e-6, at 0.85
     with 1e-9; a pair at 0.1 shares one with 4e-5.
 
@@ -321,35 +328,33 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     marks = materialise(signatures(base, words, coordinates, rows), "signatures")
     usable = marks.filter("n > 0 and id is not null")
-    classes = usable.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
-    heads = usable.join(classes.withColumnRenamed("rep", "id"), ["set_a", "set_b", "id"], "left_semi")
+    classes = materialise(usable.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    heads = usable.join(classes.select("set_a", "set_b", F.col("rep").alias("id")), ["set_a", "set_b", "id"], "left_semi")
     buckets = heads.select("id", "n", F.explode("bands").alias("key"))
-    first = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    shared = materialise(buckets.join(first, "key").select("key", "id", "n", "first"), "buckets")
+    first = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = materialise(buckets.join(materialise(first, "firsts"), "key"), "buckets")
     sized = F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * percent
-    star = shared.filter("id <> first.id").filter(sized).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
-    star = materialise(star, "pairs")
+    star = shared.filter("id <> first.id").filter(sized).groupBy(F.col("first.id").alias("a"), F.col("id").alias("b"))
+    star = materialise(star.agg(F.count(F.lit(1)).alias("votes"), (F.min("size") == 2).alias("small")), "pairs")
     involved = materialise(shared.select("id").distinct(), "involved")
     sets = materialise(shingle_sets(base.join(involved, "id", "left_semi"), words), "sets")
     tried, found = star_links(star, sets, percent)
 
-    # Buckets whose members are still apart: documents tied by such buckets are a family, and all
-    # its members of different components are compared.
-    group = F.coalesce("component", "id")
-    placed = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", group.alias("component"), F.col("first.id").alias("first"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi and size > 2").select("key")
-    rest = materialise(placed.join(open_keys, "key", "left_semi").select("id", "n", "component", "first").distinct(), "open")
-    family = components(rest.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    members = materialise(rest.select("id", "n", "component").distinct().join(family.select(F.col("node").alias("id"), F.col("component").alias("family")), "id"), "members")
+    # Buckets whose members are still apart: their members of different components are compared.
+    label = found.select(F.col("node").alias("id"), "component")
+    placed = shared.filter("size > 2").join(label, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    members = placed.join(materialise(open_keys, "open-keys"), "key", "left_semi")
     extra = block_links(members, sets, percent)
     if extra.limit(1).count():
         found = components(tried.filter("linked").select("a", "b").union(extra.select("a", "b")))
 
-    # A class takes its representative's component; the representative of a class is its smallest id.
-    reach = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("reach"))
-    out = marks.select("id", "n", "set_a", "set_b").join(reach, ["set_a", "set_b"], "left")
-    own = F.when(F.col("n") > 0, F.col("reach")).otherwise(F.col("id"))
-    own = F.when(F.col("id").isNotNull(), own)
+    # A class takes its representative's component; one text alone in both keeps its own id.
+    reach = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("reach", F.coalesce("component", "rep"))
+    reach = materialise(reach.filter("copies > 1 or reach <> rep").select("set_a", "set_b", "reach"), "reach")
+    own = usable.select("id", "n", "set_a", "set_b").join(reach, ["set_a", "set_b"], "left")
+    alone = marks.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("own"))
+    out = own.select("id", "n", F.coalesce("reach", "id").alias("own")).union(alone)
     return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(False)).alias("kept")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("own").alias("component_id"), F.coalesce(F.col("own") == F.col("id"), F.lit(False)).alias("kept")
     )
