@@ -5,7 +5,11 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +18,11 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; one of its own only where that is unset and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="geoloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -46,6 +52,23 @@ def batch_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def pieces(batch: pa.RecordBatch, column: int = 1, size: int = 1_000_000, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes of text in ``column``, so that a few texts at a time become Python objects."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def texts_of(batch: pa.RecordBatch, size: int = 1_000_000) -> Iterator[tuple[list, list]]:
+    """Ids and texts (the first two columns) of a batch, some at a time."""
+    for part in pieces(batch, 1, size):
+        yield part.column(0).to_pylist(), part.column(1).to_pylist()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

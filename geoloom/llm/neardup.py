@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import WORD_PATTERN, batch_rows, materialise
+from geoloom.llm.common import WORD_PATTERN, batch_rows, materialise, texts_of
 from geoloom.llm.graph import components
-from geoloom.llm.tokens import slices
 
 _WORD = re.compile(WORD_PATTERN)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -119,7 +118,7 @@ def signatures(docs: DataFrame, words: int, coordinates: int, rows: int) -> Data
 
         maker = Shingler(words)
         for batch in batches:
-            for some, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1_000_000):
+            for some, texts in texts_of(batch):
                 sets = [maker.shingles(x) for x in texts]
                 whole = [xxh3_128_intdigest(s.tobytes()) for s in sets]
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -140,7 +139,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Shingler(words)
         for batch in batches:
-            for some, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1_000_000):
+            for some, texts in texts_of(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(some, batch.column(0).type), pa.array([maker.shingles(x).tobytes() for x in texts], pa.binary())], ["id", "items"])
 
     return docs.mapInArrow(run, f"id {id_type}, items binary")

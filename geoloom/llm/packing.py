@@ -11,7 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.tokens import encoder, slices
+from geoloom.llm.common import texts_of
+from geoloom.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -100,7 +101,7 @@ def pack(
 
         for batch in batches:
             out = batch.column(0).type
-            for some, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1_000_000):
+            for some, texts in texts_of(batch):
                 for i, x in zip(some, coder.encode(texts), strict=True):
                     ids.append(i)
                     rows.append(np.concatenate([x, end]))

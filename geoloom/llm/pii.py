@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import hash_unit
-from geoloom.llm.tokens import slices
+from geoloom.llm.common import hash_unit, pieces, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 TRIGGER = re.compile(r"[0-9@]")
@@ -334,19 +333,27 @@ def find_spans(texts: list[str], model: Tagger | None, batch: int = 2048) -> lis
     return [(b, sorted(b + reconcile(f, b)) if f else sorted(b)) for b, f in zip(base, found, strict=True)]
 
 
+#: A text without this holds no span of the fixed patterns.
+LIKELY = r"@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|([0-9][\x20-]?){13}"
+
+
 def train(docs: DataFrame, *, sample_windows: int = 900, per_text: int = 4) -> Tagger | None:
     """Fits the tagger on the driver from at most ``sample_windows`` windows, drawn by hash over
-    all texts and labelled by the fixed patterns; None where no text holds a trigger."""
-    n = docs.count()
-    if not n:
+    all texts with a digit or "@" and labelled by the fixed patterns; None where there is none.
+
+    Texts in which a pattern may match are drawn apart from others, so that they teach the model however rare they are."""
+    candidate, likely = docs.filter(F.col("text").rlike("[0-9@]")), F.col("text").rlike(LIKELY)
+    counts = {r["likely"]: r["n"] for r in candidate.groupBy(likely.alias("likely")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
         return None
-    seen = docs.filter(hash_unit(F.col("id"), seed="pii-sample") < min(1.0, 4.0 * sample_windows / n))
+    share = {k: min(1.0, 2.0 * sample_windows / max(1, counts.get(k, 0))) for k in (True, False)}
+    chance = F.when(likely, F.lit(share[True])).otherwise(F.lit(share[False]))
+    seen = candidate.filter(hash_unit(F.col("id"), seed="pii-sample") < chance)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
+            for text in (x or "" for _, part in texts_of(batch) for x in part):
                 starts = windows(text)
                 starts = starts[:: max(1, -(-len(starts) // per_text))]
                 spans = base_spans(text) if starts else []
@@ -356,7 +363,7 @@ def train(docs: DataFrame, *, sample_windows: int = 900, per_text: int = 4) -> T
                         rows.append((text[s : s + WINDOW], [x for y in inside for x in y]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["w", "s"])
 
-    got = seen.mapInArrow(cut, "w string, s array<int>").orderBy(F.md5(F.col("w")), "w").limit(sample_windows).collect()
+    got = seen.mapInArrow(cut, "w string, s array<int>").orderBy(F.md5(F.col("w")), "w", "s").limit(sample_windows).collect()
     if not got:
         return None
     codes, tags = training_set([(r["w"], [tuple(r["s"][i : i + 3]) for i in range(0, len(r["s"]), 3)]) for r in got])
@@ -371,7 +378,7 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     """Finds e-mail and IP addresses, card and phone numbers in every whole text.
 
     Returns the id, n_email, n_ip, n_card, n_phone and base_sha256 of the fixed patterns' spans,
-    spans (those and the model's) and, with ``redact``, the text with each span replaced by
+    spans (those and the model's), n_spans (their number) and, with ``redact``, the text with each span replaced by
     "<EMAIL>", "<IP>", "<CARD>" or "<PHONE>". The model reads overlapping windows of 96 characters over every
     stretch that can hold a span; windows are decoded by Viterbi and their spans reconciled per
     text. Spans are in code points, end exclusive.
@@ -387,8 +394,8 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for some, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for part in pieces(batch):
+                some, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 found = find_spans([x or "" for x in texts], model)
                 counts = np.zeros((len(some), len(KINDS)), np.int64)
                 for i, (base, _) in enumerate(found):
@@ -396,18 +403,17 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
                         counts[i, k] += 1
                 cols = [pa.array(some, batch.column(0).type)] + [pa.array(c) for c in counts.T]
                 cols.append(pa.array([hashlib.sha256(join_spans(b).encode()).hexdigest() for b, _ in found]))
-                cols.append(pa.array([join_spans(s) for _, s in found]))
-                names = ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+                cols += [pa.array([join_spans(s) for _, s in found]), pa.array([len(s) for _, s in found], pa.int64())]
+                names = ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"]
                 if redact:
                     cols.append(pa.array([None if x is None else cover(x, s) for x, (_, s) in zip(texts, found, strict=True)], pa.string()))
                     names.append("redacted")
                 if carry:
-                    cols.append(batch.column(2).slice(at, len(some)))
+                    cols.append(part.column(2))
                     names.append("row")
-                at += len(some)
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = f"id {types[id_col]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = f"id {types[id_col]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     schema += ", redacted string" * redact + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else "")
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 

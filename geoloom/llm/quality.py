@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import hash_unit, materialise
-from geoloom.llm.tokens import slices
+from geoloom.llm.common import hash_unit, materialise, pieces, texts_of
 
 FEATURES = (
     "log_chars", "word_length", "upper_share", "digit_share", "mark_share", "symbol_share", "space_share",
@@ -185,7 +184,7 @@ def _feature_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for some, texts in texts_of(batch):
                 x = features(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(some, batch.column(0).type)] + [pa.array(c) for c in x.T], ["id", *_NAMES])
 
@@ -267,9 +266,7 @@ def keep_good(
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, good = batch.column(at).to_pylist(), []
-            for _, part in slices(texts, texts):
-                good.append(model.score(features(part)) >= threshold)
+            good = [model.score(features(part.column(at).to_pylist())) >= threshold for part in pieces(batch, at)]
             yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
 
     return docs.mapInArrow(sift, docs.schema)

@@ -72,6 +72,7 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
         self.first, self.rest = _Cache(), _Cache()
         self.newline = self._batch(["\n"])[0] if mode == "spaced" else b""
+        self.ends: dict[str, bool] = {}
         #: The same model behind plain white space, for words that need no more.
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence(
@@ -89,6 +90,20 @@ class ChunkEncoder:
         done = self.plain.encode_batch_fast(chunks, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in done]
 
+    def _ends_word(self, letter: str) -> bool:
+        """Whether a mark after this letter always begins a new pre-token, as the tokenizer's own parts say.
+
+        Some letters don't: their normal form ends in a combining mark, which keeps company with punctuation.
+        """
+        if letter not in self.ends:
+            normal, cut = self.plain.normalizer, self.plain.pre_tokenizer
+            parts = [
+                [x for x, _ in cut.pre_tokenize_str(normal.normalize_str(y) if normal is not None else y)]
+                for y in (letter, letter + ".", letter + "'.")
+            ]
+            self.ends[letter] = parts[1] == [*parts[0], "."] and parts[2] == [*parts[0], "'."]
+        return self.ends[letter]
+
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of Latin letters alone, each after a space: encoded in one go, cut at word edges."""
         text = " ".join(words)
@@ -112,12 +127,12 @@ class ChunkEncoder:
         return out
 
     def _encode(self, known: dict[str, bytes], chunks: list[str], prefix: str) -> dict[str, bytes]:
-        """Ids of the chunks and of their cores; letters and the marks after them are encoded apart."""
+        """Ids of the chunks and of their cores; letters that end a word and the marks after them are encoded apart."""
         cut, tails, need = [], {}, set()
         for x in chunks:
             core = x.rstrip(_MARKS)
             if core != x:
-                if core and core[-1].isalpha():
+                if core and core[-1].isalpha() and self._ends_word(core[-1]):
                     tail = x[len(core) :]
                     cut.append((x, core, tail))
                     tails[tail] = b""
@@ -210,15 +225,3 @@ def encoder(path: str, mode: str) -> ChunkEncoder:
     if (path, mode) not in _ENCODERS:
         _ENCODERS[path, mode] = ChunkEncoder(path, mode)
     return _ENCODERS[path, mode]
-
-
-def slices(ids: list, texts: list, chars: int = 4_000_000):
-    """Parts of a batch of about ``chars`` characters, to bound what is held at once."""
-    start = held = 0
-    for i, x in enumerate(texts):
-        held += len(x or "")
-        if held >= chars:
-            yield ids[start : i + 1], texts[start : i + 1]
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield ids[start:], texts[start:]

@@ -12,8 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialise
-from geoloom.llm.tokens import encoder, slices
+from geoloom.llm.common import materialise, texts_of
+from geoloom.llm.tokens import encoder
 
 MAGIC = b"GLWM2\0"
 #: Bits between two entries of a plane's rank directory.
@@ -196,7 +196,7 @@ def write_shards(
 
         for batch in batches:
             kind = batch.column(0).type
-            for some, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1_000_000):
+            for some, texts in texts_of(batch):
                 for i, x in zip(some, coder.encode(texts), strict=True):
                     ids.append(i)
                     rows.append(np.concatenate([x, end]))

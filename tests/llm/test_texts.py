@@ -29,9 +29,12 @@ EDGE = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "one", "en", "a"
 
 @pytest.mark.parametrize(("name", "mode"), [(WORD, "dropped"), (BYTE, "spaced"), (BYTE, "whole")])
 def test_chunked_ids_are_the_tokenizers_ids(rng, name, mode):
+    from tokenizers import Tokenizer
+
     coder = tokens.ChunkEncoder(tokenizer_path(name), mode)
     texts = ODD + ["".join(rng.choice(" \n\t ab.,1'éA<ΣsŚ\x1c\x85 　*") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
-    want = [x.ids for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    fresh = Tokenizer.from_file(tokenizer_path(name))
+    want = [x.ids for x in fresh.encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):  # cold and warm
         assert [x.tolist() for x in coder.encode(texts)] == want
     assert coder.encode([None])[0].tolist() == []
@@ -53,6 +56,20 @@ def test_ids_are_those_of_the_tokenizer_as_loaded(rng, name, mode):
         assert [x.tolist() for x in coder.encode(texts)] == want
 
 
+@pytest.mark.parametrize(("name", "mode"), [(WORD, "dropped"), (BYTE, "spaced")])
+def test_every_letter_before_a_mark(name, mode):
+    from tokenizers import Tokenizer
+
+    fresh, coder = Tokenizer.from_file(tokenizer_path(name)), tokens.ChunkEncoder(tokenizer_path(name), mode)
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha() and not 0x3400 <= c < 0xD7A4 and not 0x17000 <= c < 0x18D00 and c < 0x20000]
+    odd = [c for c in letters if not coder._ends_word(c)]
+    assert "\u0130" in odd or mode == "spaced"
+    texts = [f"w{c}, {c}." for c in letters] + [f"{c}{m} a{c}{m}{m}" for c in [*odd, "e", "\u00e9", "\u03a3"] for m in "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"]
+    texts += ["KED\u0130.", "BELED\u0130YES\u0130, \u0130STANBUL", "\u092a\u095d, \u0939\u0948\u0964", "e\u0301. e\u0301"]
+    want = [x.ids for x in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in coder.encode(texts)] == want
+
+
 @pytest.mark.parametrize("odd", ["normalized", "lstrip", "rstrip", "single_word"])
 def test_added_tokens_that_match_by_context(tmp_path, odd):
     from tokenizers import AddedToken, Tokenizer
@@ -259,6 +276,38 @@ def test_cross_parsing_equals_a_plain_parse(rng):
         assert names[0] == want and 0 <= score[0] <= 1
 
 
+@pytest.mark.parametrize("letters", [4, 64])
+def test_segments_and_rare_letters_change_no_parse(rng, monkeypatch, letters):
+    monkeypatch.setattr(langid, "SEGMENT", 8)
+    monkeypatch.setattr(langid, "DENSE_LETTERS", letters)
+    monkeypatch.setattr(langid, "FEW_LANES", letters)
+    samples = {"a": "abracadabra abba dcnrb", "b": "banana bandana nab", "c": "xyz", "d": "ab" * 40 + "q"}
+    p = langid.CrossParser(samples)
+    assert p.sparse == (letters == 4)
+    texts = ["".join(rng.choice("abcdnrxyzq ") for _ in range(rng.randint(0, 90))) for _ in range(300)] + ["ab" * 60 + "q" + "ab" * 300]
+    codes, n = p.symbols(texts)
+    got = p._phrases(codes, np.cumsum(n) - n, n)
+    for i, t in enumerate(texts):
+        t, j = re.sub(" +", " ", t), 0
+        for j, lang in enumerate(p.languages):
+            at = want = 0
+            while at < len(t):
+                k = 1
+                while at + k <= len(t) and t[at : at + k] in samples[lang]:
+                    k += 1
+                at, want = at + max(k - 1, 1), want + 1
+            assert got[j, i] == want
+
+
+def test_a_script_of_thousands_of_letters_stays_small(rng):
+    samples = {f"z{k}": "".join(chr(0x4E00 + 3000 * k + rng.randrange(3000)) for _ in range(24_000)) for k in range(4)}
+    samples["en"] = "".join(rng.choice("etaoinshrdlu ") for _ in range(24_000))
+    p = langid.CrossParser(samples, literals=True)
+    held = p.moves.nbytes + sum(w.edge_from.nbytes + w.edge_to.nbytes + w.column.nbytes for w in p.walks)
+    assert held < 200e6
+    assert p.predict([samples["z1"][5000:6000] * 1000, samples["en"]])[0] == ["z1", "en"]
+
+
 def test_language_edges(spark):
     got = langid.identify(clashing(spark, [*EDGE, (7, "123 456!", "en", "a", 8)])).collect()
     by = {r["doc_id"]: r for r in got}
