@@ -13,7 +13,10 @@ from geoloom.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents the classifier scores below 0.7."""
+    """Drops the documents the classifier scores below 0.7.
+
+    Null and empty texts are scored from zero features, repeated rows alike; an empty table stays empty.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -21,7 +24,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one row of each group of near copies (five words, 0.8): that of the smallest id.
 
     Rows are told apart by a key of their own, so copies that repeat an id or have none go too;
-    a row without id stays only where no row of its group has one.
+    a row without id stays only where no row of its group has one. Null and empty texts link with
+    nothing and stay; an empty table stays empty.
     """
     rows = materialise(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
     found = materialise(neardup.near_duplicates(rows, id_col="_key", words=5, percent=80).select("_key", "component_id"), "groups")
@@ -32,19 +36,29 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts by the name of its kind."""
-    found = pii.detect(docs, carry=tuple(docs.columns), redact=True)
+    """Replaces personal data in the texts by the name of its kind.
+
+    Null texts stay null, empty ones empty; repeated rows change alike; an empty table stays empty.
+    """
+    found = pii.detect(docs, carry=tuple(c for c in docs.columns if c != "text"), redact=True)
     own = {"text": F.col("redacted"), "n_chars": F.coalesce(F.length("redacted").cast("long"), F.col("row.n_chars"))}
     return found.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that sources meet their target weights."""
+    """Repeats or drops documents so that sources meet their target weights.
+
+    A null source is one of its own; texts without words count nothing; repeated rows share their
+    draw; an empty table stays empty.
+    """
     return mixing.mix(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenises and packs what is left into sequences of 2048 tokens, ids included."""
+    """Tokenises and packs what is left into sequences of 2048 tokens, ids included.
+
+    A null or empty text is its end id alone; repeated rows are packed one by one; an empty table gives no pieces.
+    """
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=True)
 
 
