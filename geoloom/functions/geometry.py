@@ -283,6 +283,7 @@ def clip_convex(geometry: Geometry, mask: np.ndarray) -> Geometry:
 
 def area(geometry: Geometry) -> float:
     def ring(r):
+        r = r - r[0]  # small shapes lie far from the origin
         return abs(float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum())) / 2
 
     return sum(ring(p[0]) - sum(map(ring, p[1:])) for p in geometry[1]) if geometry[0] == "polygon" else 0.0
@@ -291,14 +292,42 @@ def area(geometry: Geometry) -> float:
 def centroid(geometry: Geometry) -> np.ndarray:
     if geometry[0] != "polygon":
         return np.vstack([r for p in geometry[1] for r in p]).mean(0)
-    total, acc = 0.0, np.zeros(2)
+    total, acc, zero = 0.0, np.zeros(2), geometry[1][0][0][0]
     for p in geometry[1]:
         for k, r in enumerate(p):
+            r = r - zero
             c = r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]
             s = (1 if k == 0 else -1) * (1 if c.sum() >= 0 else -1)
             total += s * c.sum() / 2
             acc += s * np.array([((r[:-1, 0] + r[1:, 0]) * c).sum(), ((r[:-1, 1] + r[1:, 1]) * c).sum()]) / 6
-    return acc / total if total else geometry[1][0][0][:-1].mean(0)
+    return zero + acc / total if total else geometry[1][0][0][:-1].mean(0)
+
+
+def simplified(geometry: Geometry, tolerance: float) -> Geometry:
+    """Fewer points, none farther than ``tolerance`` from the shape that stays (the split at the farthest point)."""
+
+    def thin(r: np.ndarray) -> np.ndarray:
+        keep = np.zeros(len(r), bool)
+        keep[[0, -1]] = True
+        todo = [(0, len(r) - 1)]
+        while todo:
+            a, b = todo.pop()
+            if b - a < 2:
+                continue
+            d, p = r[b] - r[a], r[a + 1 : b] - r[a]
+            n = float(d @ d)
+            t = np.clip(p @ d / n, 0, 1) if n else np.zeros(len(p))
+            off = np.hypot(*(p - t[:, None] * d).T)
+            k = int(off.argmax())
+            if off[k] > tolerance:
+                keep[a + 1 + k] = True
+                todo += [(a, a + 1 + k), (a + 1 + k, b)]
+        return r[keep]
+
+    if geometry[0] == "point":
+        return geometry
+    least = 4 if geometry[0] == "polygon" else 2
+    return geometry[0], [[r if len(s := thin(r)) < least else s for r in p] for p in geometry[1]]
 
 
 def without_holes(geometry: Geometry) -> Geometry:
@@ -390,6 +419,23 @@ def st_within(a: Column, b: Column) -> Column:
     return _pairwise("within")(a, b)
 
 
+def st_holds(polygon: Column, lon: Column, lat: Column) -> Column:
+    """Whether the interior of a WKB polygon holds a point; points of one polygon are tested together."""
+
+    @pandas_udf("boolean")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for g, x, y in batches:
+            out = np.zeros(len(g), bool)
+            raw = g.map(lambda v: b"" if v is None else bytes(v))
+            xy = np.stack([x.to_numpy(float), y.to_numpy(float)], 1)
+            for data, at in raw.groupby(raw).indices.items():
+                if data:
+                    out[at] = _place(xy[at], from_wkb(data)) > 0
+            yield pd.Series(out)
+
+    return run(polygon, lon, lat)
+
+
 def st_bounds(wkb: Column) -> Column:
     """Struct of minx, miny, maxx, maxy."""
 
@@ -407,6 +453,7 @@ def _unary(name: str, kind: str, *args):
         "area": lambda g: area(g),
         "without_holes": lambda g: to_wkb(without_holes(g)),
         "buffer": lambda g: to_wkb(buffer_metres(g, *args)),
+        "simplified": lambda g: to_wkb(simplified(g, *args)),
         "parts": lambda g: [to_wkb(x) for x in flatten(g)],
     }
 
@@ -438,6 +485,37 @@ def st_parts(wkb: Column) -> Column:
     return _unary("parts", "array<binary>")(wkb)
 
 
+def st_simplify(wkb: Column, tolerance: float) -> Column:
+    return _unary("simplified", "binary", tolerance)(wkb)
+
+
+def st_centroid(wkb: Column) -> Column:
+    """Struct of lon and lat; null for an empty geometry."""
+
+    @pandas_udf("lon double, lat double, found boolean")
+    def run(g: pd.Series) -> pd.DataFrame:
+        shapes = [None if x is None else from_wkb(bytes(x)) for x in g]
+        rows = [(*centroid(s), True) if s is not None and s[1] else (None, None, None) for s in shapes]
+        return pd.DataFrame(rows, columns=["lon", "lat", "found"])
+
+    got = run(wkb)
+    return F.when(got["found"], got)
+
+
+def st_merged(parts: Column) -> Column:
+    """An array of WKB shapes of one kind as one multipart shape."""
+
+    @pandas_udf("binary")
+    def run(lists: pd.Series) -> pd.Series:
+        out = []
+        for raws in lists:
+            shapes = [from_wkb(bytes(x)) for x in raws if x is not None]
+            out.append(to_wkb((shapes[0][0], [p for s in shapes for p in s[1]])) if shapes else None)
+        return pd.Series(out, dtype=object)
+
+    return run(parts)
+
+
 def st_clip_box(wkb: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
     """The part of a geometry inside a box; null where nothing is left."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geoloom.operators.filters import fixed_columns
 from geoloom.schema import FEATURE, REGION, check_tables, drop_geometry
+from geoloom.storage import written
 
 AGGREGATES = ("average", "median", "sum", "min", "max")
 
@@ -183,21 +184,36 @@ def neighbour_pairs(edges: DataFrame) -> DataFrame:
 
 
 def negative_samples(regions: DataFrame, near: DataFrame, pairs: DataFrame, *, seed: int = 0, tries: int = 8) -> DataFrame:
-    """For each pair a region that is no neighbour up to the distance in ``near``.
+    """For each pair a region that is no neighbour up to the distance in ``near``; pairs of an anchor
+    that has no such region drop out.
 
-    Candidates come from a fixed hash of (pair, try) over numbered regions; the first that is
-    not excluded is taken, so nothing is drawn per row on the driver and reruns agree.
+    Regions lie on a ring by a hash of their id, cut into slots of a few each; a pair's hash picks a slot, and
+    of it and the next slots the first allowed region counts. Pairs whose slots are all excluded try again farther on,
+    up to the whole ring, so none is lost. Reruns agree, and no step numbers all rows in one task.
     """
-    from pyspark.sql import Window
-
-    w = Window.orderBy("region_id")
-    numbered = regions.select(F.col("region_id").alias("negative"), (F.row_number().over(w) - 1).alias("no"))
-    n = numbered.count()
-    drawn = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("|", "anchor", "positive", F.col("k").cast("string"), F.lit(str(seed)))), 1, 12), 16, 10).cast("long") % max(n, 1)
-    tried = drawn.withColumn("no", pick).join(numbered, "no").drop("no")
-    allowed = tried.filter("negative <> anchor").join(near.select(F.col("region_id").alias("anchor"), F.col("neighbour_id").alias("negative")), ["anchor", "negative"], "left_anti")
-    return allowed.groupBy("anchor", "positive").agg(F.min_by("negative", "k").alias("negative"))
+    regions = written(regions.select(F.col("region_id").alias("negative")).distinct(), "regions")
+    n = regions.count()
+    slots = max(1, n // 2)
+    place = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(slots))
+    ring = regions.select("negative", place("negative").alias("slot"), F.xxhash64("negative").alias("order"))
+    barred = near.select(F.col("region_id").alias("anchor"), F.col("neighbour_id").alias("negative")).distinct()
+    barred = barred.unionByName(regions.select(F.col("negative").alias("anchor"), "negative")).join(regions, "negative", "left_semi")
+    barred = written(barred.distinct(), "barred")
+    full = barred.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= n).select("anchor")
+    left = written(pairs.select("anchor", "positive").distinct().join(full, "anchor", "left_anti"), "pairs")
+    done, start, width = None, 0, min(tries, slots)
+    while True:
+        steps = F.explode(F.sequence(F.lit(start), F.lit(start + width - 1))).alias("k")
+        tried = left.select("anchor", "positive", steps).withColumn("slot", F.pmod(place("anchor", "positive") + F.col("k"), F.lit(slots)))
+        allowed = tried.join(ring, "slot").join(barred, ["anchor", "negative"], "left_anti")
+        found = written(allowed.groupBy("anchor", "positive").agg(F.min(F.struct("k", "order", "negative")).alias("first")), "negatives")
+        part = found.select("anchor", "positive", F.col("first.negative").alias("negative"))
+        done = part if done is None else done.unionByName(part)
+        left = written(left.join(found.select("anchor", "positive"), ["anchor", "positive"], "left_anti"), "pairs")
+        start += width
+        if start >= slots or not left.limit(1).count():
+            return done
+        width = min(2 * width, slots - start)
 
 
 def valid_patches(edges: DataFrame, k: int, ring_size: int) -> DataFrame:

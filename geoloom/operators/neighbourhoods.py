@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import grid
 from geoloom.operators.spatial_join import touches_join
+from geoloom.storage import written
 
 
 def tile_edges(tiles: DataFrame, k: int, zoom: int) -> DataFrame:
@@ -44,20 +45,25 @@ def edges_from_function(regions: DataFrame, neighbours: Callable, id_type: str =
 def up_to_distance(edges: DataFrame, distance: int, *, include_center: bool = False, roots: DataFrame | None = None) -> DataFrame:
     """Shortest hops up to a distance, by semi-naive breadth-first search.
 
-    Only the last round's new pairs are extended, and pairs seen before are dropped; a distance
-    below 0 gives nothing. ``roots`` bounds the starts (region_id).
+    Only the last round's new pairs are extended, and pairs seen before are dropped. Each round is
+    written to the shared folder, so the plan does not grow, and the search ends with the last new
+    pair. A distance below 0 gives nothing. ``roots`` bounds the starts (region_id).
     """
     steps = edges.filter("distance = 1 and region_id <> neighbour_id").select("region_id", "neighbour_id").distinct()
     starts = (roots.select("region_id") if roots is not None else edges.select("region_id")).distinct()
     center = starts.select("region_id", F.col("region_id").alias("neighbour_id"), F.lit(0).alias("distance"))
     if distance < 0:
         return center.limit(0)
+    steps, center = written(steps, "steps"), written(center, "hops")
+    hop = steps.select(F.col("region_id").alias("neighbour_id"), F.col("neighbour_id").alias("next"))
     seen = frontier = center
     for d in range(1, distance + 1):
-        hop = steps.select(F.col("region_id").alias("neighbour_id"), F.col("neighbour_id").alias("next"))
         new = frontier.join(hop, "neighbour_id").select("region_id", F.col("next").alias("neighbour_id")).distinct()
         new = new.join(seen.select("region_id", "neighbour_id"), ["region_id", "neighbour_id"], "left_anti").withColumn("distance", F.lit(d))
-        frontier, seen = new, seen.unionByName(new)
+        frontier = written(new, "hops")
+        if not frontier.limit(1).count():
+            break
+        seen = seen.unionByName(frontier)
     return seen if include_center else seen.filter("distance > 0")
 
 

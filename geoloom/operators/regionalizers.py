@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import itertools
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import grid, s2
 from geoloom.functions.scalars import EARTH_RADIUS_M, haversine_m
-from geoloom.functions.geometry import st_intersects, st_parts
+from geoloom.functions.geometry import st_area, st_centroid, st_clip_box, st_holds, st_intersects, st_merged, st_parts, st_simplify
 from geoloom.schema import BOX, GEOMETRY, need, with_bounds
+from geoloom.storage import written
 
 
 def explode_parts(df: DataFrame) -> DataFrame:
@@ -130,7 +132,8 @@ def voronoi_assign_grid(points: DataFrame, seeds: DataFrame, *, seed_id: str, ce
     """The same by a grid of cubes around the unit sphere, of ``cell`` degrees at first: the 27 cubes
     around a point are searched, and a point leaves once no seed beyond them can be nearer. Cubes double in
     each round; those of the last round hold the whole sphere."""
-    left = points.select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("row"), "lon", "lat", F.monotonically_increasing_id().alias("pid")).checkpoint()
+    left = points.select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("row"), "lon", "lat", F.monotonically_increasing_id().alias("pid"))
+    left = written(left, "points")
     steps = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(s, "xyz", strict=True)]) for s in itertools.product((-1, 0, 1), repeat=3)])
     done = None
     for turn in range(rounds):
@@ -143,13 +146,13 @@ def voronoi_assign_grid(points: DataFrame, seeds: DataFrame, *, seed_id: str, ce
         reach = reach.select("pid", "lon", "lat", *[(F.col(f"c{c}") + F.col(f"s.{c}")).alias(f"s{c}") for c in "xyz"])
         d = F.round(haversine_m(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat")), 6)
         best = reach.join(boxed, ["sx", "sy", "sz"]).groupBy("pid").agg(F.min(F.struct(d.alias("d"), F.col("sid").alias("id"))).alias("near"))
-        joined = left.join(best, "pid", "left")
+        joined = written(left.join(best, "pid", "left"), "nearest")
         # An unseen seed is at least a side away as the crow flies; the metre is for rounding.
         sure = F.lit(True) if last else F.col("near.d") < 2 * EARTH_RADIUS_M * math.asin(side / 2) - 1.0
         settled = F.coalesce(sure, F.lit(False))
         part = joined.filter(settled).select("row.*", F.col("near.id").alias(seed_id), F.col("near.d").alias("distance_m"))
         done = part if done is None else done.unionByName(part)
-        left = joined.filter(~settled).drop("near").checkpoint()
+        left = written(joined.filter(~settled).drop("near"), "points")
         if last or left.limit(1).count() == 0:
             break
     return done
@@ -232,26 +235,67 @@ def voronoi_polygons(spark: SparkSession, seeds: DataFrame, *, seed_id: str = "r
     return numbered.mapInPandas(run, f"{seed_id} {dict(seeds.dtypes)[seed_id]}, {GEOMETRY} binary")
 
 
-def administrative_regions(boundaries: DataFrame, area: DataFrame, *, admin_level: int, cell: float = 1.0, prefer_english: bool = True, least_share: float = 0.01) -> DataFrame:
+def seed_points(shapes: DataFrame, *, seed_id: str = "region_id") -> DataFrame:
+    """Seeds (id, lon, lat) of WKB shapes: points as they are, others by their centroid, empty ones dropped."""
+    c = st_centroid(F.col(GEOMETRY))
+    return shapes.select(seed_id, c.alias("_c")).filter("_c is not null").select(seed_id, "_c.lon", "_c.lat")
+
+
+def administrative_regions(
+    boundaries: DataFrame,
+    area: DataFrame,
+    *,
+    admin_level: int,
+    cell: float = 1.0,
+    prefer_english: bool = True,
+    least_share: float = 0.01,
+    clip_to_area: bool = False,
+    tolerance: float | None = None,
+) -> DataFrame:
     """Boundaries of a level that meet an area, from a table of boundaries.
 
-    ``boundaries``: element_id, admin_level, tags (map) and a box or WKB. Duplicate elements count once; a
-    region stays if more than ``least_share`` of its box lies in the area. Columns: region_id
-    (the chosen name), element_id, the box and geometry if there is one.
+    ``boundaries``: element_id, admin_level, tags (map) and a box or WKB; ``area``: boxes or
+    points. Duplicate elements count once; a region stays if it holds a point of the area or if more than ``least_share`` of it lies
+    in the area. Shapes can be simplified within ``tolerance`` degrees and cut to the area's boxes. Columns: region_id
+    (the chosen name), element_id, the box and geometry if there is one. Finding none is a
+    RuntimeWarning and an empty table.
     """
     from geoloom.functions.scalars import region_name
     from geoloom.operators.spatial_join import _meeting
 
     if not 1 <= admin_level <= 11:
         raise ValueError("admin_level must be from 1 to 11")
-    own = with_bounds(boundaries.filter(F.col("admin_level") == admin_level).dropDuplicates(["element_id"]))
-    pairs = _meeting(own.select("element_id", *BOX), with_bounds(area).select(*BOX), cell)
-    part = F.greatest(F.lit(0.0), F.least("l_maxx", "r_maxx") - F.greatest("l_minx", "r_minx")) * F.greatest(F.lit(0.0), F.least("l_maxy", "r_maxy") - F.greatest("l_miny", "r_miny"))
-    whole = (F.col("l_maxx") - F.col("l_minx")) * (F.col("l_maxy") - F.col("l_miny"))
-    kept = pairs.groupBy("element_id").agg(F.max(F.coalesce(F.try_divide(part, whole), F.lit(1.0))).alias("share")).filter(F.col("share") > least_share)
+    exact = GEOMETRY in boundaries.columns
+    own = boundaries.filter(F.col("admin_level") == admin_level).dropDuplicates(["element_id"])
+    if exact and tolerance:
+        own = own.withColumn(GEOMETRY, st_simplify(F.col(GEOMETRY), tolerance)).drop(*BOX)
+    own = with_bounds(own)
+    pairs = _meeting(own.select("element_id", *BOX, *([GEOMETRY] if exact else [])), with_bounds(area).select(*BOX), cell)
+    point = (F.col("r_minx") == F.col("r_maxx")) & (F.col("r_miny") == F.col("r_maxy"))
+    shared = {"minx": F.greatest("l_minx", "r_minx"), "miny": F.greatest("l_miny", "r_miny"), "maxx": F.least("l_maxx", "r_maxx"), "maxy": F.least("l_maxy", "r_maxy")}
+    if exact:
+        pairs = pairs.withColumn("piece", st_clip_box(F.col(GEOMETRY), *[F.col(f"r_{c}") for c in BOX]))
+        part, whole = F.coalesce(st_area(F.col("piece")), F.lit(0.0)), st_area(F.col(GEOMETRY))
+        point = point & st_holds(F.col(GEOMETRY), F.col("r_minx"), F.col("r_miny"))
+    else:
+        part = (shared["maxx"] - shared["minx"]) * (shared["maxy"] - shared["miny"])
+        whole = (F.col("l_maxx") - F.col("l_minx")) * (F.col("l_maxy") - F.col("l_miny"))
+    share = F.when(point, 1.0).otherwise(F.coalesce(F.try_divide(part, whole), F.lit(1.0)))
+    pairs = pairs.withColumns({"share": share, **shared})
+    best = [F.max("share").alias("share"), *[F.min(c).alias(c) for c in BOX[:2]], *[F.max(c).alias(c) for c in BOX[2:]]]
+    if exact and clip_to_area:
+        best.append(F.collect_list("piece").alias("pieces"))  # one a box of the area that the region meets
+    kept = written(pairs.groupBy("element_id").agg(*best).filter(F.col("share") > least_share), "boundaries")
+    if not kept.limit(1).count():
+        warnings.warn(f"no boundary of level {admin_level} meets the area", RuntimeWarning, stacklevel=2)
     named = own.withColumn("region_id", region_name(F.col("tags"), F.col("element_id"), prefer_english))
-    keep = ["region_id", "element_id", *BOX] + [GEOMETRY] * (GEOMETRY in boundaries.columns)
-    return named.join(kept, "element_id", "left_semi").select(*keep)
+    keep = ["region_id", "element_id", *BOX] + [GEOMETRY] * exact
+    if not clip_to_area:
+        return named.join(kept, "element_id", "left_semi").select(*keep)
+    cut = named.drop(*BOX).join(kept, "element_id")
+    if exact:
+        cut = cut.withColumn(GEOMETRY, st_merged(F.col("pieces")))
+    return cut.select(*keep)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:

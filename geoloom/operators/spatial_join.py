@@ -103,16 +103,26 @@ def _box_wkb(prefix: str) -> Column:
 
 
 def within_join(points: DataFrame, regions: DataFrame, *, cell: float, region_id: str = REGION, how: str = "left") -> DataFrame:
-    """Points with the region whose interior holds them; with ``how`` = "left" also the others."""
-    key = "_point"
-    numbered = points.withColumn(key, F.monotonically_increasing_id()) if how == "left" else points.withColumn(key, F.lit(0))
+    """Points with the region whose interior holds them; with ``how`` = "left" also the others.
+
+    Regions are boxes or WKB polygons; for polygons the exact test runs on points inside their boxes.
+    """
+    exact = GEOMETRY in regions.columns
+    numbered = points.withColumn("_point", F.monotonically_increasing_id()) if how == "left" else points
     size = F.lit(float(cell))
-    cells = covered(with_bounds(regions).select(region_id, *BOX), cell, "r_")
+    cells = covered(with_bounds(regions).select(region_id, *BOX, *([F.col(GEOMETRY).alias("r_geometry")] if exact else [])), cell, "r_")
     placed = numbered.withColumn("cx", F.floor(F.col("lon") / size)).withColumn("cy", F.floor(F.col("lat") / size))
     inside = (F.col("lon") > F.col("r_minx")) & (F.col("lon") < F.col("r_maxx")) & (F.col("lat") > F.col("r_miny")) & (F.col("lat") < F.col("r_maxy"))
     l, r = placed.alias("p"), cells.alias("c")
-    joined = l.join(r, (F.col("p.cx") == F.col("c.cx")) & (F.col("p.cy") == F.col("c.cy")) & inside, how)
-    return joined.select(*[F.col(f"p.`{c}`") for c in points.columns], F.col(f"c.{region_id}"))
+    here = (F.col("p.cx") == F.col("c.cx")) & (F.col("p.cy") == F.col("c.cy")) & inside
+    own = [F.col(f"p.`{c}`") for c in points.columns]
+    if not exact:
+        return l.join(r, here, how).select(*own, F.col(f"c.{region_id}"))
+    held = l.join(r, here).filter(G.st_holds(F.col("r_geometry"), F.col("lon"), F.col("lat")))
+    if how != "left":
+        return held.select(*own, F.col(f"c.{region_id}"))
+    found = held.select(F.col("p._point").alias("_point"), F.col(f"c.{region_id}"))
+    return numbered.join(found, "_point", "left").select(*points.columns, region_id)
 
 
 def touches_join(regions: DataFrame, *, cell: float, region_id: str = REGION) -> DataFrame:
@@ -129,11 +139,19 @@ def touches_join(regions: DataFrame, *, cell: float, region_id: str = REGION) ->
 
 
 def semi_join(rows: DataFrame, areas: DataFrame, *, cell: float, id_col: str, contained: bool = False) -> DataFrame:
-    """Rows whose box meets any area (or, with ``contained``, lies within one), each once."""
-    l, r = with_bounds(rows), with_bounds(areas).select(*BOX)
-    pairs = _meeting(l.select(id_col, *BOX), r, cell)
+    """Rows that meet any area (or, with ``contained``, lie within one), each once.
+
+    Either side holds boxes, points or WKB; with WKB on a side the exact predicate runs on pairs whose boxes meet.
+    """
+    exact = GEOMETRY in rows.columns or GEOMETRY in areas.columns
+    l = _narrow(rows, id_col, "l_geometry")
+    r = with_bounds(areas).select(*BOX, *([F.col(GEOMETRY).alias("r_geometry")] if GEOMETRY in areas.columns else []))
+    pairs = _meeting(l, r, cell)
     if contained:
         pairs = pairs.filter("l_minx >= r_minx and l_maxx <= r_maxx and l_miny >= r_miny and l_maxy <= r_maxy")
+    if exact:
+        side = {p: F.col(f"{p}geometry") if f"{p}geometry" in pairs.columns else _box_wkb(p) for p in ("l_", "r_")}
+        pairs = pairs.filter((G.st_within if contained else G.st_intersects)(side["l_"], side["r_"]))
     return rows.join(pairs.select(id_col).distinct(), id_col, "left_semi")
 
 

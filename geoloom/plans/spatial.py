@@ -55,10 +55,10 @@ def j1b_tile_corners(spark, sf_dir):
     return t.select("region_id", F.round(grid.tile_lon(F.col("x"), 10), 6).alias("lon"), F.round(grid.tile_lat(F.col("y"), 10), 6).alias("lat")).distinct()
 
 
-@query("j2d_ring_buffer", f"""WITH {sql_tiled(ZOOM)}, d AS (SELECT unnest([-1, 0, 1]) AS v), c AS (SELECT DISTINCT x, y FROM tiled WHERE feature_id % 50 = 0)
+@query("j2d_ring_buffer", f"""WITH {sql_tiled(ZOOM)}, d AS (SELECT unnest([-1, 0, 1]) AS v), c AS (SELECT DISTINCT x, y FROM tiled)
 SELECT DISTINCT CAST(c.x + a.v AS BIGINT) AS x, CAST(c.y + b.v AS BIGINT) AS y, {sql_id('c.x + a.v', 'c.y + b.v', ZOOM)} AS region_id FROM c, d a, d b""")
 def j2d_ring_buffer(spark, sf_dir):
-    t = tiled(spark, sf_dir, ZOOM).filter("feature_id % 50 = 0").select("x", "y").distinct()
+    t = tiled(spark, sf_dir, ZOOM).select("x", "y").distinct()
     return regionalizers.ring_buffer(t, 1, ZOOM)
 
 

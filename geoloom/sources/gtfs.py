@@ -15,10 +15,14 @@ def read_feed(spark: SparkSession, folder: str, tables: tuple[str, ...] = ("stop
     return {t: spark.read.option("header", True).csv(f"{folder}/{t}.txt") for t in tables}
 
 
-def validate(report: DataFrame, fail: bool = True) -> list[str]:
-    """Messages of a validation report (type, message); errors raise ValueError if asked."""
-    rows = report.select("type", "message").limit(1000).collect()
-    if fail and any(r["type"] == "error" for r in rows):
+def validate(report: DataFrame, fail: bool = True, shown: int = 1000) -> list[str]:
+    """Messages of a validation report (type, message), errors first; errors raise ValueError if asked.
+
+    Every row is looked at; ``shown`` bounds only how many messages come to the driver.
+    """
+    error = F.col("type") == "error"
+    rows = report.select("type", "message").orderBy(F.when(error, 0).otherwise(1), "type", "message").limit(shown).collect()
+    if fail and rows and rows[0]["type"] == "error":
         raise ValueError("the feed has errors: " + "; ".join(r["message"] for r in rows if r["type"] == "error"))
     return [f"{r['type']}: {r['message']}" for r in rows]
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions import grid
+from geoloom.storage import new_path
 
 
 def located(events: DataFrame) -> DataFrame:
@@ -37,8 +37,7 @@ def run_once(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFr
     window wins by batch number.
     """
     schema = spark.read.parquet(path).schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/geoloom-stream"
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = new_path(spark, "stream")
     folder, _, name = path.rpartition("/")
     source = spark.readStream.schema(schema)
     stream = build(source.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else source.parquet(path))
