@@ -52,28 +52,36 @@ def principal_axes(vectors: DataFrame, axes: int, sample: int) -> dict[int, np.n
     return out
 
 
-def _gap(lo_a, hi_a, lo_b, hi_b):
-    """Least distance of two boxes."""
-    return np.sqrt((np.maximum(0, np.maximum(lo_a - hi_b, lo_b - hi_a)) ** 2).sum(-1))
+def interval_pairs(boxes: DataFrame, eps: float, fan: int = 64) -> DataFrame:
+    """Pairs (i <= j) of intervals whose boxes are within eps, from (block, d, lo, hi) in sequence order.
 
-
-def partners(lo: np.ndarray, hi: np.ndarray, dims: np.ndarray, i: int, eps: float) -> list[int]:
-    """The intervals j >= i that may hold a vector within eps of interval i.
-
-    Recursive halving of the sequence: a half whose box is provably farther than eps from
-    interval i is skipped whole.
+    Up to ``fan`` neighbours in the sequence share a box on the level above, up to one box. From
+    there pairs of boxes that are near enough are replaced by pairs of what they hold, level by
+    level, with equality joins on the parents; a pair of distant boxes takes all below it away.
     """
-    out, todo = [], [(i, len(lo))]
-    while todo:
-        a, b = todo.pop()
-        same = dims[a:b] == dims[i]
-        if not same.any() or _gap(lo[i], hi[i], lo[a:b][same].min(0), hi[a:b][same].max(0)) > eps:
-            continue
-        if b - a == 1:
-            out.append(a)
-        else:
-            todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
-    return sorted(out)
+    axes = boxes.select(F.size("lo").alias("n")).first()
+    if axes is None:
+        return boxes.select(F.col("block").alias("i"), F.col("block").alias("j"))
+    least = lambda c, f: F.array(*[f(F.get(c, F.lit(k))) for k in range(axes["n"])]).alias(c)
+    level = boxes.select("d", F.shiftright("block", 32).alias("p"), F.col("block").bitwiseAND((1 << 32) - 1).alias("q"), "lo", "hi")
+    most = level.agg(F.max("p").alias("p"), F.max("q").alias("q")).first()
+    p, q, levels = most["p"], most["q"], []
+    while p or q:
+        up = {"pp": F.col("p"), "pq": F.floor(F.col("q") / fan)} if q else {"pp": F.floor(F.col("p") / fan), "pq": F.lit(0)}
+        p, q = (p, q // fan) if q else (p // fan, 0)
+        level = level.withColumns({c: v.cast("long") for c, v in up.items()})
+        levels.append(level)
+        level = materialise(level.groupBy("d", F.col("pp").alias("p"), F.col("pq").alias("q")).agg(least("lo", F.min), least("hi", F.max)), "boxes")
+    pairs = level.select("d", F.col("p").alias("ap"), F.col("q").alias("aq"), F.col("p").alias("bp"), F.col("q").alias("bq"))
+    apart = lambda x, y: F.zip_with(F.col(x), F.col(y), lambda u, v: u.cast("double") - v)
+    wide = F.zip_with(apart("alo", "bhi"), apart("blo", "ahi"), lambda u, v: F.pow(F.greatest(u, v, F.lit(0.0)), F.lit(2.0)))
+    near = F.aggregate(wide, F.lit(0.0), lambda t, x: t + x) <= (eps + 1e-6) ** 2  # coordinates are of single precision
+    for level in reversed(levels):
+        side = lambda s: level.select("d", F.col("pp").alias(f"{s}p"), F.col("pq").alias(f"{s}q"), F.struct("p", "q").alias(s), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi"))  # noqa: E731, B023
+        met = pairs.join(side("a"), ["d", "ap", "aq"]).join(side("b"), ["d", "bp", "bq"]).filter("a <= b").filter(near)
+        pairs = materialise(met.select("d", F.col("a.p").alias("ap"), F.col("a.q").alias("aq"), F.col("b.p").alias("bp"), F.col("b.q").alias("bq")), "near-boxes")
+    block = lambda s: (F.shiftleft(f"{s}p", 32) + F.col(f"{s}q"))
+    return pairs.select(block("a").alias("i"), block("b").alias("j"))
 
 
 def link_block(xa: np.ndarray, xb: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +131,7 @@ def epsilon_grid_join(
     order on the leading principal axes by a range exchange and cut into intervals; intervals
     whose boxes are farther apart than eps are skipped, recursively, and the rest meet in pairs.
     Equal vectors are one class with a multiplicity; a pair of intervals returns counts and local
-    components, never the links themselves. The table of interval boxes, one row per ``interval``
-    vectors, is what the tasks share.
+    components, never the links themselves. Boxes stay a table, with boxes of boxes above them.
 
     Edge cases: vectors that are null, zero or hold null or non-finite components have no links
     and are their own component; vectors of different lengths don't link; rows with equal ids
@@ -185,18 +192,7 @@ def epsilon_grid_join(
 
     blocks = ordered.mapInArrow(cut, f"block long, d int, lo array<float>, hi array<float>, reps array<{id_type}>, ms array<long>, x binary")
     blocks = materialise(blocks, "intervals")
-    boxes = blocks.select("block", "d", "lo", "hi").orderBy("block").collect()
-    lo, hi = (np.array([r[c] for r in boxes], np.float64).reshape(len(boxes), axes) for c in ("lo", "hi"))
-    order, dims = [r["block"] for r in boxes], np.array([r["d"] for r in boxes])
-    at = {b: k for k, b in enumerate(order)}
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in batch.column(0).to_pylist():
-                js = [order[j] for j in partners(lo, hi, dims, at[b], eps)]
-                yield pa.RecordBatch.from_arrays([pa.array([b] * len(js), pa.int64()), pa.array(js, pa.int64())], ["i", "j"])
-
-    pairs = blocks.select("block").mapInArrow(pair, "i long, j long")
+    pairs = interval_pairs(blocks.select("block", "d", "lo", "hi"), eps)
     left, right = (blocks.select(F.col("block").alias(k), F.col("d").alias(f"d{k}"), F.col("reps").alias(f"r{k}"), F.col("ms").alias(f"m{k}"), F.col("x").alias(f"x{k}")) for k in "ij")
     met = pairs.join(left, "i").join(right, "j").select("i", "j", "di", "ri", "mi", "xi", "rj", "mj", "xj")
 
@@ -282,9 +278,10 @@ class MTree:
         self.pages.append((kept, self._far(kept, parent) if parent is not None else np.zeros(len(kept)), np.array(radii), children))
         return len(self.pages) - 1
 
-    def search(self, q: np.ndarray, own_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, own_ids: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Best first for many queries in step: per query the k largest scores and their ids, without
-        its own id, ties to smaller ids; -inf where there are fewer.
+        its own id, ties to smaller ids; -inf where there are fewer. With ``floors`` (whole numbers or
+        -inf) only scores from there on are wanted, and the place of one that is missing holds floor - 0.5.
 
         In each round every query takes the page of its least bound; queries that take the same
         page are worked on together. A query is done when its next bound lies beyond its k-th distance.
@@ -297,6 +294,10 @@ class MTree:
         fixed = (q * q).sum(1) + self.top
         slack = 1e-6 * np.sqrt(1 + fixed)
         limit = np.full(n, np.inf)
+        if floors is not None:
+            best_s[:] = floors[:, None] - 0.5
+            known = np.isfinite(floors)
+            limit[known] = np.sqrt(np.maximum(fixed[known] - 2 * best_s[known, 0], 0))
         bound = np.full((n, len(self.pages)), np.inf)
         bound[:, self.root] = 0
         to_parent = np.full((n, len(self.pages)), np.nan)
@@ -343,6 +344,35 @@ class MTree:
         limit[w] = np.where(np.isfinite(last), np.sqrt(np.maximum(fixed[w] - 2 * np.where(np.isfinite(last), last, 0), 0)), np.inf)
 
 
+#: Regions of the space at most, which bounds what tasks share; regions beyond their size are cut by a hash.
+MAX_PIVOTS = 512
+
+
+class Regions:
+    """Pivots with covering radii, over vectors lifted to one norm as in the trees."""
+
+    def __init__(self, pivots: np.ndarray, top: float):
+        self.x, self.top = pivots.astype(np.float64), top
+        self.lift = np.sqrt(np.maximum(top - (self.x * self.x).sum(1), 0))
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot of each row and its distance."""
+        x = x.astype(np.float64)
+        lift = np.sqrt(np.maximum(self.top - (x * x).sum(1), 0))
+        near = x @ self.x.T + lift[:, None] * self.lift
+        at = near.argmax(1)
+        return at, np.sqrt(np.maximum(2 * self.top - 2 * near[np.arange(len(x)), at], 0))
+
+    def reach(self, q: np.ndarray, radii: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """(query, region): whether the region's ball may hold a score of the query's floor or more."""
+        q = q.astype(np.float64)
+        fixed = (q * q).sum(1) + self.top
+        far = np.sqrt(np.maximum(fixed[:, None] - 2 * q @ self.x.T, 0))
+        limit = np.sqrt(np.maximum(fixed - 2 * np.where(np.isfinite(floors), floors, 0), 0))
+        slack = 1e-6 * np.sqrt(1 + fixed)
+        return (far - radii <= (limit + slack)[:, None]) | ~np.isfinite(floors)[:, None]
+
+
 def top_inner_products(
     rows: DataFrame,
     *,
@@ -357,9 +387,11 @@ def top_inner_products(
     """Each query's k largest integer inner products: query_id, rank, vec_id (candidate) and score.
 
     Components become floor(scale * x); queries are the rows whose id is divisible by ``every``,
-    candidates every row but those of the query's own id. Rows are dealt by a hash of the id into
-    trees of about ``tree_rows``; every block of queries meets every tree, giving k rows a query
-    and tree, and a window per query keeps the best k of those.
+    candidates every row but those of the query's own id. Rows go to the nearest of up to
+    ``MAX_PIVOTS`` pivots; a region is one M-tree or, by a hash, several of about ``tree_rows``.
+    Queries first search the region they lie in. Their k-th score there bounds the second
+    round: only regions whose ball may hold a better one are visited, and only scores from
+    the bound on are returned. A window per query keeps the best k.
 
     Edge cases: vectors that are null or hold null or non-finite components take no part; of rows
     with equal ids the least vector counts; shorter vectors count as padded with zeros; null ids take no part; fewer than k candidates are all returned; an
@@ -369,62 +401,105 @@ def top_inner_products(
     good = usable(rows, id_col, vector_col).filter("id is not null")
     ints = good.select("id", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
     ints = materialise(ints.groupBy("id").agg(F.min("v").alias("v")), "ints")
-    size = ints.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
-    trees, width = max(1, -(-size["n"] // tree_rows)), size["d"]
-    tree_of = F.pmod(F.xxhash64("id"), F.lit(trees)).cast("int")
-    padded = lambda column: np.array([(x + [0] * width)[:width] for x in column.to_pylist()], np.int64).reshape(-1, width)
-
-    def gather(key: str, most: int):
-        """Rows of a partition, sorted by key, as one binary row per key and ``most`` rows."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list] = {}
-
-            def flush(g):
-                ids, x = held.pop(g)
-                return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([ids]), pa.array([np.concatenate(x).tobytes()], pa.binary())], [key, "ids", "x"])
-
-            for batch in batches:
-                groups, x = batch.column(0).to_numpy(), padded(batch.column(2))
-                for g in np.unique(groups).tolist():
-                    for old in [o for o in held if o != g]:
-                        yield flush(old)
-                    mask = np.nonzero(groups == g)[0]
-                    own = held.setdefault(g, [[], []])
-                    own[0] += batch.column(1).take(pa.array(mask)).to_pylist()
-                    own[1].append(x[mask])
-                    if len(own[0]) >= most:
-                        yield flush(g)
-            for g in list(held):
-                yield flush(g)
-
-        return run
-
-    dealt = ints.select(tree_of.alias("tree"), "id", "v")
-    if trees > 1:
-        dealt = dealt.repartition("tree").sortWithinPartitions("tree")
-    shards = materialise(dealt.mapInArrow(gather("tree", tree_rows * 2), f"tree int, ids array<{id_type}>, x binary"), "trees")
-    asked = ints.filter(F.col("id") % every == 0).select(F.lit(0).alias("g"), "id", "v")
-    blocks = asked.mapInArrow(gather("g", query_rows), f"g int, ids array<{id_type}>, x binary")
-    blocks = blocks.select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    met = blocks.repartition(trees, "tree").join(shards.repartition(trees, "tree"), "tree").select("q_ids", "q_x", "ids", "x")
+    square = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x)
+    size = ints.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d"),
+        F.coalesce(F.max(square), F.lit(0.0)).alias("top"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda t, x: F.greatest(t, F.abs(x)))).alias("big"),
+    ).first()
+    width, kind = size["d"], np.dtype("<i4" if (size["big"] or 0) < 1 << 31 else "<i8")
+    padded = lambda lists: np.array([(x + [0] * width)[:width] for x in lists], np.int64).reshape(len(lists), width).astype(kind)
+    drawn = ints.orderBy(hash_unit(F.col("id"), seed="pivots"), "id").limit(min(MAX_PIVOTS, max(1, -(-size["n"] // tree_rows)))).select("v").collect()
+    regions = Regions(padded([r["v"] for r in drawn]), size["top"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                x = padded(part.column(1).to_pylist())
+                region, far = regions.nearest(x)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(region, pa.int32()), pa.array(far), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "tree", "far", "x"])
+
+    placed = materialise(ints.mapInArrow(place, f"id {id_type}, tree int, far double, x binary"), "placed")
+    asked = placed.filter(F.col("id") % every == 0)
+    found = placed.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.count_if(F.col("id") % every == 0).alias("q")).collect()  # a row a pivot
+    radii, chunks, parts = np.full(len(drawn), -np.inf), np.ones(len(drawn), np.int64), np.ones(len(drawn), np.int64)
+    for r in found:
+        radii[r["tree"]], chunks[r["tree"]], parts[r["tree"]] = r["radius"], -(-r["n"] // tree_rows), max(1, -(-r["q"] // query_rows))
+    per_tree = lambda counts: F.get(F.array(*[F.lit(int(c)) for c in counts]), F.col("tree")) if len(drawn) else F.lit(1)
+    chunks_of = per_tree(chunks)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted (tree, chunk, id, x) rows as one row per tree, chunk and ``query_rows`` or a whole tree."""
+        own, ids, x = None, [], []
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array([own[0]], pa.int32()), pa.array([own[1]], pa.int64()), pa.array([ids], pa.list_(id_kind)), pa.array([b"".join(x)], pa.binary())], ["tree", "chunk", "ids", "x"])
+
+        for batch in batches:
+            id_kind = batch.column(2).type
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if own != row[:2] or len(ids) >= row[4]:
+                    if ids:
+                        yield flush()
+                    own, ids, x = row[:2], [], []
+                ids.append(row[2])
+                x.append(row[3])
+        if ids:
+            yield flush()
+
+    gathered = f"tree int, chunk long, ids array<{id_type}>, x binary"
+    chunk = F.pmod(F.xxhash64("id"), chunks_of).cast("long").alias("chunk")
+    dealt = placed.select("tree", chunk, "id", "x", F.lit(8 * tree_rows).alias("most")).repartition("tree", "chunk").sortWithinPartitions("tree", "chunk")
+    trees = materialise(dealt.mapInArrow(gather, gathered), "trees")
+    part = F.pmod(F.xxhash64("id"), per_tree(parts)).cast("long").alias("chunk")
+    first = asked.select("tree", part, "id", "x", F.lit(2 * query_rows).alias("most")).repartition("tree", "chunk").sortWithinPartitions("tree", "chunk").mapInArrow(gather, gathered)
+    first = first.select("tree", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.expr("cast(null as array<double>)").alias("floors"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tree = None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                raw = batch.column(3)[r].as_buffer()
+                raw = batch.column(4)[r].as_buffer()
                 if last is None or not raw.equals(last):
-                    ids = batch.column(2)[r].values.to_numpy(zero_copy_only=False)
-                    last, tree = raw, MTree(ids, np.frombuffer(raw, np.int64).reshape(len(ids), width))
+                    ids = batch.column(3)[r].values.to_numpy(zero_copy_only=False)
+                    last, tree = raw, MTree(ids, np.frombuffer(raw, kind).reshape(len(ids), width))
                 own = batch.column(0)[r].values.to_numpy(zero_copy_only=False)
-                q = np.frombuffer(batch.column(1)[r].as_buffer(), np.int64).reshape(len(own), width)
-                scores, found = tree.search(q, own, k)
-                at, real = np.repeat(own, k), np.isfinite(scores.ravel())
-                kind = batch.column(0).type.value_type
-                yield pa.RecordBatch.from_arrays([pa.array(at[real], kind), pa.array(found.ravel()[real], kind), pa.array(scores.ravel()[real].astype(np.int64))], ["query_id", "vec_id", "score"])
-
-    with batch_rows(spark, 4):
-        best = materialise(met.mapInArrow(search, f"query_id {id_type}, vec_id {id_type}, score long"), "best")
+                q = np.frombuffer(batch.column(1)[r].as_buffer(), kind).reshape(len(own), width)
+                floors = batch.column(2)[r].values
+                scores, near = tree.search(q, own, k, None if floors is None else floors.to_numpy(zero_copy_only=False))
+                at, s = np.repeat(own, k), scores.ravel()
+                real = np.isfinite(s) & (s == np.floor(s))
+                out = batch.column(0).type.value_type
+                yield pa.RecordBatch.from_arrays([pa.array(at[real], out), pa.array(near.ravel()[real], out), pa.array(s[real].astype(np.int64))], ["query_id", "vec_id", "score"])
+
+    def searched(blocks: DataFrame, label: str) -> DataFrame:
+        every_chunk = F.explode(F.sequence(F.lit(0).cast("long"), chunks_of.cast("long") - 1)).alias("chunk")
+        met = blocks.select("tree", "q_ids", "q_x", "floors", every_chunk).repartition("tree", "chunk").join(trees, ["tree", "chunk"]).select("q_ids", "q_x", "floors", "ids", "x")
+        with batch_rows(spark, 4):
+            return materialise(met.mapInArrow(search, f"query_id {id_type}, vec_id {id_type}, score long"), label)
+
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda best: best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    near = materialise(ranked(searched(first, "near")), "near")
+    bounds = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, query_rows):
+                part = batch.slice(at, query_rows)
+                raw, own = part.column(2).to_pylist(), part.column(1).to_numpy()
+                q = np.frombuffer(b"".join(raw), kind).reshape(len(raw), width)
+                floors = part.column(3).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                go = regions.reach(q, radii, floors)
+                go[np.arange(len(q)), own] = False
+                for t in np.flatnonzero(go.any(0)).tolist():
+                    some = np.flatnonzero(go[:, t])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([t], pa.int32()), pa.array([part.column(0).take(pa.array(some)).to_pylist()], pa.list_(part.column(0).type)), pa.array([q[some].tobytes()], pa.binary()), pa.array([floors[some].tolist()], pa.list_(pa.float64()))],
+                        ["tree", "q_ids", "q_x", "floors"],
+                    )
+
+    groups = max(1, -(-sum(r["q"] for r in found) // query_rows))
+    rest = asked.select("id", "tree", "x").join(bounds, "id", "left").repartition(groups, "id").mapInArrow(visits, f"tree int, q_ids array<{id_type}>, q_x binary, floors array<double>")
+    far = searched(rest, "far")
+    return ranked(near.drop("rank").unionByName(far)).select("query_id", "rank", "vec_id", "score")

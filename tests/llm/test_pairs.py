@@ -147,10 +147,18 @@ def test_epsilon_grid_join(spark, interval):
     assert vectors.epsilon_grid_join(df.limit(0)).count() == 0
 
 
-def test_intervals_far_apart_are_skipped():
-    lo = np.array([[0.0], [1.0], [2.0], [9.0]])
-    assert vectors.partners(lo, lo + 0.5, np.zeros(4), 0, 1.0) == [0, 1]
-    assert vectors.partners(lo, lo + 0.5, np.array([0, 0, 1, 0]), 1, 10.0) == [1, 3]
+def test_pairs_of_near_intervals_by_level(spark):
+    rng = np.random.default_rng(3)
+    lo = np.round(rng.uniform(0, 20, (300, 2)), 2)
+    hi = lo + np.round(rng.uniform(0, 1, (300, 2)), 2)
+    block = [(k % 7 << 32) + k // 7 for k in range(300)]
+    d = [1 + k % 2 for k in range(300)]
+    df = spark.createDataFrame([(b, n, x, y) for b, n, x, y in zip(block, d, lo.tolist(), hi.tolist(), strict=True)], "block long, d int, lo array<float>, hi array<float>")
+    got = sorted((r["i"], r["j"]) for r in vectors.interval_pairs(df, 0.8, fan=4).collect())
+    gap = lambda i, j: np.hypot(*np.maximum(0, np.maximum(lo[i] - hi[j], lo[j] - hi[i])))
+    want = sorted((block[i], block[j]) for i in range(300) for j in range(300) if block[i] <= block[j] and d[i] == d[j] and gap(i, j) <= 0.8)
+    assert got == want
+    assert vectors.interval_pairs(df.limit(0), 0.8).count() == 0
 
 
 def brute_top(rows, every=20, k=20):
