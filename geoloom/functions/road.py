@@ -31,6 +31,11 @@ def _capped(value: Column, most: float) -> Column:
     return F.when(value.isNotNull(), F.least(value, F.lit(most)))
 
 
+def _bound(value: Column, rule) -> Column:
+    """rule(value) with the value worked out once, however often the rule mentions it."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
+
+
 def lanes(value: Column) -> Column:
     """Whole lanes, at most 15."""
     return _shown(_capped(_text(value).try_cast("double").cast("long"), MAX_LANES), "int")
@@ -42,19 +47,18 @@ def maxspeed(value: Column, zones: Mapping[str, float] | None = None) -> Column:
     if zones:
         table = F.create_map(*[F.lit(v) for kv in zones.items() for v in (kv[0], str(kv[1]))])
         text = F.coalesce(F.try_element_at(table, text), text)
-    text = F.when(~text.isin("signals", "variable"), text)
-    mph = text.contains("mph")
-    number = F.trim(F.regexp_replace(text, "km/h|mph", "")).try_cast("double")
-    speed = F.when(mph, number * MPH_TO_KMH).otherwise(number)
-    step = (
-        F.when(speed <= 0, F.lit(0.0))
-        .when(speed <= 5, F.lit(5.0))
-        .when(speed <= 7, F.lit(7.0))
-        .when(speed <= 10, F.lit(10.0))
-        .when(speed <= 15, F.lit(15.0))
-        .otherwise(F.least(F.bround(speed / 10.0) * 10.0, F.lit(float(MAX_SPEED))))
-    )
-    return _shown(F.when(speed.isNotNull(), step), "int")
+
+    def step(speed: Column) -> Column:
+        tens = F.least(F.bround(speed / 10.0) * 10.0, F.lit(float(MAX_SPEED)))
+        least = F.when(speed <= 0, F.lit(0.0)).when(speed <= 5, F.lit(5.0)).when(speed <= 7, F.lit(7.0)).when(speed <= 10, F.lit(10.0)).when(speed <= 15, F.lit(15.0))
+        return _shown(F.when(speed.isNotNull(), least.otherwise(tens)), "int")
+
+    def number(t: Column) -> Column:
+        plain = t.try_cast("double")  # most values are bare numbers, which need no pattern
+        read = F.coalesce(plain, F.trim(F.regexp_replace(t, "km/h|mph", "")).try_cast("double"))
+        return F.when(t.contains("mph"), read * MPH_TO_KMH).otherwise(read)
+
+    return _bound(F.when(~text.isin("signals", "variable"), text), lambda t: _bound(number(t), step))
 
 
 def width(value: Column) -> Column:

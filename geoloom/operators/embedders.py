@@ -37,6 +37,18 @@ def expected_features(tags: Mapping | Sequence[str] | None, subcategories: bool)
     return sorted(dict.fromkeys(names))
 
 
+#: Columns that a table of counts may get from its data.
+MAX_COLUMNS = 10_000
+
+
+def _few(names: DataFrame, what: str) -> list[str]:
+    """The values of a one-column table that become columns, sorted; too many are an error."""
+    found = [r[0] for r in names.limit(MAX_COLUMNS + 1).collect()]
+    if len(found) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} {what}")
+    return sorted(found)
+
+
 def count_embedding(
     regions: DataFrame,
     features: DataFrame,
@@ -71,7 +83,7 @@ def count_embedding(
     if subcategories:
         pairs = F.array(*[F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f"{c}_"), F.col(f"`{c}`").cast("string"))) for c in values])
         long = features.select(feature_id, F.explode(F.array_compact(pairs)).alias("name")).filter(~F.col("name").endswith("_null"))
-        names = wanted if wanted is not None else sorted(r["name"] for r in long.select("name").distinct().collect())
+        names = wanted if wanted is not None else _few(long.select("name").distinct(), "names of features; list the expected ones")
         counted = left.join(long.filter(F.col("name").isin(names)), feature_id).groupBy(region_id)
         counts = counted.pivot("name", names).count() if names else counted.count().drop("count")
     else:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.operators.quantiles import quantiles
+
 TagFilter = Mapping[str, object]
 
 
@@ -88,10 +90,10 @@ def fixed_columns(df: DataFrame, wanted: Iterable[str], keep: Iterable[str]) ->
 def within_quantiles(df: DataFrame, value: Column, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Rows between two quantiles (linear interpolation, bounds included).
 
-    The bounds are one row of scalars, joined back as a checked single-row side.
+    The quantiles are found first, so the filter is two constants that reach the scan.
     """
-    limits = df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return df.crossJoin(F.broadcast(limits)).filter(value.between(F.col("_q")[0], F.col("_q")[1])).drop("_q")
+    lo, hi = quantiles(df, value, [low, high])
+    return df.filter(value.between(lo, hi)) if lo is not None else df.limit(0)
 
 
 def in_bounds(df: DataFrame, lon: tuple[float, float], lat: tuple[float, float]) -> DataFrame:

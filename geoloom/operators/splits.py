@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import grid
+from geoloom.operators.quantiles import quantiles
 
 SPLITS = ("train", "validation", "test")
+#: Rows of cell statistics that the greedy assignment takes.
+MAX_CELLS = 2_000_000
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int, out: str = "bucket") -> DataFrame:
     """Equal-frequency bins: distinct linear quantiles as edges, right-closed, the least value in the first."""
-    shares = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    edges = df.agg(F.array_distinct(F.percentile(F.col(value), shares)).alias("_e"))
-    below = F.size(F.filter("_e", lambda e: e < F.col(value))) - 1
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, F.greatest(below, F.lit(0)).cast("int")).drop("_e")
+    edges = sorted({e for e in quantiles(df, F.col(value), [k / bins for k in range(bins + 1)]) if e is not None})
+    below = F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e < F.col(value))) - 1
+    return df.withColumn(out, F.greatest(below, F.lit(0)).cast("int"))
 
 
 def width_bins(df: DataFrame, value: str, bins: int, out: str = "bucket") -> DataFrame:
@@ -97,11 +99,15 @@ def spatial_split(
 
     Only the statistics per cell and bucket reach the driver, where the greedy assignment, which
     is sequential by definition, runs; their number is bounded by the grid (4^zoom cells times
-    the buckets), not by the points. The labels come back by a join on the cell.
+    the buckets), not by the points, and more than ``MAX_CELLS`` is an error that asks for a coarser
+    grid. The labels come back by a join on the cell.
     """
     if categorical and target is None:
         raise ValueError("a categorical split needs a target")
-    stats = [(r["cell"], r["bucket"], r["points"]) for r in cell_statistics(points, zoom=zoom, target=target, categorical=categorical, bins=bins).collect()]
+    found = cell_statistics(points, zoom=zoom, target=target, categorical=categorical, bins=bins).limit(MAX_CELLS + 1).collect()
+    if len(found) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells and buckets; take a smaller zoom")
+    stats = [(r["cell"], r["bucket"], r["points"]) for r in found]
     total = sum(r[2] for r in stats)
     if not total:
         return points.withColumn("split", F.lit("train"))

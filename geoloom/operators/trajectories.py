@@ -32,19 +32,18 @@ def fill_gaps(cells: DataFrame, *, trip: str, order: str, tie: str | None = None
     ``repeat_last`` is off.
     """
     w = Window.partitionBy(trip).orderBy(order, *([tie] if tie else []))
-    seen = cells.withColumns({"_nx": F.lead("x").over(w), "_ny": F.lead("y").over(w), "_k": F.row_number().over(w)})
-    last = F.col("_nx").isNull()
+    seen = cells.withColumns({"_nx": F.lead("x").over(w), "_ny": F.lead("y").over(w), "_after": F.lead("x", 2).over(w), "_px": F.lag("x").over(w)})
+    last, alone = F.col("_nx").isNull(), F.col("_px").isNull()
     steps = F.when(~last, grid.path(F.col("x"), F.col("y"), F.col("_nx"), F.col("_ny")))
     # A segment's end is the next one's start: every path but the last gives it up.
-    w2 = Window.partitionBy(trip)
-    final = F.max("_k").over(w2)
-    cut = F.when(F.col("_k") == final - 1, steps).when(~last, F.slice(steps, 1, F.size(steps) - 1)).otherwise(
-        F.array(F.struct("x", "y")) if repeat_last else F.when(final == 1, F.array(F.struct("x", "y"))).otherwise(F.array().cast("array<struct<x:bigint,y:bigint>>"))
-    )
+    own, none = F.array(F.struct("x", "y")), F.array().cast("array<struct<x:bigint,y:bigint>>")
+    tail = own if repeat_last else F.when(alone, own).otherwise(none)
+    cut = F.when(last, tail).when(F.col("_after").isNull(), steps).otherwise(F.slice(steps, 1, F.size(steps) - 1))
+    # All windows share one order, so a trip is sorted once; places follow from the paths' sizes.
+    before = F.coalesce(F.sum(F.size("_p").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rest = [c for c in cells.columns if c not in ("x", "y")]
-    out = seen.withColumn("_p", cut).select(*rest, "_k", F.posexplode("_p").alias("_j", "_c"))
-    w3 = Window.partitionBy(trip).orderBy("_k", "_j")
-    return out.select(*rest, F.col("_c.x").alias("x"), F.col("_c.y").alias("y"), F.row_number().over(w3).alias("seq"))
+    out = seen.withColumn("_p", cut).withColumn("_b", before).select(*rest, "_b", F.posexplode("_p").alias("_j", "_c"))
+    return out.select(*rest, F.col("_c.x").alias("x"), F.col("_c.y").alias("y"), (F.col("_b") + F.col("_j") + 1).cast("int").alias("seq"))
 
 
 def sequences(filled: DataFrame, *, trip: str, zoom: int) -> DataFrame:

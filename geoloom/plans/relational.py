@@ -317,8 +317,10 @@ def d18_distinct_values(spark, sf_dir):
 
 @query("d19_quantiles", "SELECT round(quantile_cont(l_extendedprice, 0.05), 6) AS p5, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem")
 def d19_quantiles(spark, sf_dir):
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.05), F.lit(0.95)))
-    return table(spark, sf_dir, "lineitem").agg(q.alias("q")).select(F.round(F.col("q")[0], 6).alias("p5"), F.round(F.col("q")[1], 6).alias("p95"))
+    from geoloom.operators.quantiles import quantiles
+
+    low, high = quantiles(table(spark, sf_dir, "lineitem"), F.col("l_extendedprice"), [0.05, 0.95])
+    return spark.createDataFrame([(round(low, 6), round(high, 6))], "p5 double, p95 double")
 
 
 @query("f3_seeded_shuffle", "SELECT c_custkey, md5(concat(CAST(c_custkey AS VARCHAR), '|42')) AS place FROM customer")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import road
 from geoloom.functions.scalars import haversine_m
+from geoloom.operators.embedders import _few
 from geoloom.operators.filters import drop_empty_columns, fixed_columns, group_features, merge_filters, merge_scans, tag_mask
 from geoloom.operators.regionalizers import slippy_regions
 from geoloom.operators.spatial_join import clip, semi_join
@@ -144,7 +145,7 @@ def read_extract(
         return df.select("feature_id", *place, "tags" if keep_all_tags else F.map_filter("tags", lambda k, _: k.isin(list(flat))).alias("tags"))
     keys = sorted(flat)
     if keep_all_tags:
-        keys = sorted(r["k"] for r in df.select(F.explode(F.map_keys("tags")).alias("k")).distinct().collect())
+        keys = _few(df.select(F.explode(F.map_keys("tags")).alias("k")).distinct(), "tags; keep them as a map")
     wide = df.select("feature_id", *place, *[F.try_element_at("tags", F.lit(k)).alias(k) for k in keys])
     return group_features(wide, tags, keep=["feature_id", *place]) if grouped else drop_empty_columns(wide, ["feature_id", *place])
 
