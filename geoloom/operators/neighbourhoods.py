@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.functions import grid
+from geoloom.functions import grid, h3
 from geoloom.operators.spatial_join import touches_join
 from geoloom.storage import written
 
@@ -20,6 +20,16 @@ def tile_edges(tiles: DataFrame, k: int, zoom: int) -> DataFrame:
     return near.join(tiles.select(F.col("region_id").alias("neighbour_id"), "x", "y"), ["x", "y"]).select("region_id", "neighbour_id", "distance")
 
 
+def h3_edges(cells: DataFrame, k: int) -> DataFrame:
+    """Pairs of given H3 cells (cell) within k steps of each other, the cell itself at distance 0.
+
+    Without the join, that is for neighbours that need not be given, explode ``h3_disk``.
+    """
+    near = cells.select(F.col("cell").alias("a"), F.explode(h3.h3_disk(F.col("cell"), k)).alias("c")).select("a", F.col("c.cell").alias("b"), "c.distance")
+    found = near.join(cells.select(F.col("cell").alias("b")).distinct(), "b", "left_semi")
+    return found.select(h3.h3_text(F.col("a")).alias("region_id"), h3.h3_text(F.col("b")).alias("neighbour_id"), "distance")
+
+
 def adjacency_edges(regions: DataFrame, *, cell: float) -> DataFrame:
     """Regions that touch, at distance 1."""
     return touches_join(regions, cell=cell).withColumn("distance", F.lit(1))

@@ -219,7 +219,7 @@ class Hex2Vec(Model):
 class GeoVex(Model):
     """Hexagonal patches through a convolutional autoencoder with a zero-inflated Poisson loss.
 
-    A patch is a region's cells within ``radius`` on the axial grid; regions with missing cells are
+    A patch is a region's cells within ``radius`` on the H3 or the axial grid; regions with missing cells are
     left out. Convolutions gather a cell's six neighbours and itself.
     """
 
@@ -246,6 +246,38 @@ class GeoVex(Model):
         whole = spread.groupBy("q", "r").agg(F.array_sort(F.collect_list("s")).alias("s")).filter(F.size("s") == len(cells))
         return whole.select("q", "r", F.flatten(F.transform("s", lambda x: x["v"])).alias("patch"))
 
+    def h3_patches(self, counts: DataFrame) -> DataFrame:
+        """(cell, patch) of H3 cells: as ``patches``, with each cell's disk laid out by local i and j.
+
+        Cells whose disk is incomplete, or reaches beyond a pentagon or a border of faces, are left out.
+        """
+        from geoloom.functions import h3
+
+        radius = self.config["radius"]
+        places = {c: k for k, c in enumerate(self.disk(radius))}
+        features = [c for c in counts.columns if c != "cell"]
+
+        def lay(batches):
+            for b in batches:
+                own, near, _ = h3.disks(b["cell"].to_numpy(np.int64), radius)
+                out = []
+                for n in range(len(b)):
+                    ring = near[own == n]
+                    try:
+                        ij = h3.local_ij(int(b["cell"].iloc[n]), ring)
+                    except ValueError:
+                        continue
+                    # i and j stand 120 degrees apart, q and r of the patch 60.
+                    spots = [places.get((int(i - j), int(j))) for i, j in ij]
+                    if len(ring) == len(places) and None not in spots:
+                        out += [(int(b["cell"].iloc[n]), c, k) for c, k in zip(ring.tolist(), spots, strict=True)]
+                yield pd.DataFrame(out, columns=["cell", "near", "k"])
+
+        laid = counts.select("cell").mapInPandas(lay, "cell long, near long, k int")
+        values = counts.select(F.col("cell").alias("near"), F.array(*[F.col(f"`{c}`").cast("double") for c in features]).alias("v"))
+        whole = laid.join(values, "near").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("s")).filter(F.size("s") == len(places))
+        return whole.select("cell", F.flatten(F.transform("s", lambda x: x["v"])).alias("patch"))
+
     def _neighbours(self) -> np.ndarray:
         cells = self.disk(self.config["radius"])
         at = {c: k for k, c in enumerate(cells)}
@@ -268,7 +300,8 @@ class GeoVex(Model):
         cells = len(self.disk(c["radius"]))
         self.features = c["features"] = features
         self.columns = []
-        rows = patches.orderBy(F.md5(F.concat_ws("|", "q", "r"))).limit(MAX_ROWS // 10).toPandas()
+        keys = [c for c in patches.columns if c != "patch"]
+        rows = patches.orderBy(F.md5(F.concat_ws("|", *keys)), *keys).limit(MAX_ROWS // 10).toPandas()
         x = np.array(rows["patch"].tolist(), float).reshape(len(rows), cells, features)
         sizes = [features] + [c["hidden"]] * c["conv_layers"]
         p = {}
@@ -299,17 +332,19 @@ class GeoVex(Model):
         self._need()
         own, w = self, {k: Tensor(p.data) for k, p in self.params.items()}
         cells, features = len(self.disk(self.config["radius"])), self.config["features"]
+        keys = [c for c in patches.columns if c != "patch"]
 
         def run(batches):
             for b in batches:
                 x = np.array(b["patch"].tolist(), float).reshape(len(b), cells, features)
-                yield pd.DataFrame({"q": b["q"], "r": b["r"], "embedding": list(own._encode(Tensor(x), w).data.astype(np.float32))})
+                yield b[keys].assign(embedding=list(own._encode(Tensor(x), w).data.astype(np.float32)))
 
-        return patches.mapInPandas(run, "q long, r long, embedding array<float>")
+        return patches.mapInPandas(run, ", ".join(f"{c} long" for c in keys) + ", embedding array<float>")
 
     def fit_transform(self, counts: DataFrame) -> DataFrame:
-        patches = self.patches(counts)
-        return self.fit(patches, len(counts.columns) - 2).transform(patches)
+        """Embeddings of cells (q, r) of the axial grid, or of H3 cells (cell), with features in the other columns."""
+        patches = self.h3_patches(counts) if "cell" in counts.columns else self.patches(counts)
+        return self.fit(patches, len(counts.columns) - (len(patches.columns) - 1)).transform(patches)
 
 
 class S2Vec(Model):

@@ -9,7 +9,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geoloom.functions import grid, s2
+from geoloom.functions import grid, h3, s2
 from geoloom.functions.scalars import EARTH_RADIUS_M, haversine_m
 from geoloom.functions.geometry import st_area, st_centroid, st_clip_box, st_holds, st_intersects, st_merged, st_parts, st_simplify
 from geoloom.schema import BOX, GEOMETRY, need, with_bounds
@@ -305,16 +305,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def h3_regions(areas: DataFrame, resolution: int, buffer: bool = True) -> DataFrame:
-    """H3 cells of WKB areas, where the h3 package can be imported."""
-    if not 0 <= resolution <= 15:
-        raise ValueError("resolution must be from 0 to 15")
-    try:
-        import h3  # noqa: F401
-    except ImportError as error:
-        raise ImportError("the h3 package is needed for H3 regions; slippy_regions and s2_regions need none") from error
+    """H3 cells of WKB areas: region_id (text) and cell, each once.
+
+    With ``buffer`` the cells that meet an area, else those whose centre an area holds. A point
+    counts as the cell it lies in.
+    """
+    h3.check_res(resolution)
 
     def run(batches):
-        import h3
+        import numpy as np
         import pandas as pd
 
         from geoloom.functions import geometry as G
@@ -322,11 +321,25 @@ def h3_regions(areas: DataFrame, resolution: int, buffer: bool = True) -> DataFr
         for batch in batches:
             out = []
             for raw in batch[GEOMETRY]:
-                for rings in G.from_wkb(bytes(raw))[1]:
-                    shape = h3.LatLngPoly(*[[(y, x) for x, y in r] for r in rings])
-                    out += [(c,) for c in h3.polygon_to_cells_experimental(shape, resolution, "overlap" if buffer else "center")]
-            yield pd.DataFrame(out, columns=["region_id"])
+                shape = G.from_wkb(bytes(raw))
+                if shape[0] == "point":
+                    xy = np.vstack([p[0] for p in shape[1]])
+                    found = h3.cells_of(xy[:, 0], xy[:, 1], resolution).tolist()
+                else:
+                    found = list(h3.cover(shape, resolution, buffer))
+                out += found
+            yield pd.DataFrame([(h3.to_text(c), c) for c in out], columns=["region_id", "cell"])
+
+    cells = explode_parts(areas.select(GEOMETRY)).mapInPandas(run, "region_id string, cell long")
+    return cells.dropDuplicates(["cell"])
+
 
-    return explode_parts(areas.select(GEOMETRY)).mapInPandas(run, "region_id string").distinct()
+def h3_ring_buffer(cells: DataFrame, distance: int) -> DataFrame:
+    """A set of H3 cells (cell) with all cells within ``distance`` steps: region_id and cell."""
+    near = cells.select(F.explode(h3.h3_disk(F.col("cell"), distance)).alias("c")).select("c.cell").distinct()
+    return near.select(h3.h3_text(F.col("cell")).alias("region_id"), "cell")
 
 
+def h3_buffered_geometry(areas: DataFrame, resolution: int, distance: int) -> DataFrame:
+    """The cells of WKB areas and those within ``distance`` steps of them."""
+    return h3_ring_buffer(h3_regions(areas, resolution), distance)

@@ -254,11 +254,11 @@ def m5_hex2vec_embedding(spark, sf_dir):
 def m6_geovex_embedding(spark, sf_dir):
     from geoloom.operators.neural import GeoVex
 
-    p = points(spark, sf_dir).select(grid.hex_cell(F.col("lon") * 0.63, F.col("lat"), 0.02).alias("h"), "seg")
-    from geoloom.plans.spatial import SEGMENTS
+    from geoloom.functions import h3
+    from geoloom.plans.inputs import track_points
 
-    c = p.groupBy("h.q", "h.r").pivot("seg", SEGMENTS).count().na.fill(0)
-    return GeoVex(radius=2, embedding=6, hidden=12, epochs=2).fit_transform(c)
+    p = track_points(spark, sf_dir).select(h3.h3_cell(F.col("lon"), F.col("lat"), 7).alias("cell"), (F.col("event_id") % 4).alias("kind"))
+    return GeoVex(radius=2, embedding=6, hidden=12, epochs=2).fit_transform(p.groupBy("cell").pivot("kind", [0, 1, 2, 3]).count().na.fill(0))
 
 
 @query("m7_s2vec_embedding")
