@@ -174,11 +174,11 @@ def check_seeds(seeds: DataFrame, seed_id: str) -> DataFrame:
     return seeds
 
 
-def voronoi_polygons(spark: SparkSession, seeds: DataFrame, *, seed_id: str = "region_id", step_degrees: float = 2.0) -> DataFrame:
+def voronoi_polygons(spark: SparkSession, seeds: DataFrame, *, seed_id: str = "region_id", step_degrees: float = 2.0, mask=None) -> DataFrame:
     """Spherical Voronoi regions as WKB polygons in longitude and latitude, by half-space clipping.
 
     Each seed's region is the sphere's lon/lat box, cut along the great circles halfway to every
-    other seed; edges are densified every ``step_degrees``. One task per seed, with the seeds as
+    other seed; edges are densified every ``step_degrees``. A ``mask`` (polygon) cuts them. One task per seed, with the seeds as
     a literal; meant for planning sizes (up to ``MAX_SEEDS`` seeds).
     """
     rows = check_seeds(seeds, seed_id).select(seed_id, "lon", "lat").collect()
@@ -194,6 +194,9 @@ def voronoi_polygons(spark: SparkSession, seeds: DataFrame, *, seed_id: str = "r
         lon, lat = np.radians([r["lon"] for r in rows]), np.radians([r["lat"] for r in rows])
         xyz = np.stack([np.cos(lon) * np.cos(lat), np.sin(lon) * np.cos(lat), np.sin(lat)], 1)
         xs, ys = np.arange(-180, 180 + 1e-9, step_degrees), np.arange(-90, 90 + 1e-9, step_degrees)
+        if mask is not None:  # only where the mask lies, so that steps can be fine there
+            x0, y0, x1, y1 = G.bounds(mask)
+            xs, ys = xs[(xs > x0 - step_degrees) & (xs < x1 + step_degrees)], ys[(ys > y0 - step_degrees) & (ys < y1 + step_degrees)]
         for batch in batches:
             out = []
             for own, at in zip(batch[seed_id], batch["at"], strict=True):
@@ -205,7 +208,8 @@ def voronoi_polygons(spark: SparkSession, seeds: DataFrame, *, seed_id: str = "r
                         piece = _cut(piece, normals)
                         if len(piece) >= 3:
                             parts.append([np.vstack([piece, piece[:1]])])
-                out.append((own, G.to_wkb(("polygon", parts))))
+                if parts:
+                    out.append((own, G.to_wkb(("polygon", parts))))
             yield pd.DataFrame(out, columns=[seed_id, GEOMETRY])
 
     def _cut(piece, normals):
@@ -232,7 +236,12 @@ def voronoi_polygons(spark: SparkSession, seeds: DataFrame, *, seed_id: str = "r
         return piece
 
     numbered = spark.createDataFrame([(r[seed_id], k) for k, r in enumerate(rows)], f"{seed_id} {dict(seeds.dtypes)[seed_id]}, at int")
-    return numbered.mapInPandas(run, f"{seed_id} {dict(seeds.dtypes)[seed_id]}, {GEOMETRY} binary")
+    cells = numbered.repartition(seed_id).mapInPandas(run, f"{seed_id} {dict(seeds.dtypes)[seed_id]}, {GEOMETRY} binary")
+    if mask is None:
+        return cells
+    from geoloom.operators.spatial_join import clip_to
+
+    return clip_to(cells, mask)
 
 
 def seed_points(shapes: DataFrame, *, seed_id: str = "region_id") -> DataFrame:
@@ -251,13 +260,15 @@ def administrative_regions(
     least_share: float = 0.01,
     clip_to_area: bool = False,
     tolerance: float | None = None,
+    fill_empty: bool = False,
 ) -> DataFrame:
     """Boundaries of a level that meet an area, from a table of boundaries.
 
     ``boundaries``: element_id, admin_level, tags (map) and a box or WKB; ``area``: boxes or
     points. Duplicate elements count once; a region stays if it holds a point of the area or if more than ``least_share`` of it lies
     in the area. Shapes can be simplified within ``tolerance`` degrees and cut to the area's boxes. Columns: region_id
-    (the chosen name), element_id, the box and geometry if there is one. Finding none is a
+    (the chosen name), element_id, the box and geometry if there is one. With ``fill_empty`` what no
+    region covers of the area's boxes follows as rows named "EMPTY" with geometry. Finding none is a
     RuntimeWarning and an empty table.
     """
     from geoloom.functions.scalars import region_name
@@ -290,12 +301,21 @@ def administrative_regions(
         warnings.warn(f"no boundary of level {admin_level} meets the area", RuntimeWarning, stacklevel=2)
     named = own.withColumn("region_id", region_name(F.col("tags"), F.col("element_id"), prefer_english))
     keep = ["region_id", "element_id", *BOX] + [GEOMETRY] * exact
-    if not clip_to_area:
-        return named.join(kept, "element_id", "left_semi").select(*keep)
-    cut = named.drop(*BOX).join(kept, "element_id")
-    if exact:
-        cut = cut.withColumn(GEOMETRY, st_merged(F.col("pieces")))
-    return cut.select(*keep)
+    if clip_to_area:
+        cut = named.drop(*BOX).join(kept, "element_id")
+        done = (cut.withColumn(GEOMETRY, st_merged(F.col("pieces"))) if exact else cut).select(*keep)
+    else:
+        done = named.join(kept, "element_id", "left_semi").select(*keep)
+    if not fill_empty:
+        return done
+    from geoloom.operators.spatial_join import _box_wkb, remainder
+
+    boxes = with_bounds(area).select(*BOX, _box_wkb("").alias(GEOMETRY)).withColumn("element_id", F.monotonically_increasing_id())
+    shapes = done if exact else done.withColumn(GEOMETRY, _box_wkb(""))
+    left = with_bounds(remainder(written(boxes, "areas").select("element_id", GEOMETRY), shapes.select(GEOMETRY), cell=cell, id_col="element_id"))
+    kinds = dict(done.dtypes)
+    empty = left.select(F.lit("EMPTY").alias("region_id"), F.lit(None).cast(kinds["element_id"]).alias("element_id"), *BOX, GEOMETRY)
+    return done.unionByName(empty, allowMissingColumns=True)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
+from geoloom.functions.overlay import st_clip, st_overlay, st_union_all
 from geoloom.schema import BOX, FEATURE, GEOMETRY, REGION, need, with_bounds
 
 
@@ -69,7 +70,7 @@ def intersects_join(
 
     Tables hold boxes (minx..maxy), points (lon, lat) or WKB in ``geometry``; with WKB on a side
     the exact predicate runs on pairs whose boxes meet. ``return_geometry`` adds the
-    intersection: its box, and its WKB where the regions are boxes and features have WKB.
+    intersection: its box, and its WKB where a side has WKB (the regions being polygons).
     """
     both = GEOMETRY in regions.columns or GEOMETRY in features.columns
     l, r = _narrow(regions, region_id, "l_geometry"), _narrow(features, feature_id, "r_geometry")
@@ -85,8 +86,11 @@ def intersects_join(
         F.greatest("l_minx", "r_minx").alias("minx"), F.greatest("l_miny", "r_miny").alias("miny"),
         F.least("l_maxx", "r_maxx").alias("maxx"), F.least("l_maxy", "r_maxy").alias("maxy"),
     ]
-    extra = [G.st_clip_box(F.col("r_geometry"), *[F.col(f"l_{c}") for c in BOX]).alias(GEOMETRY)] if "r_geometry" in pairs.columns and "l_geometry" not in pairs.columns else []
-    return pairs.select(region_id, feature_id, *shared, *extra)
+    if not both:
+        return pairs.select(region_id, feature_id, *shared)
+    if "l_geometry" in pairs.columns:
+        return pairs.select(region_id, feature_id, *shared, st_clip(side["r_"], side["l_"]).alias(GEOMETRY))
+    return pairs.select(region_id, feature_id, *shared, G.st_clip_box(F.col("r_geometry"), *[F.col(f"l_{c}") for c in BOX]).alias(GEOMETRY))
 
 
 def _box_wkb(prefix: str) -> Column:
@@ -168,6 +172,33 @@ def clip(df: DataFrame, minx: float, miny: float, maxx: float, maxy: float) -> D
     return near.withColumn(GEOMETRY, cut).filter(F.col(GEOMETRY).isNotNull()).select(*df.columns)
 
 
+def clip_to(df: DataFrame, mask: G.Geometry) -> DataFrame:
+    """Geometries cut to a polygon of any shape; rows whose box lies outside its box are filtered before any decoding."""
+    minx, miny, maxx, maxy = G.bounds(mask)
+    near = with_bounds(df).filter(f"minx <= {maxx!r} and maxx >= {minx!r} and miny <= {maxy!r} and maxy >= {miny!r}")
+    cut = st_clip(F.col(GEOMETRY), F.lit(bytearray(G.to_wkb(mask))))
+    return near.withColumn(GEOMETRY, cut).filter(F.col(GEOMETRY).isNotNull()).select(*df.columns)
+
+
+def dissolve(df: DataFrame, key: str, *, parts: int = 64) -> DataFrame:
+    """The union of each key's polygons: key and geometry.
+
+    Shares of a key are united first, so one task never holds all shapes of a large key, only their unions.
+    """
+    share = F.pmod(F.xxhash64(GEOMETRY), F.lit(parts))
+    some = df.filter(F.col(GEOMETRY).isNotNull()).groupBy(key, share.alias("_s")).agg(st_union_all(F.collect_list(GEOMETRY)).alias(GEOMETRY))
+    return some.groupBy(key).agg(st_union_all(F.collect_list(GEOMETRY)).alias(GEOMETRY))
+
+
+def remainder(areas: DataFrame, regions: DataFrame, *, cell: float, id_col: str = REGION) -> DataFrame:
+    """What the regions leave of each area (WKB polygons): the areas with their geometry less all regions; nothing left drops the row."""
+    pairs = _meeting(_narrow(areas, id_col, "l_geometry"), with_bounds(regions).select(*BOX, F.col(GEOMETRY).alias("r_geometry")), cell)
+    taken = dissolve(pairs.select(id_col, F.col("r_geometry").alias(GEOMETRY)), id_col).withColumnRenamed(GEOMETRY, "_taken")
+    left = F.when(F.col("_taken").isNull(), F.col(GEOMETRY)).otherwise(st_overlay(F.col(GEOMETRY), F.col("_taken"), "difference"))
+    done = areas.join(taken, id_col, "left").withColumn(GEOMETRY, left).filter(F.col(GEOMETRY).isNotNull())
+    return done.select(*[c for c in areas.columns if c not in BOX])
+
+
 def duplicate_places(seeds: DataFrame, id_col: str) -> DataFrame:
     """Ids of seeds that share their place with another."""
     places = seeds.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")

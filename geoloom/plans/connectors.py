@@ -518,3 +518,100 @@ def m8_index_checks(spark, sf_dir):
     rows = [("regions", message(f, f, j)), ("features", message(r, r, j)), ("joint", message(r, f, r)), ("fine", message(r, f, j))]
     return spark.createDataFrame(rows, "part string, message string")
 
+
+# --- Polygons of any shape -------------------------------------------------------------------
+
+
+def _shapes(df):
+    """Boxes as WKB polygons, under their own columns."""
+    return df.withColumn("geometry", spatial_join._box_wkb(""))
+
+
+def _triangles(spark, sf_dir):
+    """The lower left half of each box region."""
+
+    def cut(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = b[["region_id", "minx", "miny", "maxx", "maxy"]].itertuples(index=False)
+            yield pd.DataFrame([(k, G.to_wkb(G.polygon([(x0, y0), (x1, y0), (x0, y1)]))) for k, x0, y0, x1, y1 in rows], columns=["region_id", "geometry"])
+
+    r = box_regions(spark, sf_dir)
+    return r.mapInPandas(cut, f"region_id {dict(r.dtypes)['region_id']}, geometry binary")
+
+
+_W, _H = "greatest(0, least(r.maxx, b.maxx) - greatest(r.minx, b.minx))", "greatest(0, least(r.maxy, b.maxy) - greatest(r.miny, b.miny))"
+_MEET = "r.minx <= b.maxx AND b.minx <= r.maxx AND r.miny <= b.maxy AND b.miny <= r.maxy"
+
+
+@query("c2_overlay_polygons", f"WITH {REGS}, {BOXES} SELECT region_id, feature_id, round({_W} * {_H}, 10) AS area FROM regs r JOIN boxes b ON {_MEET} WHERE {_W} * {_H} > 1e-12")
+def c2_overlay_polygons(spark, sf_dir):
+    r, b = (_shapes(x) for x in (box_regions(spark, sf_dir), box_features(spark, sf_dir)))
+    got = spatial_join.intersects_join(r, b, cell=0.05, return_geometry=True).filter("geometry is not null")
+    return got.select("region_id", "feature_id", F.round(G.st_area(F.col("geometry")), 10).alias("area")).filter("area > 1e-12")
+
+
+_IN_TRIANGLE = "lon > minx AND lat > miny AND (lon - minx) / (maxx - minx) + (lat - miny) / (maxy - miny) < 1 - 1e-9"
+
+
+@query("c5_points_within_triangles", f"WITH {PTS}, {REGS} SELECT feature_id, region_id FROM pts JOIN regs ON {_IN_TRIANGLE}")
+def c5_points_within_triangles(spark, sf_dir):
+    near = spatial_join.within_join(points(spark, sf_dir).select("feature_id", "lon", "lat"), _triangles(spark, sf_dir), cell=0.05, how="inner")
+    edge = box_regions(spark, sf_dir).select("region_id", "minx", "miny", "maxx", "maxy")
+    off = near.join(edge, "region_id").filter("(lon - minx) / (maxx - minx) + (lat - miny) / (maxy - miny) < 1 - 1e-9")
+    return off.select("feature_id", "region_id")
+
+
+@query("c3_c4_features_in_triangles", f"""WITH {BOXES}, {REGS} SELECT DISTINCT feature_id FROM boxes b JOIN regs r ON {_MEET}
+AND (greatest(b.minx, r.minx) - r.minx) / (r.maxx - r.minx) + (greatest(b.miny, r.miny) - r.miny) / (r.maxy - r.miny) <= 1 WHERE region_id % 3 = 0""")
+def c3_c4_features_in_triangles(spark, sf_dir):
+    areas = _triangles(spark, sf_dir).filter("region_id % 3 = 0")
+    return spatial_join.semi_join(box_features(spark, sf_dir), areas, cell=0.05, id_col="feature_id").select("feature_id")
+
+
+_BENT = [(16.85, 51.06), (17.1, 51.06), (17.1, 51.1), (16.95, 51.1), (16.95, 51.18), (16.85, 51.18)]
+_PART = "greatest(0, least(maxx, {2}) - greatest(minx, {0})) * greatest(0, least(maxy, {3}) - greatest(miny, {1}))"
+_BENT_AREA = f"({_PART.format(16.85, 51.06, 17.1, 51.1)} + {_PART.format(16.85, 51.1, 16.95, 51.18)})"
+
+
+@query("c6_clip_bent_polygon", f"WITH {BOXES} SELECT feature_id, round({_BENT_AREA}, 10) AS area FROM boxes WHERE {_BENT_AREA} > 1e-12")
+def c6_clip_bent_polygon(spark, sf_dir):
+    got = spatial_join.clip_to(_shapes(box_features(spark, sf_dir)).select("feature_id", "geometry"), G.polygon(_BENT))
+    return got.select("feature_id", F.round(G.st_area(F.col("geometry")), 10).alias("area")).filter("area > 1e-12")
+
+
+@query("d13_polygon_union", f"WITH {REGS} SELECT CAST(region_id % 5 AS INTEGER) AS col, 1 AS parts, round(1.5 * sum((maxx - minx) * (maxy - miny)), 9) AS area FROM regs GROUP BY ALL")
+def d13_polygon_union(spark, sf_dir):
+    r = box_regions(spark, sf_dir)
+    half = (F.col("maxx") - F.col("minx")) / 2
+    both = r.unionByName(r.withColumns({"minx": F.col("minx") + half, "maxx": F.col("maxx") + half}))
+    done = spatial_join.dissolve(_shapes(both).select((F.col("region_id") % 5).cast("int").alias("col"), "geometry"), "col", parts=4)
+    return done.select("col", F.size(G.st_parts(F.col("geometry"))).alias("parts"), F.round(G.st_area(F.col("geometry")), 9).alias("area"))
+
+
+@query("g6_geometry_remainder", f"WITH {REGS} SELECT region_id, round((maxx - minx) * (maxy - miny) * CASE WHEN region_id % 2 = 0 THEN 0.5 ELSE 1 END, 9) AS area FROM regs WHERE region_id % 4 <> 1")
+def g6_geometry_remainder(spark, sf_dir):
+    r = box_regions(spark, sf_dir)
+    k, half = F.col("region_id"), (F.col("maxx") + F.col("minx")) / 2
+    # Even ones lose their left half, every fourth all; a hair keeps neighbours apart.
+    taken = r.filter((k % 2 == 0) | (k % 4 == 1)).withColumn("maxx", F.when(k % 2 == 0, half).otherwise(F.col("maxx")))
+    left = spatial_join.remainder(_shapes(r).select("region_id", "geometry"), _shapes(taken).select("geometry"), cell=0.05)
+    return left.select("region_id", F.round(G.st_area(F.col("geometry")), 9).alias("area"))
+
+
+@query("j4_voronoi_masked", "SELECT round((17.1 - 16.85) * 0.04 + 0.1 * 0.08, 6) AS area, 12 AS cells")
+def j4_voronoi_masked(spark, sf_dir):
+    k = F.col("id")
+    seeds = spark.range(12).select(k.alias("region_id"), (F.lit(16.86) + (k % 4) * 0.07).alias("lon"), (F.lit(51.065) + F.floor(k / 4) * 0.011 + (k % 4) * 0.001).alias("lat"))
+    cells = regionalizers.voronoi_polygons(spark, seeds, step_degrees=0.02, mask=G.polygon(_BENT))
+    return cells.agg(F.round(F.sum(G.st_area(F.col("geometry"))), 6).alias("area"), F.countDistinct("region_id").cast("int").alias("cells"))
+
+
+@query("j5_empty_remainder", f"WITH {REGS} SELECT CASE WHEN region_id % 3 = 0 THEN 'EMPTY' ELSE 'kept' END AS kind, round(sum({_PART.format(16.87, 51.07, 17.0, 51.15)}), 9) AS area FROM regs GROUP BY ALL")
+def j5_empty_remainder(spark, sf_dir):
+    area = spark.createDataFrame([(16.87, 51.07, 17.0, 51.15)], "minx double, miny double, maxx double, maxy double")
+    some = _shapes(_boundaries(spark, sf_dir).filter("element_id % 3 <> 0"))
+    got = regionalizers.administrative_regions(some, area, admin_level=4, cell=0.05, clip_to_area=True, fill_empty=True, least_share=0.0)
+    kind = F.when(F.col("region_id") == "EMPTY", "EMPTY").otherwise("kept")
+    return got.groupBy(kind.alias("kind")).agg(F.round(F.sum(G.st_area(F.col("geometry"))), 9).alias("area"))

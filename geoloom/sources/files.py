@@ -10,18 +10,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.functions.geometry import Geometry
 from geoloom.operators.filters import within_quantiles
-from geoloom.operators.spatial_join import clip
+from geoloom.operators.spatial_join import clip, clip_to
 from geoloom.schema import BOX, FEATURE, GEOMETRY, need, to_features
 
 log = logging.getLogger(__name__)
 
 
-def read_geoparquet(spark: SparkSession, path: str, *, index_column: str | None = None, columns: Sequence[str] | None = None, area: tuple[float, float, float, float] | None = None) -> DataFrame:
+def read_geoparquet(spark: SparkSession, path: str, *, index_column: str | None = None, columns: Sequence[str] | None = None, area: tuple[float, float, float, float] | Geometry | None = None) -> DataFrame:
     """A features table from Parquet with WKB in ``geometry``.
 
     Only the asked columns are read. With an area (minx, miny, maxx, maxy), stored box columns are
-    compared first, so row groups outside are skipped, and geometries are cut to it.
+    compared first, so row groups outside are skipped, and geometries are cut to it; an area can also be a polygon.
     """
     df = spark.read.parquet(path)
     if index_column is not None:
@@ -30,7 +31,9 @@ def read_geoparquet(spark: SparkSession, path: str, *, index_column: str | None
         boxes = [c for c in BOX if c in df.columns]
         df = df.select(*dict.fromkeys([*([index_column] if index_column else []), *columns, GEOMETRY, *boxes]))
     df = to_features(df, index_column)
-    return clip(df, *area) if area is not None else df
+    if area is None:
+        return df
+    return clip_to(df, area) if isinstance(area[0], str) else clip(df, *area)
 
 
 def write_geoparquet(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> str:
