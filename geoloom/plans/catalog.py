@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.plans import connectors, hexagons, learning, relational, spatial  # noqa: F401  (they register their queries)
+from geoloom.plans import connectors, hexagons, learning, models, relational, spatial  # noqa: F401  (they register their queries)
 from geoloom.plans.inputs import QUERIES, SQL
 
 FLAGSHIP = "tile_category_counts"

@@ -120,11 +120,6 @@ def e4_width_bins(spark, sf_dir):
     return splits.width_bins(table(spark, sf_dir, "customer"), "c_acctbal", 4).select("c_custkey", "bucket")
 
 
-@query("n1_spatial_split")
-def n1_spatial_split(spark, sf_dir):
-    return splits.spatial_split(points(spark, sf_dir), zoom=13, target="value", test=0.2, validation=0.1).select("feature_id", "split")
-
-
 @query("n1a_split_report", """WITH s AS (SELECT c_mktsegment AS seg, CASE WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM customer),
 p AS (SELECT seg, split, count(*) AS points FROM s GROUP BY ALL), r AS (SELECT *, round(points / CAST(sum(points) OVER (PARTITION BY seg) AS DOUBLE), 5) AS ratio FROM p)
 SELECT *, round(ratio - CASE WHEN split = 'test' THEN CAST(0.2 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END, 5) AS difference FROM r""")
@@ -133,12 +128,6 @@ def n1a_split_report(spark, sf_dir):
     return splits.split_report(s, "seg", {"train": 0.8, "test": 0.2})
 
 
-@query("n2_two_way_split")
-def n2_two_way_split(spark, sf_dir):
-    train, test = splits.train_test_spatial_split(points(spark, sf_dir), zoom=13, target="seg", categorical=True)
-    return train.select("feature_id", F.lit("train").alias("split")).unionByName(test.select("feature_id", F.lit("test").alias("split")))
-
-
 @query("n3_hex_labels", f"WITH {sql_tiled(12)} SELECT region_id, round(avg(value), 6) AS label FROM tiled GROUP BY region_id")
 def n3_hex_labels(spark, sf_dir):
     return labels.hex_labels(points(spark, sf_dir), zoom=12, target="value").select("region_id", F.round("label", 6).alias("label"))
@@ -199,13 +188,6 @@ def n11_sequence_accuracy(spark, sf_dir):
     return s.select("trip_id", F.round(evaluate.sequence_accuracy(F.slice("cells", 1, 1), F.slice("cells", -1, 1)), 6).alias("accuracy"))
 
 
-@query("n10_dtw_distance")
-def n10_dtw_distance(spark, sf_dir):
-    t = trajectories.build(track_points(spark, sf_dir), trip="trip_id", order="ts", columns=["lon", "lat"])
-    p = F.transform("points", lambda c: F.struct(c["lon"].alias("lon"), (c["lat"] + 0.001).alias("lat")))
-    return t.select("trip_id", F.round(evaluate.dtw_metres(F.col("points"), p), 3).alias("dtw"))
-
-
 @query("n9_mobility_haversine", f"""WITH {TRACKS} SELECT trip_id, round(avg(2.0 * 6371008.8 * asin(sqrt(least(1.0, sin(radians(CAST(0.001 AS DOUBLE)) / 2) * sin(radians(CAST(0.001 AS DOUBLE)) / 2))))), 2) AS d FROM tracks GROUP BY trip_id HAVING count(*) > 1""")
 def n9_mobility_haversine(spark, sf_dir):
     t = trajectories.build(track_points(spark, sf_dir), trip="trip_id", order="ts", columns=["lon", "lat"])

@@ -334,12 +334,6 @@ def n13_map_zoom(spark, sf_dir):
     return e.select(F.round(scalars.map_zoom(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")]), 6).alias("zoom"))
 
 
-@query("j3_s2_point_cells")
-def j3_s2_point_cells(spark, sf_dir):
-    p = points(spark, sf_dir)
-    return p.select("feature_id", s2.s2_token(s2.s2_cell(F.col("lon"), F.col("lat"), 12)).alias("region_id"))
-
-
 @query("hex_axial_counts")
 def hex_axial_counts(spark, sf_dir):
     p = points(spark, sf_dir).select(grid.hex_cell(F.col("lon") * 0.63, F.col("lat"), 0.01).alias("h"))
