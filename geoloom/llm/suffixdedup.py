@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batch_rows, materialise
+from geoloom.llm.common import batch_rows, hash_unit, materialise, pieces
 
 _U = np.uint64
 _TOP = np.iinfo(np.uint64).max
@@ -288,14 +288,52 @@ def _prime(n: int) -> int:
     return n
 
 
-def _by_bucket(keys, gram_hash, ids, pos, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """One packed run per bucket of the grams' hashes."""
-    bucket = (gram_hash % _U(buckets)).astype(np.int64)
+#: Ranges of suffixes at most, which bounds the cuts that the driver draws; beyond, a range is dealt by a hash of the gram.
+MAX_RANGES = 4096
+
+
+class Deal:
+    """Which task a suffix goes to: ranges of the sorted order between sampled cuts, and hot grams over several tasks.
+
+    Buckets from 0 on are ranges, in the order of the suffixes (each dealt by a hash of the gram if there
+    are more than ``MAX_RANGES``). A gram that fills more than half a bucket in the sample is hot:
+    its suffixes go to buckets below 0 by a hash of the text's id, as many as its share asks for.
+    """
+
+    def __init__(self, keys: list[bytes], buckets: int):
+        ranges = min(buckets, MAX_RANGES)
+        self.sub = -(-buckets // ranges)
+        drawn = np.sort(np.array(keys, f"S{GRAM}"))
+        cuts = drawn[np.arange(1, ranges) * len(drawn) // ranges] if len(drawn) else drawn
+        self.cuts = np.unique(cuts)
+        distinct, n = np.unique(drawn, return_counts=True)
+        often = n > max(3, len(drawn) / (2 * buckets))
+        self.hot = distinct[often]
+        self.parts = 2 + np.ceil(n[often] / max(1, len(drawn)) * buckets * 2).astype(np.int64)
+        self.first = np.cumsum(self.parts) - self.parts
+
+    def __call__(self, keys: np.ndarray, gram_hash: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        gram = np.ascontiguousarray(keys[:, :GRAM]).view(f"S{GRAM}").ravel()
+        out = np.searchsorted(self.cuts, gram, "right") * self.sub
+        if self.sub > 1:
+            out = out + (gram_hash % _U(self.sub)).astype(np.int64)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, gram), len(self.hot) - 1)
+            own = np.flatnonzero(self.hot[at] == gram)
+            part = (_mix(ids[own].astype(np.int64).view(_U) + _U(1)) % self.parts[at[own]].astype(_U)).astype(np.int64)
+            out[own] = -1 - self.first[at[own]] - part
+        return out
+
+
+def _by_bucket(keys, gram_hash, ids, pos, deal: Deal) -> Iterator[tuple[int, bytes]]:
+    """One packed run per bucket."""
+    bucket = deal(keys, gram_hash, ids)
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(edges)).tolist():
-        part = order[edges[b] : edges[b + 1]]
-        yield b, pack_run(sort_run(keys[part], ids[part], pos[part]))
+    ordered = bucket[order]
+    heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, int)
+    for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(ordered)], strict=True):
+        part = order[lo:hi]
+        yield int(ordered[lo]), pack_run(sort_run(keys[part], ids[part], pos[part]))
 
 
 def _to_texts(ids: np.ndarray, columns: list[np.ndarray], groups: int) -> Iterator[tuple[int, bytes]]:
@@ -347,37 +385,90 @@ def repeated_grams(runs: list[Run]) -> tuple[np.ndarray, np.ndarray]:
     return ids[rows], pos[rows]
 
 
+class Surroundings:
+    """The distinct surroundings of samples in merged runs: gram, what follows, what precedes (backwards), and
+    the bounds the text's ends set; with the least id of each, and per string around a sample the
+    least id that holds it. Bit l stands for the string that begins l bytes before the sample."""
+
+    def __init__(self, runs: list[Run], least: int):
+        self.least, self.reach = least, least - GRAM
+        at, lcp = merge_runs(runs)
+        keys = np.concatenate([r.keys for r in runs])
+        self.ids, self.pos, starts, self.counts = _occurrences(runs)
+        low = np.minimum.reduceat(self.ids, starts)[at]
+        fresh = np.concatenate([[True], lcp[1:] < keys.shape[1]])
+        heads = np.flatnonzero(fresh)  # distinct surroundings over all runs
+        which = np.cumsum(fresh) - 1
+        self.owner = which[np.argsort(at, kind="stable")]  # distinct surroundings of each run's key
+        self.least_id = np.minimum.reduceat(low, heads)
+        self.around = keys[at[heads]]
+        self.group = np.cumsum(np.concatenate([[True], lcp[heads][1:] < GRAM])) - 1
+        self.lo, self.hi = self.around[:, -2].astype(np.int64), self.around[:, -1].astype(np.int64)
+        self.best = np.repeat(self.least_id[:, None], self.reach + 1, 1)
+        many = np.flatnonzero(np.bincount(self.group)[self.group] > 1)
+        for part in _whole_groups(many, self.group[many], 60_000):
+            self.best[part] = _least_per_window(self.around[part], self.group[part], self.least_id[part], self.lo[part], self.hi[part], least)
+
+    def codes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(surroundings, bit, code, code): 128 bits for each string that lies within its text."""
+        line = _line(self.around, self.reach)
+        bits = np.arange(self.reach + 1)
+        i, b = np.nonzero((self.lo[:, None] <= bits) & (bits <= self.hi[:, None]))
+        two = []
+        for seed in (1, 2):
+            prefix, power = _prefixes(line, self.least, seed)
+            start = self.reach - b
+            two.append(_mix(prefix[start + self.least, i] - prefix[start, i] * power))
+        return i, b, *two
+
+    def windows(self) -> list[np.ndarray]:
+        """Distinct strings by code, with the least id here that holds them."""
+        i, b, c, d = self.codes()
+        order = np.lexsort((self.best[i, b], d, c))
+        c, d, low = c[order], d[order], self.best[i, b][order]
+        new = np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])]) if len(c) else np.zeros(0, bool)
+        return [c[new].view(np.int64), d[new].view(np.int64), low[new]]
+
+    def learn(self, c: np.ndarray, d: np.ndarray, low: np.ndarray) -> None:
+        """Takes in least ids that other tasks hold for strings by code."""
+        if not len(c):
+            return
+        order = np.lexsort((d.view(_U), c.view(_U)))
+        c, d, low = c.view(_U)[order], d.view(_U)[order], low[order]
+        i, b, mine, too = self.codes()
+        at = np.searchsorted(c, mine)
+        for step in range(2):  # two strings may share their first 64 bits
+            k = np.minimum(at + step, len(c) - 1)
+            hit = (c[k] == mine) & (d[k] == too)
+            self.best[i[hit], b[hit]] = np.minimum(self.best[i[hit], b[hit]], low[k[hit]])
+
+    def removed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, positions, masks): which of the strings around each sample also start in a smaller id."""
+        who = np.repeat(self.owner, self.counts)
+        mask = np.zeros(len(self.ids), np.int64)
+        for bit in range(self.reach + 1):
+            mask |= ((self.best[who, bit] < self.ids) & (self.lo[who] <= bit) & (bit <= self.hi[who])).astype(np.int64) << bit
+        hit = np.flatnonzero(mask)
+        return self.ids[hit], self.pos[hit], mask[hit]
+
+
 def removed_windows(runs: list[Run], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, positions, masks): which of the strings around each sample also start in a smaller id.
+    return Surroundings(runs, least).removed()
 
-    Keys are the sample's surroundings: gram, what follows, what precedes (backwards), and the
-    bounds the text's ends set. Bit l stands for the string that begins l bytes before the sample.
-    """
-    reach = least - GRAM
-    at, lcp = merge_runs(runs)
-    keys = np.concatenate([r.keys for r in runs])
-    ids, pos, starts, counts = _occurrences(runs)
-    low = np.minimum.reduceat(ids, starts)[at]
-    width = keys.shape[1]
-    fresh = np.concatenate([[True], lcp[1:] < width])
-    heads = np.flatnonzero(fresh)  # distinct surroundings over all runs
-    which = np.cumsum(fresh) - 1
-    least_id = np.minimum.reduceat(low, heads)
-    around = keys[at[heads]]
-    group = np.cumsum(np.concatenate([[True], lcp[heads][1:] < GRAM])) - 1
-    lo, hi = around[:, -2].astype(np.int64), around[:, -1].astype(np.int64)
-    best = np.repeat(least_id[:, None], reach + 1, 1)
-    many = np.flatnonzero(np.bincount(group)[group] > 1)
-    for part in _whole_groups(many, group[many], 60_000):
-        best[part] = _least_per_window(around[part], group[part], least_id[part], lo[part], hi[part], least)
-    # Per occurrence: the bits of strings whose least id is below its own.
-    owner = which[np.argsort(at, kind="stable")]  # distinct surroundings of each run's key
-    who = np.repeat(owner, counts)
-    mask = np.zeros(len(ids), np.int64)
-    for bit in range(reach + 1):
-        mask |= ((best[who, bit] < ids) & (lo[who] <= bit) & (bit <= hi[who])).astype(np.int64) << bit
-    hit = np.flatnonzero(mask)
-    return ids[hit], pos[hit], mask[hit]
+
+def _line(around: np.ndarray, reach: int) -> np.ndarray:
+    """Surroundings in the order of the text."""
+    return np.concatenate([around[:, GRAM + reach : GRAM + 2 * reach][:, ::-1], around[:, : GRAM + reach]], 1)
+
+
+def _prefixes(line: np.ndarray, least: int, seed: int) -> tuple[np.ndarray, np.uint64]:
+    """Polynomial hashes of all prefixes of each line: (length + 1, n), and the weight of a string's first byte."""
+    base = (0x9E3779B97F4A7C15 * (2 * seed - 1) & (1 << 64) - 1) | 1
+    table = _mix(np.arange(1, 257, dtype=_U) * _U(base) + _U(seed - 1))
+    prefix = np.zeros((line.shape[1] + 1, len(line)), _U)
+    for j in range(line.shape[1]):
+        prefix[j + 1] = prefix[j] * _U(base) + table[line[:, j]]
+    return prefix, _U(pow(base, least, 1 << 64))
 
 
 def _whole_groups(rows: np.ndarray, group: np.ndarray, most: int) -> Iterator[np.ndarray]:
@@ -394,12 +485,8 @@ def _whole_groups(rows: np.ndarray, group: np.ndarray, most: int) -> Iterator[np
 def _least_per_window(around, group, least_id, lo, hi, least: int) -> np.ndarray:
     """The least id per surroundings and string, over all surroundings of the group that hold the string."""
     reach, n = least - GRAM, len(around)
-    line = np.concatenate([around[:, GRAM + reach : GRAM + 2 * reach][:, ::-1], around[:, : GRAM + reach]], 1)
-    table = _mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-    base, power = _U(0x9E3779B97F4A7C15 | 1), _U(pow(0x9E3779B97F4A7C15 | 1, least, 1 << 64))
-    prefix = np.zeros((line.shape[1] + 1, n), _U)
-    for j in range(line.shape[1]):
-        prefix[j + 1] = prefix[j] * base + table[line[:, j]]
+    line = _line(around, reach)
+    prefix, power = _prefixes(line, least, 1)
     salt = _mix(group.astype(_U) + _U(1))
     bits = np.arange(reach + 1)
     start = reach - bits
@@ -424,6 +511,23 @@ def _least_per_window(around, group, least_id, lo, hi, least: int) -> np.ndarray
     return out
 
 
+def drawn_grams(base: DataFrame, least: int, wanted: int, total: int) -> list[bytes]:
+    """About ``wanted`` grams of samples, from texts drawn by a hash of the id; one in eight of a text's samples counts."""
+    chance = min(1.0, 192.0 * wanted / max(total, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                buf, n = _concat(part.column(1).to_pylist())
+                at, h = anchors(buf, n, least)
+                at = at[_mix(h + at.astype(_U)) % _U(8) == 0]
+                keys = np.lib.stride_tricks.sliding_window_view(buf, GRAM)[at] if len(at) else np.zeros((0, GRAM), np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys], pa.binary())], ["gram"])
+
+    drawn = base.filter(hash_unit(F.col("id"), seed="cuts") < chance).mapInArrow(run, "gram binary")
+    return [bytes(r["gram"]) for r in drawn.orderBy(F.xxhash64("gram", F.lit(7)), "gram").limit(4 * wanted).collect()]
+
+
 def repeated_strings(
     docs: DataFrame,
     *,
@@ -432,6 +536,7 @@ def repeated_strings(
     least: int = 50,
     run_samples: int = 1_500_000,
     group_bytes: int = 8_000_000,
+    bucket_bytes: int = 16_000_000,
 ) -> DataFrame:
     """Removes every byte covered by a ``least``-byte string that also starts in a smaller id.
 
@@ -440,12 +545,15 @@ def repeated_strings(
 
     1. Suffixes are sampled where, within some string of ``least`` bytes, a gram of 20 bytes has the
        least hash; equal strings are sampled alike. Tasks send sorted, front-coded runs of the
-       samples; loser trees merge them, and grams found in two documents go on.
+       samples to ranges of their order, cut at a sample of suffixes so that a range holds those of some ``bucket_bytes``; loser
+       trees merge a range's runs, and grams found in two documents go on.
     2. The surroundings of those samples (all strings of ``least`` bytes around them) are
        sorted and merged in the same way; equal surroundings count once, with their least id.
        Strings of different surroundings of one gram are matched among those alone.
     3. Each text gets a mask of strings per sample, removes what they cover and is hashed.
 
+    A gram too frequent for one range skips the first merge and is dealt over several tasks by id;
+    these tell each other the least id per string (by 128 bits of hash, distinct strings only) before they decide.
     Runs hold at most ``run_samples`` samples, texts are handled in groups of about
     ``group_bytes``; copies cost a pair of numbers each, never a pair of documents.
 
@@ -459,7 +567,8 @@ def repeated_strings(
         raise ValueError("strings must have 21 to 51 bytes")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / 16_000_000), 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / bucket_bytes), 1)
+    deal = Deal(drawn_grams(base.filter("id is not null"), least, 64 * min(buckets, MAX_RANGES), total), buckets)
     groups = _prime(max(2, int(total / group_bytes)))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,8 +576,8 @@ def repeated_strings(
 
         def flush():
             keys, h, ids, pos = (np.concatenate(c) for c in zip(*held, strict=True))
-            rows = list(_by_bucket(keys, h, ids, pos, buckets))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "run"])
+            rows = list(_by_bucket(keys, h, ids, pos, deal))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "run"])
 
         for batch in batches:
             ids_all, texts_all = batch.column(0), batch.column(1).to_pylist()
@@ -496,7 +605,8 @@ def repeated_strings(
             yield flush()
 
     def repeats(key, rows):
-        ids, pos = repeated_grams([unpack_run(x) for x in rows["run"].to_pylist()])
+        runs = [unpack_run(x) for x in rows["run"].to_pylist()]
+        ids, pos = repeated_grams(runs) if key[0].as_py() >= 0 else _occurrences(runs)[:2]
         out = list(_to_texts(ids, [pos], groups))
         return pa.table({"dest": pa.array([r[0] for r in out], pa.int32()), "found": pa.array([r[1] for r in out], pa.binary())})
 
@@ -524,13 +634,38 @@ def repeated_strings(
                 fit = lo <= hi
                 gram = np.ascontiguousarray(line[:, reach : reach + GRAM])
                 h = gram_hashes(gram.ravel())[::GRAM]
-                out += _by_bucket(keys[fit], h[fit], ids[part][fit], p[fit], buckets)
-        return pa.table({"bucket": pa.array([r[0] for r in out], pa.int32()), "run": pa.array([r[1] for r in out], pa.binary())})
+                out += _by_bucket(keys[fit], h[fit], ids[part][fit], p[fit], deal)
+        return pa.table({"bucket": pa.array([r[0] for r in out], pa.int64()), "run": pa.array([r[1] for r in out], pa.binary())})
 
-    def decide(key, rows):
-        ids, pos, mask = removed_windows([unpack_run(x) for x in rows["run"].to_pylist()], least)
+    def found_table(ids, pos, mask):
         out = list(_to_texts(ids, [pos, mask], groups))
-        return pa.table({"dest": pa.array([r[0] for r in out], pa.int32()), "found": pa.array([r[1] for r in out], pa.binary())})
+        return {"dest": pa.array([r[0] for r in out], pa.int32()), "found": pa.array([r[1] for r in out], pa.binary())}
+
+    def decide(key, rows):
+        """Masks of a range; of a hot gram's task its runs and what it knows of its strings."""
+        runs = rows["run"].to_pylist()
+        if key[0].as_py() >= 0:
+            out = found_table(*removed_windows([unpack_run(x) for x in runs], least))
+            return pa.table(out | {"bucket": pa.nulls(len(out["dest"]), pa.int64()), "run": pa.nulls(len(out["dest"]), pa.binary())})
+        told = Surroundings([unpack_run(x) for x in runs], least).windows()
+        own = [None] * len(runs)
+        blob = np.stack(told).astype("<i8").tobytes()
+        return pa.table({"dest": pa.array([*own, None], pa.int32()), "found": pa.array([*own, blob], pa.binary()), "bucket": pa.array([key[0].as_py()] * (len(runs) + 1), pa.int64()), "run": pa.array([*runs, None], pa.binary())})
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                c, d, low = np.frombuffer(batch.column(1)[k].as_buffer(), "<i8").reshape(3, -1)
+                for at in range(0, len(c), 100_000):
+                    part = slice(at, at + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c[part]), batch.column(0)[k].as_py()), pa.int64()), pa.array(c[part]), pa.array(d[part]), pa.array(low[part])], ["bucket", "c", "d", "low"])
+
+    def decide_hot(key, rows, known):
+        if not rows.num_rows:
+            return pa.table({"dest": pa.array([], pa.int32()), "found": pa.array([], pa.binary())})
+        s = Surroundings([unpack_run(x) for x in rows["run"].to_pylist()], least)
+        s.learn(*[np.ascontiguousarray(known[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)) for c in ("c", "d", "low")])
+        return pa.table(found_table(*s.removed()))
 
     def cut(key, texts, found):
         ids, pos, mask = _from_blobs(found["found"].to_pylist(), 2)
@@ -572,10 +707,20 @@ def repeated_strings(
     dest = F.coalesce(F.pmod(F.col("id"), F.lit(groups)), F.lit(0)).cast("int")
     by_dest = base.withColumn("dest", dest).groupBy("dest")
     with batch_rows(spark, 2000):
-        runs = base.mapInArrow(sample, "bucket int, run binary")
+        runs = base.mapInArrow(sample, "bucket long, run binary")
         first = materialise(runs.groupBy("bucket").applyInArrow(repeats, "dest int, found binary"), "repeats")
-        second = by_dest.cogroup(first.groupBy("dest")).applyInArrow(surround, "bucket int, run binary")
-        masks = second.groupBy("bucket").applyInArrow(decide, "dest int, found binary")
+        second = by_dest.cogroup(first.groupBy("dest")).applyInArrow(surround, "bucket long, run binary")
+        masks = second.groupBy("bucket").applyInArrow(decide, "dest int, found binary, bucket long, run binary")
+        if len(deal.hot):
+            masks = materialise(masks, "masks")
+            strings = masks.filter("bucket is not null and run is null").select("bucket", "found").mapInArrow(told, "bucket long, c long, d long, low long")
+            strings = materialise(strings, "strings")
+            lowest = strings.groupBy("c", "d").agg(F.min("low").alias("m"), F.max("low").alias("most")).filter("m < most").select("c", "d", "m")
+            news = strings.join(lowest, ["c", "d"]).filter("m < low").select("bucket", "c", "d", F.col("m").alias("low"))
+            hot = masks.filter("run is not null").select("bucket", "run").groupBy("bucket").cogroup(news.groupBy("bucket"))
+            masks = masks.filter("dest is not null").select("dest", "found").unionByName(hot.applyInArrow(decide_hot, "dest int, found binary"))
+        else:
+            masks = masks.select("dest", "found")
         done = by_dest.cogroup(masks.groupBy("dest")).applyInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
         done = materialise(done, "kept")
     return done.withColumnRenamed("id", id_col)

@@ -247,6 +247,30 @@ def test_repeated_strings_equal_brute_force(spark, rng, alphabet):
     assert removal(df, group_bytes=3000, run_samples=800) == brute_removal(rows)
 
 
+@pytest.mark.parametrize("ranges", [4096, 3])
+def test_hot_strings_are_dealt_over_tasks(spark, rng, monkeypatch, ranges):
+    dealt = []
+
+    class Watched(suffixdedup.Deal):
+        def __init__(self, *args):
+            super().__init__(*args)
+            dealt.append(self)
+
+    monkeypatch.setattr(suffixdedup, "Deal", Watched)
+    monkeypatch.setattr(suffixdedup, "MAX_RANGES", ranges)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, near = word(90), [word(25) for _ in range(6)]
+    rows = []
+    for i in range(160):
+        t = word(rng.randint(0, 60))
+        if i % 3:
+            t = t + rng.choice(["", *near]) + line + rng.choice(["", *near]) + word(rng.randint(0, 60))
+        rows.append((rng.randint(0, 10**6) * 200 + i, t + (line[20:] if i % 5 == 0 else "")))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert removal(df, group_bytes=4000, run_samples=700, bucket_bytes=1200) == brute_removal(rows)
+    assert len(dealt[0].hot) and dealt[0].parts.min() > 1
+
+
 def test_repeated_strings_on_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert removal(docs) == brute_removal([(r["doc_id"], r["text"]) for r in docs.collect()])
