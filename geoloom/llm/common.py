@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,33 @@ scratch_dir = shared_folder
 materialise = written
 
 
+_OWNER = ""
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    """Registers what empties an operator's cache in a Python worker."""
+    _CACHES[owner] = clear
+
+
+def settle(owner: str) -> None:
+    """Called by a task's function: when a worker turns to another operator, the others' caches go back to the machine.
+
+    Workers outlive stages; without this an executor holds what every operator of a pipeline once cached.
+    """
+    global _OWNER
+    if _OWNER == owner:
+        return
+    _OWNER = owner
+    for name, clear in _CACHES.items():
+        if name != owner:
+            clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int):
     """Bounds the rows of an Arrow batch while a plan with large rows runs."""

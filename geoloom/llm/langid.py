@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batch_rows, hash_unit, texts_of
+from geoloom.llm.common import batch_rows, hash_unit, keeps, settle, texts_of
 
 #: Symbols of a text that one lane walks; what a lane enters with is set right afterwards.
 SEGMENT = 1024
@@ -273,6 +273,7 @@ class CrossParser:
 
 
 _PARSERS: dict[int, CrossParser] = {}
+keeps("language", _PARSERS.clear)
 
 
 def _parser(samples: dict[str, str]) -> CrossParser:
@@ -376,6 +377,7 @@ def identify(
     samples = language_samples(rows, fold=fold, held_out=held_out, sample_docs=sample_docs, sample_chars=sample_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("language")
         for batch in batches:
             parser = _parser(samples)
             for some, texts in texts_of(batch):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import WORD_PATTERN, batch_rows, materialise, texts_of
+from geoloom.llm.common import WORD_PATTERN, batch_rows, materialise, settle, texts_of
 from geoloom.llm.graph import components
 
 _WORD = re.compile(WORD_PATTERN)
@@ -116,6 +116,7 @@ def signatures(docs: DataFrame, words: int, coordinates: int, rows: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
 
+        settle("neardup")
         maker = Shingler(words)
         for batch in batches:
             for some, texts in texts_of(batch):
@@ -137,6 +138,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     id_type = dict(docs.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("neardup")
         maker = Shingler(words)
         for batch in batches:
             for some, texts in texts_of(batch):
@@ -151,6 +153,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     id_type = dict(pairs.dtypes)["a"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("neardup")
         for batch in batches:
             linked, last, left = [], None, None
             for i in range(batch.num_rows):
@@ -279,6 +282,7 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     met = pairs.join(side("i"), ["key", "i"]).join(side("j"), ["key", "j"]).select("i", "j", "di", "dj")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("neardup")
         for batch in batches:
             for k in range(batch.num_rows):
                 left = batch.column(2)[k].as_py()

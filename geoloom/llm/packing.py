@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import texts_of
+from geoloom.llm.common import settle, texts_of
 from geoloom.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -77,6 +77,7 @@ def pack(
     schema = schema.replace("doc_id long", f"doc_id {id_type}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("tokens")
         coder = encoder(tokenizer_path, mode)
         end = np.array([end_id], coder.dtype)
         base, out = TaskContext.get().partitionId() << 33, None

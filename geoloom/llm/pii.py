@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import hash_unit, pieces, texts_of
+from geoloom.llm.common import hash_unit, pieces, settle, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 TRIGGER = re.compile(r"[0-9@]")
@@ -351,6 +351,7 @@ def train(docs: DataFrame, *, sample_windows: int = 900, per_text: int = 4) -> T
     seen = candidate.filter(hash_unit(F.col("id"), seed="pii-sample") < chance)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("pii")
         for batch in batches:
             rows = []
             for text in (x or "" for _, part in texts_of(batch) for x in part):
@@ -393,6 +394,7 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     model = train(rows.select("id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("pii")
         for batch in batches:
             for part in pieces(batch):
                 some, texts = part.column(0).to_pylist(), part.column(1).to_pylist()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import hash_unit, materialise, pieces, texts_of
+from geoloom.llm.common import hash_unit, materialise, pieces, settle, texts_of
 
 FEATURES = (
     "log_chars", "word_length", "upper_share", "digit_share", "mark_share", "symbol_share", "space_share",
@@ -183,6 +183,7 @@ def _feature_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     id_type = dict(docs.dtypes)[id_col]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("quality")
         for batch in batches:
             for some, texts in texts_of(batch):
                 x = features(texts)
@@ -265,6 +266,7 @@ def keep_good(
     at = docs.columns.index(text_col)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("quality")
         for batch in batches:
             good = [model.score(features(part.column(at).to_pylist())) >= threshold for part in pieces(batch, at)]
             yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))

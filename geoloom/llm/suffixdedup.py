@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batch_rows, hash_unit, materialise, pieces
+from geoloom.llm.common import batch_rows, hash_unit, materialise, pieces, settle
 
 _U = np.uint64
 _TOP = np.iinfo(np.uint64).max
@@ -572,6 +572,7 @@ def repeated_strings(
     groups = _prime(max(2, int(total / group_bytes)))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("suffixes")
         held, count = [], 0
 
         def flush():

@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 
+from geoloom.llm.common import keeps
+
 _TWO_SPACES = re.compile(r"\s\s")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Marks that may follow a word; with a letter before them there is always a cut.
@@ -218,6 +220,7 @@ class ChunkEncoder:
 
 
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
+keeps("tokens", _ENCODERS.clear)
 
 
 def encoder(path: str, mode: str) -> ChunkEncoder:

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialise, texts_of
+from geoloom.llm.common import materialise, settle, texts_of
 from geoloom.llm.tokens import encoder
 
 MAGIC = b"GLWM2\0"
@@ -183,6 +183,7 @@ def write_shards(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        settle("tokens")
         coder, part, seq = encoder(tokenizer_path, mode), TaskContext.get().partitionId(), 0
         end = np.array([end_id], coder.dtype)
         ids, rows, held, kind = [], [], 0, None
