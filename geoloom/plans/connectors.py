@@ -188,13 +188,14 @@ def a8_gtfs_validation(spark, sf_dir):
 
 @query("a9_overture_scan", f"""WITH {BOXES}, a AS (SELECT 'b' || feature_id AS feature_id, minx, maxx, miny, maxy, feature_id % 2 = 0 AS building, NULL AS road FROM boxes
 UNION ALL SELECT 'r' || feature_id, minx, maxx, miny, maxy, NULL, feature_id % 3 = 0 FROM boxes)
-SELECT feature_id, building, road FROM a WHERE minx <= 17.10005 AND maxx >= 16.90005 AND miny <= 51.15005 AND maxy >= 51.06005""")
+SELECT feature_id, coalesce(CAST(building AS VARCHAR), 'none') AS building, coalesce(CAST(road AS VARCHAR), 'none') AS road FROM a WHERE minx <= 17.10005 AND maxx >= 16.90005 AND miny <= 51.15005 AND maxy >= 51.06005""")
 def a9_overture_scan(spark, sf_dir):
     k, boxes, paths = F.col("feature_id"), box_features(spark, sf_dir), []
     for letter, name, n in (("b", "building", 2), ("r", "road", 3)):
         paths.append(new_path(spark, "theme"))
         boxes.select(F.concat(F.lit(letter), k.cast("string")).alias("feature_id"), "minx", "miny", "maxx", "maxy", (k % n == 0).alias(name)).write.parquet(paths[-1])
-    return osm.read_overture(spark, paths, area=AREA).select("feature_id", "building", "road")
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c)
+    return osm.read_overture(spark, paths, area=AREA).select("feature_id", shown("building"), shown("road"))
 
 
 _TILES = f"""WITH {REGS}, c AS (SELECT DISTINCT region_id FROM regs),
