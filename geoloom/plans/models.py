@@ -33,7 +33,7 @@ def _given(model, columns: list[str], sizes: list[int]):
 
 def sql_encoded(columns: list[str], sizes: list[int], key: str, source: str) -> str:
     """CTEs from a table of features to ``enc``: key and e0, e1, ..."""
-    names, out = [f"coalesce({c}, 0)" for c in columns], []
+    names, out = [f"(CASE WHEN isfinite({c}) THEN {c} ELSE 0 END)" for c in columns], []
     for k, width in enumerate(sizes):
         terms = [" + ".join([f"CAST({(j % 3) / 8} AS DOUBLE)"] + [f"{c} * CAST({_weight(i + k, j)} AS DOUBLE)" for i, c in enumerate(names)]) for j in range(width)]
         last = k == len(sizes) - 1

@@ -29,6 +29,7 @@ from geoloom.storage import written
 class NetworkType(str, Enum):
     """Kinds of road network."""
 
+    # Fixed values.
     ALL_PRIVATE = "all_private"
     ALL = "all"
     BIKE = "bike"

@@ -28,6 +28,7 @@ def table_of(df, columns):
     return {r["region_id"]: [r[c] for c in columns] for r in df.collect()}
 
 
+# Names and counts that the contract of a count table asks for.
 @pytest.mark.parametrize(
     ("options", "columns", "want"),
     [
@@ -58,6 +59,7 @@ def test_count_embedding_rules(spark, tables):
     assert "leisure_null" not in E.count_embedding(regions, nulls, joint).columns
 
 
+# Names of expected columns.
 @pytest.mark.parametrize(
     ("tags", "sub", "want"),
     [
