@@ -363,22 +363,37 @@ def convex_hull(xy: np.ndarray) -> np.ndarray:
 def buffer_metres(geometry: Geometry, metres: float, arcs: int = 32) -> Geometry:
     """Everything within a distance, on an azimuthal equidistant plane about the centroid.
 
-    Exact up to the arcs for points and convex shapes; others are buffered by their convex hull.
+    The union of the shape with a capsule around each of its edges; round ends are drawn by ``arcs`` chords.
     """
+    from geoloom.functions.overlay import union_all
+
+    if not geometry[1]:
+        return "polygon", []
     lon0, lat0 = np.radians(centroid(geometry))
-    xy = np.radians(np.vstack([r for p in geometry[1] for r in p]))
-    c = np.arccos(np.clip(np.sin(lat0) * np.sin(xy[:, 1]) + np.cos(lat0) * np.cos(xy[:, 1]) * np.cos(xy[:, 0] - lon0), -1, 1))
-    k = np.where(c > 1e-12, c / np.maximum(np.sin(c), 1e-12), 1.0) * EARTH_RADIUS_M
-    plane = np.stack([k * np.cos(xy[:, 1]) * np.sin(xy[:, 0] - lon0), k * (np.cos(lat0) * np.sin(xy[:, 1]) - np.sin(lat0) * np.cos(xy[:, 1]) * np.cos(xy[:, 0] - lon0))], 1)
+    unit = 1e5  # metres; keeps the plane's numbers as small as degrees, for which the overlay rounds
+
+    def flat(r: np.ndarray) -> np.ndarray:
+        lon, lat = np.radians(r).T
+        c = np.arccos(np.clip(np.sin(lat0) * np.sin(lat) + np.cos(lat0) * np.cos(lat) * np.cos(lon - lon0), -1, 1))
+        k = np.where(c > 1e-12, c / np.maximum(np.sin(c), 1e-12), 1.0) * EARTH_RADIUS_M / unit
+        return np.stack([k * np.cos(lat) * np.sin(lon - lon0), k * (np.cos(lat0) * np.sin(lat) - np.sin(lat0) * np.cos(lat) * np.cos(lon - lon0))], 1)
+
+    def back(r: np.ndarray) -> np.ndarray:
+        r = r * unit
+        rho = np.hypot(r[:, 0], r[:, 1])
+        c, safe = rho / EARTH_RADIUS_M, np.maximum(rho, 1e-12)
+        lat = np.arcsin(np.clip(np.cos(c) * np.sin(lat0) + r[:, 1] * np.sin(c) * np.cos(lat0) / safe, -1, 1))
+        lon = lon0 + np.arctan2(r[:, 0] * np.sin(c), safe * np.cos(lat0) * np.cos(c) - r[:, 1] * np.sin(lat0) * np.sin(c))
+        return np.degrees(np.stack([lon, lat], 1))
+
+    plane = geometry[0], [[flat(r) for r in p] for p in geometry[1]]
     turn = 2 * math.pi * np.arange(arcs) / arcs
-    circle = metres * np.stack([np.cos(turn), np.sin(turn)], 1)
-    hull = convex_hull((plane[:, None] + circle).reshape(-1, 2))
-    rho = np.hypot(hull[:, 0], hull[:, 1])
-    c = rho / EARTH_RADIUS_M
-    safe = np.maximum(rho, 1e-12)
-    lat = np.arcsin(np.clip(np.cos(c) * np.sin(lat0) + hull[:, 1] * np.sin(c) * np.cos(lat0) / safe, -1, 1))
-    lon = lon0 + np.arctan2(hull[:, 0] * np.sin(c), safe * np.cos(lat0) * np.cos(c) - hull[:, 1] * np.sin(lat0) * np.sin(c))
-    return polygon(np.degrees(np.stack([lon, lat], 1)))
+    circle = metres / unit * np.stack([np.cos(turn), np.sin(turn)], 1)
+    shapes = [("polygon", [p]) for p in plane[1]] if geometry[0] == "polygon" else []
+    for e in _segments(plane):
+        shapes.append(polygon(convex_hull(np.round((e.reshape(2, 1, 2) + circle).reshape(-1, 2), 11))))
+    kind, parts = union_all(shapes)
+    return kind, [[back(r) for r in p] for p in parts]
 
 
 # --- Arrow column functions ------------------------------------------------------------------

@@ -320,6 +320,32 @@ def a21_area_bounds(spark, sf_dir):
     return schema.with_bounds(shapes).select(*keep).unionByName(schema.with_bounds(p).select(*keep))
 
 
+@query("a21_area_systems", f"WITH {PTS} SELECT feature_id, round(lon, 6) AS lon, round(lat, 6) AS lat, round(lon, 5) AS utm_lon FROM pts")
+def a21_area_systems(spark, sf_dir):
+    """Places written in web map metres and read back; in UTM zone 33 by the forward series."""
+    import math
+
+    from geoloom.functions import crs
+
+    p = points(spark, sf_dir)
+    web = p.select("feature_id", (F.radians("lon") * crs.AXIS).alias("lon"), (F.log(F.tan(F.radians("lat") / 2 + math.pi / 4)) * crs.AXIS).alias("lat"))
+    n = crs.FLATTENING / (2 - crs.FLATTENING)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    radius, e = crs.AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64), 2 * math.sqrt(n) / (1 + n)
+    s = F.sin(F.radians("lat"))
+    t = F.sinh(F.atanh(s) - F.atanh(s * e) * e)
+    turn = F.radians("lon") - math.radians(15)
+    xi, eta = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
+    x, y = eta, xi
+    for k, c in enumerate(alpha, 1):
+        x = x + F.cos(xi * (2 * k)) * F.sinh(eta * (2 * k)) * c
+        y = y + F.sin(xi * (2 * k)) * F.cosh(eta * (2 * k)) * c
+    utm = p.select("feature_id", (x * radius * crs.SCALE + crs.EAST).alias("lon"), (y * radius * crs.SCALE).alias("lat"))
+    back = schema.to_wgs84(utm, 32633).select("feature_id", F.round("lon", 5).alias("utm_lon"))
+    own = schema.to_wgs84(web, 3857).select("feature_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    return own.join(back, "feature_id")
+
+
 @query("a22_model_store", "SELECT 'weights' AS part, 6 AS n, true AS same UNION ALL SELECT 'config', 2, true")
 def a22_model_store(spark, sf_dir):
     import numpy as np
@@ -616,3 +642,33 @@ def j5_empty_remainder(spark, sf_dir):
     got = regionalizers.administrative_regions(some, area, admin_level=4, cell=0.05, clip_to_area=True, fill_empty=True, least_share=0.0)
     kind = F.when(F.col("region_id") == "EMPTY", "EMPTY").otherwise("kept")
     return got.groupBy(kind.alias("kind")).agg(F.round(F.sum(G.st_area(F.col("geometry"))), 9).alias("area"))
+
+
+@query("k3_buffer_bent_shape", "SELECT 10 AS shapes, 0 AS wrong")
+def k3_buffer_bent_shape(spark, sf_dir):
+    """Places around a bent polygon: those within the distance of its edges, or inside it, and no others lie in its buffer."""
+    import numpy as np
+
+    def check(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for k in b["id"]:
+                rng = np.random.default_rng(int(k))
+                shape = G.polygon(_BENT)
+                far = 400.0 + 300 * int(k)
+                grown = G.buffer_metres(shape, far, arcs=64)
+                xy = rng.uniform((16.7, 50.96), (17.25, 51.28), (400, 2))
+                e = G._segments(shape)
+                scale = np.array([np.cos(np.radians(51.12)), 1]) * np.radians(1) * G.EARTH_RADIUS_M
+                p, a, d = xy[:, None] * scale, e[None, :, :2] * scale, (e[None, :, 2:] - e[None, :, :2]) * scale
+                t = np.clip(((p - a) * d).sum(2) / (d * d).sum(2), 0, 1)
+                off = np.hypot(*np.moveaxis(p - a - t[..., None] * d, 2, 0)).min(1)
+                off = np.where(G._place(xy, shape) > 0, 0, off)
+                sure = np.abs(off - far) > 0.01 * far + 60
+                out.append((k, int(((G._place(xy, grown) >= 0) != (off <= far))[sure].sum())))
+            yield pd.DataFrame(out, columns=["id", "wrong"])
+
+    done = spark.range(10).mapInPandas(check, "id long, wrong int")
+    return done.agg(F.count(F.lit(1)).cast("int").alias("shapes"), F.sum("wrong").cast("int").alias("wrong"))

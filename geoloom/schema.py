@@ -52,6 +52,17 @@ def to_regions(df: DataFrame, index_column: str | None = None) -> DataFrame:
     return _indexed(df, index_column, REGION)
 
 
+def to_wgs84(df: DataFrame, epsg: int) -> DataFrame:
+    """Points (lon, lat) or boxes of a coordinate system in degrees; unknown systems are a ValueError."""
+    from geoloom.functions.crs import to_degrees
+
+    if {"lon", "lat"} <= set(df.columns):
+        df = to_degrees(df, epsg)
+    if all(c in df.columns for c in BOX):
+        df = to_degrees(to_degrees(df, epsg, lon="minx", lat="miny"), epsg, lon="maxx", lat="maxy")
+    return df
+
+
 def to_features(df: DataFrame, index_column: str | None = None) -> DataFrame:
     return _indexed(df, index_column, FEATURE)
 
