@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import settle, texts_of
-from geoloom.llm.tokens import encoder
+from geoloom.llm.tokens import CACHED_CHUNKS, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -61,12 +61,14 @@ def pack(
     quadratic: float = 1.0 / 2048,
     group_tokens: int = 3_000_000,
     with_ids: bool = False,
+    cached_chunks: int = CACHED_CHUNKS,
 ) -> DataFrame:
     """Tokenises every whole document and packs the ids into sequences of at most ``capacity``.
 
     Each task packs its documents in groups of about ``group_tokens`` tokens, in the order it
     reads them, so memory is bounded, nothing is shuffled, and a rerun of a task gives the same
-    pieces; padding is below one sequence a group. ``with_ids`` adds the ids of each piece.
+    pieces; padding is below one sequence a group. ``with_ids`` adds the ids of each piece; ``cached_chunks``
+    trades the tokenizer's time for a worker's memory.
 
     Edge cases: null or empty text is the end id alone; a null id is kept; equal rows are packed
     separately; texts of any length are cut over sequences; an empty table gives no rows; other
@@ -78,7 +80,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle("tokens")
-        coder = encoder(tokenizer_path, mode)
+        coder = encoder(tokenizer_path, mode, cached_chunks)
         end = np.array([end_id], coder.dtype)
         base, out = TaskContext.get().partitionId() << 33, None
         ids, rows, held = [], [], 0

@@ -24,13 +24,14 @@ _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f
 class _Cache:
     """Ids by chunk in two generations, so that frequent chunks outlive rare ones."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def missing(self, wanted: set[str]) -> list[str]:
         """What must be encoded; what the old generation holds moves to the young one."""
-        if len(self.young) > CACHED_CHUNKS:
+        if len(self.young) > self.most:
             self.young, self.old = {}, self.young
         young, old, out = self.young, self.old, []
         for x in wanted.difference(young):
@@ -52,7 +53,7 @@ class ChunkEncoder:
     a text are matched as the tokenizer does; what lies between them is cut.
     """
 
-    def __init__(self, path: str, mode: str):
+    def __init__(self, path: str, mode: str, cached: int = CACHED_CHUNKS):
         from tokenizers import Tokenizer, pre_tokenizers
 
         if mode not in ("spaced", "dropped", "whole"):
@@ -72,7 +73,7 @@ class ChunkEncoder:
                 setattr(self.plain, part, getattr(self.tokenizer, part))
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
-        self.first, self.rest = _Cache(), _Cache()
+        self.first, self.rest = _Cache(cached), _Cache(cached)
         self.newline = self._batch(["\n"])[0] if mode == "spaced" else b""
         self.ends: dict[str, bool] = {}
         #: The same model behind plain white space, for words that need no more.
@@ -219,12 +220,13 @@ class ChunkEncoder:
         ]
 
 
-_ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, str, int], ChunkEncoder] = {}
 keeps("tokens", _ENCODERS.clear)
 
 
-def encoder(path: str, mode: str) -> ChunkEncoder:
-    """One encoder per Python worker; tasks share its cache."""
-    if (path, mode) not in _ENCODERS:
-        _ENCODERS[path, mode] = ChunkEncoder(path, mode)
-    return _ENCODERS[path, mode]
+def encoder(path: str, mode: str, cached: int = CACHED_CHUNKS) -> ChunkEncoder:
+    """One encoder per Python worker; tasks share its cache of ``cached`` chunks a generation."""
+    key = (path, mode, cached)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = ChunkEncoder(path, mode, cached)
+    return _ENCODERS[key]
