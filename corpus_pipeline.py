@@ -59,7 +59,7 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is its end id alone; repeated rows are packed one by one; an empty table gives no pieces.
     """
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=True)
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=True, group_tokens=1_000_000, cached_chunks=100_000)
 
 
 STAGES = [
