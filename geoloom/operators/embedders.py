@@ -206,8 +206,9 @@ def negative_samples(regions: DataFrame, near: DataFrame, pairs: DataFrame, *, s
     regions = written(regions.select(F.col("region_id").alias("negative")).distinct(), "regions")
     n = regions.count()
     slots = max(1, n // 2)
-    place = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(slots))
-    ring = regions.select("negative", place("negative").alias("slot"), F.xxhash64("negative").alias("order"))
+    mark = lambda *c: F.md5(F.concat_ws("|", *[F.col(x).cast("string") for x in c], F.lit(str(seed))))
+    place = lambda *c: F.conv(F.substring(mark(*c), 1, 12), 16, 10).cast("long") % slots
+    ring = regions.select("negative", place("negative").alias("slot"), mark("negative").alias("order"))
     barred = near.select(F.col("region_id").alias("anchor"), F.col("neighbour_id").alias("negative")).distinct()
     barred = barred.unionByName(regions.select(F.col("negative").alias("anchor"), "negative")).join(regions, "negative", "left_semi")
     barred = written(barred.distinct(), "barred")

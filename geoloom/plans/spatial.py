@@ -278,7 +278,13 @@ def m5a_neighbour_pairs(spark, sf_dir):
     return embedders.neighbour_pairs(_edges(spark, sf_dir))
 
 
-@query("m5a_negative_samples")
+_PLACE = "CAST(concat('0x', substr(md5({}), 1, 12)) AS BIGINT) % (SELECT greatest(1, count(*) // 2) FROM r)"
+
+
+@query("m5a_negative_samples", f"""WITH {_R}, {_EDGES}, p AS (SELECT region_id AS anchor, neighbour_id AS positive, {_PLACE.format("concat(region_id, '|', neighbour_id, '|0')")} AS home FROM e WHERE distance = 1),
+ring AS (SELECT region_id AS negative, md5(concat(region_id, '|0')) AS mark, {_PLACE.format("concat(region_id, '|0')")} AS slot FROM r), n AS (SELECT greatest(1, count(*) // 2) AS slots FROM r),
+o AS (SELECT anchor, positive, negative, row_number() OVER (PARTITION BY anchor, positive ORDER BY (slot - home + slots) % slots, mark) AS rn FROM p, ring, n
+  WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.region_id = p.anchor AND e.neighbour_id = ring.negative)) SELECT anchor, positive, negative FROM o WHERE rn = 1""")
 def m5a_negative_samples(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     return embedders.negative_samples(_regions(spark, sf_dir, 13), edges, embedders.neighbour_pairs(edges))
