@@ -346,6 +346,8 @@ class MTree:
 
 #: Regions of the space at most, which bounds what tasks share; regions beyond their size are cut by a hash.
 MAX_PIVOTS = 512
+#: Partitions of the search at most.
+MAX_SPREAD = 20_000
 
 
 class Regions:
@@ -426,7 +428,7 @@ def top_inner_products(
     for r in found:
         radii[r["tree"]], chunks[r["tree"]], parts[r["tree"]] = r["radius"], -(-r["n"] // tree_rows), max(1, -(-r["q"] // query_rows))
     per_tree = lambda counts: F.get(F.array(*[F.lit(int(c)) for c in counts]), F.col("tree")) if len(drawn) else F.lit(1)
-    chunks_of = per_tree(chunks)
+    chunks_of, spread = per_tree(chunks), int(min(max(1, chunks.sum()), MAX_SPREAD))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted (tree, chunk, id, x) rows as one row per tree, chunk and ``query_rows`` or a whole tree."""
@@ -474,7 +476,8 @@ def top_inner_products(
 
     def searched(blocks: DataFrame, label: str) -> DataFrame:
         every_chunk = F.explode(F.sequence(F.lit(0).cast("long"), chunks_of.cast("long") - 1)).alias("chunk")
-        met = blocks.select("tree", "q_ids", "q_x", "floors", every_chunk).repartition("tree", "chunk").join(trees, ["tree", "chunk"]).select("q_ids", "q_x", "floors", "ids", "x")
+        # A stated number of partitions: few bytes mean much work here, so they must not be put together by size.
+        met = blocks.select("tree", "q_ids", "q_x", "floors", every_chunk).repartition(spread, "tree", "chunk").join(trees.repartition(spread, "tree", "chunk"), ["tree", "chunk"]).select("q_ids", "q_x", "floors", "ids", "x")
         with batch_rows(spark, 4):
             return materialise(met.mapInArrow(search, f"query_id {id_type}, vec_id {id_type}, score long"), label)
 
