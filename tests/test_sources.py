@@ -193,3 +193,19 @@ def test_roles(spark):
         schema.to_regions(df, "none")
     with pytest.raises(ValueError):
         schema.not_empty(df.filter("false"), "regions table")
+
+
+def test_pbf_blocks_round_trip(spark, tmp_path):
+    from geoloom.sources import pbf
+
+    nodes = [("node", k * (-1) ** k * 10**9, {"a": f"v{k}"} if k % 2 else {}, 17 + k / 1e4, -51 - k / 1e4, None) for k in range(1, 20)]
+    ways = [("way", 7, {"highway": "residential", "name": "Żółta"}, None, None, [5, 3, 2**40, 4])]
+    got = list(pbf.decode_block(pbf.encode_block(nodes + ways)))
+    assert [r[:3] for r in got] == [r[:3] for r in nodes + ways] and got[-1][5] == ways[0][5]
+    assert all(abs(a[3] - b[3]) < 1e-7 and abs(a[4] - b[4]) < 1e-7 for a, b in zip(got, nodes, strict=False))
+    relation = pbf._message((1, pbf._message((1, b""), (1, b"outer"), (1, b"type"), (1, b"site"))), (2, pbf._message((4, pbf._message((1, 9), (2, b"\x02"), (3, b"\x03"), (8, b"\x01\x00"), (9, pbf._zigzag([5, -2])), (10, b"\x01\x00"))))))
+    assert list(pbf.decode_block(relation)) == [("relation", 9, {"type": "site"}, None, None, None, [{"type": "way", "ref": 5, "role": "outer"}, {"type": "node", "ref": 3, "role": ""}])]
+    df = spark.createDataFrame(nodes + ways, "element string, id long, tags map<string,string>, lon double, lat double, refs array<long>").repartition(3)
+    folder = pbf.write_pbf(df, str(tmp_path / "pbf"))
+    back = pbf.read_pbf(spark, f"{folder}/*.pbf")
+    assert rows(back, "element", "id") == sorted((r[0], r[1]) for r in nodes + ways)

@@ -216,7 +216,7 @@ def test_metrics(spark):
 
 def test_dtw_query_equals_brute_force_on_all_points(spark, sf_dir):
     from geoloom.plans.inputs import track_points
-    from geoloom.plans.learning import n10_dtw_distance
+    from geoloom.plans.models import n10_dtw_distance
 
     def metres(a, b):
         (x, y), (u, v) = (tuple(map(math.radians, c)) for c in (a, b))
