@@ -45,11 +45,26 @@ def settle(owner: str) -> None:
         if name != owner:
             clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Gives what is free in a Python worker's heaps back to the machine."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Bytes of an Arrow batch in a pipeline. Spark's own bounds (10,000 rows, 64 MB) put a whole partition of texts into one
+#: batch, which executors hold outside the heap several times over, besides the worker.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the session's Arrow batches from now on, as plans run after what made them has returned."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int):
     """Bounds the rows of an Arrow batch while a plan with large rows runs."""

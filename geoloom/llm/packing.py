@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import settle, texts_of
+from geoloom.llm.common import settle, texts_of, trim
 from geoloom.llm.tokens import CACHED_CHUNKS, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -112,6 +112,7 @@ def pack(
                     if held >= group_tokens:
                         yield flush()
                         ids, rows, held = [], [], 0
+                        trim()  # what encoding freed lies between cached chunks
         if rows:
             yield flush()
 

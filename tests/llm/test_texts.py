@@ -539,6 +539,28 @@ def test_pipeline_packs_the_ids(spark):
         assert all(crc(ids) == c for _, ids, c in own)
 
 
+def test_pipeline_bounds_the_bytes_of_a_batch(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as P
+
+    key, folder, plain = "spark.sql.execution.arrow.maxBytesPerBatch", str(tmp_path), packing.texts_of
+    before = spark.conf.get(key)
+
+    def seen(batch):
+        with open(f"{folder}/{batch.column(0)[0]}", "w") as f:
+            f.write(str(batch.nbytes))
+        return plain(batch)
+
+    monkeypatch.setattr(packing, "texts_of", seen)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    try:
+        pieces = P.pack_stage(spark, docs, "")
+        assert pieces.select("doc_id").distinct().count() == 3000
+    finally:
+        spark.conf.set(key, before)
+    sizes = [int(x.read_text()) for x in tmp_path.iterdir()]
+    assert sum(sizes) >= 15_000_000 and max(sizes) < 5_000_000
+
+
 def test_query_names():
     import corpus_pipeline
 
