@@ -68,9 +68,21 @@ def bound_batches(spark: SparkSession) -> None:
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int):
     """Bounds the rows of an Arrow batch while a plan with large rows runs."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with _set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows):
+        yield
+
+
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, size: int):
+    """Bounds the bytes of an Arrow batch while a plan with both large and small rows runs."""
+    with _set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size):
+        yield
+
+
+@contextlib.contextmanager
+def _set(spark: SparkSession, key: str, value: int):
     before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, str(value))
     try:
         yield
     finally:

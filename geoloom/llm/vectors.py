@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batch_rows, hash_unit, materialise
+from geoloom.llm.common import batch_bytes, batch_rows, hash_unit, materialise
 from geoloom.llm.graph import components
 
 _FINITE = "v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
@@ -335,9 +335,17 @@ class MTree:
         hit = np.flatnonzero(((s >= best_s[who, -1:]) & np.isfinite(s)).any(1))
         if not len(hit):
             return
-        w, k = who[hit], best_s.shape[1]
-        all_s = np.concatenate([best_s[w], s[hit]], 1)
-        all_i = np.concatenate([best_i[w], np.broadcast_to(ids, (len(hit), len(ids)))], 1)
+        w, k, s = who[hit], best_s.shape[1], s[hit]
+        least = best_s[w, -1:]
+        if len(ids) > k:  # nothing below the page's own k-th score can be among the best
+            least = np.maximum(least, np.partition(s, -k, axis=1)[:, [-k]])
+        row, col = np.nonzero((s >= least) & np.isfinite(s))
+        held = np.bincount(row, minlength=len(hit))
+        at = np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)
+        new_s = np.full((len(hit), held.max()), -np.inf)
+        new_i = np.zeros(new_s.shape, self.ids.dtype)
+        new_s[row, at], new_i[row, at] = s[row, col], ids[col]
+        all_s, all_i = np.concatenate([best_s[w], new_s], 1), np.concatenate([best_i[w], new_i], 1)
         order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
         best_s[w], best_i[w] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
         last = best_s[w, -1]
@@ -478,7 +486,8 @@ def top_inner_products(
         every_chunk = F.explode(F.sequence(F.lit(0).cast("long"), chunks_of.cast("long") - 1)).alias("chunk")
         # A stated number of partitions: few bytes mean much work here, so they must not be put together by size.
         met = blocks.select("tree", "q_ids", "q_x", "floors", every_chunk).repartition(spread, "tree", "chunk").join(trees.repartition(spread, "tree", "chunk"), ["tree", "chunk"]).select("q_ids", "q_x", "floors", "ids", "x")
-        with batch_rows(spark, 4):
+        # By bytes, not rows: the same plan deals queries out, and few of them at a time would be searched for few at a time.
+        with batch_bytes(spark, 8 << 20):
             return materialise(met.mapInArrow(search, f"query_id {id_type}, vec_id {id_type}, score long"), label)
 
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())

@@ -184,6 +184,27 @@ def test_top_inner_products(spark, tree_rows):
     assert vectors.top_inner_products(few).count() == 3
 
 
+def test_queries_of_a_region_are_searched_for_together(spark, tmp_path, monkeypatch):
+    rng, folder = np.random.default_rng(4), str(tmp_path)
+    x = rng.integers(-4, 5, (1200, 6))
+
+    class Spy(vectors.MTree):
+        def search(self, q, *rest):
+            with open(f"{folder}/{len(self.ids)}-{int(self.ids[0])}", "a") as f:
+                f.write(f"{len(q)}\n")
+            return super().search(q, *rest)
+
+    monkeypatch.setattr(vectors, "MTree", Spy)
+    df = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x.tolist())], VEC)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vectors.top_inner_products(df, every=4, scale=1.0, tree_rows=300).collect()}
+    scores = x @ x.T
+    for i in range(0, 1200, 4):
+        order = sorted((-int(s), j) for j, s in enumerate(scores[i]) if j != i)[:20]
+        assert [got[i, k + 1] for k in range(20)] == [(j, -s) for s, j in order]
+    asked = [int(n) for f in tmp_path.iterdir() for n in f.read_text().split()]
+    assert sum(asked) > 300 and max(asked) > 20 and len(asked) < 40
+
+
 def test_m_tree_skips_pages():
     rng = np.random.default_rng(3)
     x = (rng.integers(-3, 4, (3000, 3)) + np.repeat(rng.integers(-400, 400, (30, 3)), 100, 0)).astype(np.int64)
