@@ -12,8 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialise, settle, texts_of
-from geoloom.llm.tokens import encoder
+from geoloom.llm.common import materialise, settle
+from geoloom.llm.tokens import encoder, texts_of
 
 MAGIC = b"GLWM2\0"
 #: Bits between two entries of a plane's rank directory.

@@ -90,6 +90,43 @@ def test_cache_turns_over(monkeypatch):
         assert coder.encode([text])[0].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("name", "mode"), [(WORD, "dropped"), (BYTE, "spaced")])
+def test_words_are_no_python_objects(name, mode):
+    """Cutting, counting and joining words takes few bytes a word: no string or list entry for each."""
+    import tracemalloc
+
+    coder = tokens.ChunkEncoder(tokenizer_path(name), mode)
+    texts = ["to be or no " * 50_000, "it is so\n" * 50_000]
+    first = coder.encode(texts)
+    tracemalloc.start()
+    again = coder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * 350_000  # a string of two letters alone takes 51
+    want = [coder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [x.tolist() for x in first] == want == [x.tolist() for x in again]
+
+
+@pytest.mark.parametrize("most", [2, 300, 350_000])
+@pytest.mark.parametrize(("name", "mode"), [(WORD, "dropped"), (BYTE, "spaced")])
+def test_cuts_beside_any_white_space(rng, name, mode, most):
+    coder = tokens.ChunkEncoder(tokenizer_path(name), mode, most)
+    white = ["\t", "\r", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", "\u2000", "\u200a", "\u200b", "\u2028", "\u202f", "\u205f", "\u3000", "\ufeff"]
+    parts = [" "] * 12 + ["\n"] * 6 + white + ["\u00ab", "\u2019", "\u4e2d", "\u0436", "\u00c9", "\u03a3", "a", "Qx", "the", "'s", "'LL", ".", "!!", "-", "12", "\u0301", "\U0001f600", "<|", "\0"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)]
+    want = [x.ids for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = [y.tolist() for i in range(0, len(texts), 500) for y in coder.encode(texts[i : i + 500])]
+    assert got == want and len(coder.cache.chunks) <= 2 * most
+
+
+def test_frequent_words_outlive_rare_ones():
+    coder = tokens.ChunkEncoder(tokenizer_path(WORD), "dropped", 50)
+    for k in range(60):
+        coder.encode([f"often always x often always {''.join(chr(97 + int(c)) for c in str(k))} {'q' * (k + 1)}"])
+    kept = coder.cache.chunks.to_pylist()
+    assert b" often" in kept and b" always" in kept and b" q" not in kept and len(kept) <= 100
+
+
 def test_mixing(spark):
     rows = [(k, "w " * (k % 13 + 1), "en", f"s{k % 4}" if k % 9 else None, 1) for k in range(2000)]
     df = spark.createDataFrame(rows, DOCS)
