@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import settle, texts_of, trim
-from geoloom.llm.tokens import CACHED_CHUNKS, encoder
+from geoloom.llm.common import settle, trim
+from geoloom.llm.tokens import CACHED_CHUNKS, encoder, texts_of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

@@ -16,7 +16,7 @@ from geoloom.llm import common
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Longer chunks (in bytes) are encoded but not kept.
 CACHED_CHARS = 48
-#: Chunks the cache keeps when it is full; it is full at twice as many (some 30 MB).
+#: Chunks the cache keeps when it is full; it is full at twice as many (some 25 MB).
 CACHED_CHUNKS = 350_000
 #: Words encoded in one call.
 _WORDS_AT_ONCE = 20_000

@@ -181,6 +181,19 @@ def test_packing(spark, rng):
     assert packing.pack(clashing(spark, EDGE), tokenizer_path(BYTE), with_ids=True).filter("doc_id is null").first()["ids"]
 
 
+def test_packing_encodes_large_parts(monkeypatch):
+    """A word that recurs within some megabytes reaches the tokenizer once, however little the cache keeps."""
+    import pyarrow as pa
+
+    coder, seen = tokens.ChunkEncoder(tokenizer_path(BYTE), "spaced", 1), []
+    encode = type(coder)._encode
+    monkeypatch.setattr(type(coder), "_encode", lambda self, chunks: seen.extend(chunks.to_pylist()) or encode(self, chunks))
+    batch = pa.record_batch({"doc_id": range(40), "text": [f"number {k}" + " some words, again some words" * 4_000 for k in range(40)]})
+    ids = [x for _, texts in packing.texts_of(batch) for x in coder.encode(texts)]
+    assert sorted(seen) == sorted(set(seen)) and " words" in seen
+    assert len(ids) == 40 and ids[7].tolist() == coder.tokenizer.encode(batch.column(1)[7].as_py(), add_special_tokens=False).ids
+
+
 def test_packing_balances_cost():
     rng = np.random.default_rng(0)
     n = rng.integers(1, 900, 400)
