@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import langid, mixing, neardup, packing, pii, quality, suffixdedup, vectors, wavelet
+from geoloom.llm import exactdedup, langid, mixing, neardup, packing, pii, quality, suffixdedup, vectors, wavelet
 from geoloom.llm.common import table
 
 TOKENIZER_FOLDER = "public_tokenizers"
@@ -124,3 +124,18 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_repeated_strings"] = op10_repeated_strings
+
+
+def op11_exact_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d
+"""
+
+QUERIES["op11_exact_texts"] = op11_exact_texts
+SQL["op11_exact_texts"] = OP11_SQL
