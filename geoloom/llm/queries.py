@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import exactdedup, langid, mixing, neardup, packing, pii, quality, suffixdedup, vectors, wavelet
+from geoloom.llm import exactdedup, langid, mixing, neardup, packing, phrases, pii, quality, suffixdedup, vectors, wavelet
 from geoloom.llm.common import table
 
 TOKENIZER_FOLDER = "public_tokenizers"
@@ -139,3 +139,38 @@ FROM d
 
 QUERIES["op11_exact_texts"] = op11_exact_texts
 SQL["op11_exact_texts"] = OP11_SQL
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, unnest(list_transform(ps, lambda q: regexp_extract_all(q, '[^\x20\x09]+'))) AS w FROM d),
+g AS (
+  SELECT lang, 1 AS k, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i:i])) AS g FROM p
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) FROM p
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) FROM p),
+f AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY lang, k, g),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.g, c.a, j.cut, l.a AS l, r.a AS r,
+    CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM c JOIN (SELECT unnest([1, 2]) AS cut) j ON j.cut < c.k
+  JOIN f l ON l.lang = c.lang AND l.k = j.cut AND l.g = c.g[1:j.cut]
+  JOIN f r ON r.lang = c.lang AND r.k = c.k - j.cut AND r.g = c.g[j.cut + 1:c.k]),
+s AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inner2 AS (
+  SELECT lang, g[1:2] AS g, a FROM c WHERE k = 3 UNION ALL SELECT lang, g[2:3], a FROM c WHERE k = 3),
+m AS (SELECT lang, g, max(a) AS longer FROM inner2 GROUP BY lang, g),
+kept AS (SELECT s.*, array_to_string(s.g, ' ') AS phrase FROM s LEFT JOIN m USING (lang, g) WHERE m.longer IS NULL OR 100 * m.longer < 50 * s.a),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+QUERIES["op12_phrases"] = op12_phrases
+SQL["op12_phrases"] = OP12_SQL
