@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import exactdedup, langid, mixing, neardup, packing, phrases, pii, quality, suffixdedup, vectors, wavelet
+from geoloom.llm import divergence, exactdedup, langid, mixing, neardup, packing, phrases, pii, quality, suffixdedup, vectors, wavelet
 from geoloom.llm.common import table
 
 TOKENIZER_FOLDER = "public_tokenizers"
@@ -174,3 +174,43 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE ra
 
 QUERIES["op12_phrases"] = op12_phrases
 SQL["op12_phrases"] = OP12_SQL
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+u AS (SELECT doc, lang, source, unnest(ts) AS term FROM d),
+t AS (SELECT lang, term FROM u GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM u SEMI JOIN t USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+size AS (SELECT lang, count(*) AS v FROM t GROUP BY lang),
+words AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+whole AS (SELECT lang, term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS all_n FROM c GROUP BY lang, term),
+p AS (
+  SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n,
+    1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1)) // (CAST(coalesce(words.n, 0) AS HUGEINT) + size.v) AS p
+  FROM g JOIN t USING (lang) JOIN size USING (lang) LEFT JOIN words USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+q AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (CAST(n AS HUGEINT) + 1)) // (CAST(all_n AS HUGEINT) + v) AS q FROM whole JOIN size USING (lang)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS BIGINT) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value
+  FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+QUERIES["op13_divergence"] = op13_divergence
+SQL["op13_divergence"] = OP13_SQL
