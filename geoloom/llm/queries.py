@@ -89,30 +89,31 @@ def op8_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 OP5_SQL = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+WITH RECURSIVE every_row AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings),
+v AS (
+  SELECT row, CAST(embedding AS DOUBLE[]) AS x FROM every_row
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+e AS MATERIALIZED (SELECT a.row AS a, b.row AS b FROM v a JOIN v b ON a.row <> b.row AND len(a.x) = len(b.x)
       WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
 reach(node, low) AS (
-  SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, reach.low FROM reach JOIN e ON e.a = reach.node),
+  SELECT row, vec_id FROM every_row UNION SELECT e.b, reach.low FROM reach JOIN e ON e.a = reach.node),
 c AS (SELECT node, min(low) AS low FROM reach GROUP BY node),
 n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
-SELECT m.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.low AS component_id, c.low = m.vec_id AS kept
-FROM embeddings m JOIN c ON c.node = m.vec_id LEFT JOIN n ON n.a = m.vec_id
+SELECT m.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.low AS component_id, coalesce(c.low = m.vec_id, false) AS kept
+FROM every_row m JOIN c ON c.node = m.row LEFT JOIN n ON n.a = m.row
 """
 
 QUERIES |= {"op4_top_k": op4_top_k, "op5_near_vectors": op5_near_vectors, "op8_near_texts": op8_near_texts}

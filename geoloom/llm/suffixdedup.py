@@ -372,6 +372,32 @@ def _repeat_ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
+def _places(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How a group's rows (id, text) are told apart: ids, one row for each id and text in order, each row's first equal, and where its text begins.
+
+    The distinct texts of an id count as laid end to end in byte order, so a position in them names one text, whichever task asks.
+    """
+    column, words = texts["id"].combine_chunks(), texts["text"].to_pylist()
+    real = column.is_valid().to_numpy(zero_copy_only=False)
+    own, first, base = column.fill_null(0).to_numpy(zero_copy_only=False), np.arange(len(column)), np.zeros(len(column), np.int64)
+    order = np.flatnonzero(real)
+    order = order[np.argsort(own[order], kind="stable")]
+    heads = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]])) if len(order) else order
+    size = np.diff(np.append(heads, len(order)))
+    for a, k in zip(heads[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        seen: dict[str, int] = {}
+        at = 0
+        for r in sorted(order[a : a + k].tolist(), key=lambda r: words[r] or ""):
+            if (words[r] or "") not in seen:
+                seen[words[r] or ""], base[r] = r, at
+                at += len((words[r] or "").encode("utf-8", "surrogatepass"))
+            first[r] = seen[words[r] or ""]
+            base[r] = base[first[r]]
+    first[~real] = -1
+    lead = np.flatnonzero(first == np.arange(len(first)))
+    return own, lead[np.lexsort((base[lead], own[lead]))], first, base
+
+
 def repeated_grams(runs: list[Run]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, positions) of the samples whose gram occurs in two documents or more."""
     at, lcp = merge_runs(runs)
@@ -559,7 +585,7 @@ def repeated_strings(
 
     Edge cases: null text counts as empty; texts shorter than ``least`` stay whole; rows with null
     id stay whole and cause no removal; rows that share an id never cause removal in one
-    another and should not differ in text; an empty table gives no rows; other columns are ignored.
+    another, whether their texts are equal or not, and count each for larger ids; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     reach = least - GRAM
@@ -616,10 +642,18 @@ def repeated_strings(
         out: list[tuple[int, bytes]] = []
         if len(ids) and texts.num_rows:
             buf, n = _concat(texts["text"].to_pylist())
-            own = texts["id"].combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
-            order = np.argsort(own, kind="stable")
-            row = order[np.minimum(np.searchsorted(own[order], ids), len(own) - 1)]
-            ok = (own[row] == ids) & (pos + GRAM <= n[row])
+            own, order, _, base_at = _places(texts)
+            lo, hi = np.searchsorted(own[order], ids, "left"), np.searchsorted(own[order], ids, "right")
+            row, several = order[_repeat_ranges(lo, hi - lo)], np.repeat(hi - lo > 1, hi - lo)
+            ids, pos = np.repeat(ids, hi - lo), np.repeat(pos, hi - lo)
+            ok = pos + GRAM <= n[row]
+            if several.any():  # which of the id's texts a sample is from isn't told, but each text's own samples are known
+                some = np.unique(row[several])
+                part = np.concatenate([buf[a : a + k] for a, k in zip((np.cumsum(n) - n)[some], n[some], strict=True)])
+                at, _ = anchors(part, n[some], least)
+                ends = np.cumsum(n[some])
+                of = np.searchsorted(ends, at, "right")
+                ok &= ~several | np.isin(row * (1 << 33) + pos, some[of] * (1 << 33) + at - (ends - n[some])[of])
             ids, pos, row = ids[ok], pos[ok], row[ok]
             start = (np.cumsum(n) - n)[row]
             padded = np.concatenate([np.zeros(reach, np.uint8), buf, np.zeros(least, np.uint8)])
@@ -635,7 +669,7 @@ def repeated_strings(
                 fit = lo <= hi
                 gram = np.ascontiguousarray(line[:, reach : reach + GRAM])
                 h = gram_hashes(gram.ravel())[::GRAM]
-                out += _by_bucket(keys[fit], h[fit], ids[part][fit], p[fit], deal)
+                out += _by_bucket(keys[fit], h[fit], ids[part][fit], (p + base_at[row[part]])[fit], deal)
         return pa.table({"bucket": pa.array([r[0] for r in out], pa.int64()), "run": pa.array([r[1] for r in out], pa.binary())})
 
     def found_table(ids, pos, mask):
@@ -671,14 +705,19 @@ def repeated_strings(
     def cut(key, texts, found):
         ids, pos, mask = _from_blobs(found["found"].to_pylist(), 2)
         buf, n = _concat(texts["text"].to_pylist())
-        own = texts["id"].combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
+        own, order, first, base_at = _places(texts)
         starts = np.cumsum(n) - n
         change = np.zeros(len(buf) + least + 1, np.int32)
-        if len(ids) and len(own):
-            order = np.argsort(own, kind="stable")
-            lo, hi = np.searchsorted(own[order], ids, "left"), np.searchsorted(own[order], ids, "right")
-            pick = _repeat_ranges(lo, hi - lo)  # rows that share an id all get its masks
-            row = order[pick]
+        if len(ids) and len(order):
+            known, place = np.unique(own[order], return_inverse=True)
+            of = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+            at = np.searchsorted(place * (1 << 33) + base_at[order], of * (1 << 33) + pos, "right") - 1
+            ok = known[of] == ids
+            lead, pos, mask = order[at[ok]], pos[ok], mask[ok]
+            pos = pos - base_at[lead]
+            copies = np.argsort(first, kind="stable")
+            lo, hi = np.searchsorted(first[copies], lead, "left"), np.searchsorted(first[copies], lead, "right")
+            row = copies[_repeat_ranges(lo, hi - lo)]  # rows that share id and text all get its masks
             pos, mask = np.repeat(pos, hi - lo), np.repeat(mask, hi - lo)
             begins = []
             for bit in range(reach + 1):
@@ -705,7 +744,7 @@ def repeated_strings(
             at += k
         return pa.table({"id": texts["id"], "n_bytes": pa.array(n), "n_removed": pa.array(removed.astype(np.int64)), "n_spans": pa.array(spans.astype(np.int64)), "kept_sha256": pa.array(sums, pa.string())})
 
-    dest = F.coalesce(F.pmod(F.col("id"), F.lit(groups)), F.lit(0)).cast("int")
+    dest = F.coalesce(F.pmod(F.col("id"), F.lit(groups)), F.pmod(F.xxhash64("text"), F.lit(groups))).cast("int")
     by_dest = base.withColumn("dest", dest).groupBy("dest")
     with batch_rows(spark, 2000):
         runs = base.mapInArrow(sample, "bucket long, run binary")

@@ -15,6 +15,10 @@ from geoloom.llm.graph import components
 _FINITE = "v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
 
 
+#: What takes part in links.
+_LINKS = f"id is not null and {_FINITE} and exists(v, x -> x <> 0)"
+
+
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the rows whose vector is whole and finite; v keeps its element type."""
     return rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("v")).filter(_FINITE)
@@ -135,14 +139,15 @@ def epsilon_grid_join(
 
     Edge cases: vectors that are null, zero or hold null or non-finite components have no links
     and are their own component; vectors of different lengths don't link; rows with equal ids
-    should not occur; null ids have no links and are not kept; an empty table gives no rows;
-    other columns are ignored.
+    are vectors of their own, whether equal or not, each with its own links and component; null ids have no links and are not kept;
+    an empty table gives no rows; other columns are ignored.
     """
     spark, eps = rows.sparkSession, float(np.sqrt(2 - 2 * least)) + 1e-9
     id_type = dict(rows.dtypes)[id_col]
-    good = usable(rows, id_col, vector_col).filter("id is not null and exists(v, x -> x <> 0)")
+    good = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("v")).filter(_LINKS)
     keyed = good.select("id", "v", F.xxhash64(F.lit(1), "v").alias("k1"), F.xxhash64(F.lit(2), "v").alias("k2"))
-    classes = materialise(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v")), "classes")
+    named = keyed.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v"))
+    classes = materialise(named.withColumn("rep", F.monotonically_increasing_id()), "classes")
     base = principal_axes(classes.select(F.col("rep").alias("id"), "v"), axes, sample)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +166,7 @@ def epsilon_grid_join(
                 )
 
     cells = [f"c{k}" for k in range(grid_axes)]
-    placed = classes.select("rep", "m", "v").mapInArrow(place, f"rep {id_type}, m long, d int, {', '.join(f'{c} int' for c in cells)}, y array<float>, x binary")
+    placed = classes.select("rep", "m", "v").mapInArrow(place, f"rep long, m long, d int, {', '.join(f'{c} int' for c in cells)}, y array<float>, x binary")
     ordered = placed.repartitionByRange("d", *cells, "rep").sortWithinPartitions("d", *cells, "rep")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +195,7 @@ def epsilon_grid_join(
         if held is not None and held.num_rows:
             yield flush(held)
 
-    blocks = ordered.mapInArrow(cut, f"block long, d int, lo array<float>, hi array<float>, reps array<{id_type}>, ms array<long>, x binary")
+    blocks = ordered.mapInArrow(cut, f"block long, d int, lo array<float>, hi array<float>, reps array<long>, ms array<long>, x binary")
     blocks = materialise(blocks, "intervals")
     pairs = interval_pairs(blocks.select("block", "d", "lo", "hi"), eps)
     left, right = (blocks.select(F.col("block").alias(k), F.col("d").alias(f"d{k}"), F.col("reps").alias(f"r{k}"), F.col("ms").alias(f"m{k}"), F.col("x").alias(f"x{k}")) for k in "ij")
@@ -214,17 +219,19 @@ def epsilon_grid_join(
                 yield pa.RecordBatch.from_arrays([pa.array(reps[hit], batch.column(3).type.value_type), pa.array(n[hit].astype(np.int64)), pa.array(low[hit], batch.column(3).type.value_type)], ["rep", "n", "low"])
 
     with batch_rows(spark, 8):
-        part = materialise(met.mapInArrow(link, f"rep {id_type}, n long, low {id_type}"), "links")
+        part = materialise(met.mapInArrow(link, "rep long, n long, low long"), "links")
     counted = part.groupBy("rep").agg(F.sum("n").alias("n"))
     found = components(part.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     per_class = (
-        classes.select("k1", "k2", "rep", "m")
+        classes.select("k1", "k2", "rep", "least", "m")
         .join(counted, "rep", "left")
         .join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
+        .select("k1", "k2", "least", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "rep").alias("part"))
     )
-    linked = keyed.select("id", "k1", "k2").join(per_class, ["k1", "k2"]).select("id", "n", "component")
-    everyone = rows.select(F.col(f"`{id_col}`").alias("id")).join(linked, "id", "left")
+    lowest = per_class.groupBy("part").agg(F.min("least").alias("component"))
+    linked = keyed.select("id", "k1", "k2").join(per_class.join(lowest, "part").select("k1", "k2", "n", "component"), ["k1", "k2"]).select("id", "n", "component")
+    alone = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("v")).filter(f"not coalesce({_LINKS}, false)")
+    everyone = linked.unionByName(alone.select("id", F.lit(None).cast("long").alias("n"), F.lit(None).cast(id_type).alias("component")))
     own = F.coalesce("component", "id")
     return everyone.select(
         F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(False)).alias("kept")
@@ -397,20 +404,22 @@ def top_inner_products(
     """Each query's k largest integer inner products: query_id, rank, vec_id (candidate) and score.
 
     Components become floor(scale * x); queries are the rows whose id is divisible by ``every``,
-    candidates every row but those of the query's own id. Rows go to the nearest of up to
+    candidates every row but the query's own. Rows are numbered in the order of their ids, so that ties between
+    numbers are ties between ids, and go to the nearest of up to
     ``MAX_PIVOTS`` pivots; a region is one M-tree or, by a hash, several of about ``tree_rows``.
     Queries first search the region they lie in. Their k-th score there bounds the second
     round: only regions whose ball may hold a better one are visited, and only scores from
     the bound on are returned. A window per query keeps the best k.
 
-    Edge cases: vectors that are null or hold null or non-finite components take no part; of rows
-    with equal ids the least vector counts; shorter vectors count as padded with zeros; null ids take no part; fewer than k candidates are all returned; an
+    Edge cases: vectors that are null or hold null or non-finite components take no part; rows
+    with equal ids are candidates and queries each, so a repeated query id has its ranks once a row; shorter vectors count as padded with zeros; null ids take no part; fewer than k candidates are all returned; an
     empty table gives no rows; other columns are ignored. Scores are exact up to 2**53.
     """
-    spark, id_type = rows.sparkSession, dict(rows.dtypes)[id_col]
+    spark = rows.sparkSession
     good = usable(rows, id_col, vector_col).filter("id is not null")
-    ints = good.select("id", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
-    ints = materialise(ints.groupBy("id").agg(F.min("v").alias("v")), "ints")
+    own = good.select("id", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v")).repartitionByRange("id", F.xxhash64("v")).sortWithinPartitions("id")
+    numbered = materialise(own.select(F.col("id").alias("name"), F.monotonically_increasing_id().alias("id"), (F.col("id") % every == 0).alias("asks"), "v"), "ints")
+    ints = numbered.select("id", "asks", "v")
     square = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x)
     size = ints.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d"),
@@ -425,13 +434,13 @@ def top_inner_products(
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                x = padded(part.column(1).to_pylist())
+                x = padded(part.column(2).to_pylist())
                 region, far = regions.nearest(x)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(region, pa.int32()), pa.array(far), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "tree", "far", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(region, pa.int32()), pa.array(far), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "asks", "tree", "far", "x"])
 
-    placed = materialise(ints.mapInArrow(place, f"id {id_type}, tree int, far double, x binary"), "placed")
-    asked = placed.filter(F.col("id") % every == 0)
-    found = placed.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.count_if(F.col("id") % every == 0).alias("q")).collect()  # a row a pivot
+    placed = materialise(ints.mapInArrow(place, "id long, asks boolean, tree int, far double, x binary"), "placed")
+    asked = placed.filter("asks")
+    found = placed.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.count_if("asks").alias("q")).collect()  # a row a pivot
     radii, chunks, parts = np.full(len(drawn), -np.inf), np.ones(len(drawn), np.int64), np.ones(len(drawn), np.int64)
     for r in found:
         radii[r["tree"]], chunks[r["tree"]], parts[r["tree"]] = r["radius"], -(-r["n"] // tree_rows), max(1, -(-r["q"] // query_rows))
@@ -457,7 +466,7 @@ def top_inner_products(
         if ids:
             yield flush()
 
-    gathered = f"tree int, chunk long, ids array<{id_type}>, x binary"
+    gathered = "tree int, chunk long, ids array<long>, x binary"
     chunk = F.pmod(F.xxhash64("id"), chunks_of).cast("long").alias("chunk")
     dealt = placed.select("tree", chunk, "id", "x", F.lit(8 * tree_rows).alias("most")).repartition("tree", "chunk").sortWithinPartitions("tree", "chunk")
     trees = materialise(dealt.mapInArrow(gather, gathered), "trees")
@@ -488,7 +497,7 @@ def top_inner_products(
         met = blocks.select("tree", "q_ids", "q_x", "floors", every_chunk).repartition(spread, "tree", "chunk").join(trees.repartition(spread, "tree", "chunk"), ["tree", "chunk"]).select("q_ids", "q_x", "floors", "ids", "x")
         # By bytes, not rows: the same plan deals queries out, and few of them at a time would be searched for few at a time.
         with batch_bytes(spark, 8 << 20):
-            return materialise(met.mapInArrow(search, f"query_id {id_type}, vec_id {id_type}, score long"), label)
+            return materialise(met.mapInArrow(search, "query_id long, vec_id long, score long"), label)
 
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     ranked = lambda best: best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -512,6 +521,9 @@ def top_inner_products(
                     )
 
     groups = max(1, -(-sum(r["q"] for r in found) // query_rows))
-    rest = asked.select("id", "tree", "x").join(bounds, "id", "left").repartition(groups, "id").mapInArrow(visits, f"tree int, q_ids array<{id_type}>, q_x binary, floors array<double>")
+    rest = asked.select("id", "tree", "x").join(bounds, "id", "left").repartition(groups, "id").mapInArrow(visits, "tree int, q_ids array<long>, q_x binary, floors array<double>")
     far = searched(rest, "far")
-    return ranked(near.drop("rank").unionByName(far)).select("query_id", "rank", "vec_id", "score")
+    best = ranked(near.drop("rank").unionByName(far))
+    for column in ("query_id", "vec_id"):
+        best = best.join(numbered.select(F.col("id").alias(column), F.col("name").alias(f"{column}_name")), column)
+    return best.select(F.col("query_id_name").alias("query_id"), "rank", F.col("vec_id_name").alias("vec_id"), "score")

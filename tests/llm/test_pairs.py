@@ -205,6 +205,22 @@ def test_queries_of_a_region_are_searched_for_together(spark, tmp_path, monkeypa
     assert sum(asked) > 300 and max(asked) > 20 and len(asked) < 40
 
 
+def test_rows_with_equal_ids_are_vectors_of_their_own(spark, tmp_path):
+    import duckdb
+
+    near, far = [1.0, 0.02], [-3.0, 9.0]
+    rows = [(1, [1.0, 0.0], 0), (1, [9.0, 0.0], 0), (1, far, 1), (20, [1.0, 0.0], 0), (20, near, 0), (20, near, 0), (7, [-1.0, 3.01], 2), (8, [0.0, -5.0], 0), (9, None, 1), (9, [0.0, 0.0], 1), (None, near, 0)]
+    df = spark.createDataFrame(rows, VEC).repartition(3)
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name, columns in (("op4_top_k", ["query_id", "rank", "vec_id", "score"]), ("op5_near_vectors", ["vec_id", "n_links", "component_id", "kept"])):
+        plain = lambda rows: sorted(rows, key=str)
+        got = plain(tuple(r[c] for c in columns) for r in QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == plain(db.execute(f"SELECT {', '.join(columns)} FROM ({SQL[name]})").fetchall())
+    assert vectors.epsilon_grid_join(df).count() == len(rows)
+
+
 def test_m_tree_skips_pages():
     rng = np.random.default_rng(3)
     x = (rng.integers(-3, 4, (3000, 3)) + np.repeat(rng.integers(-400, 400, (30, 3)), 100, 0)).astype(np.int64)
@@ -307,6 +323,23 @@ def test_repeated_string_edges(spark):
     assert suffixdedup.repeated_strings(df.limit(0)).count() == 0
 
 
+def test_repeated_strings_of_rows_that_share_an_id(spark, rng):
+    word = lambda n: "".join(rng.choice("abcdefghijkl ") for _ in range(n))
+    a, b, c = word(80), word(80), word(70)
+    rows = [(1, a), (1, a + b), (2, b), (-1, c), (-1, word(30) + c), (None, c), (3, c + a), (3, a), (3, word(9) + b + c), (3, c + a), (4, b)]
+    first = {}
+    for i, t in rows:
+        for k in range(len(t) - 49 if i is not None else 0):
+            first[t[k : k + 50]] = min(i, first.get(t[k : k + 50], i))
+    want = []
+    for i, t in rows:
+        gone = {k + j for k in range(len(t) - 49) for j in range(50) if i is not None and first[t[k : k + 50]] < i}
+        want.append((i, hashlib.sha256("".join(x for k, x in enumerate(t) if k not in gone).encode()).hexdigest(), len(gone)))
+    for parts in (1, 4):
+        got = suffixdedup.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted(((r["doc_id"], r["kept_sha256"], r["n_removed"]) for r in got), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize(("width", "runs"), [(20, 1), (20, 6), (82, 9)])
 def test_merge_of_front_coded_runs(width, runs):
     rng = np.random.default_rng(width + runs)
