@@ -16,9 +16,9 @@ from geoloom.llm.words import byte_classes, counted, split_words
 #: Words end at spaces and tabs, pieces at marks and line ends.
 CLASSES = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: Bytes of text that are coded together.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Keys that a task holds before it merges them.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 def coded_blocks(docs: DataFrame, size: int) -> DataFrame:
@@ -87,15 +87,15 @@ def radix_sorted(keys: np.ndarray, counts: np.ndarray, part: np.ndarray | None =
     n, width = keys.shape
     if not n:
         return (keys, counts) if part is None else (keys, counts, part)
-    even = np.zeros((n, width + width % 2), np.uint8)
-    even[:, width % 2 :] = keys
-    digits = even.view(">u2").astype(np.uint16)
+    digits = np.zeros((n, width + width % 2), np.uint8)
+    digits[:, width % 2 :] = keys
+    digits = digits.view(">u2").astype(np.uint16)
     order = np.argsort(digits[:, -1], kind="stable")
     for k in range(digits.shape[1] - 2, -1, -1):
         order = order[np.argsort(digits[order, k], kind="stable")]
     digits = digits[order]
     runs = np.flatnonzero(np.concatenate([[True], (digits[1:] != digits[:-1]).any(1)]))
-    first, sums = order[runs], np.add.reduceat(counts[order], runs)
+    first, sums = order[runs], np.add.reduceat(counts[order], runs, dtype=np.int64)
     return (keys[first], sums) if part is None else (keys[first], sums, part[first])
 
 
@@ -126,7 +126,7 @@ def _grams(width: int, ranges: int, total: int, most: int):
         for batch in batches:
             for local, known, before, f, stream in zip(*(batch.column(k) for k in range(5)), strict=True):
                 codes = np.frombuffer(stream.as_buffer(), np.uint32)
-                fresh, place = (codes & 1).astype(bool), (codes >> 1).astype(np.int64)
+                fresh, place = (codes & 1).astype(bool), (codes >> 1).astype(np.int32)
                 ids, low, span, share = np.zeros((4, int(place.max()) + 1))
                 own, start, length = local.values.to_numpy(), before.values.to_numpy() / total, f.values.to_numpy() / total
                 ids[own], share[own], low[own] = known.values.to_numpy(), start, np.floor(start * ranges)
@@ -138,7 +138,9 @@ def _grams(width: int, ranges: int, total: int, most: int):
                 first, second = place[at], place[np.minimum(at + 1, len(place) - 1)]
                 part = np.minimum(low[first] + np.floor(share[second] * span[first]), ranges - 1).astype(np.int32)
                 if len(at):
-                    held.append(radix_sorted(_pack(np.stack([x[at], y[at], z[at]], 1), width), np.ones(len(at), np.int64), part))
+                    keys = _pack(np.stack([x[at], y[at], z[at]], 1), width)
+                    del x, y, z, codes, fresh, place, first, second
+                    held.append(radix_sorted(keys, np.ones(len(at), np.int32), part))
                 if sum(len(h[0]) for h in held) >= most:
                     yield cut(held)
                     held = []
@@ -227,7 +229,7 @@ def collocations(
     known = own_words.join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("local", "word_id", "before", "f")).alias("m"))
     lists = known.select("block", *[F.col(f"m.{c}").alias(c) for c in ("local", "word_id", "before", "f")])
     coded = lists.join(blocks.filter("stream is not null").select("block", "stream"), "block")
-    with batch_bytes(spark, 16 << 20):
+    with batch_bytes(spark, 4 << 20):
         grams = coded.select("local", "word_id", "before", "f", "stream").mapInArrow(_grams(width, ranges, max(1, int(total)), HELD), "part int, keys binary, counts binary")
         found = materialise(grams.repartitionById(ranges, "part").sortWithinPartitions("part").mapInArrow(_runs(width, least, HELD), "x long, y long, z long, a long"), "grams")
     two, three = found.filter("z = 0").select("x", "y", "a"), found.filter("z > 0")

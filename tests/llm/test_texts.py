@@ -614,4 +614,4 @@ def test_pipeline_bounds_the_bytes_of_a_batch(spark, tmp_path, monkeypatch):
 def test_query_names():
     import corpus_pipeline
 
-    assert sorted({int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES}) == list(range(1, 11)) and len(corpus_pipeline.STAGES) == 5
+    assert sorted({int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES}) == list(range(1, 14)) and len(corpus_pipeline.STAGES) == 5
