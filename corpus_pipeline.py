@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import uuid
 from collections.abc import Callable
 
@@ -42,12 +43,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     a row without id stays only where no row of its group has one. Null and empty texts link with
     nothing and stay; an empty table stays empty.
     """
-    rows = materialise(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
-    found = materialise(neardup.near_duplicates(rows, id_col="_key", words=5, percent=80).select("_key", "component_id"), "groups")
-    placed = found.join(rows.select("_key", "doc_id"), "_key")
-    kept = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("kept"), F.count(F.lit(1)).alias("size"))
-    dropped = found.join(kept.filter("size > 1"), "component_id").filter("_key <> kept._key").select("_key")
-    return rows.join(materialise(dropped, "dropped"), "_key", "left_anti").select(*docs.columns)
+    taken = {c.lower() for c in docs.columns}
+    key = next(name for k in itertools.count() if (name := f"row_{k}") not in taken)
+    rows = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    found = materialise(neardup.near_duplicates(rows, id_col=key, words=5, percent=80).select(F.col(key).alias("row"), "component_id"), "groups")
+    placed = found.join(rows.select(F.col(key).alias("row"), "doc_id"), "row")
+    kept = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("kept"), F.count(F.lit(1)).alias("size"))
+    kept = materialise(kept.filter("size > 1"), "kept")  # written, so that the join below is of two tables and a large group can be split
+    dropped = found.join(kept, "component_id").filter("row <> kept.row").select(F.col("row").alias(key))
+    return rows.join(materialise(dropped, "dropped"), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @_bounded
