@@ -30,7 +30,7 @@ def h3_edges(cells: DataFrame, k: int) -> DataFrame:
     return found.select(h3.h3_text(F.col("a")).alias("region_id"), h3.h3_text(F.col("b")).alias("neighbour_id"), "distance")
 
 
-def adjacency_edges(regions: DataFrame, *, cell: float) -> DataFrame:
+def adjacency_edges(regions: DataFrame, *, cell: float | None = None) -> DataFrame:
     """Regions that touch, at distance 1."""
     return touches_join(regions, cell=cell).withColumn("distance", F.lit(1))
 

@@ -255,7 +255,7 @@ def administrative_regions(
     area: DataFrame,
     *,
     admin_level: int,
-    cell: float = 1.0,
+    cell: float | None = None,
     prefer_english: bool = True,
     least_share: float = 0.01,
     clip_to_area: bool = False,
@@ -272,7 +272,7 @@ def administrative_regions(
     RuntimeWarning and an empty table.
     """
     from geoloom.functions.scalars import region_name
-    from geoloom.operators.spatial_join import _meeting
+    from geoloom.operators.spatial_join import meeting
 
     if not 1 <= admin_level <= 11:
         raise ValueError("admin_level must be from 1 to 11")
@@ -281,7 +281,7 @@ def administrative_regions(
     if exact and tolerance:
         own = own.withColumn(GEOMETRY, st_simplify(F.col(GEOMETRY), tolerance)).drop(*BOX)
     own = with_bounds(own)
-    pairs = _meeting(own.select("element_id", *BOX, *([GEOMETRY] if exact else [])), with_bounds(area).select(*BOX), cell)
+    pairs = meeting(own.select("element_id", *BOX, *([GEOMETRY] if exact else [])), with_bounds(area).select(*BOX), cell)
     point = (F.col("r_minx") == F.col("r_maxx")) & (F.col("r_miny") == F.col("r_maxy"))
     shared = {"minx": F.greatest("l_minx", "r_minx"), "miny": F.greatest("l_miny", "r_miny"), "maxx": F.least("l_maxx", "r_maxx"), "maxy": F.least("l_maxy", "r_maxy")}
     if exact:

@@ -1,14 +1,18 @@
-"""Spatial joins as equi-joins on grid cells.
-
-Catalyst has no range join: an overlap of intervals alone plans as a nested loop. So both
-sides are covered by grid cells of a given size, the join is an equality on the cell with the
-exact predicate as residual, and each pair is reported only in the cell that holds the lower
-left corner of the boxes' intersection, which saves a shuffle for removing duplicates. A cell
-that holds most of the rows is an ordinary skewed join key, which adaptive execution splits.
+"""Spatial joins as equi-joins on grid cells of several sizes.
+
+Catalyst has no range join: an overlap of intervals alone plans as a nested loop. So every box lies
+on the level of a grid whose cells are no smaller than the box, and the join is an equality on the cell
+with the exact predicate as residual. Boxes of different levels meet on the larger one's level, where the
+smaller one stands for the cells that hold it. The levels are those that the sizes of both tables' boxes
+ask for. Each pair is reported only in the cell that holds the lower left corner of the boxes'
+intersection, which saves a shuffle for removing duplicates. A cell that holds most of the rows is an
+ordinary skewed join key, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +21,84 @@ from geoloom.functions.overlay import st_clip, st_overlay, st_union_all
 from geoloom.schema import BOX, FEATURE, GEOMETRY, REGION, need, with_bounds
 
 
-def covered(df: DataFrame, cell: float, prefix: str) -> DataFrame:
-    """Each row once per grid cell its box meets: columns ``cx``, ``cy`` and prefixed boxes."""
+#: Sizes are told apart by powers of two between these; levels of a grid at most.
+_LEAST, _MOST, LEVELS = -20, 9, 5
+
+
+@dataclass(frozen=True)
+class Ladder:
+    """Cell sizes of a grid's levels in ascending order, and the levels that each side's boxes have as their own."""
+
+    sizes: tuple[float, ...]
+    left: frozenset[int]
+    right: frozenset[int]
+
+    def entries(self, left: bool) -> list[tuple[int, float, Column]]:
+        """What a side's rows stand for: a key per level and kind of meeting, the level's size, and which rows (by ``_own``) it goes for.
+
+        Own cells meet own cells, own cells those that hold smaller boxes, and the other way round; two small boxes never meet on a larger level.
+        """
+        mine, theirs = (self.left, self.right) if left else (self.right, self.left)
+        own, out = F.col("_own"), []
+        for k, size in enumerate(self.sizes):
+            if k in mine and k in theirs:
+                out.append((3 * k, size, own == k))
+            if k in mine and any(t < k for t in theirs):
+                out.append((3 * k + (1 if left else 2), size, own == k))
+            if k in theirs and any(m < k for m in mine):
+                out.append((3 * k + (2 if left else 1), size, own < k))
+        return out
+
+
+def _side() -> Column:
+    return F.greatest(F.col("maxx").cast("double") - F.col("minx").cast("double"), F.col("maxy").cast("double") - F.col("miny").cast("double"))
+
+
+def ladder(left: DataFrame, right: DataFrame) -> Ladder:
+    """The levels for two tables of boxes, from one pass that counts their boxes by power of two (60 rows at most).
+
+    From the largest down a size becomes a level if it is at least a step below the last one; a step
+    is two powers, or more where over ``LEVELS`` levels would come of it. A box takes the least level not smaller than itself.
+    """
+    power = F.when(_side() <= 2.0**_LEAST, _LEAST).otherwise(F.least(F.lit(_MOST), F.ceil(F.log2(_side())).cast("int")))
+    sides = [df.filter(F.col("minx").isNotNull()).select(F.lit(k).alias("side"), power.alias("power")) for k, df in enumerate((left, right))]
+    found = [(r["side"], r["power"]) for r in sides[0].unionAll(sides[1]).distinct().collect() if r["power"] is not None]
+    powers = sorted({p for _, p in found}, reverse=True)
+    if not powers:
+        return Ladder((1.0,), frozenset({0}), frozenset({0}))
+    step, levels = max(2, -(-(powers[0] - powers[-1]) // (LEVELS - 1))), powers[:1]
+    for p in powers:
+        if levels[-1] - p >= step:
+            levels.append(p)
+    levels = levels[::-1]
+    own = [frozenset(next(k for k, size in enumerate(levels) if size >= p) for s, p in found if s == side) for side in (0, 1)]
+    return Ladder(tuple(2.0**p for p in levels), *own)
+
+
+def one_size(cell: float) -> Ladder:
+    return Ladder((float(cell),), frozenset({0}), frozenset({0}))
+
+
+def covered(df: DataFrame, grid: Ladder, prefix: str, *, left: bool) -> DataFrame:
+    """Each row once per grid cell it stands for: columns ``_k`` (level and kind), ``_size``, ``_cx``, ``_cy`` and prefixed boxes."""
     boxes = [F.col(c).cast("double").alias(f"{prefix}{c}") for c in BOX]
     rest = [F.col(f"`{c}`") for c in df.columns if c not in BOX]
-    size = F.lit(float(cell))
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
+    own = F.lit(len(grid.sizes) - 1)
+    for k in range(len(grid.sizes) - 2, -1, -1):
+        own = F.when(_side() <= grid.sizes[k], k).otherwise(own)
+    rows = df.filter(F.col("minx").isNotNull()).select(*rest, *boxes, own.alias("_own"))
+    entries = grid.entries(left)
+    if len(entries) == 1:
+        key, size, which = entries[0]
+        rows = rows.filter(which).withColumns({"_k": F.lit(key), "_size": F.lit(size)})
+    else:
+        own_entries = F.array_compact(F.array(*[F.when(which, F.struct(F.lit(key).alias("_k"), F.lit(size).alias("_size"))) for key, size, which in entries])) if entries else F.array().cast("array<struct<_k:int,_size:double>>")
+        rows = rows.withColumn("_e", F.explode(own_entries)).withColumns({"_k": F.col("_e._k"), "_size": F.col("_e._size")}).drop("_e")
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / F.col("_size")), F.floor(F.col(hi) / F.col("_size")))
     return (
-        df.filter(F.col("minx").isNotNull())
-        .select(*rest, *boxes)
-        .withColumn("cx", F.explode(span(f"{prefix}minx", f"{prefix}maxx")))
-        .withColumn("cy", F.explode(span(f"{prefix}miny", f"{prefix}maxy")))
+        rows.drop("_own")
+        .withColumn("_cx", F.explode(span(f"{prefix}minx", f"{prefix}maxx")))
+        .withColumn("_cy", F.explode(span(f"{prefix}miny", f"{prefix}maxy")))
     )
 
 
@@ -41,12 +112,12 @@ def boxes_meet(a: str = "l_", b: str = "r_") -> Column:
     )
 
 
-def _meeting(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """Pairs of rows whose boxes meet, once each."""
-    l, r = covered(left, cell, "l_"), covered(right, cell, "r_")
-    size = F.lit(float(cell))
-    here = (F.col("cx") == F.floor(F.greatest("l_minx", "r_minx") / size)) & (F.col("cy") == F.floor(F.greatest("l_miny", "r_miny") / size))
-    return l.join(r, ["cx", "cy"]).filter(boxes_meet() & here)
+def meeting(left: DataFrame, right: DataFrame, cell: float | None = None) -> DataFrame:
+    """Pairs of rows whose boxes meet, once each. ``cell`` asks for a grid of one size instead of one that fits the boxes."""
+    grid = ladder(left, right) if cell is None else one_size(cell)
+    l, r = covered(left, grid, "l_", left=True), covered(right, grid, "r_", left=False).drop("_size")
+    here = (F.col("_cx") == F.floor(F.greatest("l_minx", "r_minx") / F.col("_size"))) & (F.col("_cy") == F.floor(F.greatest("l_miny", "r_miny") / F.col("_size")))
+    return l.join(r, ["_k", "_cx", "_cy"]).filter(boxes_meet() & here)
 
 
 def _narrow(df: DataFrame, id_col: str, geometry: str | None) -> DataFrame:
@@ -61,7 +132,7 @@ def intersects_join(
     regions: DataFrame,
     features: DataFrame,
     *,
-    cell: float,
+    cell: float | None = None,
     region_id: str = REGION,
     feature_id: str = FEATURE,
     return_geometry: bool = False,
@@ -74,7 +145,7 @@ def intersects_join(
     """
     both = GEOMETRY in regions.columns or GEOMETRY in features.columns
     l, r = _narrow(regions, region_id, "l_geometry"), _narrow(features, feature_id, "r_geometry")
-    pairs = _meeting(l, r, cell)
+    pairs = meeting(l, r, cell)
     if both:
         side = {}
         for p in ("l_", "r_"):
@@ -106,43 +177,50 @@ def _box_wkb(prefix: str) -> Column:
     return make(*[F.col(f"{prefix}{c}") for c in BOX])
 
 
-def within_join(points: DataFrame, regions: DataFrame, *, cell: float, region_id: str = REGION, how: str = "left") -> DataFrame:
+def within_join(points: DataFrame, regions: DataFrame, *, cell: float | None = None, region_id: str = REGION, how: str = "left") -> DataFrame:
     """Points with the region whose interior holds them; with ``how`` = "left" also the others.
 
     Regions are boxes or WKB polygons; for polygons the exact test runs on points inside their boxes.
     """
     exact = GEOMETRY in regions.columns
+    boxes = with_bounds(regions).select(region_id, *BOX, *([F.col(GEOMETRY).alias("r_geometry")] if exact else []))
+    grid = ladder(boxes.filter("false"), boxes) if cell is None else one_size(cell)
+    grid = Ladder(grid.sizes, frozenset({-1}) if cell is None else grid.left, grid.right)  # points are smaller than any box
+    cells = covered(boxes, grid, "r_", left=False).drop("_size")
+    many = len(grid.entries(left=True)) > 1
     numbered = points.withColumn("_point", F.monotonically_increasing_id()) if how == "left" else points
-    size = F.lit(float(cell))
-    cells = covered(with_bounds(regions).select(region_id, *BOX, *([F.col(GEOMETRY).alias("r_geometry")] if exact else [])), cell, "r_")
-    placed = numbered.withColumn("cx", F.floor(F.col("lon") / size)).withColumn("cy", F.floor(F.col("lat") / size))
+    sizes = F.array(*[F.struct(F.lit(key).alias("_k"), F.lit(size).alias("_size")) for key, size, _ in grid.entries(left=True)])
+    placed = numbered.withColumn("_e", F.explode(sizes) if many else F.get(sizes, F.lit(0)))
+    placed = placed.withColumns({"_k": F.col("_e._k"), "_cx": F.floor(F.col("lon") / F.col("_e._size")), "_cy": F.floor(F.col("lat") / F.col("_e._size"))})
     inside = (F.col("lon") > F.col("r_minx")) & (F.col("lon") < F.col("r_maxx")) & (F.col("lat") > F.col("r_miny")) & (F.col("lat") < F.col("r_maxy"))
     l, r = placed.alias("p"), cells.alias("c")
-    here = (F.col("p.cx") == F.col("c.cx")) & (F.col("p.cy") == F.col("c.cy")) & inside
+    here = (F.col("p._k") == F.col("c._k")) & (F.col("p._cx") == F.col("c._cx")) & (F.col("p._cy") == F.col("c._cy")) & inside
     own = [F.col(f"p.`{c}`") for c in points.columns]
-    if not exact:
+    if not exact and (how != "left" or not many):
         return l.join(r, here, how).select(*own, F.col(f"c.{region_id}"))
-    held = l.join(r, here).filter(G.st_holds(F.col("r_geometry"), F.col("lon"), F.col("lat")))
+    held = l.join(r, here)
+    if exact:
+        held = held.filter(G.st_holds(F.col("r_geometry"), F.col("lon"), F.col("lat")))
     if how != "left":
         return held.select(*own, F.col(f"c.{region_id}"))
     found = held.select(F.col("p._point").alias("_point"), F.col(f"c.{region_id}"))
     return numbered.join(found, "_point", "left").select(*points.columns, region_id)
 
 
-def touches_join(regions: DataFrame, *, cell: float, region_id: str = REGION) -> DataFrame:
+def touches_join(regions: DataFrame, *, cell: float | None = None, region_id: str = REGION) -> DataFrame:
     """Adjacent regions: boundaries meet, corners included, and interiors don't."""
     exact = GEOMETRY in regions.columns
     side = _narrow(regions, region_id, "geometry" if exact else None)
     l = side.withColumnsRenamed({region_id: "region_id", "geometry": "l_geometry"})
     r = side.withColumnsRenamed({region_id: "neighbour_id", "geometry": "r_geometry"})
-    pairs = _meeting(l, r, cell).filter("region_id <> neighbour_id")
+    pairs = meeting(l, r, cell).filter("region_id <> neighbour_id")
     if exact:
         return pairs.filter(G.st_touches(F.col("l_geometry"), F.col("r_geometry"))).select("region_id", "neighbour_id")
     edge = (F.greatest("l_minx", "r_minx") == F.least("l_maxx", "r_maxx")) | (F.greatest("l_miny", "r_miny") == F.least("l_maxy", "r_maxy"))
     return pairs.filter(edge).select("region_id", "neighbour_id")
 
 
-def semi_join(rows: DataFrame, areas: DataFrame, *, cell: float, id_col: str, contained: bool = False) -> DataFrame:
+def semi_join(rows: DataFrame, areas: DataFrame, *, cell: float | None = None, id_col: str, contained: bool = False) -> DataFrame:
     """Rows that meet any area (or, with ``contained``, lie within one), each once.
 
     Either side holds boxes, points or WKB; with WKB on a side the exact predicate runs on pairs whose boxes meet.
@@ -150,7 +228,7 @@ def semi_join(rows: DataFrame, areas: DataFrame, *, cell: float, id_col: str, co
     exact = GEOMETRY in rows.columns or GEOMETRY in areas.columns
     l = _narrow(rows, id_col, "l_geometry")
     r = with_bounds(areas).select(*BOX, *([F.col(GEOMETRY).alias("r_geometry")] if GEOMETRY in areas.columns else []))
-    pairs = _meeting(l, r, cell)
+    pairs = meeting(l, r, cell)
     if contained:
         pairs = pairs.filter("l_minx >= r_minx and l_maxx <= r_maxx and l_miny >= r_miny and l_maxy <= r_maxy")
     if exact:
@@ -190,9 +268,9 @@ def dissolve(df: DataFrame, key: str, *, parts: int = 64) -> DataFrame:
     return some.groupBy(key).agg(st_union_all(F.collect_list(GEOMETRY)).alias(GEOMETRY))
 
 
-def remainder(areas: DataFrame, regions: DataFrame, *, cell: float, id_col: str = REGION) -> DataFrame:
+def remainder(areas: DataFrame, regions: DataFrame, *, cell: float | None = None, id_col: str = REGION) -> DataFrame:
     """What the regions leave of each area (WKB polygons): the areas with their geometry less all regions; nothing left drops the row."""
-    pairs = _meeting(_narrow(areas, id_col, "l_geometry"), with_bounds(regions).select(*BOX, F.col(GEOMETRY).alias("r_geometry")), cell)
+    pairs = meeting(_narrow(areas, id_col, "l_geometry"), with_bounds(regions).select(*BOX, F.col(GEOMETRY).alias("r_geometry")), cell)
     taken = dissolve(pairs.select(id_col, F.col("r_geometry").alias(GEOMETRY)), id_col).withColumnRenamed(GEOMETRY, "_taken")
     left = F.when(F.col("_taken").isNull(), F.col(GEOMETRY)).otherwise(st_overlay(F.col(GEOMETRY), F.col("_taken"), "difference"))
     done = areas.join(taken, id_col, "left").withColumn(GEOMETRY, left).filter(F.col(GEOMETRY).isNotNull())

@@ -107,7 +107,7 @@ def j4_voronoi_assignment(spark, sf_dir):
 @query("c1_points_in_boxes", f"""WITH {PTS}, {REGS} SELECT region_id, feature_id FROM regs JOIN pts
 ON lon BETWEEN minx AND maxx AND lat BETWEEN miny AND maxy""")
 def c1_points_in_boxes(spark, sf_dir):
-    return spatial_join.intersects_join(box_regions(spark, sf_dir), points(spark, sf_dir).select("feature_id", "lon", "lat"), cell=0.05)
+    return spatial_join.intersects_join(box_regions(spark, sf_dir), points(spark, sf_dir).select("feature_id", "lon", "lat"))
 
 
 _MEET = "r.minx <= b.maxx AND b.minx <= r.maxx AND r.miny <= b.maxy AND b.miny <= r.maxy"
@@ -115,26 +115,26 @@ _MEET = "r.minx <= b.maxx AND b.minx <= r.maxx AND r.miny <= b.maxy AND b.miny <
 
 @query("c1_boxes_meet_boxes", f"WITH {BOXES}, {REGS} SELECT region_id, feature_id FROM regs r JOIN boxes b ON {_MEET}")
 def c1_boxes_meet_boxes(spark, sf_dir):
-    return spatial_join.intersects_join(box_regions(spark, sf_dir), box_features(spark, sf_dir), cell=0.05)
+    return spatial_join.intersects_join(box_regions(spark, sf_dir), box_features(spark, sf_dir))
 
 
 @query("c2_overlay_boxes", f"""WITH {BOXES}, {REGS} SELECT region_id, feature_id, greatest(r.minx, b.minx) AS minx, greatest(r.miny, b.miny) AS miny,
 least(r.maxx, b.maxx) AS maxx, least(r.maxy, b.maxy) AS maxy FROM regs r JOIN boxes b ON {_MEET}""")
 def c2_overlay_boxes(spark, sf_dir):
-    return spatial_join.intersects_join(box_regions(spark, sf_dir), box_features(spark, sf_dir), cell=0.05, return_geometry=True)
+    return spatial_join.intersects_join(box_regions(spark, sf_dir), box_features(spark, sf_dir), return_geometry=True)
 
 
 @query("c3_cells_in_area", f"""WITH {BOXES}, a AS (SELECT * FROM (VALUES (CAST(16.85 AS DOUBLE), CAST(51.06 AS DOUBLE), CAST(17.0 AS DOUBLE), CAST(51.15 AS DOUBLE))) v(x0, y0, x1, y1))
 SELECT feature_id FROM boxes, a WHERE minx >= x0 AND maxx <= x1 AND miny >= y0 AND maxy <= y1""")
 def c3_cells_in_area(spark, sf_dir):
     area = spark.createDataFrame([(16.85, 51.06, 17.0, 51.15)], "minx double, miny double, maxx double, maxy double")
-    return spatial_join.semi_join(box_features(spark, sf_dir), area, cell=0.05, id_col="feature_id", contained=True).select("feature_id")
+    return spatial_join.semi_join(box_features(spark, sf_dir), area, id_col="feature_id", contained=True).select("feature_id")
 
 
 @query("c5_points_within", f"""WITH {PTS}, {REGS} SELECT feature_id, region_id FROM pts LEFT JOIN regs
 ON lon > minx AND lon < maxx AND lat > miny AND lat < maxy""")
 def c5_points_within(spark, sf_dir):
-    return spatial_join.within_join(points(spark, sf_dir), box_regions(spark, sf_dir), cell=0.05).select("feature_id", "region_id")
+    return spatial_join.within_join(points(spark, sf_dir), box_regions(spark, sf_dir)).select("feature_id", "region_id")
 
 
 @query("c6_clip_points", f"WITH {PTS} SELECT feature_id, lon, lat FROM pts WHERE lon BETWEEN CAST(16.9 AS DOUBLE) AND CAST(17 AS DOUBLE) AND lat BETWEEN CAST(51.1 AS DOUBLE) AND CAST(51.15 AS DOUBLE)")
@@ -156,7 +156,7 @@ AND (greatest(a.minx, b.minx) = least(a.maxx, b.maxx) OR greatest(a.miny, b.miny
 
 @query("c14_touching_regions", f"WITH {REGS} {_TOUCH}")
 def c14_touching_regions(spark, sf_dir):
-    return spatial_join.touches_join(box_regions(spark, sf_dir), cell=0.05)
+    return spatial_join.touches_join(box_regions(spark, sf_dir))
 
 
 _EDGES = f"e AS (SELECT a.region_id, b.region_id AS neighbour_id, CAST(greatest(abs(a.x - b.x), abs(a.y - b.y)) AS INTEGER) AS distance FROM r a JOIN r b ON abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2)"
@@ -184,23 +184,23 @@ m AS (SELECT region_id, neighbour_id, min(d) AS distance FROM b GROUP BY ALL)"""
 
 @query("l2_up_to_distance", f"{_BFS} SELECT region_id, neighbour_id, CAST(distance AS INTEGER) AS distance FROM m WHERE distance > 0")
 def l2_up_to_distance(spark, sf_dir):
-    return neighbourhoods.up_to_distance(neighbourhoods.adjacency_edges(box_regions(spark, sf_dir), cell=0.05), 3)
+    return neighbourhoods.up_to_distance(neighbourhoods.adjacency_edges(box_regions(spark, sf_dir)), 3)
 
 
 @query("l3_at_distance", f"{_BFS} SELECT region_id, neighbour_id, CAST(distance AS INTEGER) AS distance FROM m WHERE distance = 2")
 def l3_at_distance(spark, sf_dir):
-    return neighbourhoods.at_distance(neighbourhoods.adjacency_edges(box_regions(spark, sf_dir), cell=0.05), 2)
+    return neighbourhoods.at_distance(neighbourhoods.adjacency_edges(box_regions(spark, sf_dir)), 2)
 
 
 @query("l4_with_center", f"{_BFS} SELECT region_id, count(*) AS n FROM m WHERE distance <= 2 GROUP BY region_id")
 def l4_with_center(spark, sf_dir):
-    found = neighbourhoods.up_to_distance(neighbourhoods.adjacency_edges(box_regions(spark, sf_dir), cell=0.05), 2, include_center=True)
+    found = neighbourhoods.up_to_distance(neighbourhoods.adjacency_edges(box_regions(spark, sf_dir)), 2, include_center=True)
     return found.groupBy("region_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("l5_adjacency", f"WITH {REGS} SELECT *, 1 AS distance FROM ({_TOUCH})")
 def l5_adjacency(spark, sf_dir):
-    return neighbourhoods.adjacency_edges(box_regions(spark, sf_dir), cell=0.05)
+    return neighbourhoods.adjacency_edges(box_regions(spark, sf_dir))
 
 
 
@@ -330,7 +330,7 @@ CASE WHEN m.distance = 0 THEN 'selected' WHEN m.distance IS NOT NULL THEN 'neigh
 FROM regs LEFT JOIN m ON m.region_id = 12 AND m.neighbour_id = regs.region_id AND m.distance <= 1""")
 def n12_neighbourhood_plot_table(spark, sf_dir):
     r = box_regions(spark, sf_dir)
-    out = neighbourhoods.plot_table(r, neighbourhoods.adjacency_edges(r, cell=0.05), 12, 1)
+    out = neighbourhoods.plot_table(r, neighbourhoods.adjacency_edges(r), 12, 1)
     return out.select("region_id", "distance", "tag")
 
 
@@ -349,7 +349,7 @@ def hex_axial_counts(spark, sf_dir):
 @query("c4_edges_in_area", f"WITH {BOXES} SELECT feature_id FROM boxes WHERE maxx >= CAST(16.9 AS DOUBLE) AND minx <= CAST(17.1 AS DOUBLE) AND maxy >= CAST(51.05 AS DOUBLE) AND miny <= CAST(51.1 AS DOUBLE)")
 def c4_edges_in_area(spark, sf_dir):
     area = spark.createDataFrame([(16.9, 51.05, 17.1, 51.1)], "minx double, miny double, maxx double, maxy double")
-    return spatial_join.semi_join(box_features(spark, sf_dir), area, cell=0.05, id_col="feature_id").select("feature_id")
+    return spatial_join.semi_join(box_features(spark, sf_dir), area, id_col="feature_id").select("feature_id")
 
 
 def _double_boxes(spark, sf_dir):

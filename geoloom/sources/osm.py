@@ -84,7 +84,7 @@ def road_network(
     metadata: bool = False,
     area: DataFrame | None = None,
     contain_within_area: bool = False,
-    cell: float = 0.05,
+    cell: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The road graph of an extract: (nodes, edges).
 
@@ -204,7 +204,7 @@ def cached_query(query: str, folder: str, run: Callable[[str], object], *, retri
     return answer
 
 
-def road_features(edges: DataFrame, columns: Sequence[str], *, wide: Mapping[str, Sequence[str]] | None = None, zones: Mapping | None = None, area: DataFrame | None = None, cell: float = 0.05) -> DataFrame:
+def road_features(edges: DataFrame, columns: Sequence[str], *, wide: Mapping[str, Sequence[str]] | None = None, zones: Mapping | None = None, area: DataFrame | None = None, cell: float | None = None) -> DataFrame:
     """Road edges with lists exploded and values normalised, or as 0 / 1 flags per edge.
 
     ``columns`` hold strings or arrays; ``wide`` lists the values of each column that become flags

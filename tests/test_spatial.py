@@ -257,3 +257,47 @@ def test_administrative_regions(spark):
     assert rows(R.administrative_regions(b, area, admin_level=8), "region_id", "element_id") == [("Ae", 1)]
     with pytest.raises(ValueError):
         R.administrative_regions(b, area, admin_level=12)
+
+
+def _boxes(spark, low, size, name):
+    data = [(k, *map(float, (*p, *(p + s)))) for k, (p, s) in enumerate(zip(low, size, strict=True))]
+    return spark.createDataFrame(data, f"{name} int, minx double, miny double, maxx double, maxy double")
+
+
+@pytest.mark.parametrize("kind", ["one", "two", "all", "points"])
+def test_joins_find_their_own_grid(spark, kind):
+    rng = np.random.default_rng(21)
+    n = 150
+    low = [np.round(rng.uniform(-3, 3, (n, 2)), 4) for _ in range(2)]
+    size = {
+        "one": lambda: rng.uniform(0.1, 0.4, (n, 1)),
+        "two": lambda: np.where(rng.random((n, 1)) < 0.1, 100.0, 1e-4),
+        "all": lambda: 10.0 ** rng.uniform(-5, 2, (n, 1)),
+        "points": lambda: np.zeros((n, 1)),
+    }
+    a, b = np.round(size[kind]() * rng.uniform(0.2, 1, (n, 2)), 6), np.round(size["all" if kind == "points" else kind]() * rng.uniform(0.2, 1, (n, 2)), 6)
+    low[0][: n // 3] = (low[1] + b)[: n // 3]  # corners that touch
+    l, r = _boxes(spark, low[0], a, "region_id"), _boxes(spark, low[1], b, "feature_id")
+    corner = lambda lo, s: np.concatenate([lo, lo + s], 1)
+    x, y = corner(low[0], a), corner(low[1], b)
+    want = [(i, j) for i in range(n) for j in range(n) if (x[i, :2] <= y[j, 2:]).all() and (y[j, :2] <= x[i, 2:]).all()]
+    assert len(want) > 20 and rows(J.intersects_join(l, r), "region_id", "feature_id") == want
+    grid = J.ladder(l, r)
+    copies = J.covered(l.union(l.limit(0)), grid, "l_", left=True).groupBy("region_id").count().agg({"count": "max", "*": "count"}).first()
+    if kind == "two":
+        assert len(grid.sizes) == 2 and copies[0] <= 8
+    if kind == "points":
+        p = l.withColumnsRenamed({"minx": "lon", "miny": "lat", "region_id": "_k"}).drop("maxx", "maxy").withColumnRenamed("_k", "k")
+        inside = sorted((i, j) for i in range(n) for j in range(n) if (low[0][i] > y[j, :2]).all() and (low[0][i] < y[j, 2:]).all())
+        boxes = r.withColumnRenamed("feature_id", "region_id")
+        assert rows(J.within_join(p, boxes, how="inner"), "k", "region_id") == inside
+        both = J.within_join(p, boxes)
+        assert both.columns == ["k", "lon", "lat", "region_id"]
+        assert {row["k"] for row in both.collect() if row["region_id"] is None} == set(range(n)) - {i for i, _ in inside}
+
+
+def test_joins_of_empty_tables_and_boxes_beyond_the_largest_level(spark):
+    far, none = _boxes(spark, np.array([[-5000.0, -5000.0]]), np.array([[10_000.0, 9000.0]]), "region_id"), _boxes(spark, np.zeros((1, 2)), np.zeros((1, 2)), "feature_id")
+    assert J.intersects_join(far, none.limit(0)).count() == 0
+    spots = _boxes(spark, np.array([[1.0, 2.0], [5000.0, 0.0], [5001.0, 0.0]]), np.zeros((3, 2)), "feature_id")
+    assert rows(J.intersects_join(far, spots), "region_id", "feature_id") == [(0, 0), (0, 1)]
