@@ -323,3 +323,17 @@ def test_fits_take_moments_of_all_rows_and_all_exclusions(spark, monkeypatch):
     edges = spark.createDataFrame([(a, b, abs(a - b)) for a in range(60) for b in range(60) if 0 < abs(a - b) < 4], "region_id int, neighbour_id int, distance int")
     got = {tuple(r) for r in M.Hex2Vec(sizes=(2,))._too_near(spark.range(50).select(F.col("id").cast("int").alias("k")), edges, "k").collect()}
     assert got == {(a, b) for a in range(50) for b in range(50) if 0 < abs(a - b) < 3}
+
+
+@pytest.mark.parametrize("gathered", [200_000, 3])
+def test_quantiles_are_exact(spark, monkeypatch, gathered):
+    from geoloom.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "GATHERED", gathered)
+    monkeypatch.setattr(Q, "_ACCURACY", 100)
+    rng = np.random.default_rng(5)
+    shares = [0.0, 0.05, 0.31, 0.5, 0.505, 0.95, 1.0]
+    for values in (rng.normal(size=4000), np.round(rng.exponential(size=4000), 1), np.arange(10.0), np.array([7.0]), np.repeat([1.0, 2.0, 9.0], 50)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(3)
+        assert np.allclose(Q.quantiles(df, F.col("x"), shares), np.quantile(values, shares), rtol=1e-12)
+    assert Q.quantiles(df.filter("x is null"), F.col("x"), [0.5]) == [None]
