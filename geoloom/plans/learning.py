@@ -30,6 +30,26 @@ def e1_consecutive_cells(spark, sf_dir):
     return _cells(spark, sf_dir).select("trip_id", "event_id", "x", "y")
 
 
+#: All events as one trip, in parts.
+_ONE = _CELLS.replace("PARTITION BY trip_id ORDER BY", "ORDER BY")
+_ONE_TRIP = {"trip": "trip_id", "order": "ts", "tie": "event_id", "part_rows": 5_000}
+
+
+def _one_trip(spark, sf_dir):
+    return track_points(spark, sf_dir).withColumn("trip_id", F.lit(0))
+
+
+@query("e1_one_long_trip", f"WITH {_ONE} SELECT event_id, x, y FROM cells")
+def e1_one_long_trip(spark, sf_dir):
+    return trajectories.to_cells(_one_trip(spark, sf_dir), zoom=Z, **_ONE_TRIP).select("event_id", "x", "y")
+
+
+@query("b3_one_long_trip", f"""WITH {TRACKS}, d AS (SELECT lon - lag(lon) OVER w AS dx, lat - lag(lat) OVER w AS dy FROM tracks WINDOW w AS (ORDER BY ts, event_id))
+SELECT round(sum(coalesce(sqrt(dx * dx + dy * dy), 0)), 5) AS length FROM d""")
+def b3_one_long_trip(spark, sf_dir):
+    return trajectories.line_lengths(_one_trip(spark, sf_dir), **_ONE_TRIP).select(F.round("length", 5).alias("length"))
+
+
 _FILL = f"""{_CELLS}, nx AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, row_number() OVER w AS k, count(*) OVER (PARTITION BY trip_id) AS m FROM cells WINDOW w AS (PARTITION BY trip_id ORDER BY ts, event_id)),
 st AS (SELECT *, CASE WHEN nx IS NULL THEN 0 ELSE greatest(abs(nx - x), abs(ny - y)) END AS n FROM nx),
 ex AS (SELECT *, unnest(generate_series(0, CASE WHEN nx IS NULL THEN 0 WHEN k = m - 1 THEN n ELSE n - 1 END)) AS j FROM st),
@@ -39,7 +59,7 @@ seq AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY k, j) AS seq
 
 
 def _filled(spark, sf_dir):
-    return trajectories.fill_gaps(_cells(spark, sf_dir), trip="trip_id", order="ts", tie="event_id")
+    return trajectories.fill_gaps(_cells(spark, sf_dir), trip="trip_id", order="ts", tie="event_id", points=track_points(spark, sf_dir))
 
 
 @query("e2_gap_interpolation", f"WITH {_FILL} SELECT trip_id, event_id, x, y, CAST(seq AS INTEGER) AS seq FROM seq")
@@ -47,6 +67,22 @@ def e2_gap_interpolation(spark, sf_dir):
     return _filled(spark, sf_dir).select("trip_id", "event_id", "x", "y", "seq")
 
 
+_FILL_ONE = _FILL.replace(_CELLS, _ONE).replace("PARTITION BY trip_id ORDER BY", "ORDER BY").replace("PARTITION BY trip_id", "")
+
+
+@query("e2_one_long_trip", f"WITH {_FILL_ONE} SELECT event_id, x, y, CAST(seq AS INTEGER) AS seq FROM seq")
+def e2_one_long_trip(spark, sf_dir):
+    cells = trajectories.to_cells(_one_trip(spark, sf_dir), zoom=Z, **_ONE_TRIP)
+    return trajectories.fill_gaps(cells, points=_one_trip(spark, sf_dir), **_ONE_TRIP).select("event_id", "x", "y", "seq")
+
+
+@query("n6_one_long_trip", f"WITH {_FILL_ONE}, s AS (SELECT list({sql_id('x', 'y', Z)} ORDER BY seq) AS cells FROM seq) SELECT md5(array_to_string(cells, ',')) AS h, CAST(len(cells) AS INTEGER) AS n FROM s")
+def n6_one_long_trip(spark, sf_dir):
+    cells = trajectories.to_cells(_one_trip(spark, sf_dir), zoom=Z, **_ONE_TRIP)
+    filled = trajectories.fill_gaps(cells, points=_one_trip(spark, sf_dir), **_ONE_TRIP)
+    return trajectories.sequences(filled, trip="trip_id", zoom=Z, part_rows=5_000).select(F.md5(F.array_join("cells", ",")).alias("h"), F.size("cells").alias("n"))
+
+
 _SEQ = f"{_FILL}, s AS (SELECT trip_id, list({sql_id('x', 'y', Z)} ORDER BY seq) AS cells FROM seq GROUP BY trip_id)"
 
 

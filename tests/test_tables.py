@@ -196,6 +196,35 @@ def test_trajectories(spark):
     assert set(task) == {1} and sum(task[1]) == len(xs) and task[1][0] == int(len(xs) * 0.85)
 
 
+@pytest.mark.parametrize("part_rows", [3, 7])
+@pytest.mark.parametrize("repeat_last", [True, False])
+def test_long_trips_in_parts_equal_whole_ones(spark, part_rows, repeat_last):
+    rng = np.random.default_rng(part_rows)
+    pts, k = [], 0
+    for trip, n in ((1, 40), (2, 1), (3, 2), (4, 7), (5, 25), (None, 9)):
+        at = np.array([16.8, 51.1])
+        for t in np.sort(rng.integers(0, 30, n)).tolist():
+            at = at + (rng.random() < 0.6) * rng.uniform(-0.06, 0.06, 2)
+            pts.append((trip, t, k, *map(float, at)))
+            k += 1
+    df = spark.createDataFrame(pts, "trip_id int, ts int, k int, lon double, lat double").repartition(3)
+    how = {"trip": "trip_id", "order": "ts", "tie": "k"}
+    parts = trajectories.parted(df, trip="trip_id", order="ts", part_rows=part_rows)
+    assert parts.groupBy("trip_id").agg(F.countDistinct("_part").alias("n")).filter("trip_id = 1").first()["n"] > 3
+    assert trajectories.parted(df, trip="trip_id", order="ts") is None
+    every = lambda d: sorted((tuple(r) for r in d.collect()), key=str)
+    cells = trajectories.to_cells(df, zoom=14, **how)
+    assert every(trajectories.to_cells(df, zoom=14, part_rows=part_rows, **how)) == every(cells)
+    filled = trajectories.fill_gaps(cells, repeat_last=repeat_last, **how)
+    assert every(trajectories.fill_gaps(cells, repeat_last=repeat_last, part_rows=part_rows, **how)) == every(filled)
+    assert every(trajectories.fill_gaps(cells, repeat_last=repeat_last, part_rows=part_rows, points=df, **how)) == every(filled)
+    assert every(trajectories.sequences(filled, trip="trip_id", zoom=14, part_rows=part_rows)) == every(trajectories.sequences(filled, trip="trip_id", zoom=14))
+    lengths = [{r["trip_id"]: r["length"] for r in trajectories.line_lengths(df, part_rows=p, **how).collect()} for p in (part_rows, 10**6)]
+    assert lengths[0] == pytest.approx(lengths[1])
+    built = lambda p: every(trajectories.build(df, trip="trip_id", order="ts", columns=["k"], part_rows=p))
+    assert built(part_rows) == built(10**6)
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 4.0)], "region_id string, label double")
     p = spark.createDataFrame([("a", 1.5), ("b", 2.0), ("c", 3.0), ("z", 9.0)], "region_id string, prediction double")
