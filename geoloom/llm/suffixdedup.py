@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import batch_rows, hash_unit, materialise, pieces, settle
+from geoloom.llm.common import batch_rows, hash_unit, materialise, pieces, settle, trim
 
 _U = np.uint64
 _TOP = np.iinfo(np.uint64).max
@@ -377,7 +377,7 @@ def _places(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
     The distinct texts of an id count as laid end to end in byte order, so a position in them names one text, whichever task asks.
     """
-    column, words = texts["id"].combine_chunks(), texts["text"].to_pylist()
+    column = texts["id"].combine_chunks()
     real = column.is_valid().to_numpy(zero_copy_only=False)
     own, first, base = column.fill_null(0).to_numpy(zero_copy_only=False), np.arange(len(column)), np.zeros(len(column), np.int64)
     order = np.flatnonzero(real)
@@ -385,13 +385,14 @@ def _places(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     heads = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]])) if len(order) else order
     size = np.diff(np.append(heads, len(order)))
     for a, k in zip(heads[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-        seen: dict[str, int] = {}
+        words = {r: (texts["text"][r].as_py() or "").encode("utf-8", "surrogatepass") for r in order[a : a + k].tolist()}
+        seen: dict[bytes, int] = {}
         at = 0
-        for r in sorted(order[a : a + k].tolist(), key=lambda r: words[r] or ""):
-            if (words[r] or "") not in seen:
-                seen[words[r] or ""], base[r] = r, at
-                at += len((words[r] or "").encode("utf-8", "surrogatepass"))
-            first[r] = seen[words[r] or ""]
+        for r in sorted(words, key=words.__getitem__):
+            if words[r] not in seen:
+                seen[words[r]], base[r] = r, at
+                at += len(words[r])
+            first[r] = seen[words[r]]
             base[r] = base[first[r]]
     first[~real] = -1
     lead = np.flatnonzero(first == np.arange(len(first)))
@@ -632,12 +633,14 @@ def repeated_strings(
             yield flush()
 
     def repeats(key, rows):
+        trim()
         runs = [unpack_run(x) for x in rows["run"].to_pylist()]
         ids, pos = repeated_grams(runs) if key[0].as_py() >= 0 else _occurrences(runs)[:2]
         out = list(_to_texts(ids, [pos], groups))
         return pa.table({"dest": pa.array([r[0] for r in out], pa.int32()), "found": pa.array([r[1] for r in out], pa.binary())})
 
     def surround(key, texts, found):
+        trim()
         ids, pos = _from_blobs(found["found"].to_pylist(), 1)
         out: list[tuple[int, bytes]] = []
         if len(ids) and texts.num_rows:
@@ -678,6 +681,7 @@ def repeated_strings(
 
     def decide(key, rows):
         """Masks of a range; of a hot gram's task its runs and what it knows of its strings."""
+        trim()
         runs = rows["run"].to_pylist()
         if key[0].as_py() >= 0:
             out = found_table(*removed_windows([unpack_run(x) for x in runs], least))
@@ -703,6 +707,7 @@ def repeated_strings(
         return pa.table(found_table(*s.removed()))
 
     def cut(key, texts, found):
+        trim()
         ids, pos, mask = _from_blobs(found["found"].to_pylist(), 2)
         buf, n = _concat(texts["text"].to_pylist())
         own, order, first, base_at = _places(texts)
