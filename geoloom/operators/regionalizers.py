@@ -6,10 +6,11 @@ import itertools
 import math
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import grid, h3, s2
+from geoloom.operators import voronoi
 from geoloom.functions.scalars import EARTH_RADIUS_M, haversine_m
 from geoloom.functions.geometry import st_area, st_centroid, st_clip_box, st_holds, st_intersects, st_merged, st_parts, st_simplify
 from geoloom.schema import BOX, GEOMETRY, need, with_bounds
@@ -103,61 +104,48 @@ def _children(cell: int) -> list[int]:
     return [cell - low + (2 * k + 1) * (low >> 2) for k in range(4)]
 
 
-def voronoi_assign(points: DataFrame, seeds: DataFrame, *, seed_id: str = "region_id", cell: float | None = None) -> DataFrame:
-    """Each point with its nearest seed by great-circle distance; ties to the smaller id.
+def voronoi_assign(points: DataFrame, seeds: DataFrame, *, seed_id: str = "region_id", cell: float | None = None, rounds: int = 30) -> DataFrame:
+    """Each point with its nearest seed by great-circle distance; ties to the smaller id. There are at least four seeds, without duplicates.
 
-    The seeds are a planning input like regions, at least four and without duplicates; they are
-    collected only below ``MAX_SEEDS``, and put in a literal that each row folds over, so no
-    join or shuffle is needed. More seeds go through a grid: see ``voronoi_assign_grid``.
+    The seeds lie in a grid of cubes around the unit sphere, of ``cell`` degrees at first (unless given, so that no cube holds
+    many seeds). A cube's row lists the seeds of the 27 cubes around it, so a point meets one row, by
+    equality, and is never repeated; it leaves once no seed beyond those cubes can be nearer. Cubes double in each round; those of the last round
+    hold the whole sphere, where a few seeds begin.
     """
-    rows = check_seeds(seeds, seed_id).select(seed_id, "lon", "lat").limit(MAX_SEEDS + 1).collect()
-    if len(rows) > MAX_SEEDS:
-        return voronoi_assign_grid(points, seeds, seed_id=seed_id, cell=cell or 1.0)
-    table = F.array(*[F.struct(F.lit(r[seed_id]).alias("id"), F.lit(float(r["lon"])).alias("lon"), F.lit(float(r["lat"])).alias("lat")) for r in sorted(rows, key=lambda r: r[seed_id])])
-    ranked = F.transform(table, lambda s: F.struct(F.round(haversine_m(F.col("lon"), F.col("lat"), s["lon"], s["lat"]), 6).alias("d"), s["id"].alias("id")))
-    return points.withColumn("_near", F.array_min(ranked)).select(*points.columns, F.col("_near.id").alias(seed_id), F.col("_near.d").alias("distance_m"))
-
-
-#: Seeds up to this count are a literal in the plan.
-MAX_SEEDS = 512
-
-
-def _cube(lon: Column, lat: Column, side: float) -> list[Column]:
-    """Cell of a place's point on the unit sphere in a grid of cubes; no place is at an edge of the map there."""
-    a, b = F.radians(lon), F.radians(lat)
-    return [F.coalesce(F.floor(v / F.lit(side)), F.lit(0)) for v in (F.cos(a) * F.cos(b), F.sin(a) * F.cos(b), F.sin(b))]
-
-
-def voronoi_assign_grid(points: DataFrame, seeds: DataFrame, *, seed_id: str, cell: float, rounds: int = 12) -> DataFrame:
-    """The same by a grid of cubes around the unit sphere, of ``cell`` degrees at first: the 27 cubes
-    around a point are searched, and a point leaves once no seed beyond them can be nearer. Cubes double in
-    each round; those of the last round hold the whole sphere."""
-    left = points.select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("row"), "lon", "lat", F.monotonically_increasing_id().alias("pid"))
-    left = written(left, "points")
-    steps = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(s, "xyz", strict=True)]) for s in itertools.product((-1, 0, 1), repeat=3)])
+    seeds = check_seeds(seeds, seed_id).select(F.col(seed_id).alias("id"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    side = math.radians(cell) if cell else voronoi.first_side(seeds.select(*[c.alias(n) for c, n in zip(voronoi.unit(F.col("lon"), F.col("lat")), "xyz", strict=True)]))
+    left = points.select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("row"), "lon", "lat")
     done = None
     for turn in range(rounds):
-        side = math.radians(cell) * 2**turn
         last = side >= 2 or turn == rounds - 1
         side = 2.0 if last else side
-        sx, sy, sz = _cube(F.col("lon"), F.col("lat"), side)
-        boxed = seeds.select(F.col(seed_id).alias("sid"), F.col("lon").alias("slon"), F.col("lat").alias("slat"), sx.alias("sx"), sy.alias("sy"), sz.alias("sz"))
-        reach = left.select("pid", "lon", "lat", sx.alias("cx"), sy.alias("cy"), sz.alias("cz"), F.explode(steps).alias("s"))
-        reach = reach.select("pid", "lon", "lat", *[(F.col(f"c{c}") + F.col(f"s.{c}")).alias(f"s{c}") for c in "xyz"])
-        d = F.round(haversine_m(F.col("lon"), F.col("lat"), F.col("slon"), F.col("slat")), 6)
-        best = reach.join(boxed, ["sx", "sy", "sz"]).groupBy("pid").agg(F.min(F.struct(d.alias("d"), F.col("sid").alias("id"))).alias("near"))
-        joined = written(left.join(best, "pid", "left"), "nearest")
+        around = seeds
+        for c, n in zip(_cube(F.col("lon"), F.col("lat"), side), "ijk", strict=True):
+            around = around.withColumn(n, F.explode(F.array(*[c + k for k in (-1, 0, 1)])))
+        around = around.groupBy("i", "j", "k").agg(F.collect_list(F.struct("id", "lon", "lat")).alias("seeds"))
+        at = [c.alias(n) for c, n in zip(_cube(F.col("lon"), F.col("lat"), side), "ijk", strict=True)]
+        d = lambda s: F.struct(F.round(haversine_m(F.col("lon"), F.col("lat"), s["lon"], s["lat"]), 6).alias("d"), s["id"].alias("id"))
+        joined = left.select("row", "lon", "lat", *at).join(around, ["i", "j", "k"], "left").select("row", "lon", "lat", F.array_min(F.transform("seeds", d)).alias("near"))
+        found = lambda df: df.select("row.*", F.col("near.id").alias(seed_id), F.col("near.d").alias("distance_m"))
+        if last:
+            return found(joined) if done is None else done.unionByName(found(joined))
+        joined = written(joined, "nearest")
         # An unseen seed is at least a side away as the crow flies; the metre is for rounding.
-        sure = F.lit(True) if last else F.col("near.d") < 2 * EARTH_RADIUS_M * math.asin(side / 2) - 1.0
-        settled = F.coalesce(sure, F.lit(False))
-        part = joined.filter(settled).select("row.*", F.col("near.id").alias(seed_id), F.col("near.d").alias("distance_m"))
+        settled = F.coalesce(F.col("near.d") < 2 * EARTH_RADIUS_M * math.asin(side / 2) - 1.0, F.lit(False))
+        part = found(joined.filter(settled))
         done = part if done is None else done.unionByName(part)
-        left = written(joined.filter(~settled).drop("near"), "points")
-        if last or left.limit(1).count() == 0:
-            break
+        left = joined.filter(~settled).drop("near")
+        if left.limit(1).count() == 0:
+            return done
+        side *= 2
     return done
 
 
+def _cube(lon: Column, lat: Column, side: float) -> list[Column]:
+    """Cell of a place's point in a grid of cubes; no place is at an edge of the map there."""
+    return [F.coalesce(c, F.lit(0)) for c in voronoi.cubes(*voronoi.unit(lon, lat), side)]
+
+
 def check_seeds(seeds: DataFrame, seed_id: str) -> DataFrame:
     """At least four, without duplicates, in bounds; ValueError otherwise."""
     need(seeds, seed_id, "lon", "lat", role="seeds table")
@@ -174,69 +162,13 @@ def check_seeds(seeds: DataFrame, seed_id: str) -> DataFrame:
     return seeds
 
 
-def voronoi_polygons(spark: SparkSession, seeds: DataFrame, *, seed_id: str = "region_id", step_degrees: float = 2.0, mask=None) -> DataFrame:
-    """Spherical Voronoi regions as WKB polygons in longitude and latitude, by half-space clipping.
+def voronoi_polygons(seeds: DataFrame, *, seed_id: str = "region_id", step_degrees: float = 2.0, mask=None) -> DataFrame:
+    """Spherical Voronoi regions of any number of seeds as WKB polygons in longitude and latitude.
 
-    Each seed's region is the sphere's lon/lat box, cut along the great circles halfway to every
-    other seed; edges are densified every ``step_degrees``. A ``mask`` (polygon) cuts them. One task per seed, with the seeds as
-    a literal; meant for planning sizes (up to ``MAX_SEEDS`` seeds).
+    Edges are arcs of great circles with a corner every ``step_degrees``; neighbours share them to the last digit.
+    A ``mask`` (polygon) cuts the regions. No seed reaches the driver: see ``voronoi.regions``.
     """
-    rows = check_seeds(seeds, seed_id).select(seed_id, "lon", "lat").collect()
-    if len(rows) > MAX_SEEDS:
-        raise ValueError(f"polygons are drawn for up to {MAX_SEEDS} seeds; assign points instead")
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        from geoloom.functions import geometry as G
-
-        lon, lat = np.radians([r["lon"] for r in rows]), np.radians([r["lat"] for r in rows])
-        xyz = np.stack([np.cos(lon) * np.cos(lat), np.sin(lon) * np.cos(lat), np.sin(lat)], 1)
-        xs, ys = np.arange(-180, 180 + 1e-9, step_degrees), np.arange(-90, 90 + 1e-9, step_degrees)
-        if mask is not None:  # only where the mask lies, so that steps can be fine there
-            x0, y0, x1, y1 = G.bounds(mask)
-            xs, ys = xs[(xs > x0 - step_degrees) & (xs < x1 + step_degrees)], ys[(ys > y0 - step_degrees) & (ys < y1 + step_degrees)]
-        for batch in batches:
-            out = []
-            for own, at in zip(batch[seed_id], batch["at"], strict=True):
-                normals = xyz[at] - np.delete(xyz, at, 0)
-                parts = []
-                for x0, x1 in zip(xs[:-1], xs[1:], strict=True):
-                    for y0, y1 in zip(ys[:-1], ys[1:], strict=True):
-                        piece = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)], float)
-                        piece = _cut(piece, normals)
-                        if len(piece) >= 3:
-                            parts.append([np.vstack([piece, piece[:1]])])
-                if parts:
-                    out.append((own, G.to_wkb(("polygon", parts))))
-            yield pd.DataFrame(out, columns=[seed_id, GEOMETRY])
-
-    def _cut(piece, normals):
-        import numpy as np
-
-        lam, phi = np.radians(piece[:, 0]), np.radians(piece[:, 1])
-        p = np.stack([np.cos(lam) * np.cos(phi), np.sin(lam) * np.cos(phi), np.sin(phi)], 1)
-        side = p @ normals.T
-        if (side.max(0) < 0).any():
-            return piece[:0]
-        for k in np.flatnonzero(side.min(0) < 0):
-            if len(piece) < 3:
-                return piece[:0]
-            lam, phi = np.radians(piece[:, 0]), np.radians(piece[:, 1])
-            s = np.stack([np.cos(lam) * np.cos(phi), np.sin(lam) * np.cos(phi), np.sin(phi)], 1) @ normals[k]
-            now = []
-            for i in range(len(piece)):
-                a, b, sa, sb = piece[i - 1], piece[i], s[i - 1], s[i]
-                if sa * sb < 0:
-                    now.append(a + sa / (sa - sb) * (b - a))
-                if sb >= 0:
-                    now.append(b)
-            piece = np.array(now).reshape(-1, 2)
-        return piece
-
-    numbered = spark.createDataFrame([(r[seed_id], k) for k, r in enumerate(rows)], f"{seed_id} {dict(seeds.dtypes)[seed_id]}, at int")
-    cells = numbered.repartition(seed_id).mapInPandas(run, f"{seed_id} {dict(seeds.dtypes)[seed_id]}, {GEOMETRY} binary")
+    cells = voronoi.drawn(voronoi.regions(check_seeds(seeds, seed_id), seed_id), seed_id, step_degrees)
     if mask is None:
         return cells
     from geoloom.operators.spatial_join import clip_to

@@ -18,7 +18,7 @@ from geoloom.operators import embedders, filters, regionalizers, spatial_join
 from geoloom.optional import optional_import
 from geoloom.plans.inputs import BOXES, PTS, REGS, TAGS, box_features, box_regions, points, query, sql_lon, sql_tiled, table, tagged
 from geoloom.sources import datasets, files, gtfs, osm, pbf
-from geoloom.storage import new_path
+from geoloom.storage import new_path, written
 
 AREA = (16.90005, 51.06005, 17.10005, 51.15005)
 _IN_AREA = "lon BETWEEN CAST(16.90005 AS DOUBLE) AND CAST(17.10005 AS DOUBLE) AND lat BETWEEN CAST(51.06005 AS DOUBLE) AND CAST(51.15005 AS DOUBLE)"
@@ -488,7 +488,7 @@ def j2b_cell_polygons(spark, sf_dir):
 def j4a_voronoi_polygons(spark, sf_dir):
     n = F.col("n_nationkey")
     seeds = table(spark, sf_dir, "nation").select(n.alias("region_id"), ((n * 1511) % 340 - 170 + 0.37).alias("lon"), ((n * 677) % 150 - 75 + 0.41).alias("lat"))
-    cells = regionalizers.voronoi_polygons(spark, seeds, step_degrees=10.0)
+    cells = regionalizers.voronoi_polygons(seeds, step_degrees=10.0)
     hit = spatial_join.within_join(seeds.withColumnRenamed("region_id", "seed"), cells, cell=30.0, how="inner")
     own = F.max(F.col("seed") == F.col("region_id"))
     others = F.sum((F.col("seed") != F.col("region_id")).cast("int")).cast("int")
@@ -627,12 +627,29 @@ def g6_geometry_remainder(spark, sf_dir):
     return left.select("region_id", F.round(G.st_area(F.col("geometry")), 9).alias("area"))
 
 
-@query("j4_voronoi_masked", "SELECT round((17.1 - 16.85) * 0.04 + 0.1 * 0.08, 6) AS area, 12 AS cells")
+@query("j4_voronoi_masked", "SELECT round((17.1 - 16.85) * 0.04 + 0.1 * 0.08, 6) AS area, count(*) AS cells FROM nation")
 def j4_voronoi_masked(spark, sf_dir):
-    k = F.col("id")
-    seeds = spark.range(12).select(k.alias("region_id"), (F.lit(16.86) + (k % 4) * 0.07).alias("lon"), (F.lit(51.065) + F.floor(k / 4) * 0.011 + (k % 4) * 0.001).alias("lat"))
-    cells = regionalizers.voronoi_polygons(spark, seeds, step_degrees=0.02, mask=G.polygon(_BENT))
-    return cells.agg(F.round(F.sum(G.st_area(F.col("geometry"))), 6).alias("area"), F.countDistinct("region_id").cast("int").alias("cells"))
+    k = F.col("n_nationkey")
+    seeds = table(spark, sf_dir, "nation").select(k.alias("region_id"), (F.lit(16.856) + k * 0.0098).alias("lon"), (F.lit(51.07) + (k % 3) * 0.005).alias("lat"))
+    cells = regionalizers.voronoi_polygons(seeds, step_degrees=0.02, mask=G.polygon(_BENT))
+    return cells.agg(F.round(F.sum(G.st_area(F.col("geometry"))), 6).alias("area"), F.countDistinct("region_id").alias("cells"))
+
+
+@query("j4a_many_regions", """SELECT c_custkey AS region_id, true AS holds_own, 0 AS holds_others, 64800.0 AS area_of_all FROM customer""")
+def j4a_many_regions(spark, sf_dir):
+    """Every customer a seed, most of them crowded in one corner of the map."""
+    k = F.col("c_custkey")
+    spread = lambda p, n: F.pmod(k * p, F.lit(n)) / F.lit(float(n))
+    crowd = k % 4 > 0
+    lon = F.when(crowd, spread(7919, 100_003) * 3 + 16).otherwise(spread(104_729, 1_000_003) * 359.9 - 179.95)
+    lat = F.when(crowd, spread(15_485, 99_991) * 2 + 50).otherwise(spread(1_299_709, 999_983) * 178 - 89)
+    seeds = table(spark, sf_dir, "customer").select(k.alias("region_id"), lon.alias("lon"), lat.alias("lat"))
+    cells = written(regionalizers.voronoi_polygons(seeds, step_degrees=5.0), "cells")
+    hit = spatial_join.within_join(seeds.withColumnRenamed("region_id", "seed"), cells, how="inner")
+    own = F.max(F.col("seed") == F.col("region_id"))
+    others = F.sum((F.col("seed") != F.col("region_id")).cast("int")).cast("int")
+    area = cells.agg(F.round(F.sum(G.st_area(F.col("geometry"))), 4).alias("area_of_all"))
+    return hit.groupBy("region_id").agg(own.alias("holds_own"), others.alias("holds_others")).join(F.broadcast(area))
 
 
 @query("j5_empty_remainder", f"WITH {REGS} SELECT CASE WHEN region_id % 3 = 0 THEN 'EMPTY' ELSE 'kept' END AS kind, round(sum({_PART.format(16.87, 51.07, 17.0, 51.15)}), 9) AS area FROM regs GROUP BY ALL")

@@ -8,6 +8,7 @@ from geoloom.functions import grid, s2
 from geoloom.operators import neighbourhoods as N
 from geoloom.operators import regionalizers as R
 from geoloom.operators import spatial_join as J
+from geoloom.operators import voronoi as V
 
 def wkb_table(spark, shapes, name):
     return spark.createDataFrame([(k, bytearray(G.to_wkb(g))) for k, g in enumerate(shapes)], f"{name} int, geometry binary")
@@ -204,12 +205,12 @@ def test_voronoi(spark):
     s = spark.createDataFrame(seeds, "region_id int, lon double, lat double")
     p = spark.createDataFrame([(float(x), float(y)) for x, y in rng.uniform([-180, -90], [180, 90], (150, 2))], "lon double, lat double")
     near = R.voronoi_assign(p, s).collect()
-    shapes = {r["region_id"]: G.from_wkb(bytes(r["geometry"])) for r in R.voronoi_polygons(spark, s, step_degrees=6.0).collect()}
+    shapes = {r["region_id"]: G.from_wkb(bytes(r["geometry"])) for r in R.voronoi_polygons(s, step_degrees=6.0).collect()}
     assert set(shapes) == set(range(12))
-    assert sum(map(G.area, shapes.values())) == pytest.approx(360 * 180, rel=2e-3)
+    assert sum(map(G.area, shapes.values())) == pytest.approx(360 * 180, rel=1e-9)
     hits = sum(G.intersects(G.point(r["lon"], r["lat"]), shapes[r["region_id"]]) for r in near)
     assert hits >= 145  # edges are drawn as chords of 6 degrees
-    spread = R.voronoi_assign_grid(p.limit(40), s, seed_id="region_id", cell=20.0)
+    spread = R.voronoi_assign(p.limit(40), s, cell=20.0)
     want = {(r["lon"], r["lat"]): r["region_id"] for r in near}
     assert all(want[r["lon"], r["lat"]] == r["region_id"] for r in spread.collect())
     with pytest.raises(ValueError):
@@ -218,7 +219,7 @@ def test_voronoi(spark):
         R.check_seeds(s.union(s), "region_id")
 
 
-def test_voronoi_grid_equals_the_exact_path_across_the_antimeridian_and_at_the_poles(spark):
+def test_voronoi_grid_equals_all_pairs_across_the_antimeridian_and_at_the_poles(spark):
     rng = np.random.default_rng(5)
     seeds = [(-179.9, 10.0), (178.0, 10.0), (0.0, 89.0), (120.0, 85.0), (180.0, -30.0), (-175.0, -89.5), *rng.uniform([100, -60], [180, 60], (20, 2)).tolist()]
     places = [(179.9, 10.0), (180.0, 10.0), (-180.0, 10.0), (-179.9, -30.5), (-100.0, 89.5), (60.0, -89.9), (-60.0, 0.0), (None, 1.0)]
@@ -228,10 +229,39 @@ def test_voronoi_grid_equals_the_exact_path_across_the_antimeridian_and_at_the_p
     want = {r["k"]: (r["region_id"], r["distance_m"]) for r in R.voronoi_assign(p, s).collect()}
     assert want[0][0] == 0 and len(want) == len(places)
     for cell, rounds in ((1.0, 12), (8.0, 12), (1.0, 2)):
-        got = R.voronoi_assign_grid(p, s, seed_id="region_id", cell=cell, rounds=rounds).collect()
+        got = R.voronoi_assign(p, s, cell=cell, rounds=rounds).collect()
         assert len(got) == len(places) and {r["k"]: (r["region_id"], r["distance_m"]) for r in got} == want
 
 
+@pytest.mark.parametrize("kind", ["even", "crowded", "few", "line"])
+def test_voronoi_regions_by_security_radius(spark, kind):
+    rng = np.random.default_rng(6)
+    p = rng.normal(size=(300, 3))
+    if kind == "crowded":
+        p[:280] = [0.3, 0.2, 0.9] + rng.normal(0, 0.003, (280, 3))
+    if kind == "few":
+        p = np.array([[1, 0.1, 0.2], [0.9, 0.3, 0.1], [1, 0.2, 0.4], [0.8, 0.3, 0.4], [0, 0, 1.0]])
+    if kind == "line":
+        p = np.stack([np.cos(np.arange(40) / 9), np.sin(np.arange(40) / 9), np.zeros(40)], 1)
+    p /= np.linalg.norm(p, axis=1)[:, None]
+    rows_ = [(k, *map(float, np.degrees([np.arctan2(y, x), np.arcsin(z)]))) for k, (x, y, z) in enumerate(p)]
+    seeds = spark.createDataFrame(rows_, "region_id int, lon double, lat double")
+    found = V.regions(seeds, "region_id").collect()
+    assert sorted(r["sid"] for r in found) == list(range(len(p)))
+    total = 0.0
+    for r in found:
+        flat = np.array([(v["x"], v["y"], v["z"]) for v in r["verts"]])
+        near = flat @ p.T
+        assert (near[:, r["sid"]] >= near.max(1) - 1e-9).all()  # no corner is nearer to another seed
+        for piece in np.split(flat, np.cumsum(r["sizes"])[:-1]):
+            for k in range(1, len(piece) - 1):  # solid angles of a fan
+                a, b, c = piece[0], piece[k], piece[k + 1]
+                total += abs(2 * np.arctan2(np.dot(a, np.cross(b, c)), 1 + a @ b + b @ c + c @ a))
+    assert total == pytest.approx(4 * np.pi, rel=1e-9)
+    shapes = R.voronoi_polygons(seeds, step_degrees=3.0).collect()
+    assert sum(G.area(G.from_wkb(bytes(r["geometry"]))) for r in shapes) == pytest.approx(360 * 180, rel=1e-9)
+
+
 def test_geometry_kernel():
     hole = G.polygon([(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (3, 1), (3, 3), (1, 3)])
     assert G.area(hole) == 12 and G.area(G.without_holes(hole)) == 16
