@@ -53,28 +53,41 @@ def edges_from_function(regions: DataFrame, neighbours: Callable, id_type: str =
 
 
 def up_to_distance(edges: DataFrame, distance: int, *, include_center: bool = False, roots: DataFrame | None = None) -> DataFrame:
-    """Shortest hops up to a distance, by semi-naive breadth-first search.
+    """Shortest hops up to a distance, by a breadth-first search from 64 starts at once.
 
-    Only the last round's new pairs are extended, and pairs seen before are dropped. Each round is
+    Starts are numbered in the order of their ids, so that neighbours mostly share a block of 64. A row of the state is a node and a
+    block: which of its starts have reached the node (a bit each), which did so in the last round, and in which round each came. A
+    round sends the last round's bits along the edges and merges them with the state by one aggregation, with
+    partial sums before its shuffle; no pair of regions is a row before the end. Each round is
     written to the shared folder, so the plan does not grow, and the search ends with the last new
-    pair. A distance below 0 gives nothing. ``roots`` bounds the starts (region_id).
+    bit. A distance below 0 gives nothing. ``roots`` bounds the starts (region_id).
     """
-    steps = edges.filter("distance = 1 and region_id <> neighbour_id").select("region_id", "neighbour_id").distinct()
     starts = (roots.select("region_id") if roots is not None else edges.select("region_id")).distinct()
-    center = starts.select("region_id", F.col("region_id").alias("neighbour_id"), F.lit(0).alias("distance"))
     if distance < 0:
-        return center.limit(0)
-    steps, center = written(steps, "steps"), written(center, "hops")
-    hop = steps.select(F.col("region_id").alias("neighbour_id"), F.col("neighbour_id").alias("next"))
-    seen = frontier = center
+        return starts.limit(0).select("region_id", F.col("region_id").alias("neighbour_id"), F.lit(0).alias("distance"))
+    steps = written(edges.filter("distance = 1 and region_id <> neighbour_id").select(F.col("region_id").alias("node"), F.col("neighbour_id").alias("next")).distinct(), "steps")
+    ordered = starts.repartitionByRange("region_id").sortWithinPartitions("region_id")
+    starts = written(ordered.select("region_id", F.monotonically_increasing_id().alias("root")), "starts")
+    bit = F.expr("shiftleft(1L, cast(root & 63 AS int))")
+    state = starts.select(
+        F.col("region_id").alias("node"), F.shiftright("root", 6).alias("block"), bit.alias("seen"), F.array(F.struct(F.lit(0).alias("distance"), bit.alias("bits"))).alias("came")
+    )
+    state = state.groupBy("node", "block").agg(F.bit_or("seen").alias("seen"), F.first("came").alias("came")).withColumn("front", F.col("seen"))
+    nothing = F.lit(0).cast("long")
     for d in range(1, distance + 1):
-        new = frontier.join(hop, "neighbour_id").select("region_id", F.col("next").alias("neighbour_id")).distinct()
-        new = new.join(seen.select("region_id", "neighbour_id"), ["region_id", "neighbour_id"], "left_anti").withColumn("distance", F.lit(d))
-        frontier = written(new, "hops")
-        if not frontier.limit(1).count():
+        sent = state.filter("front <> 0").join(steps, "node").select(F.col("next").alias("node"), "block", nothing.alias("seen"), F.col("front").alias("got"), F.lit(None).cast(state.schema["came"].dataType).alias("came"))
+        both = state.select("node", "block", "seen", nothing.alias("got"), "came").unionByName(sent)
+        merged = both.groupBy("node", "block").agg(F.bit_or("seen").alias("seen"), F.bit_or("got").alias("got"), F.first("came", ignorenulls=True).alias("came"))
+        new = F.col("got").bitwiseAND(F.bitwise_not("seen"))
+        came = F.coalesce("came", F.array().cast(state.schema["came"].dataType))
+        came = F.when(new != 0, F.array_append(came, F.struct(F.lit(d).alias("distance"), new.alias("bits")))).otherwise(came)
+        state = written(merged.select("node", "block", F.col("seen").bitwiseOR(new).alias("seen"), came.alias("came"), new.alias("front")), "hops")
+        if d < distance and not state.filter("front <> 0").limit(1).count():
             break
-        seen = seen.unionByName(frontier)
-    return seen if include_center else seen.filter("distance > 0")
+    pairs = state.select(F.col("node").alias("neighbour_id"), "block", F.explode("came").alias("came")).filter(F.col("came.distance") >= (0 if include_center else 1))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("came.bits", b) == 1)
+    pairs = pairs.select("neighbour_id", F.col("came.distance").alias("distance"), "block", F.explode(bits).alias("bit"))
+    return pairs.withColumn("root", F.col("block") * 64 + F.col("bit")).join(starts, "root").select("region_id", "neighbour_id", "distance")
 
 
 def at_distance(edges: DataFrame, distance: int, *, include_center: bool = False, roots: DataFrame | None = None) -> DataFrame:

@@ -331,3 +331,21 @@ def test_joins_of_empty_tables_and_boxes_beyond_the_largest_level(spark):
     assert J.intersects_join(far, none.limit(0)).count() == 0
     spots = _boxes(spark, np.array([[1.0, 2.0], [5000.0, 0.0], [5001.0, 0.0]]), np.zeros((3, 2)), "feature_id")
     assert rows(J.intersects_join(far, spots), "region_id", "feature_id") == [(0, 0), (0, 1)]
+
+
+def test_hops_from_many_starts_at_once(spark, monkeypatch):
+    side, sizes = 20, []
+    graph = {(x, y): [(x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and 0 <= x + a < side and 0 <= y + b < side] for x in range(side) for y in range(side)}
+    name = lambda c: c[0] * side + c[1]
+    graph = {name(c): {name(n) for n in near} for c, near in graph.items()}
+    graph[0].add(399)  # one way only
+    edges = N.edges_from_lookup(spark, graph)
+    keep = N.written
+    monkeypatch.setattr(N, "written", lambda df, label: (out := keep(df, label), label == "hops" and sizes.append(out.count()))[0])
+    got = N.up_to_distance(edges, 5, include_center=True)
+    want = sorted((r, n, d) for r in graph for n, d in hops(graph, r).items() if d <= 5)
+    assert sorted((r["region_id"], r["neighbour_id"], r["distance"]) for r in got.collect()) == want
+    assert max(sizes) * 4 < len(want)
+    few = N.up_to_distance(edges, 100, roots=spark.createDataFrame([(0,), (0,), (777,)], "region_id long"))
+    assert sorted((r["neighbour_id"], r["distance"]) for r in few.filter("region_id = 0").collect()) == sorted((n, d) for n, d in hops(graph, 0).items() if d)
+    assert few.filter("region_id = 777").count() == 0
