@@ -43,6 +43,30 @@ def merge_filters(tags: TagFilter | Iterable) -> dict[str, object]:
     return {k: v for k, v in out.items() if v is True or v}
 
 
+#: Values of a filter that a table may hold.
+MAX_VALUES = 100_000
+
+
+def filter_from_table(rows: DataFrame, *, group: str | None = None, key: str = "key", value: str = "value") -> dict[str, object]:
+    """A filter from a table of its values, such as a file of predefined tags: key -> values, or group -> key -> values with ``group``.
+
+    A null value stands for any value of its key. Names and values are sorted. A filter is part of a plan, so
+    more than ``MAX_VALUES`` values are an error.
+    """
+    keys = [c for c in (group, key) if c]
+    found = rows.select(*[F.col(f"`{c}`").cast("string") for c in keys], F.col(f"`{value}`").cast("string").alias("_value")).distinct().limit(MAX_VALUES + 1).collect()
+    if len(found) > MAX_VALUES:
+        raise ValueError(f"more than {MAX_VALUES} values in a filter")
+    out: dict = {}
+    for *path, v in sorted(map(tuple, found), key=lambda r: [x or "" for x in r]):
+        flat = out.setdefault(path[0], {}) if group else out
+        if v is None:
+            flat[path[-1]] = True
+        elif flat.get(path[-1]) is not True:
+            flat.setdefault(path[-1], []).append(v)
+    return out
+
+
 def _matches(key: str, values: object) -> Column:
     if values is True:
         return F.col(f"`{key}`").isNotNull()

@@ -6,8 +6,8 @@ with what the tables say.
 
 from __future__ import annotations
 
-import json
 import logging
+import math
 
 from pyspark.sql import functions as F
 
@@ -131,14 +131,13 @@ _HELD = {
 }
 
 
-@query("a6_network_types", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{h}')" for n, hs in _HELD.items() for h in hs.split()) + ") t(network, highway)")
+@query("a6_network_types", "WITH w AS (SELECT p_partkey AS way, [" + ", ".join(f"'{h}'" for h in _HIGHWAYS) + f"][CAST(p_partkey % {len(_HIGHWAYS)} AS INTEGER) + 1] AS highway FROM part) SELECT network, highway, count(*) AS ways FROM w JOIN (VALUES "
+       + ", ".join(f"('{n}', '{h}')" for n, hs in _HELD.items() for h in hs.split()) + ") t(network, highway) USING (highway) GROUP BY network, highway")
 def a6_network_types(spark, sf_dir):
-    ways = spark.createDataFrame([(h,) for h in _HIGHWAYS], "highway string").withColumn("tags", F.create_map(F.lit("highway"), "highway"))
-    out = None
-    for kind in osm.NetworkType:
-        part = ways.filter(osm.network_mask(F.col("tags"), kind)).select(F.lit(kind.value).alias("network"), "highway")
-        out = part if out is None else out.unionByName(part)
-    return out
+    kind_of = F.element_at(F.array(*[F.lit(h) for h in _HIGHWAYS]), (F.col("p_partkey") % len(_HIGHWAYS)).cast("int") + 1)
+    ways = table(spark, sf_dir, "part").select(kind_of.alias("highway")).withColumn("tags", F.create_map(F.lit("highway"), "highway"))
+    kinds = F.array_compact(F.array(*[F.when(osm.network_mask(F.col("tags"), kind), F.lit(kind.value)) for kind in osm.NetworkType]))
+    return ways.select(F.explode(kinds).alias("network"), "highway").groupBy("network", "highway").agg(F.count(F.lit(1)).alias("ways"))
 
 
 _DEPARTS = "concat(lpad(CAST((l_linenumber * 5 + l_orderkey) % 27 AS VARCHAR), 2, '0'), ':15:00')"
@@ -346,8 +345,9 @@ def a21_area_systems(spark, sf_dir):
     return own.join(back, "feature_id")
 
 
-@query("a22_model_store", "SELECT 'weights' AS part, 6 AS n, true AS same UNION ALL SELECT 'config', 2, true")
+@query("a22_model_store", "SELECT c_nationkey AS region_id, round(avg(c_acctbal), 6) AS weight, 25 AS width FROM customer GROUP BY c_nationkey")
 def a22_model_store(spark, sf_dir):
+    """Means per nation as a model's weights, through the store and back."""
     import numpy as np
 
     from geoloom.operators.autograd import Tensor
@@ -360,13 +360,14 @@ def a22_model_store(spark, sf_dir):
         def restore(self, config):
             self.config = config
 
-    model = Stored(width=3, seed=7)
-    model.params = {"w": Tensor(np.arange(6.0).reshape(2, 3))}
+    means = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("w")).orderBy("c_nationkey").collect()  # a row a nation
+    model = Stored(width=25, seed=7)
+    model.params = {"region": Tensor(np.array([float(r["c_nationkey"]) for r in means])), "w": Tensor(np.array([r["w"] for r in means]))}
     folder = new_path(spark, "model").removeprefix("file:")
     model.save(folder)
     got = Stored.load(folder)
-    same = bool((got.params["w"].data == model.params["w"].data).all())
-    return spark.createDataFrame([("weights", got.params["w"].data.size, same), ("config", len(got.config), got.config == model.config)], "part string, n int, same boolean")
+    rows = zip(got.params["region"].data.tolist(), got.params["w"].data.tolist(), strict=True)
+    return spark.createDataFrame([(int(k), w, got.config["width"]) for k, w in rows], "region_id int, weight double, width int").withColumn("weight", F.round("weight", 6))
 
 
 _SHARE = "greatest(0, least(r.maxx, 17.0) - greatest(r.minx, 16.87)) * greatest(0, least(r.maxy, 51.15) - greatest(r.miny, 51.07)) / ((r.maxx - r.minx) * (r.maxy - r.miny))"
@@ -416,16 +417,27 @@ def _raised(run) -> str:
     return "none"
 
 
-@query("b16_filter_merge", """SELECT * FROM (VALUES ('flat', '{"a": ["x"], "b": true}'), ('groups', '{"a": ["x", "y"], "b": true, "c": ["z"]}'),
-('several', '{"a": true, "c": ["z", "w"]}'), ('nothing', '{}')) t(what, merged)""")
+@query("b16_filter_merge", f"""WITH {TAGS} SELECT feature_id FROM tags WHERE brand IN (SELECT p_brand FROM part WHERE p_size % 4 = 1) OR brand IN (SELECT p_brand FROM part WHERE p_size % 4 = 3)
+OR size IS NOT NULL""")
 def b16_filter_merge(spark, sf_dir):
-    given = {
-        "flat": {"a": "x", "b": True, "d": False},
-        "groups": {"one": {"a": ["x"], "b": ["q"]}, "two": {"a": ["y", "x"], "b": True, "c": "z"}},
-        "several": [{"a": ["x"]}, {"g": {"a": True, "c": ["z", "w", "z"]}}],
-        "nothing": {"a": False, "b": []},
-    }
-    return spark.createDataFrame([(k, json.dumps(filters.merge_filters(v))) for k, v in given.items()], "what string, merged string")
+    """Several filters, one of them of groups, two of them from a table, merged into one."""
+    brands = table(spark, sf_dir, "part").filter("p_size % 2 = 1").select(F.concat(F.lit("g"), F.col("p_size") % 4).alias("grp"), F.lit("brand").alias("key"), F.col("p_brand").alias("value"))
+    groups = filters.filter_from_table(brands, group="grp")
+    merged = filters.merge_filters([groups, {"size": ["size0"], "brand": []}, {"again": {"size": True, "dear": False}}])
+    features = tagged(spark, sf_dir)
+    return features.filter(filters.tag_mask(features, merged)).select("feature_id")
+
+
+@query("b17_filter_from_table", f"""WITH {TAGS} SELECT feature_id, CASE WHEN size IN ('size0', 'size2') THEN concat('size=', size) END AS g0,
+CASE WHEN size IN ('size1', 'size3') THEN concat('size=', size) WHEN brand IS NOT NULL THEN concat('brand=', brand) END AS g1 FROM tags WHERE size IS NOT NULL OR brand IS NOT NULL""")
+def b17_filter_from_table(spark, sf_dir):
+    """Predefined groups kept as a table: group, key, value, null for any value."""
+    part = table(spark, sf_dir, "part")
+    sizes = part.select(F.concat(F.lit("g"), F.col("p_size") % 2).alias("grp"), F.lit("size").alias("key"), F.concat(F.lit("size"), F.col("p_size") % 4).alias("value"))
+    every = part.select(F.lit("g1").alias("grp"), F.lit("brand").alias("key"), F.lit(None).cast("string").alias("value"))
+    groups = filters.filter_from_table(sizes.union(every), group="grp")
+    groups["g1"] = {k: groups["g1"][k] for k in ("size", "brand")}
+    return filters.group_features(tagged(spark, sf_dir), groups)
 
 
 @query("f5_sorted_columns", "SELECT * FROM (VALUES (0, 'feature_id'), (1, 'brand'), (2, 'dear'), (3, 'lat'), (4, 'lon'), (5, 'size')) t(place, name)")
@@ -434,12 +446,15 @@ def f5_sorted_columns(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(filters.drop_empty_columns(wide).columns)), "place int, name string")
 
 
-@query("h16_expected_features", """SELECT * FROM (VALUES ('flat', 'a_x,a_y,b_z'), ('flat keys', 'a,b'), ('grouped', 'g_a=x,g_b=z,h_a=y'), ('groups', 'g,h'), ('true', 'ValueError')) t(what, names)""")
+@query("h16_expected_features", """WITH f AS (SELECT DISTINCT p_brand AS grp, concat('s', p_size % 4) AS value FROM part)
+SELECT name, CAST(row_number() OVER (PARTITION BY what ORDER BY name) AS INTEGER) AS place, what FROM (
+SELECT DISTINCT 'flat' AS what, concat('size_', value) AS name FROM f UNION ALL SELECT DISTINCT 'groups', grp FROM f UNION ALL SELECT 'grouped', concat(grp, '_size=', value) FROM f)""")
 def h16_expected_features(spark, sf_dir):
-    flat, groups = {"b": "z", "a": ["x", "y"]}, {"h": {"a": "y"}, "g": {"b": "z", "a": ["x"]}}
-    names = lambda tags, sub: ",".join(embedders.expected_features(tags, sub))
-    rows = [("flat", names(flat, True)), ("flat keys", names(flat, False)), ("grouped", names(groups, True)), ("groups", names(groups, False))]
-    return spark.createDataFrame([*rows, ("true", _raised(lambda: names({"a": True}, True)))], "what string, names string")
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("grp"), F.lit("size").alias("key"), F.concat(F.lit("s"), F.col("p_size") % 4).alias("value"))
+    groups, flat = filters.filter_from_table(rows, group="grp"), filters.filter_from_table(rows)
+    wanted = {"flat": (flat, True), "groups": (groups, False), "grouped": (groups, True)}
+    names = [(n, k, what) for what, (tags, sub) in wanted.items() for k, n in enumerate(embedders.expected_features(tags, sub), 1)]
+    return spark.createDataFrame(names, "name string, place int, what string")
 
 
 @query("i2_own_functions", f"""WITH {REGS} SELECT region_id, CAST((region_id + 1) % 25 AS INTEGER) AS neighbour_id, 1 AS distance FROM regs
@@ -661,31 +676,33 @@ def j5_empty_remainder(spark, sf_dir):
     return got.groupBy(kind.alias("kind")).agg(F.round(F.sum(G.st_area(F.col("geometry"))), 9).alias("area"))
 
 
-@query("k3_buffer_bent_shape", "SELECT 10 AS shapes, 0 AS wrong")
-def k3_buffer_bent_shape(spark, sf_dir):
-    """Places around a bent polygon: those within the distance of its edges, or inside it, and no others lie in its buffer."""
-    import numpy as np
+_BUFFERS = (400.0, 1000.0, 2500.0)
+_EDGES_SQL = ", ".join(f"(CAST({a[0]} AS DOUBLE), CAST({a[1]} AS DOUBLE), CAST({b[0]} AS DOUBLE), CAST({b[1]} AS DOUBLE))" for a, b in zip(_BENT, [*_BENT[1:], _BENT[0]], strict=True))
+_METRES = (math.cos(math.radians(51.12)) * math.radians(1) * 6371008.8, math.radians(1) * 6371008.8)
 
-    def check(batches):
-        import pandas as pd
 
-        for b in batches:
-            out = []
-            for k in b["id"]:
-                rng = np.random.default_rng(int(k))
-                shape = G.polygon(_BENT)
-                far = 400.0 + 300 * int(k)
-                grown = G.buffer_metres(shape, far, arcs=64)
-                xy = rng.uniform((16.7, 50.96), (17.25, 51.28), (400, 2))
-                e = G._segments(shape)
-                scale = np.array([np.cos(np.radians(51.12)), 1]) * np.radians(1) * G.EARTH_RADIUS_M
-                p, a, d = xy[:, None] * scale, e[None, :, :2] * scale, (e[None, :, 2:] - e[None, :, :2]) * scale
-                t = np.clip(((p - a) * d).sum(2) / (d * d).sum(2), 0, 1)
-                off = np.hypot(*np.moveaxis(p - a - t[..., None] * d, 2, 0)).min(1)
-                off = np.where(G._place(xy, shape) > 0, 0, off)
-                sure = np.abs(off - far) > 0.01 * far + 60
-                out.append((k, int(((G._place(xy, grown) >= 0) != (off <= far))[sure].sum())))
-            yield pd.DataFrame(out, columns=["id", "wrong"])
-
-    done = spark.range(10).mapInPandas(check, "id long, wrong int")
-    return done.agg(F.count(F.lit(1)).cast("int").alias("shapes"), F.sum("wrong").cast("int").alias("wrong"))
+@query("k3_buffer_bent_shape", f"""WITH {PTS}, e AS (SELECT * FROM (VALUES {_EDGES_SQL}) t(x0, y0, x1, y1)),
+s AS (SELECT feature_id, lon, lat, (lon - x0) * {_METRES[0]!r} AS px, (lat - y0) * {_METRES[1]!r} AS py, (x1 - x0) * {_METRES[0]!r} AS dx, (y1 - y0) * {_METRES[1]!r} AS dy FROM pts, e),
+t AS (SELECT *, greatest(0, least(1, (px * dx + py * dy) / (dx * dx + dy * dy))) AS t FROM s),
+o AS (SELECT feature_id, CASE WHEN lon BETWEEN 16.85 AND 17.1 AND lat BETWEEN 51.06 AND 51.1 OR lon BETWEEN 16.85 AND 16.95 AND lat BETWEEN 51.1 AND 51.18 THEN 0
+  ELSE min(sqrt((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy))) END AS off FROM t GROUP BY feature_id, lon, lat)
+SELECT feature_id, CAST(far AS DOUBLE) AS far, off <= far AS inside FROM o, (VALUES {", ".join(f"({x})" for x in _BUFFERS)}) b(far) WHERE abs(off - far) > 0.01 * far + 60""")
+def k3_buffer_bent_shape(spark, sf_dir):
+    """Places around a bent polygon: those within a distance of its edges, or inside it, and no others lie in its buffer; those next to the buffer's edge aren't asked."""
+    p = points(spark, sf_dir).select("feature_id", "lon", "lat")
+    sx, sy = _METRES
+    away = None
+    for a, b in zip(_BENT, [*_BENT[1:], _BENT[0]], strict=True):
+        px, py, dx, dy = (F.col("lon") - a[0]) * sx, (F.col("lat") - a[1]) * sy, (b[0] - a[0]) * sx, (b[1] - a[1]) * sy
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / (dx * dx + dy * dy)))
+        d = F.sqrt((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy))
+        away = d if away is None else F.least(away, d)
+    whole = F.lit(bytearray(G.to_wkb(G.polygon(_BENT))))
+    off = F.when(G.st_holds(whole, F.col("lon"), F.col("lat")), 0.0).otherwise(F.col("_away"))
+    p = p.withColumn("_away", away).withColumn("_off", off)
+    out = None
+    for far in _BUFFERS:
+        grown = F.lit(bytearray(G.to_wkb(G.buffer_metres(G.polygon(_BENT), far, arcs=64))))
+        part = p.filter(F.abs(F.col("_off") - far) > 0.01 * far + 60).select("feature_id", F.lit(far).alias("far"), G.st_holds(grown, F.col("lon"), F.col("lat")).alias("inside"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import geometry as G
 from geoloom.functions import h3
 from geoloom.operators import labels, neighbourhoods, regionalizers, spatial_join
-from geoloom.plans.inputs import PTS, TRACKS, points, query, track_points
+from geoloom.plans.inputs import PTS, REGS, TRACKS, box_regions, points, query, table, track_points
 
 #: All places of the input tables lie on this face and in this base cell.
 FACE, BASE = 4, 15
@@ -76,19 +76,17 @@ def j2_h3_regions(spark, sf_dir):
     return regionalizers.h3_regions(area, RES).join(_hexed(spark, sf_dir), "cell").groupBy("region_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-# The cells of two polygons, one with a hole, covering them and by centre.
-_SHAPES = [
-    G.polygon([(-1, 0), (0, 0.5), (1, 0), (1, 1), (0, 1)], [(0.8, 0.9), (0.9, 0.55), (0.8, 0.3), (0.5, 0.4)]),
-    G.polygon([(-0.25, 0), (0.25, 0), (0, 0.2)]),
-]
-_COVERING = ["837559fffffffff", "83754efffffffff", "83754cfffffffff", "837541fffffffff", "83755dfffffffff", "837543fffffffff", "83754afffffffff"]
-
-
-@query("j2_h3_shapes", "SELECT * FROM (VALUES " + ", ".join(f"(true, '{c}')" for c in _COVERING) + ", (false, '83754efffffffff')) t(buffer, region_id)")
+@query("j2_h3_shapes", f"""WITH {PTS}, {REGS} SELECT region_id AS area, count(*) AS points, true AS covered FROM pts JOIN regs ON lon > minx AND lon < maxx AND lat > miny AND lat < maxy GROUP BY region_id""")
 def j2_h3_shapes(spark, sf_dir):
-    areas = spark.createDataFrame([(bytearray(G.to_wkb(s)),) for s in _SHAPES], "geometry binary")
-    parts = [regionalizers.h3_regions(areas, 3, b).select(F.lit(b).alias("buffer"), "region_id") for b in (True, False)]
-    return parts[0].unionByName(parts[1])
+    """The cells that cover each area hold all its places; cells by centre are among them."""
+    areas = box_regions(spark, sf_dir)
+    shapes = areas.select("region_id", spatial_join._box_wkb("").alias("geometry"))
+    cover, by_centre = (regionalizers.h3_regions(shapes, RES, b).select("cell", F.lit(True).alias(name)) for b, name in ((True, "meets"), (False, "centred")))
+    extra = by_centre.join(cover, "cell", "left_anti").select("cell", F.lit(True).alias("stray"))
+    inside = spatial_join.within_join(points(spark, sf_dir).select("feature_id", "lon", "lat"), areas, how="inner").withColumn("cell", h3.h3_cell(F.col("lon"), F.col("lat"), RES))
+    met = inside.join(cover, "cell", "left").join(extra, "cell", "left")
+    good = F.coalesce("meets", F.lit(False)) & F.col("stray").isNull()
+    return met.groupBy(F.col("region_id").alias("area")).agg(F.count(F.lit(1)).alias("points"), F.min(good).alias("covered"))
 
 
 @query("j2b_h3_polygons", f"WITH {sql_h3(RES)} SELECT region_id, 6 AS corners, count(*) AS points FROM hexed GROUP BY region_id")
@@ -100,21 +98,13 @@ def j2b_h3_polygons(spark, sf_dir):
     return held.groupBy("region_id").agg(F.count(F.lit(1)).alias("points")).join(corners, "region_id")
 
 
-# An origin and its six neighbours in the order of their local coordinates.
-_IJ = {
-    "892a100d6d3ffff": "892a100896fffff 892a100d6d7ffff 892a100d6c3ffff 892a100d6dbffff 892a1008ba7ffff 892a100896bffff",
-    "86195da4fffffff": "86194ad37ffffff 86194ad17ffffff 86194ada7ffffff 86195da5fffffff 86195da47ffffff 86195da6fffffff",
-    "8a1e24aa5637fff": "8a1e24aa5627fff 8a1e24aa5607fff 8a1e24aa5617fff 8a1e24aa578ffff 8a1e24aa57affff 8a1e24aa571ffff",
-}
-_OFFSETS = [(0, 1), (1, 1), (1, 0), (0, -1), (-1, -1), (-1, 0)]
-_PAIRS = [(o, n, i, j) for o, ns in _IJ.items() for n, (i, j) in zip(ns.split(), _OFFSETS, strict=True)]
-
-
-@query("j2c_local_ij", "SELECT * FROM (VALUES " + ", ".join(f"('{o}', '{n}', CAST({i} AS BIGINT), CAST({j} AS BIGINT))" for o, n, i, j in _PAIRS) + ") t(origin, cell, i, j)")
+@query("j2c_local_ij", f"WITH {sql_h3(RES)}, {_DISTINCT} SELECT region_id, '-1:-1,-1:0,0:-1,0:1,1:0,1:1' AS around FROM c")
 def j2c_local_ij(spark, sf_dir):
-    pairs = spark.createDataFrame([p[:2] for p in _PAIRS], "origin string, cell string")
-    ij = h3.h3_local_ij(h3.h3_number(F.col("origin")), h3.h3_number(F.col("cell")))
-    return pairs.withColumn("ij", ij).select("origin", "cell", "ij.i", "ij.j")
+    """The local coordinates of each cell's six neighbours."""
+    near = _cells(spark, sf_dir).select("cell", F.explode(h3.h3_disk(F.col("cell"), 1)).alias("n")).filter("n.distance = 1")
+    ij = near.withColumn("ij", h3.h3_local_ij(F.col("cell"), F.col("n.cell")))
+    text = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "ij.i", "ij.j"))), ",")
+    return ij.groupBy(h3.h3_text(F.col("cell")).alias("region_id")).agg(text.alias("around"))
 
 
 @query("j2d_h3_disks", f"WITH {sql_h3(RES)}, {_DISTINCT} SELECT region_id, CAST(d AS INTEGER) AS distance, CASE WHEN d = 0 THEN 1 ELSE 6 * d END AS n FROM c, (SELECT unnest([0, 1, 2, 3]) AS d)")
@@ -132,12 +122,15 @@ def j2d_h3_ring_buffer(spark, sf_dir):
     return grown.agg(F.count(F.lit(1)).alias("cells")).crossJoin(own.agg(F.min(F.coalesce("one", F.lit(0))).alias("inside")))
 
 
-@query("j2e_buffered_geometry", "SELECT d AS distance, 3 * d * (d + 1) + 1 AS cells FROM (SELECT unnest([0, 1, 4, 10]) AS d)")
+@query("j2e_buffered_geometry", "SELECT d AS distance, CAST(count(*) * (3 * d * (d + 1) + 1) AS BIGINT) AS cells FROM nation, (SELECT unnest([0, 1, 4]) AS d) GROUP BY d")
 def j2e_buffered_geometry(spark, sf_dir):
-    spot = spark.createDataFrame([(bytearray(G.to_wkb(G.point(17.9261, 50.6696))),)], "geometry binary")
+    """The rings around a place of each nation, which lie apart."""
+    n = F.col("n_nationkey")
+    lon, lat = F.lit(16.8) + (n % 5) * 0.07, F.lit(51.05) + F.floor(n / 5) * 0.03
+    spots = table(spark, sf_dir, "nation").select(G.st_point(lon, lat).alias("geometry"))
     out = None
-    for d in (0, 1, 4, 10):
-        part = regionalizers.h3_buffered_geometry(spot, 10, d).agg(F.lit(d).alias("distance"), F.count(F.lit(1)).alias("cells"))
+    for d in (0, 1, 4):
+        part = regionalizers.h3_buffered_geometry(spots, 10, d).agg(F.lit(d).alias("distance"), F.count(F.lit(1)).alias("cells"))
         out = part if out is None else out.unionByName(part)
     return out
 

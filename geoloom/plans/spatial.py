@@ -31,14 +31,12 @@ def tile_category_counts(spark, sf_dir):
 
 
 @query("j1_slippy_regions", f"""
-WITH RECURSIVE a AS (SELECT {sql_x('CAST(16.8 AS DOUBLE)', 11)} AS x0, {sql_x('CAST(17.2 AS DOUBLE)', 11)} AS x1,
-  {sql_y('CAST(51.2 AS DOUBLE)', 11)} AS y0, {sql_y('CAST(51.04 AS DOUBLE)', 11)} AS y1),
+WITH RECURSIVE {REGS}, a AS (SELECT {sql_x('minx', 12)} AS x0, {sql_x('maxx', 12)} AS x1, {sql_y('maxy', 12)} AS y0, {sql_y('miny', 12)} AS y1 FROM regs),
 t AS (SELECT unnest(generate_series(x0, x1)) AS x, y0, y1 FROM a), u AS (SELECT x, unnest(generate_series(y0, y1)) AS y FROM t)
-SELECT {sql_id('x', 'y', 11)} AS region_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, 11 AS z,
-  round(CAST(x AS DOUBLE) / CAST(2048 AS DOUBLE) * CAST(360 AS DOUBLE) - CAST(180 AS DOUBLE), 6) AS minx FROM u""")
+SELECT DISTINCT {sql_id('x', 'y', 12)} AS region_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, 12 AS z,
+  round(CAST(x AS DOUBLE) / CAST(4096 AS DOUBLE) * CAST(360 AS DOUBLE) - CAST(180 AS DOUBLE), 6) AS minx FROM u""")
 def j1_slippy_regions(spark, sf_dir):
-    area = spark.createDataFrame([(16.8, 51.04, 17.2, 51.2)], "minx double, miny double, maxx double, maxy double")
-    return regionalizers.slippy_regions(area, 11).select("region_id", "x", "y", "z", F.round("minx", 6).alias("minx"))
+    return regionalizers.slippy_regions(box_regions(spark, sf_dir), 12).select("region_id", "x", "y", "z", F.round("minx", 6).alias("minx"))
 
 
 @query("j1a_point_tiles", f"WITH {PTS} SELECT feature_id, {sql_x('lon', 14)} AS x, {sql_y('lat', 14)} AS y FROM pts")
@@ -295,15 +293,16 @@ def m6a_valid_patches(spark, sf_dir):
     return embedders.valid_patches(_edges(spark, sf_dir), 2, 25)
 
 
-@query("m6b_patch_weights", """WITH g AS (SELECT unnest(generate_series(-3, 3)) AS q), h AS (SELECT a.q AS q, b.q AS r FROM g a, g b),
-d AS (SELECT q, r, CAST((abs(q) + abs(r) + abs(q + r)) / 2 AS INTEGER) AS distance FROM h)
-SELECT CAST(q AS INTEGER) AS q, CAST(r AS INTEGER) AS r, distance, round(CASE WHEN distance <= 3 THEN 1.0 / (distance + 1) ELSE 0 END, 6) AS w_dist,
+@query("m6b_patch_weights", """WITH h AS (SELECT c_custkey, CAST(c_custkey % 7 - 3 AS INTEGER) AS q, CAST(c_custkey // 7 % 7 - 3 AS INTEGER) AS r FROM customer),
+d AS (SELECT *, CAST((abs(q) + abs(r) + abs(q + r)) / 2 AS INTEGER) AS distance FROM h)
+SELECT c_custkey, q, r, distance, round(CASE WHEN distance <= 3 THEN 1.0 / (distance + 1) ELSE 0 END, 6) AS w_dist,
 round(CASE WHEN distance > 3 THEN 0 WHEN distance = 0 THEN 1 ELSE 1.0 / (6 * distance) END, 6) AS w_num FROM d""")
 def m6b_patch_weights(spark, sf_dir):
-    cells = spark.range(49).select((F.floor(F.col("id") / 7) - 3).cast("int").alias("q"), (F.col("id") % 7 - 3).cast("int").alias("r"))
+    k = F.col("c_custkey")
+    cells = table(spark, sf_dir, "customer").select(k, (k % 7 - 3).cast("int").alias("q"), (F.floor(k / 7) % 7 - 3).cast("int").alias("r"))
     d = cells.withColumn("distance", grid.hex_distance(F.lit(0), F.lit(0), F.col("q"), F.col("r")))
     a, b = scalars.hex_patch_weights(F.col("distance"), 3)
-    return d.select("q", "r", "distance", F.round(a, 6).alias("w_dist"), F.round(b, 6).alias("w_num"))
+    return d.select("c_custkey", "q", "r", "distance", F.round(a, 6).alias("w_dist"), F.round(b, 6).alias("w_num"))
 
 
 @query("c16_patches_of_images", f"""WITH {sql_tiled(8)}, i AS (SELECT DISTINCT region_id AS img_id, x, y FROM tiled), s AS (SELECT unnest(generate_series(0, 3)) AS v)

@@ -366,3 +366,20 @@ def test_quantiles_are_exact(spark, monkeypatch, gathered):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(3)
         assert np.allclose(Q.quantiles(df, F.col("x"), shares), np.quantile(values, shares), rtol=1e-12)
     assert Q.quantiles(df.filter("x is null"), F.col("x"), [0.5]) == [None]
+
+
+def test_filters_from_tables(spark):
+    df = spark.createDataFrame([("g", "a", "y"), ("g", "a", "x"), ("h", "a", None), ("h", "a", "z"), ("g", "a", "x"), ("h", "b", "q")], "grp string, key string, value string")
+    assert filters.filter_from_table(df, group="grp") == {"g": {"a": ["x", "y"]}, "h": {"a": True, "b": ["q"]}}
+    assert filters.filter_from_table(df) == {"a": True, "b": ["q"]}
+    assert filters.filter_from_table(df.limit(0)) == {}
+    given = {
+        "flat": ({"a": "x", "b": True, "d": False}, {"a": ["x"], "b": True}),
+        "groups": ({"one": {"a": ["x"], "b": ["q"]}, "two": {"a": ["y", "x"], "b": True, "c": "z"}}, {"a": ["x", "y"], "b": True, "c": ["z"]}),
+        "several": ([{"a": ["x"]}, {"g": {"a": True, "c": ["z", "w", "z"]}}], {"a": True, "c": ["z", "w"]}),
+        "nothing": ({"a": False, "b": []}, {}),
+    }
+    for tags, merged in given.values():
+        assert filters.merge_filters(tags) == merged
+    with pytest.raises(ValueError):
+        E.expected_features({"a": True}, True)
