@@ -60,8 +60,98 @@ def sequence_haversine(true: Column, predicted: Column) -> Column:
     return F.try_divide(total, n.cast("double"))
 
 
-def dtw_metres(true: Column, predicted: Column) -> Column:
-    """Dynamic time warping, exact, over great-circle distances between items (lon, lat)."""
+def _metres(p, q):
+    """Great-circle distances between places (lon, lat in radians), broadcast."""
+    import numpy as np
+
+    h = np.sin((q[..., 1] - p[..., 1]) / 2) ** 2 + np.cos(p[..., 1]) * np.cos(q[..., 1]) * np.sin((q[..., 0] - p[..., 0]) / 2) ** 2
+    return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(1, h)))
+
+
+def _warp(p, q, lo, hi, keep: bool):
+    """Least cost of a warping path within the columns lo[i] <= j < hi[i] of each row, and the costs row by row if kept.
+
+    A row follows from the one before at once: with running sums c of its distances, its costs are
+    c[j] + min over k <= j of (what leads into k) - c[k - 1].
+    """
+    import numpy as np
+
+    rows, before, start = [], None, 0
+    for i in range(len(p)):
+        a, b = int(lo[i]), int(hi[i])
+        step = _metres(p[i], q[a:b])
+        sums = np.cumsum(step)
+        into = np.full(b - a, np.inf)
+        if before is None:
+            into[0] = 0.0
+        else:
+            for shift in (0, 1):  # from straight above, and from above and one to the left
+                x, y = max(a, start + shift), min(b, start + shift + len(before))
+                if x < y:
+                    into[x - a : y - a] = np.minimum(into[x - a : y - a], before[x - shift - start : y - shift - start])
+        before, start = sums + np.minimum.accumulate(into - (sums - step)), a
+        if keep:
+            rows.append(before)
+    return float(before[-1]), rows
+
+
+def _path_spans(rows, lo):
+    """First and last column of the best path in each row, from the costs."""
+    import numpy as np
+
+    n = len(rows)
+    first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at = lambda i, j: rows[i][j - lo[i]] if i >= 0 and 0 <= j - lo[i] < len(rows[i]) else np.inf
+    j = int(lo[-1]) + len(rows[-1]) - 1
+    for i in range(n - 1, -1, -1):
+        last[i] = j
+        while True:
+            left, above, both = at(i, j - 1), at(i - 1, j), at(i - 1, j - 1)
+            if i == 0 and j == 0 or left > min(above, both):
+                break
+            j -= 1
+        first[i] = j
+        if i and both <= above:
+            j -= 1
+    return first, last
+
+
+def warped(p, q, radius: int | None):
+    """Dynamic time warping of places (lon, lat in radians): exact, or near the best path of the halved sequences within a radius.
+
+    With a radius the sequences are halved by means until one is short, solved there, and solved again level by level
+    in a band around the path of the level before, so time and memory grow with their length.
+    """
+    import numpy as np
+
+    whole = lambda n, m: (np.zeros(n, np.int64), np.full(n, m, np.int64))
+    if radius is None:
+        return _warp(p, q, *whole(len(p), len(q)), False)[0]
+    levels = [(p, q)]
+    while min(len(levels[-1][0]), len(levels[-1][1])) >= radius + 2 and max(len(levels[-1][0]), len(levels[-1][1])) > 3:
+        levels.append(tuple((x[: len(x) // 2 * 2 : 2] + x[1::2][: len(x) // 2]) / 2 for x in levels[-1]))
+    lo, hi = whole(len(levels[-1][0]), len(levels[-1][1]))
+    for level in range(len(levels) - 1, -1, -1):
+        x, y = levels[level]
+        cost, rows = _warp(x, y, lo, hi, level > 0)
+        if not level:
+            return cost
+        first, last = _path_spans(rows, lo)
+        first, last = (np.concatenate([v[:1].repeat(radius), v, v[-1:].repeat(radius)]) for v in (first, last))
+        n, m = len(levels[level - 1][0]), len(levels[level - 1][1])
+        low = np.lib.stride_tricks.sliding_window_view(first, 2 * radius + 1).min(1) - radius
+        high = np.lib.stride_tricks.sliding_window_view(last, 2 * radius + 1).max(1) + radius
+        row = np.minimum(np.arange(n) // 2, len(low) - 1)
+        lo, hi = np.clip(2 * low[row], 0, m - 1), np.clip(2 * high[row] + 2, 1, m)
+        lo[0], hi[-1] = 0, m
+    return None
+
+
+def dtw_metres(true: Column, predicted: Column, radius: int | None = None) -> Column:
+    """Dynamic time warping over great-circle distances between items (lon, lat).
+
+    Exact without a radius; with one, linear in the length of the sequences and never below the exact cost.
+    """
 
     @pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -70,18 +160,7 @@ def dtw_metres(true: Column, predicted: Column) -> Column:
         def one(x, y):
             if x is None or y is None or not len(x) or not len(y):
                 return None
-            p, q = (np.radians([[c["lon"], c["lat"]] for c in s]) for s in (x, y))
-            h = np.sin((q[None, :, 1] - p[:, None, 1]) / 2) ** 2 + np.cos(p[:, None, 1]) * np.cos(q[None, :, 1]) * np.sin((q[None, :, 0] - p[:, None, 0]) / 2) ** 2
-            cost = 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(1, h)))
-            row = np.cumsum(cost[0])
-            for i in range(1, len(p)):
-                up = np.minimum(row, np.concatenate([[np.inf], row[:-1]]))
-                new, left = np.empty_like(row), np.inf
-                for j in range(len(q)):
-                    left = cost[i, j] + min(up[j], left)
-                    new[j] = left
-                row = new
-            return float(row[-1])
+            return warped(*(np.radians([[c["lon"], c["lat"]] for c in s]) for s in (x, y)), radius)
 
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 

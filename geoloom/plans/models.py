@@ -141,6 +141,15 @@ def n10_dtw_distance(spark, sf_dir):
     return t.select("trip_id", F.round(evaluate.dtw_metres(F.col("points"), p), 3).alias("dtw"))
 
 
+@query("n10_fast_dtw", "SELECT user_id AS trip_id, true AS close FROM events GROUP BY user_id HAVING count(*) > 1")
+def n10_fast_dtw(spark, sf_dir):
+    """Warping near the best path of the halved trips, against the exact one: never below it and within a percent."""
+    t = trajectories.build(track_points(spark, sf_dir), trip="trip_id", order="ts", columns=["lon", "lat"])
+    p = F.transform("points", lambda c: F.struct(c["lon"].alias("lon"), (c["lat"] + 0.001).alias("lat")))
+    both = t.select("trip_id", evaluate.dtw_metres(F.col("points"), p).alias("exact"), evaluate.dtw_metres(F.col("points"), p, radius=10).alias("fast"))
+    return both.select("trip_id", ((F.col("fast") >= F.col("exact") - 1e-6) & (F.col("fast") <= 1.01 * F.col("exact") + 1e-6)).alias("close"))
+
+
 # --- S2 --------------------------------------------------------------------------------------
 
 

@@ -267,6 +267,38 @@ def test_dtw_query_equals_brute_force_on_all_points(spark, sf_dir):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-3) for k in want)
 
 
+def test_fast_warping_is_close_and_linear():
+    import time
+
+    rng = np.random.default_rng(8)
+
+    def walk(n):
+        steps = rng.normal(0, 1e-4, (n, 2)) + 1e-4 * np.stack([np.cos(np.arange(n) / 40), np.sin(np.arange(n) / 55)], 1)
+        return np.radians([17.0, 51.1]) + np.cumsum(steps, 0)
+
+    for n, m in ((1, 1), (1, 9), (2, 3), (40, 57), (301, 300), (500, 731)):
+        a = walk(n)
+        b = a[np.sort(rng.integers(0, n, m))] + rng.normal(0, 2e-5, (m, 2))
+        exact = evaluate.warped(a, b, None)
+        plain = np.full((n + 1, m + 1), np.inf)
+        plain[0, 0] = 0
+        cost = evaluate._metres(a[:, None], b[None])
+        for i in range(n):
+            for j in range(m):
+                plain[i + 1, j + 1] = cost[i, j] + min(plain[i, j], plain[i, j + 1], plain[i + 1, j])
+        assert exact == pytest.approx(plain[n, m], rel=1e-9)
+        for radius in (1, 10, 30):
+            assert exact - 1e-6 <= evaluate.warped(a, b, radius)
+        assert evaluate.warped(a, b, 30) <= 1.01 * exact
+    took = []
+    for n in (4_000, 16_000):
+        a = walk(n)
+        start = time.process_time()
+        assert evaluate.warped(a, a + 1e-6, 5) <= 6371008.8 * 2e-6 * n
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0]
+
+
 def test_labels_scale_by_the_training_range(spark):
     t = spark.createDataFrame([(0.0,), (10.0,)], "v double")
     v = spark.createDataFrame([(-5.0,), (5.0,), (20.0,)], "v double")
