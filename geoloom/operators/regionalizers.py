@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import grid, h3, s2
 from geoloom.operators import voronoi
+from geoloom.operators.borders import simplify_shared
 from geoloom.functions.scalars import EARTH_RADIUS_M, haversine_m
-from geoloom.functions.geometry import st_area, st_centroid, st_clip_box, st_holds, st_intersects, st_merged, st_parts, st_simplify
+from geoloom.functions.geometry import st_area, st_centroid, st_clip_box, st_holds, st_intersects, st_merged, st_parts
 from geoloom.schema import BOX, GEOMETRY, need, with_bounds
 from geoloom.storage import written
 
@@ -198,7 +199,7 @@ def administrative_regions(
 
     ``boundaries``: element_id, admin_level, tags (map) and a box or WKB; ``area``: boxes or
     points. Duplicate elements count once; a region stays if it holds a point of the area or if more than ``least_share`` of it lies
-    in the area. Shapes can be simplified within ``tolerance`` degrees and cut to the area's boxes. Columns: region_id
+    in the area. Shapes can be simplified within ``tolerance`` degrees, neighbours alike, and cut to the area's boxes. Columns: region_id
     (the chosen name), element_id, the box and geometry if there is one. With ``fill_empty`` what no
     region covers of the area's boxes follows as rows named "EMPTY" with geometry. Finding none is a
     RuntimeWarning and an empty table.
@@ -211,7 +212,7 @@ def administrative_regions(
     exact = GEOMETRY in boundaries.columns
     own = boundaries.filter(F.col("admin_level") == admin_level).dropDuplicates(["element_id"])
     if exact and tolerance:
-        own = own.withColumn(GEOMETRY, st_simplify(F.col(GEOMETRY), tolerance)).drop(*BOX)
+        own = simplify_shared(own, tolerance)
     own = with_bounds(own)
     pairs = meeting(own.select("element_id", *BOX, *([GEOMETRY] if exact else [])), with_bounds(area).select(*BOX), cell)
     point = (F.col("r_minx") == F.col("r_maxx")) & (F.col("r_miny") == F.col("r_maxy"))

@@ -681,6 +681,43 @@ _EDGES_SQL = ", ".join(f"(CAST({a[0]} AS DOUBLE), CAST({a[1]} AS DOUBLE), CAST({
 _METRES = (math.cos(math.radians(51.12)) * math.radians(1) * 6371008.8, math.radians(1) * 6371008.8)
 
 
+@query("j5_shared_borders", """SELECT count(*) AS regions, round(0.38 * 0.17, 9) AS area, CAST(0 AS DOUBLE) AS overlap, true AS thinner FROM nation""")
+def j5_shared_borders(spark, sf_dir):
+    """A country of winding inner borders, simplified: nothing is lost between neighbours and nothing counts twice."""
+    from geoloom.operators.borders import simplify_shared
+
+    def winding(batches):
+        import numpy as np
+        import pandas as pd
+
+        def side(a, b, inner):  # the same corners from either side
+            t = np.linspace(0, 1, 61)[:, None]
+            lo, hi = min(a, b), max(a, b)
+            line = np.array(lo) + t * (np.array(hi) - np.array(lo))
+            if inner:
+                across = np.array([hi[1] - lo[1], lo[0] - hi[0]])
+                line += np.sin(np.pi * t) * (0.06 * np.sin(19 * t + 900 * lo[0]) + 0.01 * np.sin(97 * t + 500 * lo[1])) * across
+            line[0], line[-1] = lo, hi
+            return line if a <= b else line[::-1]
+
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                x0, y0, x1, y1 = r.minx, r.miny, r.maxx, r.maxy
+                sides = [((x0, y0), (x1, y0), y0 > 51.0401), ((x1, y0), (x1, y1), x1 < 17.1799), ((x1, y1), (x0, y1), y1 < 51.2099), ((x0, y1), (x0, y0), x0 > 16.8001)]
+                out.append((r.region_id, G.to_wkb(G.polygon(np.vstack([side(*s)[:-1] for s in sides])))))
+            yield pd.DataFrame(out, columns=["region_id", "geometry"])
+
+    shapes = written(box_regions(spark, sf_dir).mapInPandas(winding, "region_id int, geometry binary"), "winding")
+    thin = written(simplify_shared(shapes, 0.002), "thin")
+    fewer = shapes.agg(F.sum(F.length("geometry")).alias("before")).crossJoin(thin.agg(F.sum(F.length("geometry")).alias("after"))).select((F.col("after") * 3 < F.col("before")).alias("thinner"))
+    other = thin.withColumnRenamed("region_id", "feature_id")
+    shared = spatial_join.intersects_join(thin, other, return_geometry=True).filter("region_id < feature_id and geometry is not null")
+    overlap = shared.agg(F.round(F.coalesce(F.sum(G.st_area(F.col("geometry"))), F.lit(0.0)), 9).alias("overlap"))
+    whole = thin.agg(F.countDistinct("region_id").alias("regions"), F.round(F.sum(G.st_area(F.col("geometry"))), 9).alias("area"))
+    return whole.crossJoin(F.broadcast(overlap)).crossJoin(F.broadcast(fewer))
+
+
 @query("k3_buffer_bent_shape", f"""WITH {PTS}, e AS (SELECT * FROM (VALUES {_EDGES_SQL}) t(x0, y0, x1, y1)),
 s AS (SELECT feature_id, lon, lat, (lon - x0) * {_METRES[0]!r} AS px, (lat - y0) * {_METRES[1]!r} AS py, (x1 - x0) * {_METRES[0]!r} AS dx, (y1 - y0) * {_METRES[1]!r} AS dy FROM pts, e),
 t AS (SELECT *, greatest(0, least(1, (px * dx + py * dy) / (dx * dx + dy * dy))) AS t FROM s),

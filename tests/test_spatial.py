@@ -7,6 +7,7 @@ from geoloom.functions import geometry as G
 from geoloom.functions import grid, s2
 from geoloom.operators import neighbourhoods as N
 from geoloom.operators import regionalizers as R
+from geoloom.operators import borders
 from geoloom.operators import spatial_join as J
 from geoloom.operators import voronoi as V
 
@@ -349,3 +350,41 @@ def test_hops_from_many_starts_at_once(spark, monkeypatch):
     few = N.up_to_distance(edges, 100, roots=spark.createDataFrame([(0,), (0,), (777,)], "region_id long"))
     assert sorted((r["neighbour_id"], r["distance"]) for r in few.filter("region_id = 0").collect()) == sorted((n, d) for n, d in hops(graph, 0).items() if d)
     assert few.filter("region_id = 777").count() == 0
+
+
+def test_simplified_neighbours_share_their_borders(spark):
+    rng = np.random.default_rng(9)
+    n = 4
+    line = lambda a, b: np.array(a) + np.linspace(0, 1, 31)[:, None] * (np.array(b) - np.array(a))
+    sides = {}
+
+    def side(a, b):
+        key = (min(a, b), max(a, b))
+        if key not in sides:
+            p = line(*key)
+            p[1:-1] += rng.normal(0, 0.02, (29, 2))
+            sides[key] = p
+        return sides[key] if a < b else sides[key][::-1]
+
+    shapes = []
+    for x in range(n):
+        for y in range(n):
+            c = [(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1)]
+            ring = np.vstack([side(c[k], c[(k + 1) % 4])[:-1] for k in range(4)])
+            shapes.append(np.roll(ring, int(rng.integers(0, len(ring))), 0)[:: 1 if rng.random() < 0.5 else -1])
+    hole = np.array([(0.5 + 0.2 * np.cos(t), 0.5 + 0.2 * np.sin(t)) for t in np.linspace(0, 2 * np.pi, 90)[:-1]])
+    geometries = [G.polygon(shapes[0], hole), *[G.polygon(s) for s in shapes[1:]], G.polygon(np.roll(hole, 33, 0)[::-1])]
+    df = spark.createDataFrame([(k, bytearray(G.to_wkb(g)), k) for k, g in enumerate(geometries)] + [(99, None, 1)], "region_id int, geometry binary, extra int").repartition(3)
+    got = {r["region_id"]: r["geometry"] for r in borders.simplify_shared(df, 0.05).collect()}
+    assert set(got) == set(range(n * n + 1)) | {99} and got.pop(99) is None
+    thin = {k: G.from_wkb(bytes(g)) for k, g in got.items()}
+    assert sum(len(r) for g in thin.values() for p in g[1] for r in p) * 3 < sum(len(r) for g in geometries for p in g[1] for r in p)
+    edges: dict = {}
+    for g in thin.values():
+        for part in g[1]:
+            for r in part:
+                for a, b in zip(map(tuple, r[:-1]), map(tuple, r[1:]), strict=True):
+                    edges[min(a, b), max(a, b)] = edges.get((min(a, b), max(a, b)), 0) + 1
+    border = [np.array(e) for e, c in edges.items() if c == 1]
+    assert set(edges.values()) == {1, 2}
+    assert all(any(((e[:, axis] - at) ** 2 < 0.2**2).all() for axis in (0, 1) for at in (0, n)) for e in border)  # only the outer border has one side
