@@ -295,3 +295,11 @@ def stream_cell_counts(spark, sf_dir):
     from geoloom.streaming.cells import daily_cell_counts, run_once
 
     return run_once(spark, f"{sf_dir}/events.parquet", daily_cell_counts)
+
+
+@query("stream_consecutive_cells", f"WITH {_CELLS} SELECT trip_id, event_id, x, y FROM cells")
+def stream_consecutive_cells(spark, sf_dir):
+    """The same rows as `e1_consecutive_cells`, from micro-batches of the events in no order of time, with a last one that moves the watermark on."""
+    from geoloom.streaming.trips import replayed_cells
+
+    return replayed_cells(spark, track_points(spark, sf_dir), trip="trip_id", order="ts", tie="event_id", zoom=Z).select("trip_id", "event_id", "x", "y")

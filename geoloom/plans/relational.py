@@ -163,8 +163,9 @@ def m3_gtfs_features(spark, sf_dir):
 FROM h JOIN tr USING (trip_id) JOIN supplier ON s_suppkey = stop_id GROUP BY s_nationkey""")
 def d5_gtfs_region_sums(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("stop_id"), F.col("s_nationkey").cast("long").alias("region_id"))
-    per = _stop_times(spark, sf_dir).join(_trips(spark, sf_dir), "trip_id").groupBy("stop_id").agg(F.count(F.lit(1)).alias("trips"), F.collect_set("headsign").alias("d"))
-    return per.join(s, "stop_id").groupBy("region_id").agg(F.sum("trips").alias("trips"), F.size(F.array_distinct(F.flatten(F.collect_list("d")))).cast("long").alias("directions"))
+    per = _stop_times(spark, sf_dir).join(_trips(spark, sf_dir), "trip_id").groupBy("stop_id", "headsign").agg(F.count(F.lit(1)).alias("trips"))
+    ways = per.join(s, "stop_id").groupBy("region_id", "headsign").agg(F.sum("trips").alias("trips"))
+    return ways.groupBy("region_id").agg(F.sum("trips").alias("trips"), F.count("headsign").alias("directions"))
 
 
 @query("d7_first_non_null", f"""WITH {TAGS}, u AS (SELECT 0 AS part, feature_id, brand, size FROM tags WHERE feature_id % 2 = 0 UNION ALL SELECT 1, feature_id, 'late', 'late' FROM tags WHERE feature_id % 4 = 0)

@@ -415,3 +415,44 @@ def test_filters_from_tables(spark):
         assert filters.merge_filters(tags) == merged
     with pytest.raises(ValueError):
         E.expected_features({"a": True}, True)
+
+
+def test_cells_over_a_stream(spark):
+    from geoloom.streaming import trips
+
+    rng = np.random.default_rng(11)
+    start = 1_700_000_000
+    pts, k = [], 0
+    for trip in range(6):
+        at = np.array([16.8, 51.1])
+        for t in np.sort(rng.integers(0, 3000, 30)).tolist():
+            at = at + (rng.random() < 0.5) * rng.uniform(-0.05, 0.05, 2)
+            pts.append((trip, k, start + t, *map(float, at)))
+            k += 1
+    df = spark.createDataFrame(pts, "trip_id int, k long, s long, lon double, lat double").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    want = trajectories.to_cells(df, trip="trip_id", order="ts", tie="k", zoom=14)
+    got = trips.replayed_cells(spark, df, trip="trip_id", order="ts", tie="k", zoom=14, batches=3)
+    assert rows(got, "trip_id", "ts", "k", "x", "y") == rows(want, "trip_id", "ts", "k", "x", "y")
+
+
+def test_late_points_and_expiry_of_a_stream(spark, tmp_path):
+    from geoloom.streaming import trips
+
+    kinds = "trip_id int, ts timestamp, k long, lon double, lat double"
+    at = lambda s: 1_700_000_000 + s
+    files = [
+        [(1, 0, 0, 17.0, 51.0), (2, 0, 1, 17.0, 51.0)],
+        [(1, 100, 2, 17.0, 51.0), (1, 5000, 3, 17.0, 51.0)],  # the mark moves to 4990
+        [(1, 50, 4, 18.0, 51.0), (3, 9000, 5, 17.0, 51.0)],  # number 4 is late
+        [(2, 20_000, 6, 17.0, 51.0), (3, 12_000, 7, 17.0, 51.0)],  # trip 2 was still for long
+        [(9, 90_000, 8, 1.0, 1.0)],
+        [(9, 190_000, 9, 1.0, 1.0)],
+        [(9, 290_000, 10, 1.0, 1.0)],
+    ]
+    for k, f in enumerate(files):
+        df = spark.createDataFrame([(t, at(s), n, x, y) for t, s, n, x, y in f], "trip_id int, s long, k long, lon double, lat double").withColumn("ts", F.timestamp_seconds("s"))
+        df.select("trip_id", "ts", "k", "lon", "lat").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = trips.consecutive_cells(stream, trip="trip_id", order="ts", tie="k", zoom=12, lateness="10 seconds", expiry_ms=6_000_000)
+    found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert [r["k"] for r in spark.read.parquet(f"{tmp_path}/out").filter("trip_id < 9").orderBy("k").collect()] == [0, 1, 5, 6]
