@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import grid
 from geoloom.operators.quantiles import quantiles
+from geoloom.storage import written
 
 SPLITS = ("train", "validation", "test")
-#: Rows of cell statistics that the greedy assignment takes.
-MAX_CELLS = 2_000_000
+#: Cells that are placed one by one, on the driver, after all others were placed in rounds.
+LAST_CELLS = 4_096
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int, out: str = "bucket") -> DataFrame:
@@ -58,16 +61,16 @@ def _fractions(total: int, test: float, validation: float) -> dict[str, float]:
     return {"train": 1 - sum(parts.values()), **parts}
 
 
-def assign_cells(rows: list[tuple[str, str, int]], fractions: dict[str, float], seed: int | str) -> dict[str, str]:
+def assign_cells(rows: list[tuple[str, str, int]], fractions: dict[str, float], seed: int | str, placed: dict[str, dict[str, int]] | None = None) -> dict[str, str]:
     """Greedy: cells in a fixed pseudo-random order, each to the split that brings its buckets'
-    ratios closest to the wanted ones; ties to train, then validation, then test."""
+    ratios closest to the wanted ones; ties to train, then validation, then test. ``placed`` has the points per bucket and split to begin with."""
     import hashlib
 
     cells: dict[str, list[tuple[str, int]]] = {}
     for cell, bucket, n in rows:
         cells.setdefault(cell, []).append((bucket, n))
     splits = [s for s in SPLITS if fractions.get(s, 0) > 0]
-    sums: dict[str, dict[str, int]] = {}
+    sums: dict[str, dict[str, int]] = {b: {s: have.get(s, 0) for s in splits} for b, have in (placed or {}).items()}
     out = {}
     for cell in sorted(cells, key=lambda c: hashlib.md5(f"{c}|{seed}".encode()).hexdigest()):
         costs = []
@@ -84,6 +87,42 @@ def assign_cells(rows: list[tuple[str, str, int]], fractions: dict[str, float],
     return out
 
 
+def _in_rounds(stats: DataFrame, cells: int, fractions: dict[str, float], seed: int | str) -> tuple[DataFrame, DataFrame]:
+    """Places all but about the last ``LAST_CELLS`` cells of the order: their labels, and the points per bucket and split.
+
+    A round takes half of what is left, by hash. What a split still needs of a bucket, so that it ends the round with its share,
+    is known from the rounds before; a cell draws its split by another hash, in proportion to what its points' buckets need.
+    Later rounds, each half as large, make up for the draws of earlier ones. Sums are per bucket; no cell reaches the driver.
+    """
+    splits = [s for s in SPLITS if fractions.get(s, 0) > 0]
+    unit = lambda salt: F.conv(F.substring(shuffle_order(F.col("cell"), seed=f"{salt}{seed}"), 1, 12), 16, 10).cast("long") / float(16**12)
+    stats = stats.withColumn("_u", unit(""))
+    rounds = max(1, math.ceil(math.log2(cells / LAST_CELLS)))
+    labels, sums = None, stats.limit(0).select("bucket", *[F.lit(0).cast("long").alias(s) for s in splits])
+    for k in range(rounds):
+        low = 1 - 0.5**k
+        high = 1 - LAST_CELLS / cells if k == rounds - 1 else 1 - 0.5 ** (k + 1)
+        own = stats.filter((F.col("_u") >= low) & (F.col("_u") < high))
+        totals = own.groupBy("bucket").agg(F.sum("points").alias("_new")).join(sums, "bucket", "left").na.fill(0)
+        whole = F.col("_new") + sum((F.col(s) for s in splits), F.lit(0))
+        needs = totals.select("bucket", *[F.greatest(F.lit(0.0), F.lit(fractions[s]) * whole - F.col(s)).alias(f"_{s}") for s in splits])
+        weigh = own.join(written(needs, "needs"), "bucket")
+        all_needs = sum((F.col(f"_{s}") for s in splits), F.lit(0.0))
+        per_cell = weigh.groupBy("cell").agg(*[F.sum(F.try_divide(F.col("points") * F.col(f"_{s}"), all_needs)).alias(s) for s in splits])
+        mark, upto, choice = unit("draw") * sum((F.col(s) for s in splits), F.lit(0.0)), F.lit(0.0), F.lit(splits[-1])
+        bounds = []
+        for s in splits:
+            upto = upto + F.col(s)
+            bounds.append((s, upto))
+        for s, bound in reversed(bounds[:-1]):
+            choice = F.when(mark < bound, s).otherwise(choice)
+        found = written(per_cell.select("cell", choice.alias("split")), "placed")
+        gained = own.join(found, "cell").groupBy("bucket").agg(*[F.sum(F.when(F.col("split") == s, F.col("points")).otherwise(0)).alias(s) for s in splits])
+        sums = written(sums.unionByName(gained).groupBy("bucket").agg(*[F.sum(s).alias(s) for s in splits]), "sums")
+        labels = found if labels is None else labels.unionByName(found)
+    return labels, sums
+
+
 def spatial_split(
     points: DataFrame,
     *,
@@ -97,24 +136,27 @@ def spatial_split(
 ) -> DataFrame:
     """Points (lon, lat) with a ``split``: whole parent cells go to one split, stratified by bucket.
 
-    Only the statistics per cell and bucket reach the driver, where the greedy assignment, which
-    is sequential by definition, runs; their number is bounded by the grid (4^zoom cells times
-    the buckets), not by the points, and more than ``MAX_CELLS`` is an error that asks for a coarser
-    grid. The labels come back by a join on the cell.
+    Cells are placed in a fixed pseudo-random order: all but the last ``LAST_CELLS`` in rounds that
+    never leave the executors, and those one by one, which settles what the rounds left uneven. A table of no more cells is
+    placed one by one from the start. The labels come back by a join on the cell.
     """
     if categorical and target is None:
         raise ValueError("a categorical split needs a target")
-    found = cell_statistics(points, zoom=zoom, target=target, categorical=categorical, bins=bins).limit(MAX_CELLS + 1).collect()
-    if len(found) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells and buckets; take a smaller zoom")
-    stats = [(r["cell"], r["bucket"], r["points"]) for r in found]
-    total = sum(r[2] for r in stats)
-    if not total:
+    stats = written(cell_statistics(points, zoom=zoom, target=target, categorical=categorical, bins=bins), "statistics")
+    facts = stats.agg(F.countDistinct("cell").alias("cells"), F.sum("points").alias("total")).first()
+    if not facts["total"]:
         return points.withColumn("split", F.lit("train"))
-    chosen = assign_cells(stats, _fractions(total, test, validation), seed)
-    labels = points.sparkSession.createDataFrame(sorted(chosen.items()), "_cell string, split string")
+    fractions = _fractions(facts["total"], test, validation)
+    labels, placed, left = None, {}, stats
+    if facts["cells"] > 2 * LAST_CELLS:
+        labels, sums = _in_rounds(stats, facts["cells"], fractions, seed)
+        left = stats.join(labels, "cell", "left_anti")
+        placed = {r["bucket"]: r.asDict() for r in sums.join(left.select("bucket").distinct(), "bucket", "left_semi").collect()}  # the last cells' buckets
+    last = assign_cells([(r["cell"], r["bucket"], r["points"]) for r in left.collect()], fractions, seed, placed)
+    own = points.sparkSession.createDataFrame(sorted(last.items()), "cell string, split string")
+    labels = own if labels is None else own.unionByName(labels)
     keyed = points.withColumn("_cell", grid.tile_of(F.col("lon"), F.col("lat"), zoom))
-    return keyed.join(labels, "_cell").drop("_cell")
+    return keyed.join(labels.withColumnRenamed("cell", "_cell"), "_cell").drop("_cell")
 
 
 def train_test_spatial_split(points: DataFrame, *, test: float = 0.2, **options) -> tuple[DataFrame, DataFrame]:

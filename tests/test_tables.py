@@ -456,3 +456,22 @@ def test_late_points_and_expiry_of_a_stream(spark, tmp_path):
     found = trips.consecutive_cells(stream, trip="trip_id", order="ts", tie="k", zoom=12, lateness="10 seconds", expiry_ms=6_000_000)
     found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert [r["k"] for r in spark.read.parquet(f"{tmp_path}/out").filter("trip_id < 9").orderBy("k").collect()] == [0, 1, 5, 6]
+
+
+def test_spatial_split_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(splits, "LAST_CELLS", 40)
+    rng = np.random.default_rng(13)
+    xy = rng.uniform(-20, 20, (30_000, 2)) * np.sqrt(rng.random((30_000, 1)))
+    kind = np.where(rng.random(30_000) < 0.1, "rare", np.where(xy[:, 0] > 5, "east", "west"))
+    df = spark.createDataFrame([(float(x), float(y), str(c)) for (x, y), c in zip(xy, kind, strict=True)], "lon double, lat double, kind string")
+    done = splits.spatial_split(df, zoom=9, target="kind", categorical=True, test=0.2, validation=0.1).collect()
+    assert len(done) == 30_000 and set(done[0].asDict()) == {"lon", "lat", "kind", "split"}
+    for c in ("rare", "east", "west"):
+        own = [r["split"] for r in done if r["kind"] == c]
+        for split, want in (("train", 0.7), ("test", 0.2), ("validation", 0.1)):
+            assert abs(own.count(split) / len(own) - want) < 0.01
+    where: dict = {}
+    for r in done:
+        cell = (int((r["lon"] + 180) / 360 * 512), int((1 - math.asinh(math.tan(math.radians(r["lat"]))) / math.pi) / 2 * 512))
+        assert where.setdefault(cell, r["split"]) == r["split"]
+    assert len(where) > 1_000
