@@ -127,3 +127,19 @@ def hex_disk(q: Column, r: Column, k: int) -> Column:
         )
     )
     return F.filter(cells, lambda c: c["distance"] <= k)
+
+
+def hilbert(lon: Column, lat: Column, bits: int = 16) -> Column:
+    """A place's number along a Hilbert curve through a grid of 2^bits by 2^bits cells of the map: near numbers are near places. Null places give null."""
+    n = 1 << bits
+    at = lambda v, low, width: F.least(F.greatest(F.floor((v - low) / width * n), F.lit(0)), F.lit(n - 1)).cast("long")
+    start = F.struct(at(lon, -180.0, 360.0).alias("x"), at(lat, -90.0, 180.0).alias("y"), F.lit(0).cast("long").alias("d"))
+
+    def step(acc: Column, k: Column) -> Column:
+        s = F.lit(1).cast("long") * F.pow(F.lit(2), k).cast("long")
+        rx, ry = (acc["x"].bitwiseAND(s) > 0).cast("long"), (acc["y"].bitwiseAND(s) > 0).cast("long")
+        x = F.when((ry == 0) & (rx == 1), n - 1 - acc["x"]).otherwise(acc["x"])
+        y = F.when((ry == 0) & (rx == 1), n - 1 - acc["y"]).otherwise(acc["y"])
+        return F.struct(F.when(ry == 0, y).otherwise(x).alias("x"), F.when(ry == 0, x).otherwise(y).alias("y"), (acc["d"] + s * s * (3 * rx).bitwiseXOR(ry)).alias("d"))
+
+    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), start, step, lambda acc: acc["d"])

@@ -151,16 +151,13 @@ def gtfs_features(regions: DataFrame, features: DataFrame, joint: DataFrame, *,
     trips = [c for c in features.columns if c.startswith("trips_at")]
     ways = [c for c in features.columns if c.startswith("directions_at")]
     member = joint.select(region_id, feature_id).join(features.select(feature_id, *trips, *ways), feature_id)
-    # One row of sums per stop, and one per direction that it is served in; both meet in one aggregation.
-    sums = F.array(F.struct(F.lit(-1).alias("way"), F.lit(None).cast("string").alias("to"), *[F.col(f"`{c}`").alias(c) for c in trips]))
-    none = [F.lit(None).cast(dict(features.dtypes)[t]).alias(t) for t in trips]
-    served = lambda k: lambda d: F.struct(F.lit(k).alias("way"), d.alias("to"), *none)
-    to = [F.transform(F.coalesce(F.col(f"`{c}`").cast("array<string>"), F.array()), served(k)) for k, c in enumerate(ways)]
-    rows = member.select(region_id, F.explode(F.concat(sums, *to)).alias("_r"))
-    each = rows.groupBy(region_id, "_r.way", "_r.to").agg(*[F.sum(f"_r.{c}").alias(c) for c in trips])
-    count = lambda k: F.count(F.when((F.col("way") == k) & F.col("to").isNotNull(), 1)) + F.max(((F.col("way") == k) & F.col("to").isNull()).cast("int"))
-    long = each.groupBy(region_id).agg(*[F.sum(c).alias(c) for c in trips], *[count(k).alias(c) for k, c in enumerate(ways)])
-    full = regions.select(region_id).join(long, region_id, "left").na.fill(0, [*trips, *ways])
+    full = regions.select(region_id).join(member.groupBy(region_id).agg(*[F.sum(c).alias(c) for c in trips]), region_id, "left") if trips else regions.select(region_id)
+    if ways:
+        served = lambda k: lambda d: F.struct(F.lit(k).alias("way"), d.alias("to"))
+        to = [F.transform(F.coalesce(F.col(f"`{c}`").cast("array<string>"), F.array()), served(k)) for k, c in enumerate(ways)]
+        each = member.select(region_id, F.explode(F.concat(*to)).alias("_r")).select(region_id, "_r.way", "_r.to").distinct()
+        full = full.join(each.groupBy(region_id).agg(*[F.count_if(F.col("way") == k).alias(c) for k, c in enumerate(ways)]), region_id, "left")
+    full = full.na.fill(0, [*trips, *ways])
     for group in (trips, ways):
         if group:
             full = min_max(full, group)

@@ -58,21 +58,22 @@ def up_to_distance(edges: DataFrame, distance: int, *, include_center: bool = Fa
     Starts are numbered in the order of their ids, so that neighbours mostly share a block of 64. A row of the state is a node and a
     block: which of its starts have reached the node (a bit each), which did so in the last round, and in which round each came. A
     round sends the last round's bits along the edges and merges them with the state by one aggregation, with
-    partial sums before its shuffle; no pair of regions is a row before the end. Each round is
-    written to the shared folder, so the plan does not grow, and the search ends with the last new
+    partial sums before its shuffle; no pair of regions is a row before the end. Each round but the last is
+    written to the shared folder, so the plan does not grow, and a longer search ends with the last new
     bit. A distance below 0 gives nothing. ``roots`` bounds the starts (region_id).
     """
-    starts = (roots.select("region_id") if roots is not None else edges.select("region_id")).distinct()
     if distance < 0:
-        return starts.limit(0).select("region_id", F.col("region_id").alias("neighbour_id"), F.lit(0).alias("distance"))
-    steps = written(edges.filter("distance = 1 and region_id <> neighbour_id").select(F.col("region_id").alias("node"), F.col("neighbour_id").alias("next")).distinct(), "steps")
-    ordered = starts.repartitionByRange("region_id").sortWithinPartitions("region_id")
+        return edges.limit(0).select("region_id", F.col("region_id").alias("neighbour_id"), F.lit(0).alias("distance"))
+    links = edges.select("region_id", F.col("neighbour_id").alias("next"), F.expr("distance = 1 and region_id <> neighbour_id").alias("step")).distinct()
+    links = written(links, "links")
+    steps = links.filter("step").select(F.col("region_id").alias("node"), "next")
+    ordered = (roots if roots is not None else links).select("region_id").distinct().repartitionByRange("region_id").sortWithinPartitions("region_id")
     starts = written(ordered.select("region_id", F.monotonically_increasing_id().alias("root")), "starts")
     bit = F.expr("shiftleft(1L, cast(root & 63 AS int))")
     state = starts.select(
         F.col("region_id").alias("node"), F.shiftright("root", 6).alias("block"), bit.alias("seen"), F.array(F.struct(F.lit(0).alias("distance"), bit.alias("bits"))).alias("came")
     )
-    state = state.groupBy("node", "block").agg(F.bit_or("seen").alias("seen"), F.first("came").alias("came")).withColumn("front", F.col("seen"))
+    state = state.withColumn("front", F.col("seen"))
     nothing = F.lit(0).cast("long")
     for d in range(1, distance + 1):
         sent = state.filter("front <> 0").join(steps, "node").select(F.col("next").alias("node"), "block", nothing.alias("seen"), F.col("front").alias("got"), F.lit(None).cast(state.schema["came"].dataType).alias("came"))
@@ -81,8 +82,11 @@ def up_to_distance(edges: DataFrame, distance: int, *, include_center: bool = Fa
         new = F.col("got").bitwiseAND(F.bitwise_not("seen"))
         came = F.coalesce("came", F.array().cast(state.schema["came"].dataType))
         came = F.when(new != 0, F.array_append(came, F.struct(F.lit(d).alias("distance"), new.alias("bits")))).otherwise(came)
-        state = written(merged.select("node", "block", F.col("seen").bitwiseOR(new).alias("seen"), came.alias("came"), new.alias("front")), "hops")
-        if d < distance and not state.filter("front <> 0").limit(1).count():
+        state = merged.select("node", "block", F.col("seen").bitwiseOR(new).alias("seen"), came.alias("came"), new.alias("front"))
+        if d == distance:
+            break  # the last round is part of what is returned
+        state = written(state, "hops")
+        if d > 3 and not state.filter("front <> 0").limit(1).count():
             break
     pairs = state.select(F.col("node").alias("neighbour_id"), "block", F.explode("came").alias("came")).filter(F.col("came.distance") >= (0 if include_center else 1))
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("came.bits", b) == 1)

@@ -113,8 +113,9 @@ def voronoi_assign(points: DataFrame, seeds: DataFrame, *, seed_id: str = "regio
     equality, and is never repeated; it leaves once no seed beyond those cubes can be nearer. Cubes double in each round; those of the last round
     hold the whole sphere, where a few seeds begin.
     """
-    seeds = check_seeds(seeds, seed_id).select(F.col(seed_id).alias("id"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
-    side = math.radians(cell) if cell else voronoi.first_side(seeds.select(*[c.alias(n) for c, n in zip(voronoi.unit(F.col("lon"), F.col("lat")), "xyz", strict=True)]))
+    seeds, n = check_seeds(seeds, seed_id)
+    seeds = seeds.select(F.col(seed_id).alias("id"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    side = math.radians(cell) if cell else voronoi.first_side(seeds.select(*[c.alias(x) for c, x in zip(voronoi.unit(F.col("lon"), F.col("lat")), "xyz", strict=True)]), n)
     left = points.select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("row"), "lon", "lat")
     done = None
     for turn in range(rounds):
@@ -147,8 +148,8 @@ def _cube(lon: Column, lat: Column, side: float) -> list[Column]:
     return [F.coalesce(c, F.lit(0)) for c in voronoi.cubes(*voronoi.unit(lon, lat), side)]
 
 
-def check_seeds(seeds: DataFrame, seed_id: str) -> DataFrame:
-    """At least four, without duplicates, in bounds; ValueError otherwise."""
+def check_seeds(seeds: DataFrame, seed_id: str) -> tuple[DataFrame, int]:
+    """The seeds and how many they are: at least four, without duplicates, in bounds; ValueError otherwise."""
     need(seeds, seed_id, "lon", "lat", role="seeds table")
     facts = seeds.agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("lon", "lat").alias("places"),
@@ -160,7 +161,7 @@ def check_seeds(seeds: DataFrame, seed_id: str) -> DataFrame:
         raise ValueError("seeds share a place")
     if facts["outside"]:
         raise ValueError("seeds lie outside the bounds of the Earth")
-    return seeds
+    return seeds, facts["n"]
 
 
 def voronoi_polygons(seeds: DataFrame, *, seed_id: str = "region_id", step_degrees: float = 2.0, mask=None) -> DataFrame:
@@ -169,7 +170,7 @@ def voronoi_polygons(seeds: DataFrame, *, seed_id: str = "region_id", step_degre
     Edges are arcs of great circles with a corner every ``step_degrees``; neighbours share them to the last digit.
     A ``mask`` (polygon) cuts the regions. No seed reaches the driver: see ``voronoi.regions``.
     """
-    cells = voronoi.drawn(voronoi.regions(check_seeds(seeds, seed_id), seed_id), seed_id, step_degrees)
+    cells = voronoi.drawn(voronoi.regions(check_seeds(seeds, seed_id)[0], seed_id), seed_id, step_degrees)
     if mask is None:
         return cells
     from geoloom.operators.spatial_join import clip_to

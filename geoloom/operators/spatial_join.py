@@ -11,6 +11,7 @@ ordinary skewed join key, which adaptive execution splits.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,15 +55,21 @@ def _side() -> Column:
     return F.greatest(F.col("maxx").cast("double") - F.col("minx").cast("double"), F.col("maxy").cast("double") - F.col("miny").cast("double"))
 
 
-def ladder(left: DataFrame, right: DataFrame) -> Ladder:
-    """The levels for two tables of boxes, from one pass that counts their boxes by power of two (60 rows at most).
+def ladder(left: DataFrame, right: DataFrame, points: tuple[bool, bool] = (False, False)) -> Ladder:
+    """The levels for two tables of boxes, from one pass that notes which powers of two their boxes' sizes have (a bit each); a table that is known to hold ``points`` isn't read.
 
     From the largest down a size becomes a level if it is at least a step below the last one; a step
     is two powers, or more where over ``LEVELS`` levels would come of it. A box takes the least level not smaller than itself.
     """
     power = F.when(_side() <= 2.0**_LEAST, _LEAST).otherwise(F.least(F.lit(_MOST), F.ceil(F.log2(_side())).cast("int")))
-    sides = [df.filter(F.col("minx").isNotNull()).select(F.lit(k).alias("side"), power.alias("power")) for k, df in enumerate((left, right))]
-    found = [(r["side"], r["power"]) for r in sides[0].unionAll(sides[1]).distinct().collect() if r["power"] is not None]
+    asked = [k for k, known in enumerate(points) if not known and not (k and right is left)]
+    masks = {k: 1 for k, known in enumerate(points) if known}
+    if asked:
+        sizes = [df.filter(F.col("minx").isNotNull()).select(F.lit(k).alias("side"), (power - _LEAST).alias("power")) for k, df in enumerate((left, right)) if k in asked]
+        noted = functools.reduce(DataFrame.unionAll, sizes).agg(*[F.bit_or(F.when(F.col("side") == k, F.expr("shiftleft(1L, power)"))).alias(f"m{k}") for k in asked]).first()
+        masks |= {k: noted[f"m{k}"] or 0 for k in asked}
+    masks.setdefault(1, masks[0])  # a table joined with itself
+    found = [(k, p) for k in (0, 1) for p in range(_LEAST, _MOST + 1) if masks[k] >> (p - _LEAST) & 1]
     powers = sorted({p for _, p in found}, reverse=True)
     if not powers:
         return Ladder((1.0,), frozenset({0}), frozenset({0}))
@@ -79,7 +86,7 @@ def one_size(cell: float) -> Ladder:
     return Ladder((float(cell),), frozenset({0}), frozenset({0}))
 
 
-def covered(df: DataFrame, grid: Ladder, prefix: str, *, left: bool) -> DataFrame:
+def covered(df: DataFrame, grid: Ladder, prefix: str, *, left: bool, points: bool = False) -> DataFrame:
     """Each row once per grid cell it stands for: columns ``_k`` (level and kind), ``_size``, ``_cx``, ``_cy`` and prefixed boxes."""
     boxes = [F.col(c).cast("double").alias(f"{prefix}{c}") for c in BOX]
     rest = [F.col(f"`{c}`") for c in df.columns if c not in BOX]
@@ -94,6 +101,8 @@ def covered(df: DataFrame, grid: Ladder, prefix: str, *, left: bool) -> DataFram
     else:
         own_entries = F.array_compact(F.array(*[F.when(which, F.struct(F.lit(key).alias("_k"), F.lit(size).alias("_size"))) for key, size, which in entries])) if entries else F.array().cast("array<struct<_k:int,_size:double>>")
         rows = rows.withColumn("_e", F.explode(own_entries)).withColumns({"_k": F.col("_e._k"), "_size": F.col("_e._size")}).drop("_e")
+    if points:  # one cell each
+        return rows.drop("_own").withColumns({f"_c{c}": F.floor(F.col(f"{prefix}min{c}") / F.col("_size")) for c in "xy"})
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / F.col("_size")), F.floor(F.col(hi) / F.col("_size")))
     return (
         rows.drop("_own")
@@ -112,10 +121,16 @@ def boxes_meet(a: str = "l_", b: str = "r_") -> Column:
     )
 
 
-def meeting(left: DataFrame, right: DataFrame, cell: float | None = None) -> DataFrame:
-    """Pairs of rows whose boxes meet, once each. ``cell`` asks for a grid of one size instead of one that fits the boxes."""
-    grid = ladder(left, right) if cell is None else one_size(cell)
-    l, r = covered(left, grid, "l_", left=True), covered(right, grid, "r_", left=False).drop("_size")
+def only_points(df: DataFrame) -> bool:
+    """Whether a table's boxes come from point columns."""
+    return {"lon", "lat"} <= set(df.columns) and not all(c in df.columns for c in BOX)
+
+
+def meeting(left: DataFrame, right: DataFrame, cell: float | None = None, points: tuple[bool, bool] = (False, False), grid: Ladder | None = None) -> DataFrame:
+    """Pairs of rows whose boxes meet, once each. ``cell`` asks for a grid of one size instead of one that fits the boxes; ``points`` tells which side is known to hold points."""
+    grid = grid or (ladder(left, right, points) if cell is None else one_size(cell))
+    l = covered(left, grid, "l_", left=True, points=points[0])
+    r = covered(right, grid, "r_", left=False, points=points[1]).drop("_size")
     here = (F.col("_cx") == F.floor(F.greatest("l_minx", "r_minx") / F.col("_size"))) & (F.col("_cy") == F.floor(F.greatest("l_miny", "r_miny") / F.col("_size")))
     return l.join(r, ["_k", "_cx", "_cy"]).filter(boxes_meet() & here)
 
@@ -145,7 +160,7 @@ def intersects_join(
     """
     both = GEOMETRY in regions.columns or GEOMETRY in features.columns
     l, r = _narrow(regions, region_id, "l_geometry"), _narrow(features, feature_id, "r_geometry")
-    pairs = meeting(l, r, cell)
+    pairs = meeting(l, r, cell, (only_points(regions), only_points(features)))
     if both:
         side = {}
         for p in ("l_", "r_"):
@@ -184,12 +199,12 @@ def within_join(points: DataFrame, regions: DataFrame, *, cell: float | None = N
     """
     exact = GEOMETRY in regions.columns
     boxes = with_bounds(regions).select(region_id, *BOX, *([F.col(GEOMETRY).alias("r_geometry")] if exact else []))
-    grid = ladder(boxes.filter("false"), boxes) if cell is None else one_size(cell)
-    grid = Ladder(grid.sizes, frozenset({-1}) if cell is None else grid.left, grid.right)  # points are smaller than any box
+    grid = ladder(points, boxes, (True, False)) if cell is None else one_size(cell)
     cells = covered(boxes, grid, "r_", left=False).drop("_size")
-    many = len(grid.entries(left=True)) > 1
+    mine = grid.entries(left=True)
+    many = len(mine) > 1
     numbered = points.withColumn("_point", F.monotonically_increasing_id()) if how == "left" else points
-    sizes = F.array(*[F.struct(F.lit(key).alias("_k"), F.lit(size).alias("_size")) for key, size, _ in grid.entries(left=True)])
+    sizes = F.array(*[F.struct(F.lit(key).alias("_k"), F.lit(size).alias("_size")) for key, size, _ in mine])
     placed = numbered.withColumn("_e", F.explode(sizes) if many else F.get(sizes, F.lit(0)))
     placed = placed.withColumns({"_k": F.col("_e._k"), "_cx": F.floor(F.col("lon") / F.col("_e._size")), "_cy": F.floor(F.col("lat") / F.col("_e._size"))})
     inside = (F.col("lon") > F.col("r_minx")) & (F.col("lon") < F.col("r_maxx")) & (F.col("lat") > F.col("r_miny")) & (F.col("lat") < F.col("r_maxy"))
@@ -213,7 +228,8 @@ def touches_join(regions: DataFrame, *, cell: float | None = None, region_id: st
     side = _narrow(regions, region_id, "geometry" if exact else None)
     l = side.withColumnsRenamed({region_id: "region_id", "geometry": "l_geometry"})
     r = side.withColumnsRenamed({region_id: "neighbour_id", "geometry": "r_geometry"})
-    pairs = meeting(l, r, cell).filter("region_id <> neighbour_id")
+    grid = ladder(side, side) if cell is None else one_size(cell)
+    pairs = meeting(l, r, grid=grid).filter("region_id <> neighbour_id")
     if exact:
         return pairs.filter(G.st_touches(F.col("l_geometry"), F.col("r_geometry"))).select("region_id", "neighbour_id")
     edge = (F.greatest("l_minx", "r_minx") == F.least("l_maxx", "r_maxx")) | (F.greatest("l_miny", "r_miny") == F.least("l_maxy", "r_maxy"))

@@ -21,11 +21,13 @@ PART_ROWS = 1_000_000
 def parted(points: DataFrame, *, trip: str, order: str, part_rows: int = PART_ROWS, bound: DataFrame | None = None) -> DataFrame | None:
     """The points with ``_part``, ranges of the order within a trip of about ``part_rows`` points each; None if no trip is longer.
 
-    Trips are counted first (partial sums before the shuffle). Only those that are too long get cuts: quantiles of their
+    Points are counted first, and by trip if they are more than one part holds (partial sums before the shuffle). Only those that are too long get cuts: quantiles of their
     own order from one sketch per trip. Every trip gets as many cuts as the longest one needs. ``bound`` may be a table
     that is cheaper to read and has no fewer rows of any trip, such as the points that cells were made of.
     """
     bound = points if bound is None else bound
+    if bound.count() <= part_rows:
+        return None
     counted = bound.groupBy(trip).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_rows)
     most = counted.agg(F.max("_n")).first()[0]
     if most is None:

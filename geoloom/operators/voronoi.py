@@ -35,9 +35,8 @@ def cubes(x: Column, y: Column, z: Column, side: float) -> list[Column]:
     return [F.floor(v / F.lit(side)).cast("long") for v in (x, y, z)]
 
 
-def first_side(points: DataFrame) -> float:
-    """The side of cubes (2 holds the sphere in eight) of which none holds more than ``CROWD`` of the points (x, y, z), from a count per cube and try."""
-    n = points.count()
+def first_side(points: DataFrame, n: int) -> float:
+    """The side of cubes (2 holds the sphere in eight) of which none holds more than ``CROWD`` of ``n`` points (x, y, z), from a count per cube and try."""
     if n <= CROWD:
         return 2.0
     side = min(2.0, math.sqrt(4 * math.pi / n) * 1.5)
@@ -111,7 +110,7 @@ def regions(seeds: DataFrame, seed_id: str) -> DataFrame:
     id_type = seeds.schema[seed_id].dataType
     own = seeds.select(F.col(seed_id).alias("sid"), *[c.alias(n) for c, n in zip(unit(F.col("lon"), F.col("lat")), "xyz", strict=True)])
     own = written(own, "seeds")
-    side = first_side(own)
+    side = first_side(own, own.count())
     steps = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(s, "abc", strict=True)]) for s in itertools.product((-1, 0, 1), repeat=3)])
     left = own.select("*", F.lit(None).cast("array<struct<x:double,y:double,z:double>>").alias("verts"), F.lit(None).cast("array<int>").alias("sizes"))
     arrow_id, done = to_arrow_type(id_type), []

@@ -209,3 +209,28 @@ def test_pbf_blocks_round_trip(spark, tmp_path):
     folder = pbf.write_pbf(df, str(tmp_path / "pbf"))
     back = pbf.read_pbf(spark, f"{folder}/*.pbf")
     assert rows(back, "element", "id") == sorted((r[0], r[1]) for r in nodes + ways)
+
+
+def test_geoparquet_keeps_neighbours_together(spark, tmp_path):
+    import pyarrow.parquet as pq
+    from geoloom.functions import grid
+
+    xy = [(float(x), float(y)) for x in range(8) for y in range(8)]
+    cells = spark.createDataFrame(xy, "x double, y double").select("x", "y", grid.hilbert((F.col("x") + 0.5) * 45 - 180, (F.col("y") + 0.5) * 22.5 - 90, 3).alias("d")).orderBy("d").collect()
+    assert [r["d"] for r in cells] == list(range(64))
+    assert all(abs(a["x"] - b["x"]) + abs(a["y"] - b["y"]) == 1 for a, b in zip(cells, cells[1:], strict=False))
+    k = F.col("id")
+    points = spark.range(40_000).select(k, (17 + (k * 7919) % 40_009 / 400_090.0).alias("lon"), (51 + (k * 104_729) % 39_989 / 399_890.0).alias("lat"))
+    path = files.write_geoparquet(points.repartition(40), f"{tmp_path}/ordered", row_group_bytes=4_096)
+    area = (17.03, 51.03, 17.04, 51.04)  # 1 % of the places
+    parts = [pq.ParquetFile(f).metadata for f in (tmp_path / "ordered").glob("*.parquet")]
+    groups = [m.row_group(g) for m in parts for g in range(m.num_row_groups)]
+
+    def meets(g):
+        least = {c.path_in_schema: c.statistics for c in map(g.column, range(g.num_columns))}
+        return least["minx"].min <= area[2] and least["maxx"].max >= area[0] and least["miny"].min <= area[3] and least["maxy"].max >= area[1]
+
+    assert len(groups) > 100 and sum(map(meets, groups)) <= 0.05 * len(groups)
+    got = spark.read.parquet(path).filter(f"lon between {area[0]} and {area[2]} and lat between {area[1]} and {area[3]}")
+    want = points.filter(f"lon between {area[0]} and {area[2]} and lat between {area[1]} and {area[3]}")
+    assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want.collect()) and want.count() > 200
