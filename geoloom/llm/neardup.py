@@ -203,7 +203,9 @@ def star_links(star: DataFrame, sets: DataFrame, percent: int, rounds: int = 3)
 
 #: Items (shingles) of one block's sets, which bounds its memory, and those from which a component has blocks of its own.
 BLOCK, LARGE = 65_536, 32_768
-#: Columns of one 0/1 matrix, which bounds it to some 10 MB.
+#: Sets of one block, about: a smaller set counts as if it had its share of the items. It bounds the counts of a pair of blocks to some 10 MB.
+SETS = 1_024
+#: Columns of one 0/1 matrix, which bounds it to some 30 MB.
 COLUMNS = 4_000
 
 
@@ -255,7 +257,7 @@ def _linked_within(left: list, right: list | None, percent: int) -> tuple[list,
 def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Ties (a, b) between members (key, id, component, n items) of one bucket and different components.
 
-    A bucket's members are dealt into blocks of like total size by a hash of the id, large components into
+    A bucket's members are dealt into blocks of like total size, of ``BLOCK`` items and ``SETS`` sets at most on average, by a hash of the id, large components into
     blocks of their own; every two blocks of a bucket meet in one row, unless both belong to the
     same large component. So a bucket of any size is compared in full without a row per pair and
     without gathering it. Buckets of the same members are compared once.
@@ -265,7 +267,7 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     same_members = members.groupBy("key").agg(*[c.alias(f"p{i}") for i, c in enumerate(print_)])
     once = same_members.groupBy("p0", "p1", "p2").agg(F.min("key").alias("key")).select("key")
     members = materialise(members.join(once, "key", "left_semi"), "members")
-    sizes = members.groupBy("key", "component").agg(F.sum("n").alias("own"))
+    sizes = members.groupBy("key", "component").agg(F.sum(F.greatest("n", F.lit(max(1, BLOCK // SETS)))).alias("own"))
     part = F.when(F.col("own") >= LARGE, F.col("component"))
     sizes = materialise(sizes.select("key", "component", "own", part.alias("part")), "sizes")
     dealt = sizes.groupBy("key", "part").agg(F.ceil(F.sum("own") / F.lit(float(BLOCK))).alias("blocks"))

@@ -69,6 +69,18 @@ def test_near_duplicates_in_tiny_blocks(spark, rng, monkeypatch):
     assert got == brute_groups(rows, 2)
 
 
+def test_blocks_of_small_sets_are_bounded(spark, monkeypatch):
+    sizes: list = []
+    monkeypatch.setattr(neardup, "SETS", 20)
+    members = spark.createDataFrame([("k", i, i, 3) for i in range(400)], "key string, id long, component long, n long")
+    sets = spark.createDataFrame([(i, bytearray(np.sort(np.array([i // 2, 10_000 + i // 2, 20_000 + i // 2], np.uint64)).tobytes())) for i in range(400)], "id long, items binary")
+    keep = neardup.materialise
+    monkeypatch.setattr(neardup, "materialise", lambda df, label: (out := keep(df, label), label == "blocks" and sizes.extend(r[0] for r in out.select(F.size("docs")).collect()))[0])
+    found = {(r["a"], r["b"]) for r in neardup.block_links(members, sets, 80).collect()}
+    assert found == {(2 * k + 1, 2 * k) for k in range(200)}
+    assert len(sizes) > 10 and max(sizes) < 60
+
+
 def test_near_duplicates_on_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = QUERIES["op8_near_texts"](spark, sf_dir).collect()
