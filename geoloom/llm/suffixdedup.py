@@ -756,16 +756,15 @@ def repeated_strings(
         first = materialise(runs.groupBy("bucket").applyInArrow(repeats, "dest int, found binary"), "repeats")
         second = by_dest.cogroup(first.groupBy("dest")).applyInArrow(surround, "bucket long, run binary")
         masks = second.groupBy("bucket").applyInArrow(decide, "dest int, found binary, bucket long, run binary")
+        masks = materialise(masks, "masks")  # with or without hot grams, so that every size takes one path
+        plain = masks.filter("dest is not null").select("dest", "found")
         if len(deal.hot):
-            masks = materialise(masks, "masks")
             strings = masks.filter("bucket is not null and run is null").select("bucket", "found").mapInArrow(told, "bucket long, c long, d long, low long")
             strings = materialise(strings, "strings")
             lowest = strings.groupBy("c", "d").agg(F.min("low").alias("m"), F.max("low").alias("most")).filter("m < most").select("c", "d", "m")
             news = strings.join(lowest, ["c", "d"]).filter("m < low").select("bucket", "c", "d", F.col("m").alias("low"))
             hot = masks.filter("run is not null").select("bucket", "run").groupBy("bucket").cogroup(news.groupBy("bucket"))
-            masks = masks.filter("dest is not null").select("dest", "found").unionByName(hot.applyInArrow(decide_hot, "dest int, found binary"))
-        else:
-            masks = masks.select("dest", "found")
-        done = by_dest.cogroup(masks.groupBy("dest")).applyInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+            plain = plain.unionByName(hot.applyInArrow(decide_hot, "dest int, found binary"))
+        done = by_dest.cogroup(plain.groupBy("dest")).applyInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
         done = materialise(done, "kept")
     return done.withColumnRenamed("id", id_col)
