@@ -167,7 +167,7 @@ def check_seeds(seeds: DataFrame, seed_id: str) -> tuple[DataFrame, int]:
 def voronoi_polygons(seeds: DataFrame, *, seed_id: str = "region_id", step_degrees: float = 2.0, mask=None) -> DataFrame:
     """Spherical Voronoi regions of any number of seeds as WKB polygons in longitude and latitude.
 
-    Edges are arcs of great circles with a corner every ``step_degrees``; neighbours share them to the last digit.
+    Edges are arcs of great circles with a corner every ``step_degrees`` at least and closer ones next to the seeds; neighbours share them.
     A ``mask`` (polygon) cuts the regions. No seed reaches the driver: see ``voronoi.regions``.
     """
     cells = voronoi.drawn(voronoi.regions(check_seeds(seeds, seed_id)[0], seed_id), seed_id, step_degrees)

@@ -102,7 +102,7 @@ def _clip(id_type: pa.DataType):
 def regions(seeds: DataFrame, seed_id: str) -> DataFrame:
     """(sid, x, y, z, verts, sizes, radius) of the regions: vertices on the unit sphere, piece by piece.
 
-    Cubes around the sphere start small enough to hold few seeds each and double from round to round. In a
+    Cubes around the sphere start small enough to hold few seeds each and grow fourfold from round to round. In a
     round a seed meets the seeds of its 27 cubes that can still cut one of its corners; no seed outside them is
     nearer than a side, and none farther than twice the radius can cut, so a region whose double
     radius is within a side is done. Dense seeds leave early, so large cubes are met by the few regions that are large.
@@ -132,25 +132,37 @@ def regions(seeds: DataFrame, seed_id: str) -> DataFrame:
         left = table.filter(~settled).drop("radius")
         if last or not left.limit(1).count():
             break
-        side = min(2.0, side * 2)
+        side = min(2.0, side * 4)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
-def _ring(piece: np.ndarray, step: float) -> np.ndarray | None:
-    """A piece as a closed ring in degrees, its edges with corners every ``step`` radians; a pole becomes the part of the map's edge above the piece."""
+def _arc(a: np.ndarray, b: np.ndarray, seed: np.ndarray, step: float) -> list[np.ndarray]:
+    """Corners of an edge from its first end up to its last: halved until no part is longer than ``step`` or half its distance from the seed.
+
+    Both sides of an edge are as far from their seeds and halve alike, so they get the same corners.
+    """
+    out, todo = [], [(a, b)]
+    while todo:
+        p, q = todo.pop()
+        long = math.sqrt(float((p - q) @ (p - q)))
+        mid = p + q
+        mid = mid / math.sqrt(float(mid @ mid))
+        far = math.sqrt(float((mid - seed) @ (mid - seed)))
+        if long > step or long > max(0.5 * far, 1e-7):
+            todo += [(mid, q), (p, mid)]
+        else:
+            out.append(p)
+    return out
+
+
+def _ring(piece: np.ndarray, seed: np.ndarray, step: float) -> np.ndarray | None:
+    """A piece as a closed ring in degrees; a pole becomes the part of the map's edge above the piece."""
     inside = piece.mean(0)
     west = math.floor(math.degrees(math.atan2(inside[1], inside[0])) / 90) * 90.0
-    points = []
-    for a, b in zip(piece, np.roll(piece, -1, 0), strict=True):
-        n = max(1, math.ceil(math.acos(float(np.clip(a @ b, -1, 1))) / step))
-        if tuple(a) > tuple(b):  # the same corners from either side of an edge
-            line = (b + (a - b) * (np.arange(n + 1) / n)[:, None])[::-1]
-        else:
-            line = a + (b - a) * (np.arange(n + 1) / n)[:, None]
-        points += list(line[:-1] / np.sqrt((line[:-1] ** 2).sum(1))[:, None])
+    points = [p for a, b in zip(piece, np.roll(piece, -1, 0), strict=True) for p in _arc(a, b, seed, step)]
     out, poles = [], [math.hypot(p[0], p[1]) < 1e-12 for p in points]
     lon = [min(west + 90, max(west, (math.degrees(math.atan2(p[1], p[0])) - west + 180) % 360 - 180 + west)) for p in points]
     for k, p in enumerate(points):
@@ -177,10 +189,10 @@ def drawn(found: DataFrame, seed_id: str, step_degrees: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shapes = []
-            for verts, sizes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for verts, sizes, *seed in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 flat = np.array([(v["x"], v["y"], v["z"]) for v in verts])
-                rings = [_ring(p, step) for p in np.split(flat, np.cumsum(sizes)[:-1])]
+                rings = [_ring(p, np.array(seed), step) for p in np.split(flat, np.cumsum(sizes)[:-1])]
                 shapes.append(G.to_wkb(("polygon", [[r] for r in rings if r is not None])))
             yield pa.record_batch([batch.column(0).cast(arrow_id), pa.array(shapes, pa.binary())], names=[seed_id, GEOMETRY])
 
-    return found.select("sid", "verts", "sizes").mapInArrow(run, f"`{seed_id}` {id_type.simpleString()}, {GEOMETRY} binary")
+    return found.select("sid", "verts", "sizes", "x", "y", "z").mapInArrow(run, f"`{seed_id}` {id_type.simpleString()}, {GEOMETRY} binary")

@@ -646,7 +646,7 @@ def g6_geometry_remainder(spark, sf_dir):
 def j4_voronoi_masked(spark, sf_dir):
     k = F.col("n_nationkey")
     seeds = table(spark, sf_dir, "nation").select(k.alias("region_id"), (F.lit(16.856) + k * 0.0098).alias("lon"), (F.lit(51.07) + (k % 3) * 0.005).alias("lat"))
-    cells = regionalizers.voronoi_polygons(seeds, step_degrees=0.02, mask=G.polygon(_BENT))
+    cells = regionalizers.voronoi_polygons(seeds, step_degrees=5.0, mask=G.polygon(_BENT))
     return cells.agg(F.round(F.sum(G.st_area(F.col("geometry"))), 6).alias("area"), F.countDistinct("region_id").alias("cells"))
 
 
