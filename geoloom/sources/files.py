@@ -5,7 +5,6 @@ from __future__ import annotations
 import logging
 import urllib.request
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from geoloom.functions.geometry import Geometry
 from geoloom.operators.filters import within_quantiles
 from geoloom.operators.spatial_join import clip, clip_to
 from geoloom.schema import BOX, FEATURE, GEOMETRY, need, to_features
+from geoloom.storage import committed, opened
 
 log = logging.getLogger(__name__)
 
@@ -90,16 +90,13 @@ def quantile_filtered(spark: SparkSession, paths: Sequence[str], column: str, ta
 
 def download_file(url: str, path: str, *, chunk_bytes: int = 1 << 16, force: bool = True, opener=urllib.request.urlopen) -> str:
     """Fetches a URL to a file in chunks; an existing file stays, with a warning, unless forced."""
-    target = Path(path)
-    if target.exists() and not force:
+    system, place = opened(path)
+    if system.get_file_info(place).is_file and not force:
         log.warning("%s exists and is kept", path)
         return path
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_suffix(target.suffix + ".part")
-    with opener(url) as response, part.open("wb") as out:
+    with opener(url) as response, committed(path) as out:
         while chunk := response.read(chunk_bytes):
             out.write(chunk)
-    part.replace(target)
     return path
 
 

@@ -11,7 +11,6 @@ import json
 import time
 from collections.abc import Callable, Mapping, Sequence
 from enum import Enum
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ from geoloom.operators.filters import drop_empty_columns, fixed_columns, group_f
 from geoloom.operators.regionalizers import slippy_regions
 from geoloom.operators.spatial_join import clip, semi_join
 from geoloom.schema import BOX, GEOMETRY, with_bounds
-from geoloom.storage import written
+from geoloom.storage import committed, opened, written
 
 
 class NetworkType(str, Enum):
@@ -188,9 +187,11 @@ def fetch_features(spark: SparkSession, areas: Sequence[str], tags: Mapping, fet
 
 def cached_query(query: str, folder: str, run: Callable[[str], object], *, retries: int = 5, wait: float = 60.0, busy: tuple = (TimeoutError, ConnectionError)) -> object:
     """A query's JSON answer, kept in a file named by the query's hash; waits and retries while the server is busy."""
-    path = Path(folder) / f"{hashlib.sha256(query.encode()).hexdigest()}.json"
-    if path.exists():
-        return json.loads(path.read_text())
+    place = f"{folder.rstrip('/')}/{hashlib.sha256(query.encode()).hexdigest()}.json"
+    system, path = opened(place)
+    if system.get_file_info(path).is_file:
+        with system.open_input_stream(path) as kept:
+            return json.loads(kept.read())
     for turn in range(retries + 1):
         try:
             answer = run(query)
@@ -199,8 +200,8 @@ def cached_query(query: str, folder: str, run: Callable[[str], object], *, retri
             if turn == retries:
                 raise
             time.sleep(wait)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(answer))
+    with committed(place) as out:
+        out.write(json.dumps(answer).encode())
     return answer
 
 
@@ -229,17 +230,17 @@ def load_tiles(
 
     That is the bytes; with ``save_to`` the path of the file they went to; or whatever a collector
     of the caller's makes of a tile's id and bytes, of Spark type ``kind``. Each task fetches its own
-    tiles. Paths must be in a folder that all executors share.
+    tiles. ``save_to`` is any folder that Arrow's file systems open and all executors share; a tile's file appears once it is whole.
     """
     if collector is not None and (save_to is not None or kind is None):
         raise ValueError("a collector needs the type it returns, and no folder to save to")
     tiles = slippy_regions(areas, zoom)
 
     def save(name: str, data: bytes) -> str:
-        path = Path(save_to.removeprefix("file:")) / f"{name}.{extension}"
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_bytes(data)
-        return str(path)
+        path = f"{save_to.rstrip('/')}/{name}.{extension}"
+        with committed(path) as out:
+            out.write(data)
+        return path
 
     store = collector or (save if save_to is not None else lambda name, data: data)
 

@@ -6,6 +6,7 @@ decoding them is one task's work per share of blobs, so a large file is read by
 
 from __future__ import annotations
 
+import contextlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.storage import committed
+
 SCHEMA = "element string, id long, tags map<string,string>, lon double, lat double, refs array<long>, members array<struct<type:string,ref:long,role:string>>"
 # Fixed values of the format.
 NODE, DENSE, WAY, RELATION = 1, 2, 3, 4
@@ -227,28 +230,27 @@ def encode_block(rows: list[tuple]) -> bytes:
 
 
 def write_pbf(elements: DataFrame, folder: str) -> str:
-    """Nodes and ways (element, id, tags, lon, lat, refs) as one PBF file per task in a shared folder."""
-    from pathlib import Path
+    """Nodes and ways (element, id, tags, lon, lat, refs) as one PBF file per task in a folder, each of which appears once it is whole.
 
-    place = folder.removeprefix("file:")
+    The folder is any that Arrow's file systems open and all executors share.
+    """
 
     def save(batches):
         import pandas as pd
         from pyspark import TaskContext
 
-        path, count, out = Path(place) / f"part-{TaskContext.get().partitionId():05d}.pbf", 0, None
-        for b in batches:
-            if out is None:
-                path.parent.mkdir(parents=True, exist_ok=True)
-                out = path.open("wb")
-                out.write(_blob(b"OSMHeader", _message((4, b"OsmSchema-V0.6"), (4, b"DenseNodes"))))
-            refs = [[] if r is None else list(map(int, r)) for r in b["refs"]]
-            rows = list(zip(b["element"], map(int, b["id"]), map(dict, b["tags"]), b["lon"], b["lat"], refs, strict=True))
-            for k in range(0, len(rows), PER_BLOCK):
-                out.write(_blob(b"OSMData", encode_block(rows[k : k + PER_BLOCK])))
-            count += len(rows)
-        if out is not None:
-            out.close()
+        count = 0
+        with contextlib.ExitStack() as files:
+            out = None
+            for b in batches:
+                if out is None:
+                    out = files.enter_context(committed(f"{folder.rstrip('/')}/part-{TaskContext.get().partitionId():05d}.pbf"))
+                    out.write(_blob(b"OSMHeader", _message((4, b"OsmSchema-V0.6"), (4, b"DenseNodes"))))
+                refs = [[] if r is None else list(map(int, r)) for r in b["refs"]]
+                rows = list(zip(b["element"], map(int, b["id"]), map(dict, b["tags"]), b["lon"], b["lat"], refs, strict=True))
+                for k in range(0, len(rows), PER_BLOCK):
+                    out.write(_blob(b"OSMData", encode_block(rows[k : k + PER_BLOCK])))
+                count += len(rows)
         yield pd.DataFrame({"n": [count]})
 
     elements.select("element", "id", "tags", "lon", "lat", "refs").mapInPandas(save, "n long").agg(F.sum("n")).collect()

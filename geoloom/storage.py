@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +32,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def opened(uri: str):
+    """The file system (Arrow's, for any scheme that it knows) and the path in it of a file that isn't a table; a bare path is a local one."""
+    from pyarrow import fs
+
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", uri))
+
+
+@contextlib.contextmanager
+def committed(uri: str) -> Iterator:
+    """A stream to a file that appears under its name only once it is whole, so a task that fails or runs twice leaves no part of one."""
+    system, path = opened(uri)
+    folder, _, name = path.rpartition("/")
+    system.create_dir(folder or ".", recursive=True)
+    part = f"{folder or '.'}/_{name}.{uuid.uuid4().hex}.part"
+    with system.open_output_stream(part) as out:
+        yield out
+    system.move(part, path)
