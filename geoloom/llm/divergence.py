@@ -117,6 +117,20 @@ def _meet(own: pa.Table, peers: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "g": pa.array(a, pa.int64()), "peer": pa.array(b, pa.int64()), "value": pa.array(value, pa.int64())})
 
 
+def numbered(kept: DataFrame) -> DataFrame:
+    """Terms in order with ``id`` from 0 without gaps, its ``block`` and the place ``at`` in it.
+
+    Each range of the order is numbered alone and starts where those before it end, so how many blocks there are follows from the terms, not from the ranges.
+    """
+    apart = kept.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").withColumn("_n", F.monotonically_increasing_id())
+    apart = materialise(apart.withColumn("_range", F.shiftright("_n", 33)), "ranges")
+    ends = apart.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = apart.join(F.broadcast(ends.select("_range", before.alias("_start"))), "_range")
+    placed = placed.withColumn("id", F.col("_start") + F.col("_n").bitwiseAND((1 << 33) - 1)).drop("_n", "_range", "_start")
+    return placed.withColumn("block", F.shiftright("id", BITS)).withColumn("at", F.col("id").bitwiseAND((1 << BITS) - 1).cast("long"))
+
+
 def _heaps(top: int):
     """The ``top`` terms of a group within a block by value, then by number, of those that it has more of than its language."""
 
@@ -142,7 +156,7 @@ def source_divergence(
     """How far the sources of each language are from one another, and by which terms from their language: (lang, source, part, item, value, rank).
 
     Terms are counted by block of text, then by group. Kept terms (in ``least_docs`` documents of their
-    language) are numbered in order and cut into blocks of 16,384; a group's counts in a block
+    language) are numbered in order without gaps and cut into blocks of 16,384; a group's counts in a block
     are one compressed vector. The groups of a language sit in slots: ``slots`` of them, more where a slot would hold over 64
     groups. In each round of a round-robin tournament every slot meets one other, of which one stays and
     the other's vectors come to it, and both directions of all their pairs are summed. ``rounds_at_once`` rounds
@@ -157,8 +171,7 @@ def source_divergence(
     base = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
     counts = materialise(term_counts(base, BLOCK).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs)
-    kept = kept.select("lang", "term", "total").repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").withColumn("id", F.monotonically_increasing_id())
-    kept = materialise(kept.withColumn("block", F.shiftright("id", BITS)).withColumn("at", F.col("id").bitwiseAND((1 << BITS) - 1).cast("long")), "kept")
+    kept = materialise(numbered(kept.select("lang", "term", "total")), "kept")
     held = materialise(counts.join(kept, ["lang", "term"]).select("lang", "source", "block", "at", "n", "total"), "held")
 
     blocks = kept.groupBy("lang", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("width"))  # of a language's terms in a block, which are consecutive

@@ -66,6 +66,19 @@ def test_edges(spark):
     assert found(spark.createDataFrame(rows, schema)) == brute(rows)
 
 
+def test_blocks_follow_from_the_terms_not_from_the_ranges(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "BITS", 3)
+    terms = spark.createDataFrame([("de" if k % 3 else "en", f"w{k:03}".encode(), k) for k in range(100)], "lang string, term binary, total long")
+    for key, value in (("spark.sql.shuffle.partitions", "29"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(key, value)
+    try:
+        rows = sorted(divergence.numbered(terms).collect(), key=lambda r: (r["lang"], r["term"]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r["id"], r["block"], r["at"]) for r in rows] == [(k, k >> 3, k & 7) for k in range(100)]
+
+
 def test_shares_are_exact():
     rng = np.random.default_rng(0)
     for total, terms in ((0, 1), (10**15, 10**9), (7, 3)):
