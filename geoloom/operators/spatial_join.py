@@ -24,6 +24,8 @@ from geoloom.schema import BOX, FEATURE, GEOMETRY, REGION, need, with_bounds
 
 #: Sizes are told apart by powers of two between these; levels of a grid at most.
 _LEAST, _MOST, LEVELS = -20, 9, 5
+#: Rows of a side up to which they may be sent to all tasks once they are multiplied.
+FEW = 20_000
 
 
 @dataclass(frozen=True)
@@ -33,6 +35,8 @@ class Ladder:
     sizes: tuple[float, ...]
     left: frozenset[int]
     right: frozenset[int]
+    #: Whether a side's rows, which are multiplied before they meet, are known to be few.
+    few: tuple[bool, bool] | None = None
 
     def entries(self, left: bool) -> list[tuple[int, float, Column]]:
         """What a side's rows stand for: a key per level and kind of meeting, the level's size, and which rows (by ``_own``) it goes for.
@@ -64,22 +68,35 @@ def ladder(left: DataFrame, right: DataFrame, points: tuple[bool, bool] = (False
     power = F.when(_side() <= 2.0**_LEAST, _LEAST).otherwise(F.least(F.lit(_MOST), F.ceil(F.log2(_side())).cast("int")))
     asked = [k for k, known in enumerate(points) if not known and not (k and right is left)]
     masks = {k: 1 for k, known in enumerate(points) if known}
+    few: dict[int, bool] = {}
     if asked:
         sizes = [df.filter(F.col("minx").isNotNull()).select(F.lit(k).alias("side"), (power - _LEAST).alias("power")) for k, df in enumerate((left, right)) if k in asked]
-        noted = functools.reduce(DataFrame.unionAll, sizes).agg(*[F.bit_or(F.when(F.col("side") == k, F.expr("shiftleft(1L, power)"))).alias(f"m{k}") for k in asked]).first()
+        noted = functools.reduce(DataFrame.unionAll, sizes).agg(
+            *[F.bit_or(F.when(F.col("side") == k, F.expr("shiftleft(1L, power)"))).alias(f"m{k}") for k in asked], *[F.count_if(F.col("side") == k).alias(f"n{k}") for k in asked]
+        ).first()
         masks |= {k: noted[f"m{k}"] or 0 for k in asked}
+        few |= {k: noted[f"n{k}"] <= FEW for k in asked}
     masks.setdefault(1, masks[0])  # a table joined with itself
+    few = (few.get(0, False), few.get(1, few.get(0, False) if right is left else False))
     found = [(k, p) for k in (0, 1) for p in range(_LEAST, _MOST + 1) if masks[k] >> (p - _LEAST) & 1]
     powers = sorted({p for _, p in found}, reverse=True)
     if not powers:
-        return Ladder((1.0,), frozenset({0}), frozenset({0}))
+        return Ladder((1.0,), frozenset({0}), frozenset({0}), few)
     step, levels = max(2, -(-(powers[0] - powers[-1]) // (LEVELS - 1))), powers[:1]
     for p in powers:
         if levels[-1] - p >= step:
             levels.append(p)
     levels = levels[::-1]
     own = [frozenset(next(k for k, size in enumerate(levels) if size >= p) for s, p in found if s == side) for side in (0, 1)]
-    return Ladder(tuple(2.0**p for p in levels), *own)
+    return Ladder(tuple(2.0**p for p in levels), *own, few)
+
+
+def _apart(left: DataFrame, grid: Ladder) -> DataFrame:
+    """The left side of a join of multiplied rows, which is kept from sending either side through the driver unless one is known to be small.
+
+    The planner goes by the size of the files that rows come from and sees neither how well those are packed nor that rows were multiplied.
+    """
+    return left if grid.few is None or any(grid.few) else left.hint("merge")
 
 
 def one_size(cell: float) -> Ladder:
@@ -132,7 +149,7 @@ def meeting(left: DataFrame, right: DataFrame, cell: float | None = None, points
     l = covered(left, grid, "l_", left=True, points=points[0])
     r = covered(right, grid, "r_", left=False, points=points[1]).drop("_size")
     here = (F.col("_cx") == F.floor(F.greatest("l_minx", "r_minx") / F.col("_size"))) & (F.col("_cy") == F.floor(F.greatest("l_miny", "r_miny") / F.col("_size")))
-    return l.join(r, ["_k", "_cx", "_cy"]).filter(boxes_meet() & here)
+    return _apart(l, grid).join(r, ["_k", "_cx", "_cy"]).filter(boxes_meet() & here)
 
 
 def _narrow(df: DataFrame, id_col: str, geometry: str | None) -> DataFrame:
@@ -208,7 +225,7 @@ def within_join(points: DataFrame, regions: DataFrame, *, cell: float | None = N
     placed = numbered.withColumn("_e", F.explode(sizes) if many else F.get(sizes, F.lit(0)))
     placed = placed.withColumns({"_k": F.col("_e._k"), "_cx": F.floor(F.col("lon") / F.col("_e._size")), "_cy": F.floor(F.col("lat") / F.col("_e._size"))})
     inside = (F.col("lon") > F.col("r_minx")) & (F.col("lon") < F.col("r_maxx")) & (F.col("lat") > F.col("r_miny")) & (F.col("lat") < F.col("r_maxy"))
-    l, r = placed.alias("p"), cells.alias("c")
+    l, r = _apart(placed, grid).alias("p"), cells.alias("c")
     here = (F.col("p._k") == F.col("c._k")) & (F.col("p._cx") == F.col("c._cx")) & (F.col("p._cy") == F.col("c._cy")) & inside
     own = [F.col(f"p.`{c}`") for c in points.columns]
     if not exact and (how != "left" or not many):

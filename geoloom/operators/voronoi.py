@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -76,25 +77,36 @@ def clipped(seed: np.ndarray, pieces: list[np.ndarray], others: np.ndarray) -> l
     return pieces
 
 
+def _spots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of (x, y, z) as one array of rows and the list's ends; null lists are empty."""
+    flat = column.flatten()
+    return np.stack([flat.field(k).to_numpy() for k in range(3)], 1), np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+
+
 def _clip(id_type: pa.DataType):
     """Cuts the pieces of each row by its candidates; ``radius`` is how far the region reaches from its seed, 9 if that is beyond a right angle."""
     vertex = pa.struct([(c, pa.float64()) for c in "xyz"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for sid, x, y, z, verts, sizes, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                flat = np.array([(v["x"], v["y"], v["z"]) for v in verts or ()]).reshape(-1, 3)
-                pieces = np.split(flat, np.cumsum(sizes)[:-1]) if sizes else _OCTANTS
-                seed = np.array([x, y, z])
-                pieces = clipped(seed, list(pieces), np.array([(v["x"], v["y"], v["z"]) for v in found or ()]).reshape(-1, 3))
+            seeds = np.stack([batch.column(k).to_numpy() for k in (1, 2, 3)], 1)
+            (corners, corner_ends), (others, other_ends) = _spots(batch.column(4)), _spots(batch.column(6))
+            flats, sizes, radii = [], [], []
+            for k, parts in enumerate(batch.column(5).to_pylist()):
+                seed = seeds[k]
+                flat = corners[corner_ends[k - 1] if k else 0 : corner_ends[k]]
+                pieces = np.split(flat, np.cumsum(parts)[:-1]) if parts else _OCTANTS
+                pieces = clipped(seed, list(pieces), others[other_ends[k - 1] if k else 0 : other_ends[k]])
                 flat = np.concatenate(pieces)
                 near = float(np.clip((flat @ seed).min(), -1, 1))
-                radius = math.acos(near) if near > 0.1 else 9.0
-                out.append((sid, x, y, z, [dict(zip("xyz", v, strict=True)) for v in flat.tolist()], [len(p) for p in pieces], radius))
-            if out:
-                kinds = [id_type, pa.float64(), pa.float64(), pa.float64(), pa.list_(vertex), pa.list_(pa.int32()), pa.float64()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["sid", "x", "y", "z", "verts", "sizes", "radius"])
+                flats.append(flat)
+                sizes.append([len(p) for p in pieces])
+                radii.append(math.acos(near) if near > 0.1 else 9.0)
+            if flats:
+                ends = pa.array(np.cumsum([0, *map(len, flats)]), pa.int32())
+                spots = pa.StructArray.from_arrays(list(map(pa.array, np.concatenate(flats).T)), fields=list(vertex))
+                columns = [batch.column(0).cast(id_type), *batch.columns[1:4], pa.ListArray.from_arrays(ends, spots), pa.array(sizes, pa.list_(pa.int32())), pa.array(radii, pa.float64())]
+                yield pa.record_batch(columns, names=["sid", "x", "y", "z", "verts", "sizes", "radius"])
 
     return run
 
@@ -122,7 +134,8 @@ def regions(seeds: DataFrame, seed_id: str) -> DataFrame:
         around = around.withColumns({"i": F.col("ci") + F.col("s.a"), "j": F.col("cj") + F.col("s.b"), "k": F.col("ck") + F.col("s.c")})
         gain = lambda v: v["x"] * (F.col("ox") - F.col("x")) + v["y"] * (F.col("oy") - F.col("y")) + v["z"] * (F.col("oz") - F.col("z"))
         cuts = F.col("verts").isNull() | F.exists("verts", lambda v: gain(v) > _EPS)
-        found = around.join(there, ["i", "j", "k"]).filter((F.col("sid") != F.col("other")) & cuts)
+        # the planner doesn't see that rows were multiplied by 27 and would send all of them through the driver
+        found = around.hint("merge").join(there, ["i", "j", "k"]).filter((F.col("sid") != F.col("other")) & cuts)
         found = found.groupBy("sid").agg(F.collect_list(F.struct(*[F.col(f"o{c}").alias(c) for c in "xyz"])).alias("found"))
         met = left.join(found, "sid", "left").select("sid", "x", "y", "z", "verts", "sizes", "found")
         table = written(met.mapInArrow(_clip(arrow_id), f"sid {id_type.simpleString()}, {_STATE}"), "regions")
