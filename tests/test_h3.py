@@ -81,3 +81,13 @@ def test_cover_holds_every_place_of_an_area():
     assert whole < cells and (G.locate(h3.centres(np.array(sorted(whole))), shape[1][0]) >= 0).all()
     with pytest.raises(ValueError):
         h3.check_res(16)
+
+
+def test_paths_of_many_pairs_are_worked_out_together(monkeypatch):
+    lon, lat = np.linspace(16.8, 17.2, 400), np.linspace(51.0, 51.2, 400)[::-1]
+    cells = h3.cells_of(lon, lat, 8)
+    alone = [h3.path(a, b).tolist() for a, b in zip(cells[:-7].tolist(), cells[7:].tolist(), strict=True)]
+    calls = []
+    monkeypatch.setattr(h3, "_cells_at", lambda p, res, own=h3._cells_at: calls.append(len(p)) or own(p, res))
+    assert [p.tolist() for p in h3.paths(cells[:-7], cells[7:])] == alone and len(calls) == 1
+    assert all(p[0] == a and p[-1] == b for p, a, b in zip(alone, cells[:-7].tolist(), cells[7:].tolist(), strict=True))
