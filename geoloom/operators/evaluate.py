@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from geoloom.functions.scalars import EARTH_RADIUS_M, haversine_m, mape_term, smape_term
 
@@ -153,18 +154,27 @@ def dtw_metres(true: Column, predicted: Column, radius: int | None = None) -> Co
     Exact without a radius; with one, linear in the length of the sequences and never below the exact cost.
     """
 
-    @pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        import numpy as np
+    @arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for (p, starts), (q, others) in zip(_radians(a), _radians(b), strict=True):
+            out += [warped(p[i:j], q[k:m], radius) if i < j and k < m else None for i, j, k, m in zip(starts[:-1], starts[1:], others[:-1], others[1:], strict=True)]
+        return pa.array(out, pa.float64())
 
-        def one(x, y):
-            if x is None or y is None or not len(x) or not len(y):
-                return None
-            return warped(*(np.radians([[c["lon"], c["lat"]] for c in s]) for s in (x, y)), radius)
+    places = lambda c: F.transform(c, lambda e: F.struct(e["lon"].cast("double").alias("lon"), e["lat"].cast("double").alias("lat")))
+    return run(places(true), places(predicted))
 
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    return run(true, predicted)
+def _radians(lists: pa.Array, rows: int = 64):
+    """Lists of (lon, lat) some at a time: their places in radians as one array and where each list starts; null lists are empty. No place becomes a Python object."""
+    import numpy as np
+
+    for k in range(0, len(lists), rows):
+        part = lists.slice(k, rows)
+        flat = part.flatten()
+        n = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+        spots = [np.asarray(flat.field(c).to_numpy(zero_copy_only=False), float) for c in (0, 1)]
+        yield np.radians(np.stack(spots, 1)), [0, *np.cumsum(n).tolist()]
 
 
 def mobility_metrics(pairs: DataFrame, *, true: str = "true_cells", predicted: str = "predicted_cells", k: int | None = None) -> DataFrame:

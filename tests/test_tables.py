@@ -475,3 +475,14 @@ def test_spatial_split_in_rounds(spark, monkeypatch):
         cell = (int((r["lon"] + 180) / 360 * 512), int((1 - math.asinh(math.tan(math.radians(r["lat"]))) / math.pi) / 2 * 512))
         assert where.setdefault(cell, r["split"]) == r["split"]
     assert len(where) > 1_000
+
+
+def test_warping_reads_places_as_arrays(spark):
+    import pyarrow as pa
+
+    lists = pa.array([[(1.0, 2.0)], None, [], [(3.0, 4.0), (5.0, 6.0)]], pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())])))
+    got = [(np.degrees(p).round(9).tolist(), starts) for p, starts in evaluate._radians(lists.slice(1), rows=2)]
+    assert got == [([], [0, 0, 0]), ([[3.0, 4.0], [5.0, 6.0]], [0, 2])]
+    line = "array<struct<lon:double,lat:double>>"
+    d = spark.createDataFrame([(1, [(0.0, 0.0)], None), (2, [(0.0, 0.0)], []), (3, [(0.0, 0.0)], [(0.0, 0.0)])], f"k int, a {line}, b {line}")
+    assert {r["k"]: r["d"] for r in d.select("k", evaluate.dtw_metres(F.col("a"), F.col("b")).alias("d")).collect()} == {1: None, 2: None, 3: 0.0}
