@@ -36,8 +36,17 @@ def parted(points: DataFrame, *, trip: str, order: str, part_rows: int = PART_RO
     long = bound.join(written(counted.select(trip), "long_trips"), trip, "left_semi")
     cuts = long.groupBy(trip).agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 100 * parts).alias("_cuts"))
     marked = points.join(written(cuts, "cuts"), trip, "left")
-    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))
-    return marked.withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(part)).drop("_cuts")
+    return marked.withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(_below(F.col("_cuts"), F.col(order), parts - 1))).drop("_cuts")
+
+
+def _below(cuts: Column, value: Column, most: int) -> Column:
+    """How many of ascending cuts (``most`` at most) lie below a value: halved step by step, so a row looks at few of them; 0 for a null value."""
+    step, steps = 1, []
+    while step <= most:
+        steps.append(step)
+        step *= 2
+    sure = lambda at, k: F.coalesce(F.get(cuts, at + k - 1) < value, F.lit(False))
+    return F.aggregate(F.array(*[F.lit(k) for k in steps[::-1]]), F.lit(0), lambda at, k: F.when(sure(at, k), at + k).otherwise(at)) if steps else F.lit(0)
 
 
 def _by_part(parts: DataFrame, trip: str, ends: list[Column], sums: list[Column]) -> DataFrame:

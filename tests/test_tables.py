@@ -486,3 +486,10 @@ def test_warping_reads_places_as_arrays(spark):
     line = "array<struct<lon:double,lat:double>>"
     d = spark.createDataFrame([(1, [(0.0, 0.0)], None), (2, [(0.0, 0.0)], []), (3, [(0.0, 0.0)], [(0.0, 0.0)])], f"k int, a {line}, b {line}")
     assert {r["k"]: r["d"] for r in d.select("k", evaluate.dtw_metres(F.col("a"), F.col("b")).alias("d")).collect()} == {1: None, 2: None, 3: 0.0}
+
+
+def test_parts_of_a_long_trip_are_found_by_halving(spark):
+    cuts = [3, 3, 5, 8, 8, 8, 13]
+    d = spark.createDataFrame([(v, cuts[:n]) for n in range(8) for v in [*range(16), None]], "v int, cuts array<int>")
+    got = d.select("v", "cuts", trajectories._below(F.col("cuts"), F.col("v"), 7).alias("n")).collect()
+    assert all(r["n"] == sum(r["v"] is not None and c < r["v"] for c in r["cuts"]) for r in got)
