@@ -398,3 +398,14 @@ def test_multiplied_rows_are_not_sent_to_all(spark, tmp_path):
     for joined in (J.within_join(p, boxes, how="inner"), J.intersects_join(p.withColumnRenamed("k", "region_id"), boxes.withColumnRenamed("region_id", "feature_id"))):
         assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
     assert J.within_join(p, boxes, how="inner").count() == 40_000
+
+
+def test_buffers_of_many_points_are_worked_out_together(spark, monkeypatch):
+    from geoloom.functions import geometry as G
+
+    xy = np.stack([np.linspace(-179.5, 179.5, 60), np.linspace(-88, 88, 60)], 1)
+    want = [G.buffer_metres(G.point(*p), 700.0)[1][0][0] for p in xy]
+    monkeypatch.setattr(G, "convex_hull", lambda r, own=G.convex_hull, calls=[]: calls.append(1) or (own(r) if len(calls) == 1 else None))
+    got = G.points_buffered(G._single_points([G.to_wkb(G.point(*p)) for p in xy]), 700.0)
+    assert all(np.allclose(G.from_wkb(a)[1][0][0], b, rtol=0, atol=1e-9) for a, b in zip(got, want, strict=True))
+    assert G._single_points([G.to_wkb(G.point(1, 2)), None]) is None and G._single_points([G.to_wkb(G.box(0, 0, 1, 1))]) is None
