@@ -409,3 +409,23 @@ def test_buffers_of_many_points_are_worked_out_together(spark, monkeypatch):
     got = G.points_buffered(G._single_points([G.to_wkb(G.point(*p)) for p in xy]), 700.0)
     assert all(np.allclose(G.from_wkb(a)[1][0][0], b, rtol=0, atol=1e-9) for a, b in zip(got, want, strict=True))
     assert G._single_points([G.to_wkb(G.point(1, 2)), None]) is None and G._single_points([G.to_wkb(G.box(0, 0, 1, 1))]) is None
+
+
+def test_points_are_written_bounded_and_cut_without_the_codec(spark, monkeypatch):
+    import pandas as pd
+
+    from geoloom.functions import geometry as G
+
+    x, y = np.array([0.0, 1.0, 2.0, 1.5]), np.array([0.0, 1.0, 0.5, 3.0])
+    raws = [G.to_wkb(G.point(*p)) for p in zip(x, y, strict=True)]
+    for name in ("from_wkb", "to_wkb"):
+        monkeypatch.setattr(G, name, None)
+    udf = lambda c: c.func if hasattr(c, "func") else c
+    assert G.points_wkb(x, y) == raws
+    seen = {}
+    monkeypatch.setattr(G, "pandas_udf", lambda kind: lambda f: lambda *columns: seen.setdefault("f", udf(f)))
+    G.st_bounds(None)
+    assert seen.pop("f")(pd.Series(raws)).to_numpy().tolist() == np.stack([x, y, x, y], 1).tolist()
+    G.st_clip_box(None, None, None, None, None)
+    box = [pd.Series([v] * 4) for v in (0.0, 0.0, 2.0, 1.0)]
+    assert seen.pop("f")(pd.Series(raws), *box).tolist() == [*raws[:3], None]
