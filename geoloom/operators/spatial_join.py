@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import geometry as G
 from geoloom.functions.overlay import st_clip, st_overlay, st_union_all
 from geoloom.schema import BOX, FEATURE, GEOMETRY, REGION, need, with_bounds
+from geoloom.storage import spread
 
 
 #: Sizes are told apart by powers of two between these; levels of a grid at most.
@@ -182,7 +183,7 @@ def intersects_join(
         side = {}
         for p in ("l_", "r_"):
             side[p] = F.col(f"{p}geometry") if f"{p}geometry" in pairs.columns else _box_wkb(p)
-        pairs = pairs.filter(G.st_intersects(side["l_"], side["r_"]))
+        pairs = spread(pairs).filter(G.st_intersects(side["l_"], side["r_"]))
     if not return_geometry:
         return pairs.select(region_id, feature_id)
     shared = [
@@ -203,7 +204,7 @@ def _box_wkb(prefix: str) -> Column:
     def make(a, b, c, d):
         import pandas as pd
 
-        return pd.Series([G.to_wkb(G.point(x, y) if x == z and y == w else G.box(x, y, z, w)) for x, y, z, w in zip(a, b, c, d, strict=True)], dtype=object)
+        return pd.Series(G.boxes_wkb(*[v.to_numpy(float) for v in (a, b, c, d)]), dtype=object)
 
     make.__annotations__ = {}
     return make(*[F.col(f"{prefix}{c}") for c in BOX])
@@ -248,7 +249,7 @@ def touches_join(regions: DataFrame, *, cell: float | None = None, region_id: st
     grid = ladder(side, side) if cell is None else one_size(cell)
     pairs = meeting(l, r, grid=grid).filter("region_id <> neighbour_id")
     if exact:
-        return pairs.filter(G.st_touches(F.col("l_geometry"), F.col("r_geometry"))).select("region_id", "neighbour_id")
+        return spread(pairs).filter(G.st_touches(F.col("l_geometry"), F.col("r_geometry"))).select("region_id", "neighbour_id")
     edge = (F.greatest("l_minx", "r_minx") == F.least("l_maxx", "r_maxx")) | (F.greatest("l_miny", "r_miny") == F.least("l_maxy", "r_maxy"))
     return pairs.filter(edge).select("region_id", "neighbour_id")
 
@@ -266,7 +267,7 @@ def semi_join(rows: DataFrame, areas: DataFrame, *, cell: float | None = None, i
         pairs = pairs.filter("l_minx >= r_minx and l_maxx <= r_maxx and l_miny >= r_miny and l_maxy <= r_maxy")
     if exact:
         side = {p: F.col(f"{p}geometry") if f"{p}geometry" in pairs.columns else _box_wkb(p) for p in ("l_", "r_")}
-        pairs = pairs.filter((G.st_within if contained else G.st_intersects)(side["l_"], side["r_"]))
+        pairs = spread(pairs).filter((G.st_within if contained else G.st_intersects)(side["l_"], side["r_"]))
     return rows.join(pairs.select(id_col).distinct(), id_col, "left_semi")
 
 

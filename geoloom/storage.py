@@ -1,4 +1,4 @@
-"""The folder that the driver and all executors share, and lineage cuts through Parquet in it."""
+"""The folder that the driver and all executors share, lineage cuts through Parquet in it, and rows dealt over all cores."""
 
 from __future__ import annotations
 
@@ -34,6 +34,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over all cores, for rows that cost much each: files of narrow rows hold millions in what the planner reads as one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def opened(uri: str):
     """The file system (Arrow's, for any scheme that it knows) and the path in it of a file that isn't a table; a bare path is a local one."""
     from pyarrow import fs

@@ -53,3 +53,32 @@ def test_lines_and_points_are_clipped():
     got = O.clipped(line, mask)
     assert sorted((p[0][0, 0], p[0][-1, 0]) for p in got[1]) == [(0, 1), (2, 4)]
     assert len(O.clipped(G.point(3, 3), mask)[1]) == 1 and not O.clipped(G.point(1.5, 1), mask)[1]
+
+
+def test_many_pairs_are_cut_as_each_alone(monkeypatch):
+    rng = np.random.default_rng(4)
+    ring = O.overlay(G.box(0, 0, 4, 4), G.box(1, 1, 2, 2), "difference")
+    shapes = [G.box(x, y, x + w, y + 2) for x, y, w in rng.integers(1, 5, (40, 3))] + [ring, G.merged([G.box(0, 0, 1, 1), G.box(2, 2, 3, 5)]), ("polygon", [])]
+    a, b = ([shapes[k] for k in rng.integers(0, len(shapes), 150)] for _ in range(2))
+    alone = [G.intersects(x, y) for x, y in zip(a, b, strict=True)]
+    monkeypatch.setattr(G, "_TOGETHER", 7)  # as many edges are looked at together as a small slice holds
+    assert G.intersects_all(a, b).tolist() == alone
+    for how in ("intersection", "union", "difference"):
+        for x, y, got in zip(a, b, O.overlays(a, b, how), strict=True):
+            assert G.to_wkb(got) == G.to_wkb(O.overlay(x, y, how))
+
+
+def test_pairs_of_one_small_file_are_cut_by_all_cores(spark):
+    """The exact steps come after a shuffle that deals the pairs, and each runs once."""
+    from pyspark.sql import functions as F
+
+    from geoloom.operators import spatial_join
+
+    k = F.col("id")
+    r = spark.range(2).select(k.alias("region_id"), k.cast("double").alias("minx"), F.lit(0.0).alias("miny"), (k + 1.0).alias("maxx"), F.lit(1.0).alias("maxy"))
+    f = spark.range(40).coalesce(1).select(k.alias("feature_id"), (k / 20).alias("minx"), F.lit(0.5).alias("miny"), (k / 20 + 0.1).alias("maxx"), F.lit(2.0).alias("maxy"))
+    r, f = (x.withColumn("geometry", spatial_join._box_wkb("")) for x in (r, f))
+    got = spatial_join.intersects_join(r, f, cell=0.5, return_geometry=True).filter("geometry is not null")
+    assert got.groupBy().agg(F.round(F.sum(G.st_area(F.col("geometry"))), 9)).first()[0] == pytest.approx(39 * 0.1 * 0.5 + 0.05 * 0.5)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("run(") == 2 and plan.index("run(l_geometry") < plan.index("Repartition")
