@@ -223,7 +223,7 @@ def within_join(points: DataFrame, regions: DataFrame, *, cell: float | None = N
     many = len(mine) > 1
     numbered = points.withColumn("_point", F.monotonically_increasing_id()) if how == "left" else points
     sizes = F.array(*[F.struct(F.lit(key).alias("_k"), F.lit(size).alias("_size")) for key, size, _ in mine])
-    placed = numbered.withColumn("_e", F.explode(sizes) if many else F.get(sizes, F.lit(0)))
+    placed = (spread(numbered) if exact else numbered).withColumn("_e", F.explode(sizes) if many else F.get(sizes, F.lit(0)))
     placed = placed.withColumns({"_k": F.col("_e._k"), "_cx": F.floor(F.col("lon") / F.col("_e._size")), "_cy": F.floor(F.col("lat") / F.col("_e._size"))})
     inside = (F.col("lon") > F.col("r_minx")) & (F.col("lon") < F.col("r_maxx")) & (F.col("lat") > F.col("r_miny")) & (F.col("lat") < F.col("r_maxy"))
     l, r = _apart(placed, grid).alias("p"), cells.alias("c")

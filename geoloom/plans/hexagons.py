@@ -10,6 +10,7 @@ from geoloom.functions import geometry as G
 from geoloom.functions import h3
 from geoloom.operators import labels, neighbourhoods, regionalizers, spatial_join
 from geoloom.plans.inputs import PTS, REGS, TRACKS, box_regions, points, query, table, track_points
+from geoloom.storage import spread, written
 
 #: All places of the input tables lie on this face and in this base cell.
 FACE, BASE = 4, 15
@@ -53,7 +54,7 @@ def sql_h3(res: int, source: str = PTS) -> str:
 
 
 def _hexed(spark, sf_dir, res=RES):
-    return points(spark, sf_dir).withColumn("cell", h3.h3_cell(F.col("lon"), F.col("lat"), res))
+    return spread(points(spark, sf_dir)).withColumn("cell", h3.h3_cell(F.col("lon"), F.col("lat"), res))
 
 
 def _cells(spark, sf_dir, res=RES):
@@ -91,7 +92,7 @@ def j2_h3_shapes(spark, sf_dir):
 
 @query("j2b_h3_polygons", f"WITH {sql_h3(RES)} SELECT region_id, 6 AS corners, count(*) AS points FROM hexed GROUP BY region_id")
 def j2b_h3_polygons(spark, sf_dir):
-    shapes = _cells(spark, sf_dir).select(h3.h3_text(F.col("cell")).alias("region_id"), h3.h3_polygon(F.col("cell")).alias("geometry"))
+    shapes = written(_cells(spark, sf_dir).select(h3.h3_text(F.col("cell")).alias("region_id"), h3.h3_polygon(F.col("cell")).alias("geometry")), "cells")
     text = G.st_as_wkt(F.col("geometry"))
     corners = shapes.select("region_id", (F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))).cast("int").alias("corners"))
     held = spatial_join.within_join(points(spark, sf_dir).select("feature_id", "lon", "lat"), shapes, cell=0.02, how="inner")

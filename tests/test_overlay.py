@@ -82,3 +82,19 @@ def test_pairs_of_one_small_file_are_cut_by_all_cores(spark):
     assert got.groupBy().agg(F.round(F.sum(G.st_area(F.col("geometry"))), 9)).first()[0] == pytest.approx(39 * 0.1 * 0.5 + 0.05 * 0.5)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("run(") == 2 and plan.index("run(l_geometry") < plan.index("Repartition")
+
+
+def test_points_of_one_small_file_are_placed_by_all_cores(spark):
+    """A point on an edge lies in no polygon, one in a part of a multipolygon in it; other points are kept once."""
+    from pyspark.sql import functions as F
+
+    from geoloom.operators import spatial_join
+
+    two = G.merged([G.box(0, 0, 1, 1), G.box(2, 0, 3, 1)])
+    areas = spark.createDataFrame([("two", bytearray(G.to_wkb(two))), ("cut", bytearray(G.to_wkb(G.polygon([(0, 0), (3, 0), (0, 3)]))))], "region_id string, geometry binary")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 0.5), (3, 2.5, 0.75), (4, 1.0, 0.5), (5, 9.0, 9.0)], "feature_id long, lon double, lat double").coalesce(1)
+    got = spatial_join.within_join(points, areas, cell=1.0)
+    rows = sorted((r["feature_id"], r["region_id"] or "") for r in got.select("feature_id", "region_id").collect())
+    assert rows == [(1, "cut"), (1, "two"), (2, "cut"), (3, "two"), (4, "cut"), (5, "")]
+    inner = spatial_join.within_join(points, areas, cell=1.0, how="inner").select("feature_id", F.col("region_id"))
+    assert "Repartition" in inner._jdf.queryExecution().optimizedPlan().toString()
