@@ -18,7 +18,7 @@ from geoloom.operators import embedders, filters, regionalizers, spatial_join
 from geoloom.optional import optional_import
 from geoloom.plans.inputs import BOXES, PTS, REGS, TAGS, box_features, box_regions, points, query, sql_lon, sql_tiled, table, tagged
 from geoloom.sources import datasets, files, gtfs, osm, pbf
-from geoloom.storage import new_path, written
+from geoloom.storage import committed, new_path, written
 
 AREA = (16.90005, 51.06005, 17.10005, 51.15005)
 _IN_AREA = "lon BETWEEN CAST(16.90005 AS DOUBLE) AND CAST(17.10005 AS DOUBLE) AND lat BETWEEN CAST(51.06005 AS DOUBLE) AND CAST(51.15005 AS DOUBLE)"
@@ -264,13 +264,11 @@ def a15_plt_logs(spark, sf_dir):
 
     def save(batches):
         import pandas as pd
-        from pathlib import Path
 
         for b in batches:
             for user, t, body in b.itertuples(index=False):
-                path = Path(root.removeprefix("file:")) / str(user) / "Trajectory" / f"t{t}.plt"
-                path.parent.mkdir(parents=True, exist_ok=True)
-                path.write_text(body)
+                with committed(f"{root}/{user}/Trajectory/t{t}.plt") as out:
+                    out.write(body.encode())
             yield pd.DataFrame({"n": [len(b)]})
 
     rows.mapInPandas(save, "n long").agg(F.sum("n")).collect()

@@ -13,7 +13,7 @@ from geoloom.functions.geometry import Geometry
 from geoloom.operators.filters import within_quantiles
 from geoloom.operators.spatial_join import clip, clip_to
 from geoloom.schema import BOX, FEATURE, GEOMETRY, need, to_features
-from geoloom.storage import committed, opened
+from geoloom.storage import committed, opened, spread
 
 log = logging.getLogger(__name__)
 
@@ -67,9 +67,10 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, *, schema: str
 def read_plt(spark: SparkSession, root: str) -> DataFrame:
     """Trajectory logs ``<root>/<user>/Trajectory/<trip>.plt``: user_id, trip_id, ts, lon, lat, altitude.
 
-    Six header lines are dropped by their shape: a data line has seven comma-separated fields.
+    Six header lines are dropped by their shape: a data line has seven comma-separated fields. Logs are many and small, so the driver doesn't list
+    them: one task names the users' folders, and those are dealt to tasks that list and read them.
     """
-    lines = spark.read.text(f"{root}/*/Trajectory/*.plt").select("value", F.col("_metadata.file_path").alias("path"))
+    lines = _log_lines(spark, root)
     f = F.split("value", ",")
     rows = lines.filter(F.size(f) == 7).filter(f[0].try_cast("double").isNotNull() & f[5].rlike(r"^\d{4}-\d\d-\d\d$"))
     return rows.select(
@@ -82,6 +83,49 @@ def read_plt(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _log_lines(spark: SparkSession, root: str) -> DataFrame:
+    """The lines of all logs (value) with their files' paths; through Spark's own reader where Arrow knows no file system for ``root``."""
+    try:
+        opened(root)
+    except (ValueError, OSError):
+        return spark.read.text(f"{root}/*/Trajectory/*.plt").select("value", F.col("_metadata.file_path").alias("path"))
+
+    def users(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        for b in batches:
+            system, place = opened(root)
+            found = [f.path for f in system.get_file_info(fs.FileSelector(place)) if f.type == fs.FileType.Directory] if len(b) else []
+            for k in range(0, len(found), 10_000):
+                yield pd.DataFrame({"folder": found[k : k + 10_000]})
+
+    def read(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        system, _ = opened(root)
+        values, paths = [], []
+        for b in batches:
+            for folder in b["folder"]:
+                for f in system.get_file_info(fs.FileSelector(f"{folder}/Trajectory", allow_not_found=True)):
+                    if f.type != fs.FileType.File or not f.base_name.endswith(".plt") or f.base_name.startswith(("_", ".")):
+                        continue
+                    with system.open_input_file(f.path) as log_file:
+                        got = log_file.read().splitlines()
+                    for k in range(0, len(got), 50_000):
+                        values += [v.decode("utf-8", "replace") for v in got[k : k + 50_000]]
+                        paths += [f.path] * (len(values) - len(paths))
+                        if len(values) >= 20_000:
+                            yield pd.DataFrame({"value": values, "path": paths})
+                            values, paths = [], []
+        if values:
+            yield pd.DataFrame({"value": values, "path": paths})
+
+    folders = spark.range(0, 1, 1, 1).mapInPandas(users, "folder string")
+    return spread(folders).mapInPandas(read, "value string, path string")
+
+
 def quantile_filtered(spark: SparkSession, paths: Sequence[str], column: str, target: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Several Parquet files as one, its outliers removed, written with zstd and read again."""
     within_quantiles(spark.read.parquet(*paths), F.col(column), low, high).write.option("compression", "zstd").parquet(target)

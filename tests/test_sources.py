@@ -234,3 +234,20 @@ def test_geoparquet_keeps_neighbours_together(spark, tmp_path):
     got = spark.read.parquet(path).filter(f"lon between {area[0]} and {area[2]} and lat between {area[1]} and {area[3]}")
     want = points.filter(f"lon between {area[0]} and {area[2]} and lat between {area[1]} and {area[3]}")
     assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want.collect()) and want.count() > 200
+
+
+def test_logs_are_listed_and_read_by_tasks(spark, tmp_path):
+    """No job of the driver lists each file; lines may end either way, other files are passed over."""
+    for user in range(40):
+        folder = tmp_path / str(user) / "Trajectory"
+        folder.mkdir(parents=True)
+        end = "\r\n" if user % 2 else "\n"
+        for trip in ("a", "b"):
+            lines = ["a log", "0,2,255,track,0,0,2,8421376", *[f"51.{k},17.{user},0,100,39000.5,2024-01-0{k + 1},00:00:0{k}" for k in range(3)]]
+            (folder / f"{trip}.plt").write_text(end.join(lines), newline="")
+        (folder / "_c.plt.part").write_text("51.0,17.0,0,100,39000.5,2024-01-01,00:00:00")
+    (tmp_path / "labels.txt").write_text("none")
+    got = files.read_plt(spark, str(tmp_path))
+    counts = {(r["user_id"], r["trip_id"]): r["count"] for r in got.groupBy("user_id", "trip_id").count().collect()}
+    assert counts == {(str(u), f"{u}_{t}"): 3 for u in range(40) for t in "ab"}
+    assert got.filter("ts is null or lon is null").count() == 0 and "Scan text" not in got._jdf.queryExecution().executedPlan().toString()
