@@ -458,6 +458,40 @@ def test_late_points_and_expiry_of_a_stream(spark, tmp_path):
     assert [r["k"] for r in spark.read.parquet(f"{tmp_path}/out").filter("trip_id < 9").orderBy("k").collect()] == [0, 1, 5, 6]
 
 
+def test_trips_of_a_stream_share_states(spark, tmp_path, monkeypatch):
+    from geoloom.streaming import trips
+
+    day = lambda d: 86_400 * d
+    far, old, none = [(0, 0.1), (day(500), 0.1), (day(1000), 0.2)], [(-day(3000), 0.1), (0, 0.1)], [(0, 0.1), (1, None), (2, None), (3, 0.1), (4, 0.1)]
+    named = [(1 << 60, far), (1 + (1 << 60), far), (None, none), (7, old), *((k, [(k + j, 0.1 * (j // 3)) for j in range(9)]) for k in range(100, 160))]
+    pts = [(t, j, s, 16.0 + lon if lon is not None else None, 51.0) for t, p in named for j, (s, lon) in enumerate(p)]
+    df = spark.createDataFrame(pts, "trip_id long, k long, s long, lon double, lat double").withColumn("ts", F.timestamp_seconds("s")).drop("s").repartition(3)
+    text = df.withColumn("trip_id", F.col("trip_id").cast("string"))
+    setting, place = "spark.sql.shuffle.partitions", f"{tmp_path}/replay"
+    before = spark.conf.get(setting)
+    monkeypatch.setattr(trips, "new_path", lambda spark, label: place)
+    spark.conf.set(setting, "12")
+    try:
+        got = trips.replayed_cells(spark, df, trip="trip_id", order="ts", tie="k", zoom=14, batches=2)
+        asked = spark.conf.get(setting)
+    finally:
+        spark.conf.set(setting, before)
+    values = lambda d: sorted(d.select("trip_id", F.unix_micros("ts").alias("us"), "k", "x", "y").collect(), key=str)
+    want = trajectories.to_cells(df, trip="trip_id", order="ts", zoom=14, tie="k")
+    assert got.schema["trip_id"].dataType == df.schema["trip_id"].dataType and values(got) == values(want)
+    assert asked == "12" and len(list((tmp_path / "replay/state/state/0").glob("[0-9]*"))) == spark.sparkContext.defaultParallelism == 4
+
+    df.write.parquet(f"{tmp_path}/in")
+    stream = trips.consecutive_cells(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), trip="trip_id", order="ts", tie="k", zoom=14, lateness="4000 days", expiry_ms=1000, buckets=5)
+    run = stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert 0 < run.lastProgress.stateOperators[0].numRowsTotal <= 5  # states, not one per trip
+
+    place = f"{tmp_path}/text"
+    got = trips.replayed_cells(spark, text, trip="trip_id", order="ts", tie="k", zoom=14)
+    assert values(got) == values(trajectories.to_cells(text, trip="trip_id", order="ts", zoom=14, tie="k"))
+
+
 def test_spatial_split_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(splits, "LAST_CELLS", 40)
     rng = np.random.default_rng(13)
