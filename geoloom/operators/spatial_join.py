@@ -25,6 +25,8 @@ from geoloom.storage import spread
 
 #: Sizes are told apart by powers of two between these; levels of a grid at most.
 _LEAST, _MOST, LEVELS = -20, 9, 5
+#: Levels for points, which stand for one cell on each: more of them keep crowds of points from meeting much smaller boxes on large cells.
+POINT_LEVELS = 8
 #: Rows of a side up to which they may be sent to all tasks once they are multiplied.
 FEW = 20_000
 
@@ -60,11 +62,11 @@ def _side() -> Column:
     return F.greatest(F.col("maxx").cast("double") - F.col("minx").cast("double"), F.col("maxy").cast("double") - F.col("miny").cast("double"))
 
 
-def ladder(left: DataFrame, right: DataFrame, points: tuple[bool, bool] = (False, False)) -> Ladder:
+def ladder(left: DataFrame, right: DataFrame, points: tuple[bool, bool] = (False, False), most: int = LEVELS) -> Ladder:
     """The levels for two tables of boxes, from one pass that notes which powers of two their boxes' sizes have (a bit each); a table that is known to hold ``points`` isn't read.
 
     From the largest down a size becomes a level if it is at least a step below the last one; a step
-    is two powers, or more where over ``LEVELS`` levels would come of it. A box takes the least level not smaller than itself.
+    is two powers, or more where over ``most`` levels would come of it. A box takes the least level not smaller than itself.
     """
     power = F.when(_side() <= 2.0**_LEAST, _LEAST).otherwise(F.least(F.lit(_MOST), F.ceil(F.log2(_side())).cast("int")))
     asked = [k for k, known in enumerate(points) if not known and not (k and right is left)]
@@ -83,7 +85,7 @@ def ladder(left: DataFrame, right: DataFrame, points: tuple[bool, bool] = (False
     powers = sorted({p for _, p in found}, reverse=True)
     if not powers:
         return Ladder((1.0,), frozenset({0}), frozenset({0}), few)
-    step, levels = max(2, -(-(powers[0] - powers[-1]) // (LEVELS - 1))), powers[:1]
+    step, levels = max(2, -(-(powers[0] - powers[-1]) // (most - 1))), powers[:1]
     for p in powers:
         if levels[-1] - p >= step:
             levels.append(p)
@@ -217,7 +219,7 @@ def within_join(points: DataFrame, regions: DataFrame, *, cell: float | None = N
     """
     exact = GEOMETRY in regions.columns
     boxes = with_bounds(regions).select(region_id, *BOX, *([F.col(GEOMETRY).alias("r_geometry")] if exact else []))
-    grid = ladder(points, boxes, (True, False)) if cell is None else one_size(cell)
+    grid = ladder(points, boxes, (True, False), POINT_LEVELS) if cell is None else one_size(cell)
     cells = covered(boxes, grid, "r_", left=False).drop("_size")
     mine = grid.entries(left=True)
     many = len(mine) > 1

@@ -658,7 +658,8 @@ def j4a_many_regions(spark, sf_dir):
     lat = F.when(crowd, spread(15_485, 99_991) * 2 + 50).otherwise(spread(1_299_709, 999_983) * 178 - 89)
     seeds = table(spark, sf_dir, "customer").select(k.alias("region_id"), lon.alias("lon"), lat.alias("lat"))
     cells = written(regionalizers.voronoi_polygons(seeds, step_degrees=5.0), "cells")
-    hit = spatial_join.within_join(seeds.withColumnRenamed("region_id", "seed"), cells, how="inner")
+    # a region across the antimeridian has a box around the map, its parts don't
+    hit = spatial_join.within_join(seeds.withColumnRenamed("region_id", "seed"), regionalizers.explode_parts(cells), how="inner")
     own = F.max(F.col("seed") == F.col("region_id"))
     others = F.sum((F.col("seed") != F.col("region_id")).cast("int")).cast("int")
     area = cells.agg(F.round(F.sum(G.st_area(F.col("geometry"))), 4).alias("area_of_all"))

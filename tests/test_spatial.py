@@ -263,6 +263,60 @@ def test_voronoi_regions_by_security_radius(spark, kind):
     assert sum(G.area(G.from_wkb(bytes(r["geometry"]))) for r in shapes) == pytest.approx(360 * 180, rel=1e-9)
 
 
+def test_voronoi_chunks_ask_each_other(spark, monkeypatch):
+    """Crowded and sparse seeds, the antimeridian and a pole among them, in many chunks."""
+    monkeypatch.setattr(V, "LEAST_CHUNK", 100)
+    monkeypatch.setattr(V, "NET", 64)
+    rng = np.random.default_rng(8)
+    p = np.vstack([rng.normal(size=(300, 3)), [0.3, 0.2, 0.9] + rng.normal(0, 1e-3, (500, 3)), [-1, 0, 0.1] + rng.normal(0, 1e-2, (200, 3)), [[0, 0, 1.0]]])
+    p /= np.linalg.norm(p, axis=1)[:, None]
+    rows_ = [(k, *map(float, np.degrees([np.arctan2(y, x), np.arcsin(z)]))) for k, (x, y, z) in enumerate(p)]
+    found = V.regions(spark.createDataFrame(rows_, "region_id int, lon double, lat double"), "region_id").collect()
+    assert sorted(r["sid"] for r in found) == list(range(len(p)))
+    total = 0.0
+    for r in found:
+        flat = np.array([(v["x"], v["y"], v["z"]) for v in r["verts"]])
+        near = flat @ p.T
+        assert (near[:, r["sid"]] >= near.max(1) - 1e-12).all()
+        for piece in np.split(flat, np.cumsum(r["sizes"])[:-1]):
+            for k in range(1, len(piece) - 1):
+                a, b, c = piece[0], piece[k], piece[k + 1]
+                total += abs(2 * np.arctan2(np.dot(a, np.cross(b, c)), 1 + a @ b + b @ c + c @ a))
+    assert total == pytest.approx(4 * np.pi, rel=1e-9)
+
+
+def test_nearest_seed_equals_all_pairs():
+    rng = np.random.default_rng(9)
+    p = np.vstack([rng.normal(size=(700, 3)), [1, 0.5, 0.2] + rng.normal(0, 1e-4, (900, 3))])
+    p /= np.linalg.norm(p, axis=1)[:, None]
+    p = p[np.argsort(V.curve(p))]
+    places = np.vstack([p[::7] + rng.normal(0, 1e-4, (len(p[::7]), 3)), rng.normal(size=(50, 3))])
+    d = ((places[:, None] - p) ** 2).sum(2)
+    known, most = V.Nearest(p), np.full(len(places), 1e-8)
+    got = known(places, np.full(len(places), 100.0))
+    assert d[np.arange(len(d)), d.argmin(1)] == pytest.approx(((places - known.seeds[got]) ** 2).sum(1))
+    some = known(places, most)
+    assert ((some >= 0) == (d.min(1) <= 1e-8)).all() and 0 < (some >= 0).sum() < len(places)
+
+
+def test_points_meet_boxes_on_cells_not_much_larger(spark):
+    size = [2.0**k for k in range(-12, 9)]
+    boxes = spark.createDataFrame([(0.0, 0.0, v, v) for v in size], "minx double, miny double, maxx double, maxy double")
+    grid = J.ladder(spark.createDataFrame([(0.5, 0.5)], "lon double, lat double"), boxes, (True, False), J.POINT_LEVELS)
+    assert all(min(c for c in grid.sizes if c >= v) <= 8 * v for v in size) and len(grid.sizes) <= J.POINT_LEVELS
+
+
+def test_areas_and_bounds_of_mixed_shapes(spark):
+    hole = G.polygon([(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (3, 1), (3, 3), (1, 3)])
+    shapes = [G.box(0, 0, 1, 2), hole, G.merged([G.box(0, 0, 1, 1), G.box(2, 2, 3, 3)]), G.point(1, 2), G.polygon([(5, 5), (6, 5), (5, 7)])]
+    df = spark.createDataFrame([(k, bytearray(G.to_wkb(g)) if g else None) for k, g in enumerate([*shapes, None])], "k int, geometry binary").coalesce(1)
+    got = {r["k"]: r for r in df.select("k", G.st_area(F.col("geometry")).alias("a"), G.st_bounds(F.col("geometry")).alias("b"), G.st_holds(F.col("geometry"), F.lit(0.5), F.lit(0.5)).alias("h"), F.size(G.st_parts(F.col("geometry"))).alias("n")).collect()}
+    for k, g in enumerate(shapes):
+        assert got[k]["a"] == pytest.approx(G.area(g)) and tuple(got[k]["b"]) == G.bounds(g)
+    assert got[5]["a"] is None and got[5]["b"]["minx"] is None
+    assert [got[k]["h"] for k in range(5)] == [True, True, True, False, False] and got[2]["n"] == 2 and got[0]["n"] == 1
+
+
 def test_geometry_kernel():
     hole = G.polygon([(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (3, 1), (3, 3), (1, 3)])
     assert G.area(hole) == 12 and G.area(G.without_holes(hole)) == 16
