@@ -415,9 +415,12 @@ def _begin(id_type: pa.DataType, size: int, net: np.ndarray):
         for at in range(0, len(seeds), _TOGETHER):
             own = seeds[at : at + _TOGETHER]
             cells, rows = Cells.around(own), np.arange(len(own))
-            beside = near.seeds.reshape(-1, 2 * _LEAF, 3)[(at + rows) // (2 * _LEAF)]
-            order = np.argsort(((beside - own[:, None]) ** 2).sum(2), 1)
-            for k in range(1, 20):
+            # a start from seeds along the curve
+            beside = near.seeds.reshape(-1, 8 * _LEAF, 3)
+            beside = beside[(at + rows) // (8 * _LEAF)]
+            off = sum((beside[..., c] - own[:, c, None]) ** 2 for c in range(3))
+            order = np.argsort(off, 1)[:, 1:20]
+            for k in range(order.shape[1]):
                 cells.cut(rows, beside[rows, order[:, k]])
             cells.settle(nearer)
             flat, sizes = cells.pieces()
@@ -557,13 +560,15 @@ def regions(seeds: DataFrame, seed_id: str) -> DataFrame:
     hair = 1 + 1e-6
     square = lambda v: sum(((v[c] - F.col(c)) * (v[c] - F.col(c)) for c in "yz"), (v["x"] - F.col("x")) * (v["x"] - F.col("x")))
     near = (F.col("to") != F.col("chunk")) & (off(F.col) <= 4 * hair * F.col("reach") * F.col("reach"))
-    asked = begun.filter("reach is not null").drop("box", "key").join(F.broadcast(boxes), near).filter(F.exists("verts", lambda v: off(lambda c: v[c]) <= square(v) * hair))
-    asked = asked.select("to", "sid", "x", "y", "z", "verts", "sizes")
+    state = ["sid", "x", "y", "z", "verts", "sizes"]
+    some = begun.filter("reach is not null").drop("box", "key")
+    asked = some.join(F.broadcast(boxes), near).filter(F.exists("verts", lambda v: off(lambda c: v[c]) <= square(v) * hair))
+    asked = asked.select("to", *state)
     there = begun.select(*[F.col(c).alias(f"t{c}") for c in ("chunk", "key", *"xyz")])
     found = asked.groupBy("to").cogroup(there.groupBy("tchunk")).applyInArrow(_cutters(arrow_id), f"sid {kind}, found array<struct<x:double,y:double,z:double>>")
     found = found.groupBy("sid").agg(F.flatten(F.collect_list("found")).alias("found"))
-    met = begun.select("sid", "x", "y", "z", "verts", "sizes").join(found, "sid", "left")
-    return written(met.mapInArrow(_finish(arrow_id), f"sid {kind}, {_STATE}"), "regions")
+    met = some.select(*state).join(found, "sid", "left")
+    return begun.filter("reach is null").select(*state).unionByName(written(met.mapInArrow(_finish(arrow_id), f"sid {kind}, {_STATE}"), "regions"))
 
 
 def _arc(a: np.ndarray, b: np.ndarray, seed: np.ndarray, step: float) -> list[np.ndarray]:
